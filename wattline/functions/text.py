@@ -90,8 +90,9 @@ def client_address(forwarded: Column | str, peer: Column | str) -> Column:
 
 
 def display_fixed(x: Column | str, decimals: int) -> Column:
-    """Fixed-decimals display text; NULL → an em dash."""
-    return F.coalesce(F.format_string(f"%.{decimals}f", _c(x)), F.lit("—"))
+    """Fixed-decimals display text with thousands separators; NULL → an em
+    dash. Rounds the exact binary value (half-even), as a browser does."""
+    return F.coalesce(F.format_number(_c(x), decimals), F.lit("—"))
 
 
 def display_count(x: Column | str) -> Column:

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.casts import nan_to_null
 
 DEFAULT_BY = ("duid", "market_day")
+MEAN_SCALE = 10
+
+
+def exact_mean(col, decimals: int):
+    """Mean over DECIMAL: exact, so independent of partitioning and summing
+    order (a DOUBLE sum can land either side of a rounding tie)."""
+    return F.round(F.avg(col.cast(f"decimal(38,{MEAN_SCALE})")), decimals).cast("double")
 
 
 def scada_summary(series: DataFrame, by=DEFAULT_BY, mw: str = "measured_mw") -> DataFrame:
@@ -21,7 +28,7 @@ def scada_summary(series: DataFrame, by=DEFAULT_BY, mw: str = "measured_mw") ->
         F.count(F.lit(1)).alias("total_rows"),
         F.round(F.min(m), 3).alias("min_mw"),
         F.round(F.max(m), 3).alias("max_mw"),
-        F.round(F.avg(m), 3).alias("mean_mw"),
+        exact_mean(m, 3).alias("mean_mw"),
         F.round(F.stddev_samp(m), 3).alias("std_mw"),
     )
 
@@ -69,7 +76,7 @@ def dispatch_summary(series: DataFrame, by=DEFAULT_BY) -> DataFrame:
         aggs += [
             F.round(F.min(m), 2).alias(f"min_{suffix}"),
             F.round(F.max(m), 2).alias(f"max_{suffix}"),
-            F.round(F.avg(m), 2).alias(f"mean_{suffix}"),
+            exact_mean(m, 2).alias(f"mean_{suffix}"),
         ]
     return series.groupBy(*by).agg(*aggs)
 

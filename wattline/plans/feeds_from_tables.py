@@ -199,3 +199,21 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         ).alias("x"),
     ).select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value"))
     return us.unionByName(price).unionByName(heads)
+
+
+def lineitem_as_dispatch(lineitem: DataFrame) -> DataFrame:
+    """Typed dispatch-shaped series straight from lineitem: supplier units,
+    ship time + line number hours as interval end (hits 04:00 exactly),
+    quantity / price / tax as the three measures. Suppliers whose key ends
+    in 0 report no initial storage; line 7 reports no end storage."""
+    from ..functions.dates import market_day_interval_end
+
+    settle = lineitem_settlement(lineitem)
+    return lineitem.select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("duid"),
+        market_day_interval_end(settle).alias("market_day"),
+        settle.alias("settlementdate"),
+        F.col("l_quantity").alias("initialmw"),
+        F.when(F.col("l_suppkey") % 10 != 0, F.col("l_extendedprice")).alias("initial_energy_storage"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_tax")).alias("energy_storage"),
+    )

@@ -10,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.casts import feed_timestamp
-from ..functions.dates import market_day_instant, market_day_interval_end
+from datetime import date
+
+from .. import constants as K
+from ..constants import JSON_ROW_CAP
+from ..functions.casts import feed_timestamp, format_time, nan_to_null
+from ..functions.dates import available, market_day_instant, market_day_interval_end
+from ..operators.series import energy_series, flag_series, head_per_group, quality_flags, quality_strip, stat_cards
 from ..operators.dedup import keep_first
 from ..operators.summary import dispatch_summary, flag_breakdown, scada_summary
 from ..plans.dispatch import cast_dispatch, dispatch_series, parse_dispatch
@@ -20,6 +25,7 @@ from ..operators.segments import ingest_report
 from .feeds_from_tables import (
     dispatch_feed_lines,
     events_as_scada,
+    lineitem_as_dispatch,
     lineitem_settlement,
     scada_feed_lines,
     table,
@@ -207,7 +213,7 @@ def q_keep_first_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "scada_summary",
     f"""SELECT duid, market_day, count(*) AS total_rows,
        round(min(m), 3) AS min_mw, round(max(m), 3) AS max_mw,
-       round(avg(m), 3) AS mean_mw, round(stddev_samp(m), 3) AS std_mw
+       round(CAST(sum(CAST(m AS DECIMAL(38,10))) / count(m) AS DECIMAL(38,10)), 3)::DOUBLE AS mean_mw, round(stddev_samp(m), 3) AS std_mw
 FROM (SELECT *, CASE WHEN isnan(measured_mw) THEN NULL ELSE measured_mw END AS m
       FROM ({_SQL_SCADA_EVENTS}) s) t
 GROUP BY duid, market_day""",
@@ -233,7 +239,7 @@ def q_flag_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     "scada_day_summary",
     f"""SELECT duid, market_day, count(*) AS total_rows,
        round(min(m), 3) AS min_mw, round(max(m), 3) AS max_mw,
-       round(avg(m), 3) AS mean_mw, round(stddev_samp(m), 3) AS std_mw
+       round(CAST(sum(CAST(m AS DECIMAL(38,10))) / count(m) AS DECIMAL(38,10)), 3)::DOUBLE AS mean_mw, round(stddev_samp(m), 3) AS std_mw
 FROM (SELECT *, CASE WHEN isnan(measured_mw) THEN NULL ELSE measured_mw END AS m
       FROM ({_SQL_SCADA_SERIES}) s) t
 GROUP BY duid, market_day""",
@@ -250,3 +256,170 @@ FROM ({_SQL_SCADA_SERIES}) s""",
 )
 def q_scada_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scada_series(scada_feed_lines(table(spark, sf_dir, "events")))
+
+
+# ---------------------------------------------------------------------------
+# A3 — dispatch summary; C3, A12 — energy series; E2 — whole dispatch chain
+# ---------------------------------------------------------------------------
+_SQL_DISPATCH = f"""
+SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS duid,
+       CAST({_SQL_SETTLE} - INTERVAL 4 HOUR - INTERVAL 1 MICROSECOND AS DATE) AS market_day,
+       {_SQL_SETTLE} AS settlementdate,
+       l_quantity AS initialmw,
+       CASE WHEN l_suppkey % 10 <> 0 THEN l_extendedprice END AS initial_energy_storage,
+       CASE WHEN l_linenumber <> 7 THEN l_tax END AS energy_storage
+FROM lineitem"""
+
+
+def _sql_dispatch_summary(src: str) -> str:
+    parts = ["count(*) AS total_rows"]
+    for col, suf in [("initialmw", "mw"), ("initial_energy_storage", "init_mwh"), ("energy_storage", "end_mwh")]:
+        m = f"CASE WHEN isnan({col}) THEN NULL ELSE {col} END"
+        parts += [f"round(min({m}), 2) AS min_{suf}", f"round(max({m}), 2) AS max_{suf}",
+                  f"round(CAST(sum(CAST({m} AS DECIMAL(38,10))) / count({m}) AS DECIMAL(38,10)), 2)::DOUBLE AS mean_{suf}"]
+    return f"SELECT duid, market_day, {', '.join(parts)} FROM ({src}) s GROUP BY duid, market_day"
+
+
+@register("dispatch_summary", _sql_dispatch_summary(_SQL_DISPATCH))
+def q_dispatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dispatch_summary(lineitem_as_dispatch(table(spark, sf_dir, "lineitem")))
+
+
+_SQL_DISPATCH_SERIES = f"""
+SELECT duid, market_day, settlementdate, initialmw, initial_energy_storage, energy_storage FROM (
+  SELECT *, row_number() OVER (PARTITION BY duid, settlementdate
+            ORDER BY file, k, market_day, initialmw, initial_energy_storage, energy_storage) AS rn
+  FROM (SELECT 'dispatch/DISPATCH_' || strftime(l_shipdate, '%Y%m') || '.CSV' AS file,
+               l_orderkey * 8 + l_linenumber AS k,
+               'S' || CAST(l_suppkey AS VARCHAR) AS duid,
+               {_SQL_SETTLE} AS settlementdate,
+               CAST({_SQL_SETTLE} - INTERVAL 4 HOUR - INTERVAL 1 MICROSECOND AS DATE) AS market_day,
+               l_quantity AS initialmw, l_extendedprice AS initial_energy_storage, l_tax AS energy_storage
+        FROM lineitem) x
+) WHERE rn = 1"""
+
+
+@register("dispatch_series", _SQL_DISPATCH_SERIES)
+def q_dispatch_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dispatch_feed_lines(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    return dispatch_series(lines)
+
+
+@register("dispatch_day_summary", _sql_dispatch_summary(_SQL_DISPATCH_SERIES))
+def q_dispatch_day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dispatch_feed_lines(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    return dispatch_summary(dispatch_series(lines))
+
+
+@register(
+    "energy_series",
+    f"""WITH long AS (
+  SELECT duid, market_day, 'initial_energy_storage' AS measure, 'Initial Energy (MWh)' AS series, settlementdate, initial_energy_storage AS value FROM ({_SQL_DISPATCH}) a
+  UNION ALL
+  SELECT duid, market_day, 'energy_storage', 'End Energy (MWh)', settlementdate, energy_storage FROM ({_SQL_DISPATCH}) b
+  UNION ALL
+  SELECT duid, market_day, 'initialmw', 'Dispatch MW', settlementdate, initialmw FROM ({_SQL_DISPATCH}) c
+)
+SELECT duid, market_day, measure, series, settlementdate, value FROM (
+  SELECT *, bool_or(value IS NOT NULL) OVER (PARTITION BY duid, market_day, measure) AS present FROM long
+) WHERE present""",
+)
+def q_energy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return energy_series(lineitem_as_dispatch(table(spark, sf_dir, "lineitem")))
+
+
+# ---------------------------------------------------------------------------
+# C1, J4, X24 — per-flag series; C2 — quality strip; C4, X26 — stat cards
+# ---------------------------------------------------------------------------
+_SQL_FLAGS = """(SELECT * FROM (VALUES
+  (0, 'Good', '#22c55e', 0), (1, 'Suspect', '#f97316', 1), (2, 'Bad', '#ef4444', 2),
+  (-1, 'N/A', '#94a3b8', 3), (3, 'Manual override', '#94a3b8', 4)) AS f(flag, label, color, ord))"""
+
+
+@register(
+    "flag_series",
+    f"""SELECT s.duid, s.market_day, s.flag,
+       coalesce(f.label, 'Flag ' || CAST(s.flag AS VARCHAR)) AS label,
+       coalesce(f.color, '#94a3b8') AS color, s.x, s.y
+FROM (SELECT duid, market_day, coalesce(mw_quality_flag, -1) AS flag,
+             measurement_datetime AS x, measured_mw AS y FROM ({_SQL_SCADA_EVENTS}) e) s
+LEFT JOIN {_SQL_FLAGS} f ON s.flag = f.flag""",
+)
+def q_flag_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_series(events_as_scada(table(spark, sf_dir, "events")), quality_flags(spark))
+
+
+@register(
+    "quality_strip",
+    f"""SELECT b.duid, b.market_day, b.mw_quality_flag, f.label, f.color, f.ord, b.count, b.pct
+FROM (SELECT duid, market_day, mw_quality_flag, count(*) AS count,
+        round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY duid, market_day), 1)::DOUBLE AS pct
+      FROM ({_SQL_SCADA_EVENTS}) s GROUP BY duid, market_day, mw_quality_flag) b
+JOIN {_SQL_FLAGS} f ON b.mw_quality_flag = f.flag""",
+)
+def q_quality_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bd = flag_breakdown(events_as_scada(table(spark, sf_dir, "events")))
+    return quality_strip(bd, quality_flags(spark))
+
+
+def _sql_fixed(x: str, d: int) -> str:
+    return f"coalesce(format('{{:,.{d}f}}', {x}), '—')"
+
+
+@register(
+    "stat_cards",
+    f"""WITH s AS (
+  SELECT duid, market_day, count(*) AS total_rows,
+         round(min(m), 3) AS min_mw, round(max(m), 3) AS max_mw,
+         round(CAST(sum(CAST(m AS DECIMAL(38,10))) / count(m) AS DECIMAL(38,10)), 3)::DOUBLE AS mean_mw, round(stddev_samp(m), 3) AS std_mw
+  FROM (SELECT *, CASE WHEN isnan(measured_mw) THEN NULL ELSE measured_mw END AS m
+        FROM ({_SQL_SCADA_EVENTS}) e) t GROUP BY duid, market_day)
+SELECT duid, market_day, 0 AS card_no, 'Total Readings' AS label, format('{{:,}}', total_rows) AS value FROM s
+UNION ALL SELECT duid, market_day, 1, 'Min MW', {_sql_fixed('min_mw', 2)} FROM s
+UNION ALL SELECT duid, market_day, 2, 'Max MW', {_sql_fixed('max_mw', 2)} FROM s
+UNION ALL SELECT duid, market_day, 3, 'Mean MW', {_sql_fixed('mean_mw', 2)} FROM s
+UNION ALL SELECT duid, market_day, 4, 'Std Dev', {_sql_fixed('std_mw', 2)} FROM s""",
+)
+def q_stat_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stat_cards(scada_summary(events_as_scada(table(spark, sf_dir, "events"))))
+
+
+# K4, D4, X6 — display records: first 25,000 points per unit-day, text times
+@register(
+    "series_head",
+    f"""SELECT duid, market_day, row_no, strftime(measurement_datetime, '%Y-%m-%d %H:%M:%S') AS measurement_text,
+       strftime(interval_datetime, '%Y-%m-%d %H:%M:%S') AS interval_text,
+       CASE WHEN isnan(measured_mw) THEN NULL ELSE measured_mw END AS measured_mw, mw_quality_flag
+FROM (SELECT *, row_number() OVER (PARTITION BY duid, market_day ORDER BY measurement_datetime) AS row_no
+      FROM ({_SQL_SCADA_SERIES}) s) t WHERE row_no <= 25000""",
+)
+def q_series_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = scada_series(scada_feed_lines(table(spark, sf_dir, "events")))
+    head = head_per_group(series, n=JSON_ROW_CAP)
+    return head.select(
+        "duid", "market_day", "row_no",
+        format_time("measurement_datetime").alias("measurement_text"),
+        format_time("interval_datetime").alias("interval_text"),
+        nan_to_null("measured_mw").alias("measured_mw"),
+        "mw_quality_flag",
+    )
+
+
+# F11, F18 — availability guards (events shifted into 2025)
+@register(
+    "availability_guard",
+    """SELECT market_day, count(*) AS n_rows,
+       market_day >= DATE '2025-02-28' AND market_day < DATE '2025-03-20' AS scada_available,
+       market_day >= DATE '2025-02-11' AND market_day < DATE '2025-03-20' AS dispatch_available
+FROM (SELECT CAST(ts + INTERVAL 423 DAY - INTERVAL 4 HOUR AS DATE) AS market_day FROM events) e
+GROUP BY market_day""",
+)
+def q_availability_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    day = market_day_instant(F.col("ts") + F.expr("INTERVAL 423 DAYS")).alias("market_day")
+    as_of = date(2025, 3, 20)
+    return ev.groupBy(day).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "market_day", "n_rows",
+        available("market_day", K.SCADA_START_DATE, as_of).alias("scada_available"),
+        available("market_day", K.DISPATCH_START_DATE, as_of).alias("dispatch_available"),
+    )
