@@ -97,7 +97,7 @@ def scada_source_class(d: Column | str) -> Column:
 def name_date(name: Column | str) -> Column:
     """Date embedded in a file name after ``_``; no match or invalid → NULL."""
     s = F.regexp_extract(_c(name), K.NAME_DATE_PATTERN, 1)
-    return F.when(s != "", F.try_to_date(s, F.lit("yyyyMMdd")))
+    return F.when(s != "", F.try_to_date(s, "yyyyMMdd"))
 
 
 def basename(path: Column | str) -> Column:

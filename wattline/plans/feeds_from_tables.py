@@ -217,3 +217,50 @@ def lineitem_as_dispatch(lineitem: DataFrame) -> DataFrame:
         F.when(F.col("l_suppkey") % 10 != 0, F.col("l_extendedprice")).alias("initial_energy_storage"),
         F.when(F.col("l_linenumber") != 7, F.col("l_tax")).alias("energy_storage"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Archive catalog from orders
+# ---------------------------------------------------------------------------
+
+ORDER_DATE_SHIFT_DAYS = 9862  # moves 1995-2001 order dates to 2022-2028: all eras occur
+
+
+def order_settlement_date(orders: DataFrame) -> Column:
+    return F.date_add(F.to_date(F.col("o_orderdate")), ORDER_DATE_SHIFT_DAYS)
+
+
+def orders_catalog_paths(orders: DataFrame) -> DataFrame:
+    """One landed archive path per order (bundle names repeat; distinct paths).
+
+    Six name shapes by ``o_orderkey % 6``: SCADA daily first/second half,
+    SCADA monthly/weekly bundles, dispatch daily, dispatch monthly bundle.
+    Every 97th order carries an impossible month (13) in its name."""
+    base = orders.select(
+        F.col("o_orderkey").alias("k"), F.col("o_custkey"), order_settlement_date(orders).alias("d")
+    )
+    k, d = F.col("k"), F.col("d")
+    base = base.select(
+        "k", "o_custkey",
+        F.when(k % 97 == 0, F.concat(F.date_format(d, "yyyy"), F.lit("13"), F.date_format(d, "dd")))
+        .otherwise(F.date_format(d, "yyyyMMdd")).alias("dstr"),
+        F.lpad(k.cast("string"), 16, "0").alias("seq"),
+        F.date_format(F.trunc(d, "month"), "yyyyMMdd").alias("month"),
+        F.date_format(F.trunc(d, "week"), "yyyyMMdd").alias("week"),
+    )
+    dstr, seq, month, week = F.col("dstr"), F.col("seq"), F.col("month"), F.col("week")
+    name = (
+        F.when(k % 6 == 0, F.concat(F.lit("PUBLIC_NEXT_DAY_FPPMW_"), dstr, F.lit("_"), seq, F.lit(".zip")))
+        .when(k % 6 == 1, F.concat(F.lit("PUBLIC_NEXT_DAY_FPPMW_2_"), dstr, F.lit("040000_"), seq, F.lit(".zip")))
+        .when(k % 6 == 2, F.concat(F.lit("PUBLIC_NEXT_DAY_FPPMW_"), month, F.lit(".zip")))
+        .when(k % 6 == 3, F.concat(F.lit("PUBLIC_NEXT_DAY_FPPMW_2_"), week, F.lit(".zip")))
+        .when(k % 6 == 4, F.concat(F.lit("PUBLIC_NEXT_DAY_DISPATCH_"), dstr, F.lit("_"), seq, F.lit(".zip")))
+        .otherwise(F.concat(F.lit("PUBLIC_NEXT_DAY_DISPATCH_"), month, F.lit(".zip")))
+    )
+    source = F.when(F.col("o_custkey") % 3 == 0, F.lit("current")).otherwise(F.lit("archive"))
+    return base.select(F.concat(F.lit("/landing/"), source, F.lit("/"), name).alias("path")).distinct()
+
+
+def order_targets(orders: DataFrame) -> DataFrame:
+    """Requested settlement dates: every (shifted) order date."""
+    return orders.select(order_settlement_date(orders).alias("target_date")).distinct()

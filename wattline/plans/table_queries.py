@@ -15,7 +15,18 @@ from datetime import date
 from .. import constants as K
 from ..constants import JSON_ROW_CAP
 from ..functions.casts import feed_timestamp, format_time, nan_to_null
-from ..functions.dates import available, market_day_instant, market_day_interval_end
+from ..functions.dates import (
+    available,
+    day_warnings,
+    era,
+    join_warnings,
+    market_day_instant,
+    market_day_interval_end,
+    scada_search_keys,
+    scada_source_class,
+)
+from ..operators.catalog_ops import bundle_candidates, fallthrough, latest_daily, match_daily
+from ..sources.catalog import parse_catalog
 from ..operators.series import energy_series, flag_series, head_per_group, quality_flags, quality_strip, stat_cards
 from ..operators.dedup import keep_first
 from ..operators.summary import dispatch_summary, flag_breakdown, scada_summary
@@ -27,6 +38,8 @@ from .feeds_from_tables import (
     events_as_scada,
     lineitem_as_dispatch,
     lineitem_settlement,
+    order_targets,
+    orders_catalog_paths,
     scada_feed_lines,
     table,
 )
@@ -423,3 +436,145 @@ def q_availability_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         available("market_day", K.SCADA_START_DATE, as_of).alias("scada_available"),
         available("market_day", K.DISPATCH_START_DATE, as_of).alias("dispatch_available"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Archive catalog: S10, X9-X12, X27 — names; X13-X17 — eras, keys, warnings
+# ---------------------------------------------------------------------------
+_SQL_SDATE = "(CAST(o_orderdate AS DATE) + INTERVAL 9862 DAY)::DATE"
+_SQL_CATALOG_PATHS = f"""
+SELECT DISTINCT '/landing/' || CASE WHEN o_custkey % 3 = 0 THEN 'current' ELSE 'archive' END || '/' ||
+  CASE o_orderkey % 6
+    WHEN 0 THEN 'PUBLIC_NEXT_DAY_FPPMW_' || dstr || '_' || lpad(CAST(o_orderkey AS VARCHAR), 16, '0') || '.zip'
+    WHEN 1 THEN 'PUBLIC_NEXT_DAY_FPPMW_2_' || dstr || '040000_' || lpad(CAST(o_orderkey AS VARCHAR), 16, '0') || '.zip'
+    WHEN 2 THEN 'PUBLIC_NEXT_DAY_FPPMW_' || strftime(date_trunc('month', d), '%Y%m%d') || '.zip'
+    WHEN 3 THEN 'PUBLIC_NEXT_DAY_FPPMW_2_' || strftime(date_trunc('week', d), '%Y%m%d') || '.zip'
+    WHEN 4 THEN 'PUBLIC_NEXT_DAY_DISPATCH_' || dstr || '_' || lpad(CAST(o_orderkey AS VARCHAR), 16, '0') || '.zip'
+    ELSE 'PUBLIC_NEXT_DAY_DISPATCH_' || strftime(date_trunc('month', d), '%Y%m%d') || '.zip' END AS path
+FROM (SELECT *, CASE WHEN o_orderkey % 97 = 0 THEN strftime(d, '%Y') || '13' || strftime(d, '%d')
+                     ELSE strftime(d, '%Y%m%d') END AS dstr
+      FROM (SELECT *, {_SQL_SDATE} AS d FROM orders) o) o2"""
+_SQL_CATALOG = f"""
+SELECT path, name,
+       regexp_extract(path, '/([^/]*)/[^/]*$', 1) AS source,
+       CASE WHEN name LIKE '%FPPMW%' THEN 'FPPMW' WHEN upper(name) LIKE '%DISPATCH%' THEN 'DISPATCH' END AS product,
+       CASE WHEN regexp_matches(name, '(?i)FPPMW_2_') THEN 2 ELSE 1 END AS format,
+       CAST(try_strptime(nullif(regexp_extract(name, '_(\\d{{8}})(?:\\d{{6}})?(?:[_.]|$)', 1), ''), '%Y%m%d') AS DATE) AS file_date,
+       CASE WHEN name LIKE '%FPPMW%' THEN regexp_matches(name, '(?i)FPPMW.*_\\d{{8}}\\.zip$')
+            ELSE regexp_matches(name, '(?i)DISPATCH.*_\\d{{8}}\\.zip$') END AS is_bundle
+FROM (SELECT path, regexp_extract(path, '[^/]*$', 0) AS name FROM ({_SQL_CATALOG_PATHS}) p) q"""
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_catalog(orders_catalog_paths(table(spark, sf_dir, "orders")))
+
+
+@register("catalog_parse", _SQL_CATALOG)
+def q_catalog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalog(spark, sf_dir)
+
+
+_SQL_TARGETS = f"SELECT DISTINCT {_SQL_SDATE} AS target_date FROM orders"
+
+
+@register(
+    "era_keys",
+    f"""SELECT target_date, era, search_key, warning, source_class FROM (
+  SELECT target_date,
+         CASE WHEN target_date < DATE '2025-04-29' THEN 1 WHEN target_date < DATE '2025-09-11' THEN 2 ELSE 3 END AS era,
+         unnest(CASE WHEN target_date < DATE '2025-04-29'
+                     THEN [strftime(target_date, '%Y%m%d'), strftime(target_date + INTERVAL 1 DAY, '%Y%m%d')]
+                     ELSE [strftime(target_date + INTERVAL 1 DAY, '%Y%m%d')] END) AS search_key,
+         CASE WHEN target_date BETWEEN DATE '2025-04-29' AND DATE '2025-09-10'
+              THEN '{K.PARTIAL_DAY_WARNING}' ELSE '' END AS warning,
+         CASE WHEN target_date >= DATE '2026-01-11' THEN 'current' ELSE 'archive' END AS source_class
+  FROM ({_SQL_TARGETS}) t) x""",
+)
+def q_era_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_targets(table(spark, sf_dir, "orders"))
+    return t.select(
+        "target_date",
+        era("target_date").alias("era"),
+        F.explode(scada_search_keys("target_date")).alias("search_key"),
+        join_warnings(day_warnings("target_date")).alias("warning"),
+        scada_source_class("target_date").alias("source_class"),
+    )
+
+
+# J5, D6 — dispatch: latest bundle dated on/before the target (as-of)
+@register(
+    "bundle_asof",
+    f"""SELECT target_date, name AS bundle_name, file_date AS bundle_date FROM (
+  SELECT t.target_date, c.name, c.file_date,
+         row_number() OVER (PARTITION BY t.target_date ORDER BY c.file_date DESC, c.name DESC) AS rn
+  FROM ({_SQL_TARGETS}) t JOIN ({_SQL_CATALOG}) c
+    ON c.product = 'DISPATCH' AND c.is_bundle AND c.source = 'archive' AND c.file_date <= t.target_date
+) WHERE rn = 1""",
+)
+def q_bundle_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = _catalog(spark, sf_dir).where(F.col("source") == "archive")
+    t = order_targets(table(spark, sf_dir, "orders"))
+    out = bundle_candidates(t, cat, product=K.DISPATCH_PRODUCT, k=1)
+    return out.select("target_date", F.col("right_name").alias("bundle_name"), F.col("right_file_date").alias("bundle_date"))
+
+
+# J6, D7 — SCADA: best three bundles per format dated on/before D+1
+@register(
+    "bundle_topk",
+    f"""SELECT target_date, format, rn AS asof_rank, name AS bundle_name FROM (
+  SELECT t.target_date, c.format, c.name,
+         row_number() OVER (PARTITION BY t.target_date, c.format ORDER BY c.file_date DESC, c.name DESC) AS rn
+  FROM ({_SQL_TARGETS}) t JOIN ({_SQL_CATALOG}) c
+    ON c.product = 'FPPMW' AND c.is_bundle AND c.source = 'archive'
+   AND c.file_date <= t.target_date + INTERVAL 1 DAY
+) WHERE rn <= 3""",
+)
+def q_bundle_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = _catalog(spark, sf_dir).where(F.col("source") == "archive")
+    t = order_targets(table(spark, sf_dir, "orders"))
+    out = bundle_candidates(t, cat, product=K.SCADA_PRODUCT, k=K.BUNDLE_CANDIDATES)
+    return out.select("target_date", "format", "asof_rank", F.col("right_name").alias("bundle_name"))
+
+
+_SQL_DAILY_MATCH = f"""
+SELECT k.target_date, k.search_key, c.source, c.format, c.name
+FROM (SELECT target_date, unnest(CASE WHEN target_date < DATE '2025-04-29'
+             THEN [strftime(target_date, '%Y%m%d'), strftime(target_date + INTERVAL 1 DAY, '%Y%m%d')]
+             ELSE [strftime(target_date + INTERVAL 1 DAY, '%Y%m%d')] END) AS search_key
+      FROM ({_SQL_TARGETS}) t) k
+JOIN ({_SQL_CATALOG}) c
+  ON c.product = 'FPPMW' AND NOT c.is_bundle AND strftime(c.file_date, '%Y%m%d') = k.search_key"""
+
+
+# J7 — daily files whose embedded date is a search key (equi join)
+@register("daily_match", _SQL_DAILY_MATCH)
+def q_daily_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_targets(table(spark, sf_dir, "orders"))
+    m = match_daily(t, _catalog(spark, sf_dir))
+    return m.select("target_date", "search_key", "source", "format", "name")
+
+
+# U4, U5, L24 — first source with a hit wins, per (date, half)
+@register(
+    "source_fallthrough",
+    f"""SELECT target_date, search_key, source, format, name FROM (
+  SELECT *, min(CASE source WHEN 'current' THEN 1 WHEN 'archive' THEN 2 ELSE 3 END)
+              OVER (PARTITION BY target_date, format) AS best,
+            CASE source WHEN 'current' THEN 1 WHEN 'archive' THEN 2 ELSE 3 END AS r
+  FROM ({_SQL_DAILY_MATCH}) m
+) WHERE r = best""",
+)
+def q_source_fallthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_targets(table(spark, sf_dir, "orders"))
+    m = match_daily(t, _catalog(spark, sf_dir)).select("target_date", "search_key", "source", "format", "name")
+    return fallthrough(m, ["target_date", "format"])
+
+
+# D6 — latest daily dispatch file per (source, date): the largest name
+@register(
+    "dispatch_latest_daily",
+    f"""SELECT source, file_date, max(name) AS name FROM ({_SQL_CATALOG}) c
+WHERE product = 'DISPATCH' AND NOT is_bundle AND file_date IS NOT NULL GROUP BY source, file_date""",
+)
+def q_dispatch_latest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_daily(_catalog(spark, sf_dir))
