@@ -264,3 +264,83 @@ def orders_catalog_paths(orders: DataFrame) -> DataFrame:
 def order_targets(orders: DataFrame) -> DataFrame:
     """Requested settlement dates: every (shifted) order date."""
     return orders.select(order_settlement_date(orders).alias("target_date")).distinct()
+
+
+# ---------------------------------------------------------------------------
+# Unit registry sheet from customer ⨝ nation
+# ---------------------------------------------------------------------------
+
+REGION_CODES = ["QLD1", "NSW1", "VIC1", "SA1", "NT1"]  # by n_regionkey; NT1 is not a market region
+
+
+def customer_registry_sheet(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Customers as rows of the generator sheet (all STRING cells, padded
+    with spaces, some empty, a decoy column next to the unit id, the storage
+    column named with a trailing note so it resolves by prefix)."""
+    from ..session import broadcast_if_small
+
+    nat, _ = broadcast_if_small(nation.select("n_nationkey", "n_regionkey"))
+    j = customer.join(nat, customer["c_nationkey"] == nat["n_nationkey"], "inner")
+    ck = F.col("c_custkey")
+    region = F.element_at(F.array(*[F.lit(r) for r in REGION_CODES]), F.col("n_regionkey") + 1)
+    return j.select(
+        F.when(ck % 50 == 0, F.lit("")).otherwise(F.concat(F.lit(" C"), ck.cast("string"), F.lit(" "))).alias("DUID"),
+        F.concat(F.lit("note "), ck.cast("string")).alias("DUID Comment"),
+        F.when(ck % 7 == 0, F.lit("")).otherwise(F.col("c_name")).alias("Unit Name"),
+        F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("Solar PV")).otherwise(F.lit(" Battery Storage ")).alias("Technology Type"),
+        F.when(F.col("c_acctbal") > 0, F.lit("In Service")).otherwise(F.lit("Committed")).alias("Commitment Status"),
+        region.alias("Region"),
+        F.when(ck % 5 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")).alias("Agg Nameplate Capacity (MW AC)"),
+        F.when(F.col("c_nationkey") % 4 == 0, F.lit(None).cast("string"))
+        .otherwise((F.col("c_nationkey") * 10).cast("string")).alias("Agg Nameplate Storage Capacity (MWh) [3]"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# Request log from events
+# ---------------------------------------------------------------------------
+
+ACTION_OF_EVENT = [
+    ("view", "view"),
+    ("click", "download_csv"),
+    ("purchase", "download_parquet"),
+    ("signup", "download_energy_csv"),
+    ("error", "download_energy_parquet"),
+]
+
+
+def events_forwarded(events: DataFrame) -> tuple[Column, Column]:
+    e, u = F.col("event_id"), F.col("user_id")
+    fwd = (
+        F.when(e % 3 == 0, F.lit(None).cast("string"))
+        .when(e % 3 == 1, F.concat(F.lit(" 10.0."), (u % 16).cast("string"), F.lit("."), (u % 7).cast("string"), F.lit(" , 172.16.0.1")))
+        .otherwise(F.lit(""))
+    )
+    peer = F.when(e % 5 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("192.168."), (u % 4).cast("string"), F.lit("."), (u % 9).cast("string"))
+    )
+    return fwd, peer
+
+
+def events_as_log(events: DataFrame) -> DataFrame:
+    """Events as request-log rows (id, time, client, unit, date, action,
+    duration, source type)."""
+    from ..functions.text import client_address
+    from ..sources.requestlog import conform_log
+
+    e, u = F.col("event_id"), F.col("user_id")
+    fwd, peer = events_forwarded(events)
+    action = None
+    for et, act in ACTION_OF_EVENT:
+        action = F.when(F.col("event_type") == et, F.lit(act)) if action is None else action.when(F.col("event_type") == et, F.lit(act))
+    source = F.element_at(F.array(*[F.lit(s) for s in ("current", "archive", "dispatch_current", "dispatch_archive")]), (u % 4 + 1).cast("int"))
+    return conform_log(events.select(
+        e.alias("id"),
+        F.col("ts").alias("timestamp"),
+        client_address(fwd, peer).alias("ip"),
+        F.concat(F.lit("U"), u.cast("string")).alias("duid"),
+        F.to_date("ts").alias("date"),
+        action.alias("action"),
+        F.when(e % 11 == 0, F.lit(None)).otherwise(F.round(F.col("value") * 1000)).cast("bigint").alias("duration_ms"),
+        source.alias("source_type"),
+    ))

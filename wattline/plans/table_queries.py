@@ -26,7 +26,10 @@ from ..functions.dates import (
     scada_source_class,
 )
 from ..operators.catalog_ops import bundle_candidates, fallthrough, latest_daily, match_daily
+from ..functions.text import client_address, unit_label
+from ..operators.logstats import combined_estimate, log_counts, recent, timing_estimates, top_counts
 from ..sources.catalog import parse_catalog
+from ..sources.registry import registry_from_sheet, units_by_state, units_from_registry
 from ..operators.series import energy_series, flag_series, head_per_group, quality_flags, quality_strip, stat_cards
 from ..operators.dedup import keep_first
 from ..operators.summary import dispatch_summary, flag_breakdown, scada_summary
@@ -34,8 +37,11 @@ from ..plans.dispatch import cast_dispatch, dispatch_series, parse_dispatch
 from ..plans.scada import cast_scada, parse_scada, scada_series
 from ..operators.segments import ingest_report
 from .feeds_from_tables import (
+    customer_registry_sheet,
     dispatch_feed_lines,
+    events_as_log,
     events_as_scada,
+    events_forwarded,
     lineitem_as_dispatch,
     lineitem_settlement,
     order_targets,
@@ -578,3 +584,179 @@ WHERE product = 'DISPATCH' AND NOT is_bundle AND file_date IS NOT NULL GROUP BY
 )
 def q_dispatch_latest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_daily(_catalog(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Unit registry: S11, F13, J2, X18-X22 — units; A9, J3, A10 — by state
+# ---------------------------------------------------------------------------
+_SQL_UNITS = """
+SELECT s.state, u.duid, coalesce(nullif(u.name, ''), u.duid) AS name,
+       TRY_CAST(u.mw AS DOUBLE) AS capacity_mw, TRY_CAST(u.mwh AS DOUBLE) AS capacity_mwh, u.region
+FROM (
+  SELECT CASE WHEN c_custkey % 50 = 0 THEN '' ELSE 'C' || CAST(c_custkey AS VARCHAR) END AS duid,
+         CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS name,
+         CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Solar PV' ELSE 'Battery Storage' END AS tech,
+         CASE WHEN c_acctbal > 0 THEN 'In Service' ELSE 'Committed' END AS status,
+         ['QLD1','NSW1','VIC1','SA1','NT1'][n_regionkey + 1] AS region,
+         CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END AS mw,
+         CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE CAST(c_nationkey * 10 AS VARCHAR) END AS mwh
+  FROM customer JOIN nation ON c_nationkey = n_nationkey) u
+JOIN (VALUES ('QLD1','QLD'),('NSW1','NSW'),('VIC1','VIC'),('SA1','SA'),('TAS1','TAS')) s(region, state)
+  ON u.region = s.region
+WHERE u.tech = 'Battery Storage' AND u.status = 'In Service' AND u.duid <> ''"""
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = customer_registry_sheet(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+    return units_from_registry(registry_from_sheet(sheet))
+
+
+def _sql_js_num(x: str) -> str:
+    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+
+
+@register(
+    "unit_registry",
+    f"""SELECT *, duid || ' (' || name || ') (' || coalesce({_sql_js_num('capacity_mw')}, '?') || ' MW / '
+             || coalesce({_sql_js_num('capacity_mwh')}, '?') || ' MWh)' AS label
+FROM ({_SQL_UNITS}) u""",
+)
+def q_unit_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _units(spark, sf_dir)
+    return u.withColumn("label", unit_label("duid", "name", "capacity_mw", "capacity_mwh"))
+
+
+@register(
+    "units_by_state",
+    f"""SELECT s.state, coalesce(a.n_units, 0) AS n_units, a.first_duid, a.last_duid, a.total_mw,
+       sum(coalesce(a.n_units, 0)) OVER () AS total_units,
+       sum(CASE WHEN coalesce(a.n_units, 0) > 0 THEN 1 ELSE 0 END) OVER () AS nonempty_states
+FROM (VALUES ('QLD'),('NSW'),('VIC'),('SA'),('TAS')) s(state)
+LEFT JOIN (SELECT state, count(*) AS n_units, min(duid) AS first_duid, max(duid) AS last_duid,
+                  round(sum(capacity_mw), 2) AS total_mw FROM ({_SQL_UNITS}) u GROUP BY state) a
+  ON s.state = a.state""",
+)
+def q_units_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units_by_state(_units(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Request log: A4, A5 — counts; A6, A7, L18 — top lists; D5 — recent;
+# A8, F16 — wait estimates; A13, X23 — combined estimate; X25 — client address
+# ---------------------------------------------------------------------------
+_SQL_LOG = """
+SELECT event_id AS id, ts AS "timestamp",
+       CASE WHEN fwd IS NOT NULL AND fwd <> '' THEN trim(split_part(fwd, ',', 1)) ELSE coalesce(peer, 'unknown') END AS ip,
+       'U' || CAST(user_id AS VARCHAR) AS duid, CAST(ts AS DATE) AS "date",
+       CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'download_csv' WHEN 'purchase' THEN 'download_parquet'
+            WHEN 'signup' THEN 'download_energy_csv' WHEN 'error' THEN 'download_energy_parquet' END AS action,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(round(value * 1000) AS BIGINT) END AS duration_ms,
+       ['current','archive','dispatch_current','dispatch_archive'][user_id % 4 + 1] AS source_type
+FROM (SELECT *,
+        CASE WHEN event_id % 3 = 0 THEN NULL
+             WHEN event_id % 3 = 1 THEN ' 10.0.' || CAST(user_id % 16 AS VARCHAR) || '.' || CAST(user_id % 7 AS VARCHAR) || ' , 172.16.0.1'
+             ELSE '' END AS fwd,
+        CASE WHEN event_id % 5 = 0 THEN NULL
+             ELSE '192.168.' || CAST(user_id % 4 AS VARCHAR) || '.' || CAST(user_id % 9 AS VARCHAR) END AS peer
+      FROM events) e"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_as_log(table(spark, sf_dir, "events"))
+
+
+@register(
+    "log_counts",
+    f"""SELECT action, count(*) AS cnt, sum(count(*)) OVER () AS total_requests FROM ({_SQL_LOG}) l GROUP BY action""",
+)
+def q_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_counts(_log(spark, sf_dir))
+
+
+@register(
+    "log_top_units",
+    f"""SELECT duid, count(*) AS cnt FROM ({_SQL_LOG}) l GROUP BY duid ORDER BY cnt DESC, duid ASC LIMIT 20""",
+)
+def q_log_top_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_counts(_log(spark, sf_dir), "duid", K.LOG_TOP_UNITS)
+
+
+@register(
+    "log_top_clients",
+    f"""SELECT ip, count(*) AS cnt FROM ({_SQL_LOG}) l GROUP BY ip ORDER BY cnt DESC, ip ASC LIMIT 50""",
+)
+def q_log_top_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_counts(_log(spark, sf_dir), "ip", K.LOG_TOP_CLIENTS)
+
+
+@register(
+    "log_recent",
+    f"""SELECT id, "timestamp", ip, duid, "date", action, duration_ms, source_type FROM ({_SQL_LOG}) l ORDER BY id DESC LIMIT 100""",
+)
+def q_log_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recent(_log(spark, sf_dir))
+
+
+_SQL_TIMING = f"""
+WITH v AS (SELECT source_type, duration_ms,
+                  row_number() OVER (PARTITION BY source_type ORDER BY id DESC) AS rn
+           FROM ({_SQL_LOG}) l WHERE duration_ms IS NOT NULL AND action = 'view'),
+     s AS (SELECT source_type, list_sort(list(duration_ms)) AS d, count(*) AS n FROM v WHERE rn <= 100 GROUP BY source_type)
+SELECT t.source_type,
+       CASE WHEN coalesce(s.n, 0) < 5 THEN CAST(t.dflt AS BIGINT)
+            ELSE CAST(round(s.d[CAST(floor(0.75 * (s.n - 1)) AS INTEGER) + 1] / 1000.0) AS BIGINT) END AS seconds,
+       CAST(coalesce(s.n, 0) AS BIGINT) AS sample_count,
+       coalesce(s.n, 0) < 5 AS is_default
+FROM (VALUES ('current', 120), ('archive', 480), ('dispatch_current', 60), ('dispatch_archive', 300)) t(source_type, dflt)
+LEFT JOIN s ON s.source_type = t.source_type"""
+
+
+@register("timing_estimate", _SQL_TIMING)
+def q_timing_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing_estimates(_log(spark, sf_dir))
+
+
+def _sql_estimate_text(sec: str, dflt: str, n: str) -> str:
+    buckets = " ".join(
+        f"WHEN s < {b} THEN '{t}'" for b, t in K.ESTIMATE_BUCKETS if b is not None
+    )
+    last = K.ESTIMATE_BUCKETS[-1][1]
+    return (
+        f"'this typically takes ' || (SELECT CASE {buckets} ELSE '{last}' END FROM (SELECT coalesce(nullif({sec}, 0), 60) AS s)) || "
+        f"CASE WHEN {dflt} THEN '' ELSE ' (based on ' || CAST({n} AS VARCHAR) || ' recent request' || "
+        f"CASE WHEN {n} = 1 THEN '' ELSE 's' END || ')' END"
+    )
+
+
+@register(
+    "combined_estimate",
+    f"""WITH e AS ({_SQL_TIMING}),
+c AS (
+  SELECT a.source_type AS scada_source, greatest(a.seconds, b.seconds) AS seconds,
+         a.is_default AND b.is_default AS is_default, least(a.sample_count, b.sample_count) AS sample_count
+  FROM e a JOIN e b ON b.source_type = 'dispatch_current' WHERE a.source_type IN ('current', 'archive'))
+SELECT scada_source, seconds, is_default, sample_count,
+       {_sql_estimate_text('seconds', 'is_default', 'sample_count')} AS text
+FROM c""",
+)
+def q_combined_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    est = timing_estimates(_log(spark, sf_dir))
+    return combined_estimate(est, "current").unionByName(combined_estimate(est, "archive"))
+
+
+@register(
+    "client_address",
+    """SELECT event_id AS id,
+       CASE WHEN fwd IS NOT NULL AND fwd <> '' THEN trim(split_part(fwd, ',', 1)) ELSE coalesce(peer, 'unknown') END AS ip
+FROM (SELECT *,
+        CASE WHEN event_id % 3 = 0 THEN NULL
+             WHEN event_id % 3 = 1 THEN ' 10.0.' || CAST(user_id % 16 AS VARCHAR) || '.' || CAST(user_id % 7 AS VARCHAR) || ' , 172.16.0.1'
+             ELSE '' END AS fwd,
+        CASE WHEN event_id % 5 = 0 THEN NULL
+             ELSE '192.168.' || CAST(user_id % 4 AS VARCHAR) || '.' || CAST(user_id % 9 AS VARCHAR) END AS peer
+      FROM events) e""",
+)
+def q_client_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    fwd, peer = events_forwarded(ev)
+    return ev.select(F.col("event_id").alias("id"), client_address(fwd, peer).alias("ip"))
