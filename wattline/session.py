@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -83,8 +84,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     Above the bound the frame is returned unhinted so the planner uses a
     shuffle join (with adaptive skew splitting).
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # A per-call token keeps this cache entry private: the cache matches by
+    # plan, and keys derived from input splits (line keys) must never be
+    # reused by a later call that reads the same files with other settings.
+    token = uuid.uuid4().hex
+    df = df.withColumn("_cache_token", F.lit(token)).persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
+    df = df.drop("_cache_token")
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
