@@ -68,6 +68,8 @@ def parse_segments(
     file's headers; files failing it are rejected as a whole.
     """
     v = F.col("value")
+    # columns riding along with each line (e.g. an explicit file order)
+    extra = [c for c in lines.columns if c not in ("file", "line_key", "value")]
     tagged = lines.where(F.trim(v) != "").withColumn("_tag", line_tag(v))
 
     # ---- header side (small) -------------------------------------------
@@ -109,7 +111,7 @@ def parse_segments(
     d = d.withColumn("_parts", split_fields(v))
     if table is not None:
         d = d.where(F.upper(F.trim(F.get(F.col("_parts"), 2))) == table.upper())
-    d = d.where(F.size("_parts") > 3).select("file", "line_key", "_parts")
+    d = d.where(F.size("_parts") > 3).select("file", "line_key", "_parts", *extra)
 
     hk = h.where("accepted").select("file", "segment_key", "next_key", *[_pos_col(c) for c in columns])
     hk, _ = broadcast_if_small(hk, broadcast_rows)
@@ -126,7 +128,7 @@ def parse_segments(
         p = F.col(_pos_col(c))
         raw = F.when(p > 0, F.get(F.col("_parts"), p + 2))
         fields.append(F.nullif(unquote(raw), F.lit("")).alias(c))
-    rows = joined.select("file", "line_key", "segment_key", *fields)
+    rows = joined.select("file", "line_key", "segment_key", *extra, *fields)
     return ParsedFeed(rows=rows, headers=h.drop(*[_pos_col(c) for c in columns]), data_lines=d)
 
 

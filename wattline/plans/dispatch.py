@@ -35,9 +35,11 @@ def parse_dispatch(lines: DataFrame, units: list[str] | None = None, table: str
 
 def cast_dispatch(rows: DataFrame) -> DataFrame:
     """Absent optional columns are NULL columns (fixed schema)."""
+    extra = [c for c in rows.columns if c not in ("file", "line_key", "segment_key", *K.DISPATCH_COLUMNS + [K.DISPATCH_UNIT_COLUMN])]
     return rows.select(
         "file",
         "line_key",
+        *extra,
         F.col("DUID").alias("duid"),
         feed_timestamp("SETTLEMENTDATE").alias("settlementdate"),
         to_double("INITIALMW").alias("initialmw"),

@@ -41,9 +41,11 @@ def parse_scada(lines: DataFrame, units: list[str] | None = None, **kw) -> Parse
 
 def cast_scada(rows: DataFrame) -> DataFrame:
     """String fields → typed columns; the unit id is FPP_UNITID, else DUID."""
+    extra = [c for c in rows.columns if c not in ("file", "line_key", "segment_key", *K.SCADA_COLUMNS + K.SCADA_UNIT_COLUMNS)]
     return rows.select(
         "file",
         "line_key",
+        *extra,
         F.coalesce(F.col("FPP_UNITID"), F.col("DUID")).alias("duid"),
         feed_timestamp("INTERVAL_DATETIME").alias("interval_datetime"),
         feed_timestamp("MEASUREMENT_DATETIME").alias("measurement_datetime"),

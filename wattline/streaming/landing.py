@@ -33,8 +33,15 @@ def _existing(spark: SparkSession, out_path: str, days: DataFrame) -> DataFrame
 
 
 def land_batch(batch: DataFrame, out_path: str) -> None:
+    """Parse one micro-batch of ``(file, block, value)`` rows and append the
+    readings whose key is new. Line keys are assigned here: the micro-batch
+    is a static frame over a fixed set of files, so a replay gets the same
+    keys."""
     spark = batch.sparkSession
-    series = scada_series(batch)
+    lines = batch.select(
+        "file", line_key(F.col("block"), F.monotonically_increasing_id()).alias("line_key"), "value"
+    )
+    series = scada_series(lines)
     days = series.select("market_day").distinct()
     old = _existing(spark, out_path, days)
     if old is not None:
@@ -61,7 +68,7 @@ def start_scada_landing(
     raw = spark.readStream.format("text").load(landing_dir)
     lines = raw.select(
         F.col("_metadata.file_path").alias("file"),
-        line_key(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_key"),
+        F.col("_metadata.file_block_start").alias("block"),
         "value",
     )
     w = lines.writeStream.foreachBatch(lambda df, _epoch: land_batch(df, out_path)).option("checkpointLocation", checkpoint)
