@@ -15,14 +15,16 @@ def _c(col: Column | str) -> Column:
 
 
 def unquote(col: Column | str) -> Column:
-    """Strip one pair of surrounding double quotes."""
-    return F.regexp_replace(_c(col), r'^"(.*)"$', "$1")
+    """Strip one pair of surrounding double quotes (plain string functions)."""
+    c = _c(col)
+    quoted = c.startswith('"') & c.endswith('"') & (F.length(c) >= 2)
+    return F.when(quoted, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
 
 
 def feed_timestamp(col: Column | str) -> Column:
     """``YYYY/MM/DD HH:MM:SS`` text → TIMESTAMP_NTZ; any other text → NULL."""
     c = _c(col)
-    ts = F.regexp_replace(c, "/", "-").try_cast("timestamp_ntz")
+    ts = F.translate(c, "/", "-").try_cast("timestamp_ntz")
     return F.when(c.rlike(_FEED_TS_SHAPE), ts)
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from ..session import DEFAULT_BROADCAST_ROWS, persist_counted
 
 
 def _intervals(right: DataFrame, by: list[str], key: str, top: str) -> DataFrame:
@@ -25,9 +25,10 @@ def _intervals(right: DataFrame, by: list[str], key: str, top: str) -> DataFrame
 
 
 def _attach(left: DataFrame, iv: DataFrame, by: list[str], left_on: str, key: str,
-            broadcast_rows: int) -> DataFrame:
+            small: bool) -> DataFrame:
     iv = iv.select(*[F.col(b).alias(f"_r_{b}") for b in by], F.col(key).alias("_r_key"), "_next", "_top")
-    iv, _ = broadcast_if_small(iv, broadcast_rows)
+    if small:
+        iv = F.broadcast(iv)
     cond = (F.col(left_on) >= F.col("_r_key")) & (F.col("_next").isNull() | (F.col(left_on) < F.col("_next")))
     for b in by:
         cond = cond & (F.col(b) == F.col(f"_r_{b}"))
@@ -51,15 +52,19 @@ def asof_topk(
     Left rows with no candidate are dropped (inner semantics).
     """
     w = Window.partitionBy(*by).orderBy(F.col(right_on), *[F.col(t) for t in tiebreak])
-    ranked = right.withColumn("_rn", F.row_number().over(w))
+    # the right side is counted once; intervals and candidates derive from it
+    # and are never larger, so one check bounds both broadcasts
+    ranked, n_right = persist_counted(right.withColumn("_rn", F.row_number().over(w)))
+    small = n_right <= broadcast_rows
     iv = _intervals(ranked, by, right_on, "_rn")
-    hit = _attach(left, iv, by, left_on, right_on, broadcast_rows)
+    hit = _attach(left, iv, by, left_on, right_on, small)
     # the k candidates are the ranks top, top-1, ..., top-k+1 of the same group
     hit = hit.withColumn("asof_rank", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("_top")))))
     hit = hit.withColumn("_rn", F.col("_top") - F.col("asof_rank") + 1).drop("_top")
     cand = ranked.select(*[F.col(b).alias(f"_c_{b}") for b in by], F.col("_rn").alias("_c_rn"),
                          *[F.col(c).alias(f"right_{c}") for c in right.columns if c not in by])
-    cand, _ = broadcast_if_small(cand, broadcast_rows)
+    if small:
+        cand = F.broadcast(cand)
     cond = F.col("_rn") == F.col("_c_rn")
     for b in by:
         cond = cond & (F.col(b) == F.col(f"_c_{b}"))

@@ -70,16 +70,24 @@ def parse_segments(
     v = F.col("value")
     # columns riding along with each line (e.g. an explicit file order)
     extra = [c for c in lines.columns if c not in ("file", "line_key", "value")]
-    tagged = lines.where(F.trim(v) != "").withColumn("_tag", line_tag(v))
+
+    # Filters test the raw text with cheap string functions; the (quote-aware)
+    # split runs once, in the projection after them. Filtering on the split
+    # array would make the optimizer repeat the split inside every filter.
+    head3 = F.substring_index(v, ",", 3)             # tag, group, table
+    tag = F.upper(F.trim(F.substring_index(v, ",", 1)))
+    more_than_3 = F.length(head3) < F.length(v)     # ≥ 3 commas → > 3 fields
+
+    def table_ok():
+        if table is None:
+            return F.lit(True)
+        return F.upper(F.trim(F.substring_index(head3, ",", -1))) == table.upper()
 
     # ---- header side (small) -------------------------------------------
-    h = tagged.where(F.col("_tag") == "I").withColumn("_parts", split_fields(v))
-    if table is not None:
-        h = h.where(F.upper(F.trim(F.get(F.col("_parts"), 2))) == table.upper())
-    h = h.where(F.size("_parts") > 3).select(
+    h = lines.where((tag == "I") & more_than_3 & table_ok()).select(
         "file",
         F.col("line_key").alias("segment_key"),
-        F.transform(F.slice("_parts", 4, 1 << 20), lambda x: F.trim(unquote(x))).alias("header"),
+        F.transform(F.slice(split_fields(v), 4, 1 << 20), lambda x: F.trim(unquote(x))).alias("header"),
     )
     w_file = Window.partitionBy("file").orderBy("segment_key")
     h = h.withColumn("next_key", F.lead("segment_key").over(w_file))
@@ -100,18 +108,15 @@ def parse_segments(
     for c in columns:
         h = h.withColumn(_pos_col(c), F.array_position("header", c).cast("int"))
 
-    # ---- data side (large): filter on raw text before splitting ----------
-    d = tagged.where(F.col("_tag") == "D")
+    # ---- data side (large): raw-text filters, then one split -------------
+    cond = (tag == "D") & more_than_3 & table_ok()
     if contains:
         subs = [contains] if isinstance(contains, str) else list(contains)
-        cond = F.lit(False)
-        for s in subs:
-            cond = cond | v.contains(s)
-        d = d.where(cond)
-    d = d.withColumn("_parts", split_fields(v))
-    if table is not None:
-        d = d.where(F.upper(F.trim(F.get(F.col("_parts"), 2))) == table.upper())
-    d = d.where(F.size("_parts") > 3).select("file", "line_key", "_parts", *extra)
+        any_sub = F.lit(False)
+        for s_ in subs:
+            any_sub = any_sub | v.contains(s_)
+        cond = any_sub & cond
+    d = lines.where(cond).select("file", "line_key", split_fields(v).alias("_parts"), *extra)
 
     hk = h.where("accepted").select("file", "segment_key", "next_key", *[_pos_col(c) for c in columns])
     hk, _ = broadcast_if_small(hk, broadcast_rows)

@@ -77,6 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+def persist_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persist ``df`` (privately, see below) and count it once."""
+    token = uuid.uuid4().hex
+    df = df.withColumn("_cache_token", F.lit(token)).persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    return df.drop("_cache_token"), n
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Persist ``df``, count it, and hint a broadcast only when it is small.
 
