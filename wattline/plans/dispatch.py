@@ -62,15 +62,17 @@ def dispatch_series(
     typed = cast_dispatch(parsed.rows)
     if units:
         typed = typed.where(F.col("duid").isin(units))
-    typed = typed.where(F.col("settlementdate").isNotNull()).withColumn(
-        "market_day", market_day_interval_end("settlementdate")
-    )
-    typed = _day_filter(typed, days)
+    if days is not None:
+        typed = _day_filter(typed.withColumn("market_day", market_day_interval_end("settlementdate")), days)
+        typed = typed.drop("market_day")
     order = F.col("file") if file_order is None else (F.col(file_order) if isinstance(file_order, str) else file_order)
     typed = typed.withColumn("_file_order", order)
     deduped = keep_first(
-        typed.select("duid", "settlementdate", "_file_order", "line_key", "market_day", "initialmw", "initial_energy_storage", "energy_storage"),
+        typed.select("duid", "settlementdate", "_file_order", "line_key", "initialmw", "initial_energy_storage", "energy_storage"),
         ["duid", "settlementdate"],
         ["_file_order", "line_key"],
     )
-    return deduped.select(*SERIES_COLUMNS)
+    out = deduped.where(F.col("settlementdate").isNotNull()).withColumn(
+        "market_day", market_day_interval_end("settlementdate")
+    )
+    return out.select(*SERIES_COLUMNS)

@@ -17,9 +17,19 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import render_feed_time
 from ..functions.dates import market_day_instant
+from ..session import cut_lineage
 from ..sources.lines import line_key, lines_from_frame
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """Write a derived feed to the shared checkpoint folder and read it back,
+    as feed files are landed before they are parsed. Downstream filters then
+    test a stored column instead of re-running the rendering expression."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    # spread the landed rows over the cluster, as landed files are many
+    return cut_lineage(df.repartition(n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -133,7 +143,7 @@ def scada_feed_lines(events: DataFrame) -> DataFrame:
             )
         ).alias("x"),
     ).select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value"))
-    return data.unionByName(extra_lines)
+    return landed(data.unionByName(extra_lines))
 
 
 # ---------------------------------------------------------------------------
@@ -198,7 +208,7 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
             )
         ).alias("x"),
     ).select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value"))
-    return us.unionByName(price).unionByName(heads)
+    return landed(us.unionByName(price).unionByName(heads))
 
 
 def lineitem_as_dispatch(lineitem: DataFrame) -> DataFrame:
@@ -258,7 +268,7 @@ def orders_catalog_paths(orders: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("PUBLIC_NEXT_DAY_DISPATCH_"), month, F.lit(".zip")))
     )
     source = F.when(F.col("o_custkey") % 3 == 0, F.lit("current")).otherwise(F.lit("archive"))
-    return base.select(F.concat(F.lit("/landing/"), source, F.lit("/"), name).alias("path")).distinct()
+    return landed(base.select(F.concat(F.lit("/landing/"), source, F.lit("/"), name).alias("path")).distinct())
 
 
 def order_targets(orders: DataFrame) -> DataFrame:

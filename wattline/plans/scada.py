@@ -80,18 +80,23 @@ def scada_series(
     typed = cast_scada(parsed.rows)
     if units:
         typed = typed.where(F.col("duid").isin(units))
-    typed = typed.where(F.col("measurement_datetime").isNotNull()).withColumn(
-        "market_day", market_day_instant("measurement_datetime")
-    )
-    typed = _day_filter(typed, days)
+    if days is not None:
+        # a day request prunes before the shuffle
+        typed = _day_filter(typed.withColumn("market_day", market_day_instant("measurement_datetime")), days)
+        typed = typed.drop("market_day")
     order = F.col("file") if file_order is None else (F.col(file_order) if isinstance(file_order, str) else file_order)
     typed = typed.withColumn("_file_order", order)
     deduped = keep_first(
-        typed.select("duid", "measurement_datetime", "_file_order", "line_key", *[c for c in SERIES_COLUMNS if c not in ("duid", "measurement_datetime")]),
+        typed.select("duid", "measurement_datetime", "_file_order", "line_key", "interval_datetime", "measured_mw", "mw_quality_flag"),
         ["duid", "measurement_datetime"],
         ["_file_order", "line_key"],
     )
-    return deduped.select(*SERIES_COLUMNS)
+    # readings without a valid time belong to no market day; testing the
+    # de-duplicated column (not the parse expression) keeps the parse single
+    out = deduped.where(F.col("measurement_datetime").isNotNull()).withColumn(
+        "market_day", market_day_instant("measurement_datetime")
+    )
+    return out.select(*SERIES_COLUMNS)
 
 
 def sort_series(series: DataFrame, time_col: str = "measurement_datetime") -> DataFrame:
