@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows a side may hold to be broadcast. The side is counted first, so the
-# bound is checked, never assumed.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# bound is checked, never assumed. Header / catalog rows are ~200 bytes, so
+# the bound keeps a broadcast near 50 MB.
+DEFAULT_BROADCAST_ROWS = 250_000
 
 
 def get_spark(

@@ -50,10 +50,16 @@ def write_csv(series: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+MAX_ROWS_PER_FILE = 5_000_000
+
+
 def write_parquet(series: DataFrame, path: str, mode: str = "overwrite", partition_by=("market_day",)) -> None:
-    # clustering by the partition column keeps one writer per day and task
+    """Day folders; rows clustered by (day, unit) so each unit-day lands in
+    one task and one file, and no single day is written by a single task."""
+    cluster = [*partition_by, *[c for c in ("duid",) if c in series.columns and c not in partition_by]]
     (
-        _sorted(series.repartition(*partition_by)).write.mode(mode)
+        _sorted(series.repartition(*cluster)).write.mode(mode)
+        .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy(*partition_by).parquet(path)
     )
 
