@@ -80,16 +80,12 @@ def timing_estimates(log: DataFrame, spark: SparkSession | None = None) -> DataF
 
 def combined_estimate(est: DataFrame, scada_source: str, energy_source: str = "dispatch_current") -> DataFrame:
     """Both data sets requested together run concurrently: the longer wait,
-    default only if both are defaults, the smaller sample count."""
-    a = est.where(F.col("source_type") == scada_source)
-    b = est.where(F.col("source_type") == energy_source)
-    a = a.select(F.lit(1).alias("_k"), F.col("seconds").alias("a_s"), F.col("is_default").alias("a_d"), F.col("sample_count").alias("a_n"))
-    b = b.select(F.lit(1).alias("_k"), F.col("seconds").alias("b_s"), F.col("is_default").alias("b_d"), F.col("sample_count").alias("b_n"))
-    j = a.join(b, "_k")  # one row each
-    out = j.select(
-        F.lit(scada_source).alias("scada_source"),
-        F.greatest("a_s", "b_s").alias("seconds"),
-        (F.col("a_d") & F.col("b_d")).alias("is_default"),
-        F.least("a_n", "b_n").alias("sample_count"),
-    )
+    default only if both are defaults, the smaller sample count — an
+    aggregate over the two estimate rows."""
+    pair = est.where(F.col("source_type").isin(scada_source, energy_source))
+    out = pair.agg(
+        F.max("seconds").alias("seconds"),
+        F.bool_and("is_default").alias("is_default"),
+        F.min("sample_count").alias("sample_count"),
+    ).select(F.lit(scada_source).alias("scada_source"), "seconds", "is_default", "sample_count")
     return out.withColumn("text", estimate_text("seconds", "is_default", "sample_count"))
