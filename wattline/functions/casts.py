@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import FEED_TIME_FORMAT, OUTPUT_TIME_FORMAT
 
 _FEED_TS_SHAPE = r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$"
 
@@ -45,10 +44,14 @@ def nan_to_null(col: Column | str) -> Column:
 
 
 def format_time(col: Column | str) -> Column:
-    """Timestamp → ``YYYY-MM-DD HH:MM:SS`` text (CSV/JSON output form)."""
-    return F.date_format(_c(col), OUTPUT_TIME_FORMAT)
+    """Timestamp → ``YYYY-MM-DD HH:MM:SS`` text (CSV/JSON output form).
+
+    Written from the wall-clock value (``date_format`` would pass a
+    TIMESTAMP_NTZ through the session zone and move times inside a
+    daylight-saving gap)."""
+    return F.substring(_c(col).cast("timestamp_ntz").cast("string"), 1, 19)
 
 
 def render_feed_time(col: Column | str) -> Column:
-    """Timestamp → feed text ``YYYY/MM/DD HH:MM:SS``."""
-    return F.date_format(_c(col), FEED_TIME_FORMAT)
+    """Timestamp → feed text ``YYYY/MM/DD HH:MM:SS`` (zone-free, as above)."""
+    return F.translate(format_time(col), "-", "/")

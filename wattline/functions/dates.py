@@ -103,3 +103,24 @@ def name_date(name: Column | str) -> Column:
 def basename(path: Column | str) -> Column:
     """Last path element (``href`` tail), trailing slashes ignored."""
     return F.element_at(F.split(F.regexp_replace(_c(path), "/+$", ""), "/"), -1)
+
+
+def trunc_ntz(ts: Column | str, unit: str) -> Column:
+    """Truncate a TIMESTAMP_NTZ to the second or minute without passing
+    through the session time zone (``date_trunc`` returns a zoned timestamp)."""
+    t = _c(ts)
+    secs = F.second(t) if unit == "second" else F.lit(0)
+    if unit not in ("second", "minute"):
+        raise ValueError(unit)
+    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), secs)
+
+
+def ntz_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a TIMESTAMP_NTZ (zone-free)."""
+    t = _c(ts)
+    return (
+        F.unix_date(F.to_date(t)).cast("bigint") * 86_400_000_000
+        + F.hour(t).cast("bigint") * 3_600_000_000
+        + F.minute(t).cast("bigint") * 60_000_000
+        + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import render_feed_time
-from ..functions.dates import market_day_instant
+from ..functions.dates import market_day_instant, ntz_micros, trunc_ntz
 from ..session import cut_lineage
 from ..sources.lines import line_key, lines_from_frame
 
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    return ntz_micros(ts)
 
 
 def _q(c: Column) -> Column:
@@ -79,10 +79,10 @@ def event_mw(e: Column, value: Column) -> Column:
 def events_as_scada(events: DataFrame) -> DataFrame:
     """Typed SCADA-shaped series straight from events (no text round trip)."""
     e = F.col("event_id")
-    meas = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    meas = trunc_ntz("ts", "second")
     return events.select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("duid"),
-        F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz").alias("interval_datetime"),
+        trunc_ntz("ts", "minute").alias("interval_datetime"),
         meas.alias("measurement_datetime"),
         event_mw(e, F.col("value")).alias("measured_mw"),
         event_flag(e, F.col("event_type")).alias("mw_quality_flag"),
@@ -101,9 +101,9 @@ def scada_feed_lines(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     ts = F.col("ts")
     day = F.to_date(ts)
-    file = F.concat(F.lit("scada/FEED_"), F.date_format(ts, "yyyyMMdd"), F.lit(".CSV"))
+    file = F.concat(F.lit("scada/FEED_"), F.date_format(day, "yyyyMMdd"), F.lit(".CSV"))
     meas_txt = F.when(e % 13 == 0, F.lit("not-a-time")).otherwise(render_feed_time(ts))
-    ivl_txt = render_feed_time(F.date_trunc("minute", ts).cast("timestamp_ntz"))
+    ivl_txt = render_feed_time(trunc_ntz(ts, "minute"))
     mw_txt = (
         F.when(e % 17 == 0, F.lit("NaN"))
         .when(e % 19 == 0, F.lit(""))
@@ -168,7 +168,7 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """lineitem rendered as UNIT_SOLUTION rows (one file per ship month),
     orders rendered as PRICE rows interleaved in the same files."""
     settle = lineitem_settlement(lineitem)
-    file = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.col("l_shipdate"), "yyyyMM"), F.lit(".CSV"))
+    file = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("l_shipdate"), "yyyyMM"), F.lit(".CSV"))
     tag = F.when(F.col("l_linenumber") == 3, F.lit("d")).otherwise(F.lit("D"))
     us = lineitem.select(
         file.alias("file"),
@@ -185,7 +185,7 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
             F.col("l_tax").cast("string"),
         ).alias("value"),
     )
-    ofile = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.col("o_orderdate"), "yyyyMM"), F.lit(".CSV"))
+    ofile = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("o_orderdate"), "yyyyMM"), F.lit(".CSV"))
     price = orders.select(
         ofile.alias("file"),
         line_key(1, F.col("o_orderkey") * 8 + 5).alias("line_key"),
