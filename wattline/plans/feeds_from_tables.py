@@ -25,9 +25,13 @@ def landed(df: DataFrame) -> DataFrame:
     """Write a derived feed to the shared checkpoint folder and read it back,
     as feed files are landed before they are parsed. Downstream filters then
     test a stored column instead of re-running the rendering expression."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    # spread the landed rows over the cluster, as landed files are many
-    return cut_lineage(df.repartition(n))
+    return cut_lineage(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread source rows over the cluster before rendering them as text
+    (a small parquet file arrives in few splits)."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +102,7 @@ def scada_feed_lines(events: DataFrame) -> DataFrame:
     """Events rendered as SCADA feed text: one file per calendar day, a
     first-half segment (layout A, unit column FPP_UNITID) and a second-half
     segment (layout B, unit column DUID and an extra column)."""
+    events = spread(events)
     e = F.col("event_id")
     ts = F.col("ts")
     day = F.to_date(ts)
@@ -167,6 +172,7 @@ def lineitem_key(li_cols=None) -> Column:
 def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """lineitem rendered as UNIT_SOLUTION rows (one file per ship month),
     orders rendered as PRICE rows interleaved in the same files."""
+    lineitem, orders = spread(lineitem), spread(orders)
     settle = lineitem_settlement(lineitem)
     file = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("l_shipdate"), "yyyyMM"), F.lit(".CSV"))
     tag = F.when(F.col("l_linenumber") == 3, F.lit("d")).otherwise(F.lit("D"))
