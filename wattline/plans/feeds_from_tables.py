@@ -98,7 +98,7 @@ HEADER_A = "I,FPP,FPPMW,1,INTERVAL_DATETIME,MEASUREMENT_DATETIME,FPP_UNITID,MEAS
 HEADER_B = "I,FPP,FPPMW,2,INTERVAL_DATETIME,MEASUREMENT_DATETIME,DUID,EXTRA,MEASURED_MW,MW_QUALITY_FLAG"
 
 
-def scada_feed_lines(events: DataFrame) -> DataFrame:
+def scada_feed_lines(events: DataFrame, data_only: bool = False) -> DataFrame:
     """Events rendered as SCADA feed text: one file per calendar day, a
     first-half segment (layout A, unit column FPP_UNITID) and a second-half
     segment (layout B, unit column DUID and an extra column)."""
@@ -133,6 +133,8 @@ def scada_feed_lines(events: DataFrame) -> DataFrame:
         line_key(0, _micros(ts) * 2 + 1),
         F.concat(value, tail),
     )
+    if data_only:
+        return data
     days = events.select(day.alias("day"), file.alias("file")).distinct()
     d0 = _micros(F.col("day").cast("timestamp_ntz"))
     d12 = _micros((F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")))
@@ -289,10 +291,9 @@ def order_targets(orders: DataFrame) -> DataFrame:
 REGION_CODES = ["QLD1", "NSW1", "VIC1", "SA1", "NT1"]  # by n_regionkey; NT1 is not a market region
 
 
-def customer_registry_sheet(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """Customers as rows of the generator sheet (all STRING cells, padded
-    with spaces, some empty, a decoy column next to the unit id, the storage
-    column named with a trailing note so it resolves by prefix)."""
+def _registry_rows(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Customers joined to their region, as sheet cells plus ``_region`` and
+    ``_key`` (used only for the text export)."""
     from ..session import broadcast_if_small
 
     nat, _ = broadcast_if_small(nation.select("n_nationkey", "n_regionkey"))
@@ -309,9 +310,35 @@ def customer_registry_sheet(customer: DataFrame, nation: DataFrame) -> DataFrame
         F.when(ck % 5 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")).alias("Agg Nameplate Capacity (MW AC)"),
         F.when(F.col("c_nationkey") % 4 == 0, F.lit(None).cast("string"))
         .otherwise((F.col("c_nationkey") * 10).cast("string")).alias("Agg Nameplate Storage Capacity (MWh) [3]"),
+        F.col("n_regionkey").alias("_region"),
+        ck.alias("_key"),
     )
 
 
+def customer_registry_sheet(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Customers as rows of the generator sheet (all STRING cells, padded
+    with spaces, some empty, a decoy column next to the unit id, the storage
+    column named with a trailing note so it resolves by prefix)."""
+    return _registry_rows(customer, nation).drop("_region", "_key")
+
+
+def customer_registry_lines(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """The same sheet exported as CSV text: one file per region key with
+    three title rows, the header row, then one quoted line per customer."""
+    rows = _registry_rows(customer, nation)
+    cols = [c for c in rows.columns if not c.startswith("_")]
+    file = F.concat(F.lit("registry/region_"), F.col("_region").cast("string"), F.lit(".csv"))
+    quoted = [F.concat(F.lit('"'), F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit('"')) for c in cols]
+    data = rows.select(file.alias("file"), line_key(1, F.col("_key")).alias("line_key"),
+                       F.concat_ws(",", *quoted).alias("value"))
+    tops = [("Generation information,,,", 0), ("Published for tests", 1), (",,,", 2), (",".join(cols), 3)]
+    heads = rows.select(file.alias("file")).distinct().select(
+        "file",
+        F.explode(F.array(*[F.struct(line_key(0, k).alias("k"), F.lit(v).alias("v")) for v, k in tops])).alias("x"),
+    ).select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value"))
+    return landed(data.unionByName(heads))
+
+
 # ---------------------------------------------------------------------------
 # Request log from events
 # ---------------------------------------------------------------------------
@@ -360,3 +387,85 @@ def events_as_log(events: DataFrame) -> DataFrame:
         F.when(e % 11 == 0, F.lit(None)).otherwise(F.round(F.col("value") * 1000)).cast("bigint").alias("duration_ms"),
         source.alias("source_type"),
     ))
+
+
+
+# ---------------------------------------------------------------------------
+# The SCADA feed of events written as daily ZIP archives
+# ---------------------------------------------------------------------------
+
+HEADER_OF_LAYOUT = {"1": HEADER_A, "2": HEADER_B}
+ROWS_PER_ARCHIVE = 100_000
+
+
+def _archive_writer(root: str):
+    """Task-side writer: the task's lines (sorted by file and line) go to one
+    ZIP per (day, task), a dated CSV entry inside; a layout's header line is
+    written whenever the layout changes, so every part parses on its own.
+    Written under a temporary name and renamed, so a retried task replaces
+    its own output."""
+    import pandas as pd
+
+    def write(batches):
+        from pyspark import TaskContext
+        import zipfile
+        from pyarrow import fs as pafs
+
+        filesystem, base = pafs.FileSystem.from_uri(root)
+        filesystem.create_dir(f"{base.rstrip('/')}/current", recursive=True)
+        part = TaskContext.get().partitionId()
+        written = []
+        state = {"day": None}
+
+        def close():
+            if state["day"] is not None:
+                state["entry"].close()
+                state["zip"].close()
+                state["stream"].close()
+                filesystem.move(state["tmp"], state["final"])
+                written.append(root.rstrip("/") + state["final"][len(base.rstrip("/")):])
+                state["day"] = None
+
+        for pdf in batches:
+            for day, value in zip(pdf["day"], pdf["value"]):
+                if day != state["day"]:
+                    close()
+                    final = f"{base.rstrip('/')}/current/PUBLIC_NEXT_DAY_FPPMW_{day}_{part:016d}.zip"
+                    tmp = final + ".tmp"
+                    stream = filesystem.open_output_stream(tmp)
+                    zf = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                    entry = zf.open(f"PUBLIC_NEXT_DAY_FPPMW_{day}.CSV", "w", force_zip64=True)
+                    state.update(day=day, final=final, tmp=tmp, stream=stream, zip=zf, entry=entry, layout=None)
+                layout = value.split(",", 4)[3]
+                if layout != state["layout"]:
+                    state["entry"].write((HEADER_OF_LAYOUT[layout] + "\n").encode())
+                    state["layout"] = layout
+                state["entry"].write((value + "\n").encode())
+        close()
+        yield pd.DataFrame({"path": written})
+
+    return write
+
+
+def scada_feed_archives(events: DataFrame) -> str:
+    """Write the events' SCADA feed as daily archives; returns the folder.
+
+    Lines are range-partitioned on (day, line), so a day with many lines is
+    split over several tasks and archives (each ≤ about ROWS_PER_ARCHIVE
+    lines) instead of one writer per day.
+    """
+    import uuid
+
+    from ..session import scratch_path
+
+    spark = events.sparkSession
+    root = scratch_path(spark, f"archives/{uuid.uuid4().hex}")
+    n_rows = events.count()  # parquet row count from metadata
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_ARCHIVE))
+    data = scada_feed_lines(events, data_only=True).withColumn(
+        "day", F.regexp_extract("file", r"(\d{8})", 1)
+    )
+    ranged = data.repartitionByRange(parts, "day", "line_key").sortWithinPartitions("day", "line_key")
+    written = ranged.select("day", "value").mapInPandas(_archive_writer(root), "path string")
+    landed(written)  # runs the write once, reliably
+    return root

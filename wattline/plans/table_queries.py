@@ -28,8 +28,9 @@ from ..functions.dates import (
 from ..operators.catalog_ops import bundle_candidates, fallthrough, latest_daily, match_daily
 from ..functions.text import client_address, unit_label
 from ..operators.logstats import combined_estimate, log_counts, recent, timing_estimates, top_counts
-from ..sources.catalog import parse_catalog
-from ..sources.registry import registry_from_sheet, units_by_state, units_from_registry
+from ..plans.archive_plans import scada_from_archives
+from ..sources.catalog import list_files, parse_catalog
+from ..sources.registry import registry_from_lines, registry_from_sheet, units_by_state, units_from_registry
 from ..operators.series import energy_series, flag_series, head_per_group, quality_flags, quality_strip, stat_cards
 from ..operators.dedup import keep_first
 from ..operators.summary import dispatch_summary, flag_breakdown, scada_summary
@@ -37,6 +38,7 @@ from ..plans.dispatch import cast_dispatch, dispatch_series, parse_dispatch
 from ..plans.scada import cast_scada, parse_scada, scada_series
 from ..operators.segments import ingest_report
 from .feeds_from_tables import (
+    customer_registry_lines,
     customer_registry_sheet,
     dispatch_feed_lines,
     events_as_log,
@@ -46,6 +48,7 @@ from .feeds_from_tables import (
     lineitem_settlement,
     order_targets,
     orders_catalog_paths,
+    scada_feed_archives,
     scada_feed_lines,
     table,
 )
@@ -611,6 +614,16 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units_from_registry(registry_from_sheet(sheet))
 
 
+@register(
+    "unit_registry_text",
+    f"""SELECT state, duid, name, capacity_mw, capacity_mwh, region FROM ({_SQL_UNITS}) u""",
+)
+def q_unit_registry_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11 text path: title rows, header row found by content, cells by position."""
+    lines = customer_registry_lines(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+    return units_from_registry(registry_from_lines(lines))
+
+
 def _sql_js_num(x: str) -> str:
     return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
 
@@ -760,3 +773,20 @@ def q_client_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     fwd, peer = events_forwarded(ev)
     return ev.select(F.col("event_id").alias("id"), client_address(fwd, peer).alias("ip"))
+
+
+# ---------------------------------------------------------------------------
+# S5-S9, S10, U3, D8 — the whole archive chain over archives Spark wrote
+# ---------------------------------------------------------------------------
+@register(
+    "scada_from_archives",
+    f"""SELECT duid, market_day, interval_datetime, measurement_datetime, measured_mw, mw_quality_flag
+FROM ({_SQL_SCADA_SERIES}) s
+WHERE market_day IN (SELECT DISTINCT CAST(ts AS DATE) FROM events)""",
+)
+def q_scada_from_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    root = scada_feed_archives(ev)
+    catalog = parse_catalog(list_files(spark, root, "*.zip"))
+    targets = ev.select(F.to_date("ts").alias("target_date")).distinct()
+    return scada_from_archives(targets, catalog)
