@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.casts import format_time
 from ..functions.text import display_count, display_fixed
+from ..session import broadcast_if_small
 
 DEFAULT_BY = ("duid", "market_day")
 
@@ -27,10 +28,10 @@ def quality_flags(spark: SparkSession) -> DataFrame:
 def flag_series(series: DataFrame, flags: DataFrame, flag: str = "mw_quality_flag",
                 x: str = "measurement_datetime", y: str = "measured_mw", by=DEFAULT_BY) -> DataFrame:
     """One (x, y) series per flag: NULL flag drawn as −1, unknown codes get
-    the label ``Flag n`` and the grey colour. The flag dimension has a fixed
-    handful of rows, so it is broadcast."""
+    the label ``Flag n`` and the grey colour. The flag dimension (a handful
+    of codes) is broadcast after a count."""
     s = series.select(*by, F.coalesce(F.col(flag), F.lit(-1)).alias("flag"), F.col(x).alias("x"), F.col(y).alias("y"))
-    dim = F.broadcast(flags.select("flag", "label", "color"))
+    dim, _ = broadcast_if_small(flags.select("flag", "label", "color"))
     out = s.join(dim, "flag", "left")
     return out.select(
         *by,
@@ -44,7 +45,7 @@ def flag_series(series: DataFrame, flags: DataFrame, flag: str = "mw_quality_fla
 
 def quality_strip(breakdown: DataFrame, flags: DataFrame, flag: str = "mw_quality_flag", by=DEFAULT_BY) -> DataFrame:
     """Badges of the present flags in the dimension's order (inner join)."""
-    dim = F.broadcast(flags.select(F.col("flag").alias(flag), "label", "color", "ord"))
+    dim, _ = broadcast_if_small(flags.select(F.col("flag").alias(flag), "label", "color", "ord"))
     return breakdown.join(dim, flag, "inner").select(*by, flag, "label", "color", "ord", "count", "pct")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators.catalog_ops import bundle_candidates, match_daily
 from ..sources.archives import archive_entries, entry_file_id, read_entries, select_entries
+from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, persist_counted
 from ..sources.catalog import source_rank
 from .dispatch import dispatch_series
 from .scada import scada_series
@@ -58,21 +59,25 @@ def choose(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     Returns ``(chosen entries with an order key, rejects)``. A source whose
     archives fail or hold nothing for the day falls through to the next.
     """
-    cand = candidates.withColumn("src_rank", source_rank("source"))
-    entries = archive_entries(cand.select("path"))
+    cand, n_cand = persist_counted(candidates.withColumn("src_rank", source_rank("source")))
+    # archive listings are read once and reused by every branch below
+    entries, _ = persist_counted(archive_entries(cand.select("path"), n_paths=n_cand))
     selected, rejects = select_entries(entries, cand.select(*REQUEST_COLS, "src_rank"))
     best = selected.groupBy(*by).agg(F.min(F.struct("src_rank", "cls")).alias("_best"))
     chosen = selected.join(best, by).where(F.struct("src_rank", "cls") == F.col("_best")).drop("_best")
     chosen = chosen.withColumn("file", entry_file_id(F.col("path"), F.col("outer"), F.col("inner")))
     chosen = chosen.withColumn("file_order", F.struct("src_rank", "cls", "format", "file"))
+    chosen, _ = persist_counted(chosen)
     return chosen, rejects
 
 
 def _lines_with_order(chosen: DataFrame) -> DataFrame:
-    lines = read_entries(chosen)
-    order = chosen.select("file", "file_order").distinct()
-    # one row per chosen entry: small beside the lines it orders
-    return lines.join(F.broadcast(order), "file", "inner")
+    order, n_entries = persist_counted(chosen.select("file", "file_order").distinct())
+    lines = read_entries(chosen, n_entries=n_entries)
+    # one row per chosen entry: broadcast while that table is small
+    if n_entries <= DEFAULT_BROADCAST_ROWS:
+        order = F.broadcast(order)
+    return lines.join(order, "file", "inner")
 
 
 def scada_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:
@@ -82,7 +87,8 @@ def scada_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str]
     lines = _lines_with_order(chosen)
     days = targets.select(F.col("target_date").alias("market_day"))
     series = scada_series(lines, units=units, file_order="file_order")
-    return series.join(F.broadcast(days), "market_day", "left_semi")
+    days, _ = broadcast_if_small(days.distinct())
+    return series.join(days, "market_day", "left_semi")
 
 
 def dispatch_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:
@@ -91,4 +97,5 @@ def dispatch_from_archives(targets: DataFrame, catalog: DataFrame, units: list[s
     lines = _lines_with_order(chosen)
     days = targets.select(F.col("target_date").alias("market_day"))
     series = dispatch_series(lines, units=units, file_order="file_order")
-    return series.join(F.broadcast(days), "market_day", "left_semi")
+    days, _ = broadcast_if_small(days.distinct())
+    return series.join(days, "market_day", "left_semi")

@@ -78,11 +78,19 @@ def _list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "outer", "inner", "size", "error"])
 
 
-def archive_entries(paths: DataFrame, path_col: str = "path") -> DataFrame:
+def _tasks(spark, n_items: int | None) -> int:
+    """Task count for per-file Python work: one slot per item, at least the
+    cluster's parallelism. An explicit count keeps adaptive execution from
+    folding a small-row (but heavy) table into one task."""
+    par = spark.sparkContext.defaultParallelism
+    return max(par, min(n_items, 100_000)) if n_items else par * 2
+
+
+def archive_entries(paths: DataFrame, path_col: str = "path", n_paths: int | None = None) -> DataFrame:
     """``path`` table → one row per reachable CSV (``outer``, ``inner``) or a
     reject row (``error`` set). Archives are spread over tasks by path."""
     p = paths.select(F.col(path_col).alias("path")).distinct()
-    p = p.repartition(F.col("path"))
+    p = p.repartition(_tasks(paths.sparkSession, n_paths), F.col("path"))
     return p.mapInPandas(_list_batches, ENTRY_SCHEMA)
 
 
@@ -180,11 +188,11 @@ def entry_file_id(path, outer, inner):
     return F.concat(path, F.lit("!/"), outer, F.when(inner.isNotNull(), F.concat(F.lit("!/"), inner)).otherwise(F.lit("")))
 
 
-def read_entries(selected: DataFrame) -> DataFrame:
+def read_entries(selected: DataFrame, n_entries: int | None = None) -> DataFrame:
     """Chosen entries → ``(file, line_key, value)``; entries are spread over
-    tasks by identity, text is streamed in batches of ``LINE_BATCH`` lines
-    (never a whole file in memory)."""
+    tasks by identity (one slot per entry when the count is known), text is
+    streamed in batches of ``LINE_BATCH`` lines (never a whole file in memory)."""
     ent = selected.select("path", "outer", "inner").distinct()
-    ent = ent.repartition(F.col("path"), F.col("outer"), F.col("inner"))
+    ent = ent.repartition(_tasks(selected.sparkSession, n_entries), F.col("path"), F.col("outer"), F.col("inner"))
     raw = ent.mapInPandas(_read_batches, "file string, pos long, value string")
     return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value")

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from pyspark import StorageLevel
+
 from ..plans.scada import scada_series
+from ..session import broadcast_if_small
 from ..sources.lines import line_key
 
 
@@ -29,7 +32,8 @@ def _existing(spark: SparkSession, out_path: str, days: DataFrame) -> DataFrame
     except AnalysisException:
         return None
     # partition pruning: only the market days present in this batch are read
-    return old.join(F.broadcast(days), "market_day", "left_semi").select("duid", "measurement_datetime")
+    days, _ = broadcast_if_small(days)
+    return old.join(days, "market_day", "left_semi").select("duid", "measurement_datetime")
 
 
 def land_batch(batch: DataFrame, out_path: str) -> None:
@@ -41,12 +45,15 @@ def land_batch(batch: DataFrame, out_path: str) -> None:
     lines = batch.select(
         "file", line_key(F.col("block"), F.monotonically_increasing_id()).alias("line_key"), "value"
     )
-    series = scada_series(lines)
-    days = series.select("market_day").distinct()
-    old = _existing(spark, out_path, days)
-    if old is not None:
-        series = series.join(old, ["duid", "measurement_datetime"], "left_anti")
-    series.write.mode("append").partitionBy("market_day").parquet(out_path)
+    # the batch's series is used twice (its days, then the append): keep it
+    series = scada_series(lines).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        days = series.select("market_day").distinct()
+        old = _existing(spark, out_path, days)
+        new = series if old is None else series.join(old, ["duid", "measurement_datetime"], "left_anti")
+        new.write.mode("append").partitionBy("market_day").parquet(out_path)
+    finally:
+        series.unpersist()
 
 
 def start_scada_landing(
