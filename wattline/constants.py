@@ -85,7 +85,6 @@ REGISTRY_COLUMNS = {
     "capacity_mw": "Agg Nameplate Capacity (MW AC)",
     "capacity_mwh": "Agg Nameplate Storage Capacity (MWh)",
 }
-REGISTRY_HEADER_ROW = 4  # rows 1-3 are titles
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — request log and wait estimates

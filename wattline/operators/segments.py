@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casts import unquote
-from ..functions.text import line_tag, split_fields
+from ..functions.text import split_fields
 from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 
@@ -155,7 +155,7 @@ def rejects(parsed: ParsedFeed) -> DataFrame:
     return rejected.select("file", "line_key", "reason").unionByName(headless)
 
 
-def ingest_report(parsed: ParsedFeed, time_col: str | None = None, time_parsed: str | None = None) -> DataFrame:
+def ingest_report(parsed: ParsedFeed, time_parsed: str | None = None) -> DataFrame:
     """Per file: rows kept, segments, whether segment schemas differ, parse rate.
 
     ``time_parsed`` names a typed column of ``parsed.rows`` (after casting)

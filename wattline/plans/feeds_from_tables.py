@@ -161,11 +161,11 @@ DISPATCH_HEADER = "I,DISPATCH,UNIT_SOLUTION,4,SETTLEMENTDATE,RUNNO,DUID,INITIALM
 PRICE_HEADER = "I,DISPATCH,PRICE,4,SETTLEMENTDATE,RUNNO,REGIONID,RRP"
 
 
-def lineitem_settlement(li: DataFrame) -> Column:
+def lineitem_settlement() -> Column:
     return (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber"))).cast("timestamp_ntz")
 
 
-def lineitem_key(li_cols=None) -> Column:
+def lineitem_key() -> Column:
     """Line position of a lineitem row inside its file (unique enough; ties
     are broken by payload in the de-duplication order)."""
     return F.col("l_orderkey") * 8 + F.col("l_linenumber")
@@ -175,7 +175,7 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """lineitem rendered as UNIT_SOLUTION rows (one file per ship month),
     orders rendered as PRICE rows interleaved in the same files."""
     lineitem, orders = spread(lineitem), spread(orders)
-    settle = lineitem_settlement(lineitem)
+    settle = lineitem_settlement()
     file = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("l_shipdate"), "yyyyMM"), F.lit(".CSV"))
     tag = F.when(F.col("l_linenumber") == 3, F.lit("d")).otherwise(F.lit("D"))
     us = lineitem.select(
@@ -226,7 +226,7 @@ def lineitem_as_dispatch(lineitem: DataFrame) -> DataFrame:
     in 0 report no initial storage; line 7 reports no end storage."""
     from ..functions.dates import market_day_interval_end
 
-    settle = lineitem_settlement(lineitem)
+    settle = lineitem_settlement()
     return lineitem.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("duid"),
         market_day_interval_end(settle).alias("market_day"),

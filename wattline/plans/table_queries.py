@@ -203,7 +203,7 @@ def q_market_day_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM lineitem GROUP BY 1""",
 )
 def q_market_day_interval_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").withColumn("settle", lineitem_settlement(None))
+    li = table(spark, sf_dir, "lineitem").withColumn("settle", lineitem_settlement())
     return li.groupBy(market_day_interval_end("settle").alias("market_day")).agg(
         F.count(F.lit(1)).alias("n_intervals"), F.min("settle").alias("first_end"), F.max("settle").alias("last_end")
     )
