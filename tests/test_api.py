@@ -39,3 +39,18 @@ def test_energy_view(spark, tmpdir_path):
     v = api.energy_view(read_lines(spark, f"{tmpdir_path}/d"), "UNIT_A", dt.date(2026, 3, 11))
     assert v["summary"].collect()[0]["total_rows"] == 3
     assert v["records"].count() == 3
+
+
+def test_log_stats_and_info(spark):
+    from wattline.plans.feeds_from_tables import events_as_log, table
+
+    log = events_as_log(table(spark, "/root/testdata/sf0.001", "events"))
+    st = api.log_stats(log)
+    total = st["total_requests"].collect()[0]["total_requests"]
+    by_action = st["by_action"].collect()
+    assert sum(r["cnt"] for r in by_action) == total == log.count()
+    assert [r["cnt"] for r in by_action] == sorted((r["cnt"] for r in by_action), reverse=True)
+    assert st["by_duid"].count() <= 20 and st["by_ip"].count() <= 50 and st["recent"].count() <= 100
+    info = api.info(log)
+    assert info["data_start_date"] == "2025-02-28"
+    assert {r["source_type"] for r in info["estimates"].collect()} == {"current", "archive", "dispatch_current", "dispatch_archive"}
