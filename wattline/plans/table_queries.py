@@ -31,12 +31,20 @@ from ..operators.logstats import combined_estimate, log_counts, recent, timing_e
 from ..plans.archive_plans import scada_from_archives
 from ..sources.catalog import list_files, parse_catalog
 from ..sources.registry import registry_from_lines, registry_from_sheet, units_by_state, units_from_registry
-from ..operators.series import energy_series, flag_series, head_per_group, quality_flags, quality_strip, stat_cards
+from ..operators.series import (
+    energy_series,
+    flag_series,
+    head_per_group,
+    json_records,
+    quality_flags,
+    quality_strip,
+    stat_cards,
+)
 from ..operators.dedup import keep_first
 from ..operators.summary import dispatch_summary, flag_breakdown, scada_summary
 from ..plans.dispatch import cast_dispatch, dispatch_series, parse_dispatch
 from ..plans.scada import cast_scada, parse_scada, scada_series
-from ..operators.segments import ingest_report
+from ..operators.segments import ingest_report, rejects
 from .feeds_from_tables import (
     customer_registry_lines,
     customer_registry_sheet,
@@ -790,3 +798,52 @@ def q_scada_from_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = parse_catalog(list_files(spark, root, "*.zip"))
     targets = ev.select(F.to_date("ts").alias("target_date")).distinct()
     return scada_from_archives(targets, catalog)
+
+
+# ---------------------------------------------------------------------------
+# F15, L2 — rejected data lines; C4 dispatch cards; K4 — display records
+# ---------------------------------------------------------------------------
+@register(
+    "feed_rejects",
+    """SELECT DISTINCT 'scada/FEED_' || strftime(ts, '%Y%m%d') || '.CSV' AS file,
+       'data line before any header' AS reason, CAST(1 AS BIGINT) AS n_lines
+FROM events""",
+)
+def q_feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_scada(scada_feed_lines(table(spark, sf_dir, "events")))
+    return rejects(parsed).groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _sql_fixed1(x: str) -> str:
+    return f"coalesce(format('{{:,.1f}}', {x}), '—')"
+
+
+@register(
+    "dispatch_stat_cards",
+    f"""WITH s AS ({_sql_dispatch_summary(_SQL_DISPATCH)})
+SELECT duid, market_day, 0 AS card_no, 'Total Intervals' AS label, format('{{:,}}', total_rows) AS value FROM s
+UNION ALL SELECT duid, market_day, 1, 'Min Dispatch MW', {_sql_fixed1('min_mw')} FROM s
+UNION ALL SELECT duid, market_day, 2, 'Max Dispatch MW', {_sql_fixed1('max_mw')} FROM s
+UNION ALL SELECT duid, market_day, 3, 'Min Energy (MWh)', {_sql_fixed1('min_init_mwh')} FROM s
+UNION ALL SELECT duid, market_day, 4, 'Max Energy (MWh)', {_sql_fixed1('max_init_mwh')} FROM s
+UNION ALL SELECT duid, market_day, 5, 'Mean Energy (MWh)', {_sql_fixed1('mean_init_mwh')} FROM s""",
+)
+def q_dispatch_stat_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stat_cards(dispatch_summary(lineitem_as_dispatch(table(spark, sf_dir, "lineitem"))), kind="dispatch")
+
+
+@register(
+    "series_records",
+    f"""SELECT duid, market_day,
+       json_object('interval_datetime', strftime(interval_datetime, '%Y-%m-%d %H:%M:%S'),
+                   'measurement_datetime', strftime(measurement_datetime, '%Y-%m-%d %H:%M:%S'),
+                   'measured_mw', CASE WHEN isnan(measured_mw) THEN NULL ELSE measured_mw END,
+                   'mw_quality_flag', mw_quality_flag)::VARCHAR AS record
+FROM (SELECT *, row_number() OVER (PARTITION BY duid, market_day ORDER BY measurement_datetime) AS row_no
+      FROM ({_SQL_SCADA_SERIES}) s) t WHERE row_no <= 25000""",
+)
+def q_series_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = scada_series(scada_feed_lines(table(spark, sf_dir, "events")))
+    head = head_per_group(series, n=JSON_ROW_CAP)
+    return json_records(head, ["interval_datetime", "measurement_datetime"],
+                        keep=["interval_datetime", "measurement_datetime", "measured_mw", "mw_quality_flag"])
