@@ -129,3 +129,17 @@ def test_daily_match_ignores_sequence_digits(spark):
     m = match_daily(_targets(spark, dt.date(2025, 6, 1)), cat).collect()
     # era 3 key is 20250602: the first name only holds it inside its sequence number
     assert [r["name"] for r in m] == ["PUBLIC_NEXT_DAY_FPPMW_20250602_0000000000000001.zip"]
+
+
+def test_each_day_comes_from_its_own_files(spark, tmpdir_path):
+    build(tmpdir_path)
+    # settlement day 2025-10-02 has its own file; it repeats the 04:00 reading
+    # (also present, with another value, in the file chosen for 2025-10-01)
+    own = scada_csv([("2025/10/02 04:00:00", "UNIT_A", 40.0, 0), ("2025/10/02 05:00:00", "UNIT_A", 41.0, 0)])
+    land(tmpdir_path, "current", "PUBLIC_NEXT_DAY_FPPMW_20251003_0000000000000005.zip",
+         zip_bytes({"PUBLIC_NEXT_DAY_FPPMW_20251003_0000000000000005.ZIP": zip_bytes({"E.CSV": own})}))
+    cat = parse_catalog(list_files(spark, tmpdir_path, "*.zip"))
+    s = scada_from_archives(_targets(spark, dt.date(2025, 10, 1), dt.date(2025, 10, 2)), cat)
+    got = {(r["duid"], r["measurement_datetime"]): r["measured_mw"] for r in s.collect()}
+    assert got[("UNIT_A", dt.datetime(2025, 10, 2, 4, 0))] == 40.0
+    assert got[("UNIT_A", dt.datetime(2025, 10, 1, 15, 59, 56))] == 2.0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators.catalog_ops import bundle_candidates, match_daily
 from ..sources.archives import archive_entries, entry_file_id, read_entries, select_entries
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, persist_counted
+from ..session import DEFAULT_BROADCAST_ROWS, persist_counted
 from ..sources.catalog import source_rank
 from .dispatch import dispatch_series
 from .scada import scada_series
@@ -72,10 +72,15 @@ def choose(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def _lines_with_order(chosen: DataFrame) -> DataFrame:
-    order, n_entries = persist_counted(chosen.select("file", "file_order").distinct())
-    lines = read_entries(chosen, n_entries=n_entries)
-    # one row per chosen entry: broadcast while that table is small
-    if n_entries <= DEFAULT_BROADCAST_ROWS:
+    """Lines of the chosen entries with their order key and the day each
+    entry was chosen for (an entry serving two days yields its lines twice,
+    each copy restricted to its day later)."""
+    order, n_rows = persist_counted(
+        chosen.groupBy("file", "target_date").agg(F.min("file_order").alias("file_order"))
+    )
+    lines = read_entries(chosen, n_entries=n_rows)
+    # one row per (entry, day): broadcast while that table is small
+    if n_rows <= DEFAULT_BROADCAST_ROWS:
         order = F.broadcast(order)
     return lines.join(order, "file", "inner")
 
@@ -85,17 +90,19 @@ def scada_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str]
     market-day window keeps only the requested days."""
     chosen, _ = choose(scada_candidates(targets, catalog), ["target_date", "format"])
     lines = _lines_with_order(chosen)
-    days = targets.select(F.col("target_date").alias("market_day"))
-    series = scada_series(lines, units=units, file_order="file_order")
-    days, _ = broadcast_if_small(days.distinct())
-    return series.join(days, "market_day", "left_semi")
+    return scada_series(lines, units=units, file_order="file_order", target_col="target_date")
 
 
 def dispatch_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:
-    """Dispatch series with the source label the day was served from."""
+    """Dispatch series of every requested day from landed archives."""
     chosen, _ = choose(dispatch_candidates(targets, catalog), ["target_date"])
     lines = _lines_with_order(chosen)
-    days = targets.select(F.col("target_date").alias("market_day"))
-    series = dispatch_series(lines, units=units, file_order="file_order")
-    days, _ = broadcast_if_small(days.distinct())
-    return series.join(days, "market_day", "left_semi")
+    return dispatch_series(lines, units=units, file_order="file_order", target_col="target_date")
+
+
+def days_served(chosen: DataFrame) -> DataFrame:
+    """Where each requested day was found: source, kind (1 daily, 2 bundle)
+    and the archives used — recorded from the actual choice, per day."""
+    return chosen.groupBy("target_date", "source", "cls").agg(
+        F.array_sort(F.collect_set("path")).alias("archives")
+    )

@@ -54,6 +54,7 @@ def dispatch_series(
     units: list[str] | None = None,
     days=None,
     file_order: Column | str | None = None,
+    target_col: str | None = None,
     table: str = K.DISPATCH_TABLE,
     **kw,
 ) -> DataFrame:
@@ -65,6 +66,10 @@ def dispatch_series(
     if days is not None:
         typed = _day_filter(typed.withColumn("market_day", market_day_interval_end("settlementdate")), days)
         typed = typed.drop("market_day")
+    if target_col is not None:
+        # lines carry the day their file was chosen for: a file serves only
+        # that day, so its rows of other market days are not used
+        typed = typed.where(market_day_interval_end("settlementdate") == F.col(target_col)).drop(target_col)
     order = F.col("file") if file_order is None else (F.col(file_order) if isinstance(file_order, str) else file_order)
     typed = typed.withColumn("_file_order", order)
     deduped = keep_first(

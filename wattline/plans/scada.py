@@ -69,6 +69,7 @@ def scada_series(
     units: list[str] | None = None,
     days=None,
     file_order: Column | str | None = None,
+    target_col: str | None = None,
     **kw,
 ) -> DataFrame:
     """Typed 4-second series keyed by ``(duid, measurement_datetime)``.
@@ -84,6 +85,10 @@ def scada_series(
         # a day request prunes before the shuffle
         typed = _day_filter(typed.withColumn("market_day", market_day_instant("measurement_datetime")), days)
         typed = typed.drop("market_day")
+    if target_col is not None:
+        # lines carry the day their file was chosen for: a file serves only
+        # that day, so its rows of other market days are not used
+        typed = typed.where(market_day_instant("measurement_datetime") == F.col(target_col)).drop(target_col)
     order = F.col("file") if file_order is None else (F.col(file_order) if isinstance(file_order, str) else file_order)
     typed = typed.withColumn("_file_order", order)
     deduped = keep_first(
