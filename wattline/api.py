@@ -62,7 +62,7 @@ def scada_view(lines: DataFrame, duid: str | None = None, day: date | None = Non
                cap: int = K.JSON_ROW_CAP, strict: bool = False) -> dict[str, DataFrame]:
     """SCADA data view: series, summary, flag breakdown, display records
     (first ``cap`` per unit-day) and per-day warnings."""
-    series = _one(scada_series(lines, units=[duid] if duid else None), duid, day)
+    series = _one(scada_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day)
     if strict:
         require_rows(series, f"No data found for DUID '{duid}' within the market day {day}.")
     head = head_per_group(series, n=cap)
@@ -81,7 +81,7 @@ def scada_view(lines: DataFrame, duid: str | None = None, day: date | None = Non
 def energy_view(lines: DataFrame, duid: str | None = None, day: date | None = None,
                 strict: bool = False) -> dict[str, DataFrame]:
     """Dispatch energy view: series, summary and records (no cap)."""
-    series = _one(dispatch_series(lines, units=[duid] if duid else None), duid, day)
+    series = _one(dispatch_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day)
     if strict:
         require_rows(series, f"No dispatch data found for DUID '{duid}' within the market day {day}.")
     return {
