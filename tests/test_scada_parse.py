@@ -115,3 +115,16 @@ def test_crlf_and_split_invariance(spark, tmpdir_path):
         assert _rows(split, "duid", "measurement_datetime", "measured_mw", "mw_quality_flag") == expect
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_landed_lines_same_result_and_pushdown(spark, tmpdir_path):
+    from wattline.sources.lines import land_lines, read_landed_lines
+
+    lines = read_lines(spark, _feed(tmpdir_path))
+    expect = _rows(scada_series(lines), "duid", "measurement_datetime", "measured_mw", "mw_quality_flag")
+    land_lines(lines, f"{tmpdir_path}/landed")
+    landed = read_landed_lines(spark, f"{tmpdir_path}/landed")
+    got = scada_series(landed)
+    assert _rows(got, "duid", "measurement_datetime", "measured_mw", "mw_quality_flag") == expect
+    hdr = landed.where(F.col("tag") == "I")
+    assert "PushedFilters: [IsNotNull(tag), EqualTo(tag,I)]" in hdr._jdf.queryExecution().executedPlan().toString()

@@ -68,14 +68,17 @@ def parse_segments(
     file's headers; files failing it are rejected as a whole.
     """
     v = F.col("value")
+    # a stored tag (landed lines) is tested as a column, so the filter reaches
+    # the Parquet scan; otherwise the tag is read off the raw text
+    stored_tag = "tag" in lines.columns
     # columns riding along with each line (e.g. an explicit file order)
-    extra = [c for c in lines.columns if c not in ("file", "line_key", "value")]
+    extra = [c for c in lines.columns if c not in ("file", "line_key", "value", "tag")]
 
     # Filters test the raw text with cheap string functions; the (quote-aware)
     # split runs once, in the projection after them. Filtering on the split
     # array would make the optimizer repeat the split inside every filter.
     head3 = F.substring_index(v, ",", 3)             # tag, group, table
-    tag = F.upper(F.trim(F.substring_index(v, ",", 1)))
+    tag = F.col("tag") if stored_tag else F.upper(F.trim(F.substring_index(v, ",", 1)))
     more_than_3 = F.length(head3) < F.length(v)     # ≥ 3 commas → > 3 fields
 
     def table_ok():

@@ -38,3 +38,30 @@ def lines_from_frame(df: DataFrame, file: Column | str, key: Column, value: Colu
     f = F.col(file) if isinstance(file, str) else file
     v = F.col(value) if isinstance(value, str) else value
     return df.select(f.cast("string").alias("file"), key.cast(LINE_KEY_TYPE).alias("line_key"), v.cast("string").alias("value"))
+
+
+def land_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write feed lines once as a Parquet table ``(file, line_key, tag, value)``.
+
+    Rows are range-partitioned on (file, line) — a large file is split over
+    several tasks, never gathered in one — and sorted by line, so a file's
+    lines stay in order and header lines (``tag = 'I'``) are rare within row
+    groups: the
+    header pass of a later parse reads only row groups whose dictionary or
+    statistics contain ``I`` (filter pushdown) instead of all the text.
+    The written table is also a lineage cut for the parse that follows.
+    """
+    tagged = lines.select(
+        "file", "line_key", F.upper(F.trim(F.substring_index("value", ",", 1))).alias("tag"), "value"
+    )
+    (
+        tagged.repartitionByRange("file", "line_key")
+        .sortWithinPartitions("file", "line_key")
+        .write.mode(mode)
+        .parquet(path)
+    )
+
+
+def read_landed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Landed lines (see :func:`land_lines`), with the stored ``tag`` column."""
+    return spark.read.parquet(path)
