@@ -14,6 +14,7 @@ from datetime import date
 
 from .. import constants as K
 from ..constants import JSON_ROW_CAP
+from ..session import persist_counted
 from ..functions.casts import feed_timestamp, format_time, nan_to_null
 from ..functions.dates import (
     available,
@@ -761,7 +762,7 @@ SELECT scada_source, seconds, is_default, sample_count,
 FROM c""",
 )
 def q_combined_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est = timing_estimates(_log(spark, sf_dir)).persist()  # four rows, read twice
+    est, _ = persist_counted(timing_estimates(_log(spark, sf_dir)))  # four rows, read twice
     return combined_estimate(est, "current").unionByName(combined_estimate(est, "archive"))
 
 

@@ -80,10 +80,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+_CACHED: list[DataFrame] = []
+
+
+def release_cached() -> None:
+    """Unpersist every helper table cached by this library (header tables,
+    ranked catalogs, entry lists). Call between independent jobs of a
+    long-running session; anything still referenced is recomputed if used."""
+    while _CACHED:
+        _CACHED.pop().unpersist(blocking=False)
+
+
 def persist_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist ``df`` (privately, see below) and count it once."""
+    """Persist ``df`` and count it once.
+
+    A per-call token keeps the cache entry private: the cache matches by
+    plan, and keys derived from input splits (line keys) must never be
+    reused by a later call that reads the same files with other settings."""
     token = uuid.uuid4().hex
     df = df.withColumn("_cache_token", F.lit(token)).persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHED.append(df)
     n = df.count()
     return df.drop("_cache_token"), n
 
@@ -95,13 +111,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     Above the bound the frame is returned unhinted so the planner uses a
     shuffle join (with adaptive skew splitting).
     """
-    # A per-call token keeps this cache entry private: the cache matches by
-    # plan, and keys derived from input splits (line keys) must never be
-    # reused by a later call that reads the same files with other settings.
-    token = uuid.uuid4().hex
-    df = df.withColumn("_cache_token", F.lit(token)).persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    df = df.drop("_cache_token")
+    df, n = persist_counted(df)
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
