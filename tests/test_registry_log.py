@@ -68,7 +68,7 @@ def test_registry_sheet_missing_column(spark):
 
 def test_json_fallbacks(spark, tmpdir_path):
     reg = {"NSW": [{"duid": "U1", "name": "Unit 1", "capacity_mw": 126, "region": "NSW1"}], "TAS": []}
-    p = write_text(tmpdir_path, "bess.json", json.dumps(reg))
+    p = write_text(tmpdir_path, "units.json", json.dumps(reg))
     units = read_registry_json(spark, p).collect()
     assert [(u["state"], u["duid"], u["capacity_mw"], u["capacity_mwh"]) for u in units] == [("NSW", "U1", 126.0, None)]
     flags = {"0": {"label": "Good", "description": "d", "color": "#0"}, "-1": {"label": "N/A", "description": "d", "color": "#1"}}
