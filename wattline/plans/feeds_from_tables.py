@@ -409,9 +409,10 @@ def _archive_writer(root: str):
     def write(batches):
         from pyspark import TaskContext
         import zipfile
-        from pyarrow import fs as pafs
 
-        filesystem, base = pafs.FileSystem.from_uri(root)
+        from ..sources.archives import filesystem_of
+
+        filesystem, base = filesystem_of(root)
         filesystem.create_dir(f"{base.rstrip('/')}/current", recursive=True)
         part = TaskContext.get().partitionId()
         written = []

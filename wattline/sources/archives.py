@@ -31,6 +31,17 @@ ENTRY_SCHEMA = "path string, outer string, inner string, size long, error string
 LINE_BATCH = 50_000
 
 
+def filesystem_of(uri: str):
+    """pyarrow filesystem and path for a Spark path; Hadoop's ``s3a://`` and
+    ``s3n://`` are the same object store as pyarrow's ``s3://``."""
+    from pyarrow import fs as pafs
+
+    for hadoop in ("s3a://", "s3n://"):
+        if uri.startswith(hadoop):
+            uri = "s3://" + uri[len(hadoop):]
+    return pafs.FileSystem.from_uri(uri)
+
+
 def _open(path: str):
     """Seekable binary handle for a local or remote path (remote via pyarrow)."""
     if path.startswith("file:"):
@@ -38,9 +49,7 @@ def _open(path: str):
         while local.startswith("//"):
             local = local[1:]
         return open(local, "rb")
-    from pyarrow import fs as pafs
-
-    filesystem, inner_path = pafs.FileSystem.from_uri(path)
+    filesystem, inner_path = filesystem_of(path)
     return filesystem.open_input_file(inner_path)
 
 
