@@ -143,3 +143,18 @@ def test_each_day_comes_from_its_own_files(spark, tmpdir_path):
     got = {(r["duid"], r["measurement_datetime"]): r["measured_mw"] for r in s.collect()}
     assert got[("UNIT_A", dt.datetime(2025, 10, 2, 4, 0))] == 40.0
     assert got[("UNIT_A", dt.datetime(2025, 10, 1, 15, 59, 56))] == 2.0
+
+
+def test_latest_bundle_first_among_bundles(spark, tmpdir_path):
+    build(tmpdir_path)
+    # an older bundle also holds the day's inner archive, with another value;
+    # bundles are tried best (latest) first, so the newer bundle's value stays
+    older = zip_bytes({
+        "PUBLIC_NEXT_DAY_FPPMW_20250929_0000000000000008.zip": zip_bytes({"F.CSV": scada_csv([
+            ("2025/09/28 10:00:00", "UNIT_A", 55.0, 0)])}),
+    })
+    land(tmpdir_path, "archive", "PUBLIC_NEXT_DAY_FPPMW_20250925.zip", older)
+    cat = parse_catalog(list_files(spark, tmpdir_path, "*.zip"))
+    s = scada_from_archives(_targets(spark, dt.date(2025, 9, 28)), cat)
+    got = {(r["duid"], r["measurement_datetime"]): r["measured_mw"] for r in s.collect()}
+    assert got[("UNIT_A", dt.datetime(2025, 9, 28, 10, 0))] == 5.0

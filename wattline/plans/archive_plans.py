@@ -20,19 +20,23 @@ from ..sources.catalog import source_rank
 from .dispatch import dispatch_series
 from .scada import scada_series
 
-REQUEST_COLS = ["path", "product", "is_bundle", "target_date", "source", "format", "cls"]
+# cand_rank: 0 for daily files (then name order), the as-of rank for bundles
+# (1 = latest bundle first, as candidates are tried best-first)
+REQUEST_COLS = ["path", "product", "is_bundle", "target_date", "source", "format", "cls", "cand_rank"]
 
 
 def scada_candidates(targets: DataFrame, catalog: DataFrame) -> DataFrame:
     """Daily files matching a search key (class 1) and the best bundles per
     format (class 2), in every source; the choice among them comes later."""
     daily = match_daily(targets, catalog, product=K.SCADA_PRODUCT).select(
-        "path", "product", "is_bundle", "target_date", "source", "format", F.lit(1).alias("cls")
+        "path", "product", "is_bundle", "target_date", "source", "format", F.lit(1).alias("cls"),
+        F.lit(0).alias("cand_rank"),
     ).distinct()
     bundles = bundle_candidates(targets, catalog, product=K.SCADA_PRODUCT)
     bundles = bundles.select(
         F.col("right_path").alias("path"), F.lit(K.SCADA_PRODUCT).alias("product"), F.lit(True).alias("is_bundle"),
         "target_date", F.col("right_source").alias("source"), "format", F.lit(2).alias("cls"),
+        F.col("asof_rank").alias("cand_rank"),
     )
     return daily.unionByName(bundles)
 
@@ -43,12 +47,13 @@ def dispatch_candidates(targets: DataFrame, catalog: DataFrame) -> DataFrame:
     daily = match_daily(targets, catalog, product=K.DISPATCH_PRODUCT)
     daily = daily.groupBy("target_date", "source").agg(F.max(F.struct("name", "path")).alias("m")).select(
         F.col("m.path").alias("path"), F.lit(K.DISPATCH_PRODUCT).alias("product"), F.lit(False).alias("is_bundle"),
-        "target_date", "source", F.lit(1).alias("format"), F.lit(1).alias("cls"),
+        "target_date", "source", F.lit(1).alias("format"), F.lit(1).alias("cls"), F.lit(0).alias("cand_rank"),
     )
     bundles = bundle_candidates(targets, catalog, product=K.DISPATCH_PRODUCT, k=1)
     bundles = bundles.select(
         F.col("right_path").alias("path"), F.lit(K.DISPATCH_PRODUCT).alias("product"), F.lit(True).alias("is_bundle"),
         "target_date", F.col("right_source").alias("source"), "format", F.lit(2).alias("cls"),
+        F.col("asof_rank").alias("cand_rank"),
     )
     return daily.unionByName(bundles)
 
@@ -66,7 +71,7 @@ def choose(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     best = selected.groupBy(*by).agg(F.min(F.struct("src_rank", "cls")).alias("_best"))
     chosen = selected.join(best, by).where(F.struct("src_rank", "cls") == F.col("_best")).drop("_best")
     chosen = chosen.withColumn("file", entry_file_id(F.col("path"), F.col("outer"), F.col("inner")))
-    chosen = chosen.withColumn("file_order", F.struct("src_rank", "cls", "format", "file"))
+    chosen = chosen.withColumn("file_order", F.struct("src_rank", "cls", "format", "cand_rank", "file"))
     chosen, _ = persist_counted(chosen)
     return chosen, rejects
 
