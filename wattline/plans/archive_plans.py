@@ -42,14 +42,15 @@ def scada_candidates(targets: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def dispatch_candidates(targets: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Latest daily file of the date (class 1) and the latest bundle dated on
-    or before it (class 2)."""
-    daily = match_daily(targets, catalog, product=K.DISPATCH_PRODUCT)
+    """Latest daily file of the date in the current folder (class 1), else the
+    latest bundle dated on or before it in the archive folder (class 2)."""
+    current, archive = K.SOURCE_ORDER
+    daily = match_daily(targets, catalog.where(F.col("source") == current), product=K.DISPATCH_PRODUCT)
     daily = daily.groupBy("target_date", "source").agg(F.max(F.struct("name", "path")).alias("m")).select(
         F.col("m.path").alias("path"), F.lit(K.DISPATCH_PRODUCT).alias("product"), F.lit(False).alias("is_bundle"),
         "target_date", "source", F.lit(1).alias("format"), F.lit(1).alias("cls"), F.lit(0).alias("cand_rank"),
     )
-    bundles = bundle_candidates(targets, catalog, product=K.DISPATCH_PRODUCT, k=1)
+    bundles = bundle_candidates(targets, catalog.where(F.col("source") == archive), product=K.DISPATCH_PRODUCT, k=1)
     bundles = bundles.select(
         F.col("right_path").alias("path"), F.lit(K.DISPATCH_PRODUCT).alias("product"), F.lit(True).alias("is_bundle"),
         "target_date", F.col("right_source").alias("source"), "format", F.lit(2).alias("cls"),
