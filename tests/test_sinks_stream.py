@@ -81,3 +81,16 @@ def test_streaming_landing_idempotent(spark, tmpdir_path):
     q.awaitTermination(120)
     got = sorted((str(r["measurement_datetime"]), r["measured_mw"]) for r in spark.read.parquet(out).collect())
     assert got == [("2025-06-01 05:00:00", 1.0), ("2025-06-01 05:00:04", 2.0), ("2025-06-01 05:00:08", 3.0)]
+
+
+def test_streaming_dispatch_landing(spark, tmpdir_path):
+    from test_dispatch_parse import FEED
+    from wattline.streaming.landing import start_dispatch_landing
+
+    land, out, ck = f"{tmpdir_path}/dland", f"{tmpdir_path}/dout", f"{tmpdir_path}/dck"
+    write_text(land, "d1.csv", FEED)
+    start_dispatch_landing(spark, land, out, checkpoint=ck, trigger_once=True).awaitTermination(120)
+    write_text(land, "d2.csv", FEED)  # a replayed copy adds nothing
+    start_dispatch_landing(spark, land, out, checkpoint=ck, trigger_once=True).awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert got.count() == 6 and got.select("duid", "settlementdate").distinct().count() == 6

@@ -3,8 +3,7 @@
 Not part of the reference (it re-reads files per request); this is the
 streaming form of the same batch plan. New text files in a landing folder
 are parsed per micro-batch with the batch operators, and only readings
-whose ``(duid, measurement_datetime)`` is not yet in the output table are
-appended: keys already landed (overlapping files, replays after a failure)
+whose ``(duid, time)`` key is not yet in the output table are appended: keys already landed (overlapping files, replays after a failure)
 are skipped, so a re-run batch is idempotent. Within one batch the
 keep-first rule orders by file name and line; across batches the earlier
 arrival wins.
@@ -21,22 +20,29 @@ from pyspark.sql.utils import AnalysisException
 
 from pyspark import StorageLevel
 
+from ..plans.dispatch import dispatch_series
 from ..plans.scada import scada_series
 from ..session import broadcast_if_small
+
+# feed kind → (series builder, time column of the key)
+KINDS = {
+    "scada": (scada_series, "measurement_datetime"),
+    "dispatch": (dispatch_series, "settlementdate"),
+}
 from ..sources.lines import line_key
 
 
-def _existing(spark: SparkSession, out_path: str, days: DataFrame) -> DataFrame | None:
+def _existing(spark: SparkSession, out_path: str, days: DataFrame, time_col: str) -> DataFrame | None:
     try:
         old = spark.read.parquet(out_path)
     except AnalysisException:
         return None
     # partition pruning: only the market days present in this batch are read
     days, _ = broadcast_if_small(days)
-    return old.join(days, "market_day", "left_semi").select("duid", "measurement_datetime")
+    return old.join(days, "market_day", "left_semi").select("duid", time_col)
 
 
-def land_batch(batch: DataFrame, out_path: str) -> None:
+def land_batch(batch: DataFrame, out_path: str, kind: str = "scada") -> None:
     """Parse one micro-batch of ``(file, block, value)`` rows and append the
     readings whose key is new. Line keys are assigned here: the micro-batch
     is a static frame over a fixed set of files, so a replay gets the same
@@ -45,25 +51,28 @@ def land_batch(batch: DataFrame, out_path: str) -> None:
     lines = batch.select(
         "file", line_key(F.col("block"), F.monotonically_increasing_id()).alias("line_key"), "value"
     )
+    build, time_col = KINDS[kind]
     # the batch's series is used twice (its days, then the append): keep it
-    series = scada_series(lines).persist(StorageLevel.MEMORY_AND_DISK)
+    series = build(lines).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         days = series.select("market_day").distinct()
-        old = _existing(spark, out_path, days)
-        new = series if old is None else series.join(old, ["duid", "measurement_datetime"], "left_anti")
+        old = _existing(spark, out_path, days, time_col)
+        new = series if old is None else series.join(old, ["duid", time_col], "left_anti")
         new.write.mode("append").partitionBy("market_day").parquet(out_path)
     finally:
         series.unpersist()
 
 
-def start_scada_landing(
+def start_landing(
     spark: SparkSession,
     landing_dir: str,
     out_path: str,
+    kind: str = "scada",
     checkpoint: str | None = None,
     trigger_once: bool = False,
 ) -> StreamingQuery:
-    """Watch ``landing_dir`` for text feeds; land parsed series in ``out_path``.
+    """Watch ``landing_dir`` for text feeds of ``kind`` (``scada`` or
+    ``dispatch``); land the parsed series in ``out_path``.
 
     ``checkpoint`` defaults to a folder under the session's shared
     ``spark.checkpoint.dir``.
@@ -78,6 +87,14 @@ def start_scada_landing(
         F.col("_metadata.file_block_start").alias("block"),
         "value",
     )
-    w = lines.writeStream.foreachBatch(lambda df, _epoch: land_batch(df, out_path)).option("checkpointLocation", checkpoint)
+    w = lines.writeStream.foreachBatch(lambda df, _epoch: land_batch(df, out_path, kind)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def start_scada_landing(spark: SparkSession, landing_dir: str, out_path: str, **kw) -> StreamingQuery:
+    return start_landing(spark, landing_dir, out_path, kind="scada", **kw)
+
+
+def start_dispatch_landing(spark: SparkSession, landing_dir: str, out_path: str, **kw) -> StreamingQuery:
+    return start_landing(spark, landing_dir, out_path, kind="dispatch", **kw)
