@@ -42,7 +42,7 @@ from ..operators.series import (
     stat_cards,
 )
 from ..operators.dedup import keep_first
-from ..operators.summary import dispatch_summary, flag_breakdown, scada_summary
+from ..operators.summary import dispatch_summary, flag_breakdown, flag_breakdown_map, scada_summary
 from ..plans.dispatch import cast_dispatch, dispatch_series, parse_dispatch
 from ..plans.scada import cast_scada, parse_scada, scada_series
 from ..operators.segments import ingest_report, rejects
@@ -848,3 +848,20 @@ def q_series_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = head_per_group(series, n=JSON_ROW_CAP)
     return json_records(head, ["interval_datetime", "measurement_datetime"],
                         keep=["interval_datetime", "measurement_datetime", "measured_mw", "mw_quality_flag"])
+
+
+# A2 nested form: one row per unit-day, the breakdown as a JSON object keyed by flag
+@register(
+    "flag_breakdown_nested",
+    f"""SELECT duid, market_day,
+       '{{' || string_agg('"' || k || '":' || json_object('count', count, 'pct', pct)::VARCHAR, ',' ORDER BY k) || '}}'
+         AS flag_breakdown
+FROM (SELECT duid, market_day, coalesce(CAST(mw_quality_flag AS VARCHAR), 'None') AS k, count(*) AS count,
+             round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY duid, market_day), 1)::DOUBLE AS pct
+      FROM ({_SQL_SCADA_EVENTS}) s GROUP BY duid, market_day, mw_quality_flag) b
+GROUP BY duid, market_day""",
+)
+def q_flag_breakdown_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bd = flag_breakdown(events_as_scada(table(spark, sf_dir, "events")))
+    nested = flag_breakdown_map(bd)
+    return nested.select("duid", "market_day", F.to_json("flag_breakdown").alias("flag_breakdown"))
