@@ -25,6 +25,8 @@ def test_scada_view_one_unit_day(spark, tmpdir_path):
     v = api.scada_view(lines, "UNIT_A", dt.date(2025, 6, 1))
     s = v["summary"].collect()
     assert len(s) == 1 and s[0]["total_rows"] == v["series"].count()
+    c = api.scada_view(lines, "UNIT_A", dt.date(2025, 6, 1), cap=2)["counts"].collect()[0]
+    assert (c["total_rows"], c["displayed_rows"]) == (s[0]["total_rows"], 2)
     recs = [json.loads(r["record"]) for r in v["records"].collect()]
     assert all(" " in r["measurement_datetime"] for r in recs)
     assert any(r["measured_mw"] is None for r in recs)  # NaN → null

@@ -60,16 +60,21 @@ def _one(series: DataFrame, duid: str | None, day: date | None) -> DataFrame:
 
 def scada_view(lines: DataFrame, duid: str | None = None, day: date | None = None,
                cap: int = K.JSON_ROW_CAP, strict: bool = False) -> dict[str, DataFrame]:
-    """SCADA data view: series, summary, flag breakdown, display records
-    (first ``cap`` per unit-day) and per-day warnings."""
+    """SCADA data view: series, summary, row counts before/after the display
+    cap, flag breakdown, display records (first ``cap`` per unit-day) and
+    per-day warnings."""
     series = _one(scada_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day)
     if strict:
         require_rows(series, f"No data found for DUID '{duid}' within the market day {day}.")
     head = head_per_group(series, n=cap)
     days = series.select("market_day").distinct()
+    summary = scada_summary(series)
     return {
         "series": series,
-        "summary": scada_summary(series),
+        "summary": summary,
+        # rows before and after the display cap, per unit-day
+        "counts": summary.select("duid", "market_day", "total_rows",
+                                 F.least(F.col("total_rows"), F.lit(cap)).alias("displayed_rows")),
         "flag_breakdown": flag_breakdown(series),
         "records": json_records(head, ["interval_datetime", "measurement_datetime"],
                                 keep=["interval_datetime", "measurement_datetime", "measured_mw", "mw_quality_flag"]),
