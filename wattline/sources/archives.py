@@ -10,7 +10,7 @@ Three steps, each a Spark job over tables:
    requested settlement date (dated names first, fallbacks after), written
    as aggregates and filters over the (small) entry table.
 3. ``read_entries(selected)``: one task per chosen entry streams its text
-   line by line in Arrow batches → ``(file, line_key, value)``.
+   in Arrow batches (``mapInArrow``) → ``(file, line_key, value)``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from ..functions.dates import dispatch_search_keys, scada_search_keys
 from .lines import line_key
 
 ENTRY_SCHEMA = "path string, outer string, inner string, size long, error string"
-LINE_BATCH = 50_000
 
 
 def filesystem_of(uri: str):
@@ -165,28 +164,55 @@ def select_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     return selected, rej_rules.unionByName(rej_bad)
 
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, outer_name, inner_name in zip(pdf["path"], pdf["outer"], pdf["inner"]):
+TEXT_BLOCK = 8 << 20  # characters decoded per read (about 100k feed lines)
+_LINE_SCHEMA = None
+
+
+def _line_schema():
+    global _LINE_SCHEMA
+    if _LINE_SCHEMA is None:
+        import pyarrow as pa
+
+        _LINE_SCHEMA = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
+    return _LINE_SCHEMA
+
+
+def _line_batch(file_id: str, start: int, lines: list[str]):
+    import pyarrow as pa
+
+    n = len(lines)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([file_id] * n, pa.string()), pa.array(range(start, start + n), pa.int64()), pa.array(lines, pa.string())],
+        schema=_line_schema(),
+    )
+
+
+def _read_batches(batches):
+    """Task side: stream each chosen entry as Arrow batches of lines.
+
+    Text is decoded in blocks (universal newlines, invalid UTF-8 replaced)
+    and split on line ends; a partial last line is carried to the next
+    block, so memory stays at one block whatever the entry size."""
+    for rb in batches:
+        d = rb.to_pydict()
+        for path, outer_name, inner_name in zip(d["path"], d["outer"], d["inner"]):
             file_id = f"{path}!/{outer_name}" + (f"!/{inner_name}" if inner_name else "")
             with _open(path) as fh, zipfile.ZipFile(fh) as outer:
-                if inner_name:
-                    inner = zipfile.ZipFile(io.BytesIO(outer.read(outer_name)))
-                    raw = inner.open(inner_name)
-                else:
-                    inner = None
-                    raw = outer.open(outer_name)
+                inner = zipfile.ZipFile(io.BytesIO(outer.read(outer_name))) if inner_name else None
+                raw = inner.open(inner_name) if inner is not None else outer.open(outer_name)
                 text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
-                buf: list[str] = []
-                start = 0
-                for i, line in enumerate(text):
-                    buf.append(line.rstrip("\n"))
-                    if len(buf) >= LINE_BATCH:
-                        yield pd.DataFrame({"file": file_id, "pos": range(start, start + len(buf)), "value": buf})
-                        start += len(buf)
-                        buf = []
-                if buf:
-                    yield pd.DataFrame({"file": file_id, "pos": range(start, start + len(buf)), "value": buf})
+                carry, start = "", 0
+                while True:
+                    block = text.read(TEXT_BLOCK)
+                    if not block:
+                        break
+                    lines = (carry + block).split("\n")
+                    carry = lines.pop()
+                    if lines:
+                        yield _line_batch(file_id, start, lines)
+                        start += len(lines)
+                if carry:
+                    yield _line_batch(file_id, start, [carry])
                 text.close()
                 if inner is not None:
                     inner.close()
@@ -200,8 +226,9 @@ def entry_file_id(path, outer, inner):
 def read_entries(selected: DataFrame, n_entries: int | None = None) -> DataFrame:
     """Chosen entries → ``(file, line_key, value)``; entries are spread over
     tasks by identity (one slot per entry when the count is known), text is
-    streamed in batches of ``LINE_BATCH`` lines (never a whole file in memory)."""
+    streamed as Arrow batches of one decoded block each (never a whole file
+    in memory)."""
     ent = selected.select("path", "outer", "inner").distinct()
     ent = ent.repartition(_tasks(selected.sparkSession, n_entries), F.col("path"), F.col("outer"), F.col("inner"))
-    raw = ent.mapInPandas(_read_batches, "file string, pos long, value string")
+    raw = ent.mapInArrow(_read_batches, "file string, pos long, value string")
     return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value")
