@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.catalog_ops import bundle_candidates, match_daily
-from ..sources.archives import archive_entries, entry_file_id, read_entries, select_entries
+from ..sources.archives import archive_entries, entry_id, read_entries, select_entries
 from ..session import DEFAULT_BROADCAST_ROWS, persist_counted
 from ..sources.catalog import source_rank
 from .dispatch import dispatch_series
@@ -71,8 +71,8 @@ def choose(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     selected, rejects = select_entries(entries, cand.select(*REQUEST_COLS, "src_rank"))
     best = selected.groupBy(*by).agg(F.min(F.struct("src_rank", "cls")).alias("_best"))
     chosen = selected.join(best, by).where(F.struct("src_rank", "cls") == F.col("_best")).drop("_best")
-    chosen = chosen.withColumn("file", entry_file_id(F.col("path"), F.col("outer"), F.col("inner")))
-    chosen = chosen.withColumn("file_order", F.struct("src_rank", "cls", "format", "cand_rank", "file"))
+    chosen = chosen.withColumn("entry", entry_id(F.col("path"), F.col("outer")))
+    chosen = chosen.withColumn("entry_order", F.struct("src_rank", "cls", "format", "cand_rank", "entry"))
     chosen, _ = persist_counted(chosen)
     return chosen, rejects
 
@@ -82,13 +82,15 @@ def _lines_with_order(chosen: DataFrame) -> DataFrame:
     entry was chosen for (an entry serving two days yields its lines twice,
     each copy restricted to its day later)."""
     order, n_rows = persist_counted(
-        chosen.groupBy("file", "target_date").agg(F.min("file_order").alias("file_order"))
+        chosen.groupBy("entry", "target_date").agg(F.min("entry_order").alias("entry_order"))
     )
     lines = read_entries(chosen, n_entries=n_rows)
     # one row per (entry, day): broadcast while that table is small
     if n_rows <= DEFAULT_BROADCAST_ROWS:
         order = F.broadcast(order)
-    return lines.join(order, "file", "inner")
+    # "first" = candidate order, then the CSV within an inner archive, then the line
+    out = lines.join(order, "entry", "inner")
+    return out.withColumn("file_order", F.struct("entry_order", "file")).drop("entry", "entry_order")
 
 
 def scada_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:

@@ -52,7 +52,13 @@ def _open(path: str):
     return filesystem.open_input_file(inner_path)
 
 
+ALL_CSVS = "*"  # ``inner`` of an inner archive: every CSV in it, opened at read time
+
+
 def _entries_of(path: str) -> list[tuple]:
+    """Outer entries of one archive from its central directory only: direct
+    CSVs, and inner archives by name (``inner = ALL_CSVS``). Inner archives
+    are not opened here — only the chosen ones are, when they are read."""
     rows: list[tuple] = []
     try:
         with _open(path) as fh, zipfile.ZipFile(fh) as outer:
@@ -62,15 +68,7 @@ def _entries_of(path: str) -> list[tuple]:
                 if low.endswith(".csv"):
                     rows.append((path, name, None, info.file_size, None))
                 elif low.endswith(".zip"):
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(outer.read(name))) as inner:
-                            csvs = sorted(n for n in inner.namelist() if n.lower().endswith(".csv"))
-                            for c in csvs:
-                                rows.append((path, name, c, inner.getinfo(c).file_size, None))
-                            if not csvs:
-                                rows.append((path, name, None, None, "inner archive holds no CSV"))
-                    except zipfile.BadZipFile:
-                        rows.append((path, name, None, None, "bad inner zip"))
+                    rows.append((path, name, ALL_CSVS, info.file_size, None))
             if not rows:
                 rows.append((path, None, None, None, "archive holds no CSV or inner archive"))
     except zipfile.BadZipFile:
@@ -173,62 +171,78 @@ def _line_schema():
     if _LINE_SCHEMA is None:
         import pyarrow as pa
 
-        _LINE_SCHEMA = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
+        _LINE_SCHEMA = pa.schema([("file", pa.string()), ("entry", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
     return _LINE_SCHEMA
 
 
-def _line_batch(file_id: str, start: int, lines: list[str]):
+def _line_batch(file_id: str, entry_id: str, start: int, lines: list[str]):
     import pyarrow as pa
 
     n = len(lines)
     return pa.RecordBatch.from_arrays(
-        [pa.array([file_id] * n, pa.string()), pa.array(range(start, start + n), pa.int64()), pa.array(lines, pa.string())],
+        [pa.array([file_id] * n, pa.string()), pa.array([entry_id] * n, pa.string()),
+         pa.array(range(start, start + n), pa.int64()), pa.array(lines, pa.string())],
         schema=_line_schema(),
     )
 
 
-def _read_batches(batches):
-    """Task side: stream each chosen entry as Arrow batches of lines.
+def _stream_text(raw, file_id: str, entry_id: str):
+    """Decode in blocks (universal newlines, invalid UTF-8 replaced) and split
+    on line ends; a partial last line is carried to the next block, so
+    memory stays at one block whatever the entry size."""
+    text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
+    carry, start = "", 0
+    while True:
+        block = text.read(TEXT_BLOCK)
+        if not block:
+            break
+        lines = (carry + block).split("\n")
+        carry = lines.pop()
+        if lines:
+            yield _line_batch(file_id, entry_id, start, lines)
+            start += len(lines)
+    if carry:
+        yield _line_batch(file_id, entry_id, start, [carry])
+    text.close()
 
-    Text is decoded in blocks (universal newlines, invalid UTF-8 replaced)
-    and split on line ends; a partial last line is carried to the next
-    block, so memory stays at one block whatever the entry size."""
+
+def _read_batches(batches):
+    """Task side: stream each chosen entry as Arrow batches of lines. An
+    inner archive is opened here and each of its CSVs (in name order) is a
+    file of its own."""
     for rb in batches:
         d = rb.to_pydict()
         for path, outer_name, inner_name in zip(d["path"], d["outer"], d["inner"]):
-            file_id = f"{path}!/{outer_name}" + (f"!/{inner_name}" if inner_name else "")
+            entry_id = f"{path}!/{outer_name}"
             with _open(path) as fh, zipfile.ZipFile(fh) as outer:
-                inner = zipfile.ZipFile(io.BytesIO(outer.read(outer_name))) if inner_name else None
-                raw = inner.open(inner_name) if inner is not None else outer.open(outer_name)
-                text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
-                carry, start = "", 0
-                while True:
-                    block = text.read(TEXT_BLOCK)
-                    if not block:
-                        break
-                    lines = (carry + block).split("\n")
-                    carry = lines.pop()
-                    if lines:
-                        yield _line_batch(file_id, start, lines)
-                        start += len(lines)
-                if carry:
-                    yield _line_batch(file_id, start, [carry])
-                text.close()
-                if inner is not None:
-                    inner.close()
-
-
-def entry_file_id(path, outer, inner):
-    """File id of an entry's lines: ``path!/outer[!/inner]`` (a Column)."""
-    return F.concat(path, F.lit("!/"), outer, F.when(inner.isNotNull(), F.concat(F.lit("!/"), inner)).otherwise(F.lit("")))
+                if inner_name is None:
+                    with outer.open(outer_name) as raw:
+                        yield from _stream_text(raw, entry_id, entry_id)
+                    continue
+                try:
+                    inner = zipfile.ZipFile(io.BytesIO(outer.read(outer_name)))
+                except zipfile.BadZipFile:
+                    continue  # an unreadable inner archive contributes nothing
+                with inner:
+                    names = sorted(n for n in inner.namelist() if n.lower().endswith(".csv"))
+                    if inner_name != ALL_CSVS:
+                        names = [n for n in names if n == inner_name]
+                    for csv_name in names:
+                        with inner.open(csv_name) as raw:
+                            yield from _stream_text(raw, f"{entry_id}!/{csv_name}", entry_id)
+
+
+def entry_id(path, outer):
+    """Id of an outer entry, ``path!/outer`` (a Column); lines carry it."""
+    return F.concat(path, F.lit("!/"), outer)
 
 
 def read_entries(selected: DataFrame, n_entries: int | None = None) -> DataFrame:
-    """Chosen entries → ``(file, line_key, value)``; entries are spread over
+    """Chosen entries → ``(file, line_key, value, entry)``; entries are spread over
     tasks by identity (one slot per entry when the count is known), text is
     streamed as Arrow batches of one decoded block each (never a whole file
     in memory)."""
     ent = selected.select("path", "outer", "inner").distinct()
     ent = ent.repartition(_tasks(selected.sparkSession, n_entries), F.col("path"), F.col("outer"), F.col("inner"))
-    raw = ent.mapInArrow(_read_batches, "file string, pos long, value string")
-    return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value")
+    raw = ent.mapInArrow(_read_batches, "file string, entry string, pos long, value string")
+    return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value", "entry")
