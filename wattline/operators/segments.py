@@ -143,13 +143,15 @@ def parse_segments(
 def rejects(parsed: ParsedFeed) -> DataFrame:
     """Data lines that were not used: no header before them, or file rejected.
 
-    Returns ``(file, line_key, reason)``.
+    Returns ``(file, line_key, reason)``. Both per-file tables (rejected
+    files, first header key) are counted and broadcast, so the data lines
+    are never shuffled by file.
     """
     h = parsed.headers
     d = parsed.data_lines.select("file", "line_key")
-    bad_files = h.where(~F.col("accepted")).select("file", "reason").distinct()
+    bad_files, _ = broadcast_if_small(h.where(~F.col("accepted")).select("file").distinct())
     rejected = d.join(bad_files, "file", "left_semi").withColumn("reason", F.lit("missing required columns"))
-    first = h.groupBy("file").agg(F.min("segment_key").alias("_first"))
+    first, _ = broadcast_if_small(h.groupBy("file").agg(F.min("segment_key").alias("_first")))
     headless = (
         d.join(first, "file", "left")
         .where(F.col("_first").isNull() | (F.col("line_key") < F.col("_first")))
