@@ -56,3 +56,12 @@ def test_log_stats_and_info(spark):
     info = api.info(log)
     assert info["data_start_date"] == "2025-02-28"
     assert {r["source_type"] for r in info["estimates"].collect()} == {"current", "archive", "dispatch_current", "dispatch_archive"}
+
+
+def test_day_requests_as_table(spark, tmpdir_path):
+    from wattline.plans.scada import scada_series
+
+    lines = read_lines(spark, _feed(tmpdir_path))
+    req = spark.createDataFrame([("UNIT_A", dt.date(2025, 6, 1))], "duid string, market_day date")
+    s = scada_series(lines, days=req)
+    assert {(r["duid"], r["market_day"]) for r in s.collect()} == {("UNIT_A", dt.date(2025, 6, 1))}

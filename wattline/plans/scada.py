@@ -16,6 +16,7 @@ from ..functions.casts import feed_timestamp, to_double, to_int
 from ..functions.dates import market_day_instant
 from ..operators.dedup import keep_first
 from ..operators.segments import ParsedFeed, parse_segments
+from ..session import broadcast_if_small
 
 SERIES_COLUMNS = [
     "duid",
@@ -58,8 +59,10 @@ def _day_filter(df: DataFrame, days) -> DataFrame:
     if days is None:
         return df
     if isinstance(days, DataFrame):
-        # requested (duid, market_day) pairs: a semi join keeps the plan lazy
-        return df.join(days.select("duid", "market_day").distinct(), ["duid", "market_day"], "left_semi")
+        # requested (duid, market_day) pairs, broadcast after a count so the
+        # readings are not shuffled for the filter
+        req, _ = broadcast_if_small(days.select("duid", "market_day").distinct())
+        return df.join(req, ["duid", "market_day"], "left_semi")
     return df.where(F.col("market_day").isin([d.isoformat() if isinstance(d, date) else d for d in days]))
 
 
