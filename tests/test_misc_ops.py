@@ -53,3 +53,13 @@ def test_checkpoint_dir_from_session(spark):
     assert df.count() == 10
     local = d[5:] if d.startswith("file:") else d
     assert any(os.scandir(local))  # the lineage cut wrote into that folder
+
+
+def test_release_cached_frees_helpers(spark):
+    from wattline import session
+
+    df, n = session.persist_counted(spark.range(5))
+    assert n == 5 and session._CACHED
+    session.release_cached()
+    assert not session._CACHED
+    assert df.count() == 5  # still usable: recomputed from lineage
