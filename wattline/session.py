@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -63,11 +64,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="wattline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers on every executor.
+
+    The package is zipped once per application and handed to
+    ``SparkContext.addPyFile``, which serves it to executors from the driver;
+    nothing relies on a PYTHONPATH or a working folder there. Call before the
+    first Python task (every operator that has one does)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wattline_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="wattline-pkg-")
+    shutil.copytree(here, os.path.join(stage, "src", "wattline"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(stage, "wattline"), "zip", os.path.join(stage, "src")))
+    sc._wattline_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
@@ -80,6 +100,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it
+    back: lineage is cut, a lost executor costs no recomputation of what is
+    written, and later readers prune columns."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _CACHED: list[DataFrame] = []
 
 
