@@ -12,10 +12,13 @@ is a power of two needs none.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,31 +30,52 @@ from .common import chunks
 
 END_ID = 1
 # penalties in tokens of padding: each window, a cut at a sentence end, a cut within a sentence
-WINDOW_PENALTY, SENTENCE_PENALTY, MIDDLE_PENALTY = 8.0, 4.0, 64.0
+WINDOW_PENALTY, SENTENCE_PENALTY, MIDDLE_PENALTY = 16.0, 2.0, 64.0
 # sentences longer than this may be cut every so many tokens
 LONG_SENTENCE = 256
 _SENTENCE_END = (b".", b"!", b"?", b'."', b'!"', b'?"', b".)", b"!)", b"?)")
 
 
+# Words of these characters alone are cut into pieces and looked up here;
+# they are stable under NFC, and their lower case is by character.
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]++|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+\Z").match
+
+
 class WordTokens(dict):
     """Token ids of white-space separated words, remembered by word.
 
     The tokenizer drops white space and never joins tokens across it, so the
     ids of a text are those of its words in turn. ``dict`` look-up of a word
     gives its number; unknown words are numbered on the fly and encoded
-    together. At ``most`` words the memory is emptied."""
+    together: plain ones by the pieces that the tokenizer's own pattern cuts,
+    each given to its model once; others, and those that may hold a special
+    token, as whole words by the tokenizer. At ``most`` words the memory is
+    emptied."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as fh:
+            description = json.load(fh)
+        self.find = regex.compile(_split_pattern(description["pre_tokenizer"]) + r"|\n").findall
+        self.letters = _byte_letters()
+        suffix = description["model"]["end_of_word_suffix"]
+        vocabulary = description["model"]["vocab"]
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
         self.new: list[bytes] = []
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ends = np.zeros(0, bool)
@@ -61,18 +85,45 @@ class WordTokens(dict):
         self.new.append(word)
         return number
 
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        """Each piece's ids, by the model alone. A piece is spelled in the
+        byte-level alphabet, and its last token alone ends a word."""
+        for at in range(0, len(pieces), 1 << 16):
+            part = pieces[at : at + (1 << 16)]
+            spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in part]
+            lines = [" ".join(spelled[i : i + 256]) for i in range(0, len(spelled), 256)]
+            got = [i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
+            stops = (np.flatnonzero(self.word_end[got]) + 1).tolist()
+            for p, i, j in zip(part, [0, *stops], stops):
+                self.pieces[p] = got[i:j]
+
     def _encode_new(self) -> None:
-        ids, lengths = [], []
-        for i in range(0, len(self.new), 4096):
-            part = [w.decode("utf-8", "replace") for w in self.new[i : i + 4096]]
-            for e in self.tokenizer.encode_batch(part, add_special_tokens=False):
-                ids.append(np.array(e.ids, np.uint32))
-                lengths.append(len(ids[-1]))
-        lengths = np.array(lengths, np.int64)
+        found: list[list[int]] = [[]] * len(self.new)
+        plain = [i for i, w in enumerate(self.new) if _PLAIN(w) and b"<|" not in w]
+        cut = self.find(b"\n".join([self.new[i] for i in plain]).decode().lower())
+        self._encode_pieces([p for p in dict.fromkeys(cut) if p != "\n" and p not in self.pieces])
+        at, pieces, number = 0, self.pieces, len(cut)
+        for i in plain:
+            ids = pieces[cut[at]]
+            at += 1
+            while at < number and cut[at] != "\n":
+                ids = ids + pieces[cut[at]]
+                at += 1
+            at += 1
+            found[i] = ids
+        known = set(plain)
+        other = [i for i in range(len(self.new)) if i not in known]
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            texts = [self.new[i].decode("utf-8", "replace") for i in part]
+            for i, e in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+                found[i] = e.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, *ids])
-        self.ends = np.concatenate([self.ends, [w.endswith(_SENTENCE_END) for w in self.new]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, np.array([w.endswith(_SENTENCE_END) for w in self.new], bool)])
         self.new = []
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -81,25 +132,53 @@ class WordTokens(dict):
         if len(self) > self.most:
             self._empty()
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        numbers = np.array([n for words in split for n in map(self.__getitem__, words)], np.int64)
+        total = sum(map(len, split))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, total)
         if self.new:
             self._encode_new()
         lengths = self.lengths[numbers]
         upto = np.cumsum(lengths)
         flat = self.ids[np.repeat(self.starts[numbers] - (upto - lengths), lengths) + np.arange(int(lengths.sum()))]
-        sentence = self.ends[numbers]
+        sentence = np.flatnonzero(self.ends[numbers])
+        stop_words = np.searchsorted(sentence, np.cumsum([0, *map(len, split)])).tolist()
+        stop_at = upto[sentence]
         out, word, token = [], 0, 0
-        for words in split:
-            last = word + len(words)
-            end = int(upto[last - 1]) if last else 0
-            stops = upto[word:last][sentence[word:last]] - token
-            ids = np.append(flat[token:end], np.uint32(END_ID)).astype(np.uint32)
-            stops = np.unique(stops[(stops > 0) & (stops < len(ids) - 1)])
+        for n, words in enumerate(split):
+            word += len(words)
+            end = int(upto[word - 1]) if word else 0
+            ids = np.append(flat[token:end], np.uint32(END_ID))
+            stops = stop_at[stop_words[n] : stop_words[n + 1]] - token
+            if len(stops) and (stops[0] == 0 or stops[-1] == len(ids) - 1 or (np.diff(stops) == 0).any()):
+                stops = np.unique(stops[(stops > 0) & (stops < len(ids) - 1)])
             out.append((ids, np.append(stops, len(ids))))
-            word, token = last, end
+            token = end
         return out
 
 
+def _split_pattern(pre: dict) -> str:
+    """The pattern of the Split step in the tokenizer's description."""
+    steps = pre.get("pretokenizers", [pre])
+    return next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: visible Latin-1 characters stand for
+    themselves, the other bytes in turn for the characters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_WORDS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One memory of words for each Python worker, kept between its tasks."""
+    if path not in _WORDS:
+        _WORDS[path] = WordTokens(path)
+    return _WORDS[path]
+
+
 def with_middle_cuts(stops: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """``stops`` and, inside sentences longer than ``step``, a cut every
     ``step`` tokens; the second array marks the cuts that were added."""
@@ -113,33 +192,44 @@ def with_middle_cuts(stops: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarr
     return cuts[order], np.concatenate([np.zeros(len(stops), bool), np.ones(len(extra), bool)])[order]
 
 
+def _exact_windows(at: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(k, j) for all cuts that lie a power of two below ``limit`` apart, by k."""
+    found = []
+    for e in range(limit.bit_length()):
+        if 1 << e < limit:
+            j = np.minimum(np.searchsorted(at, at - (1 << e)), len(at) - 1)
+            k = np.flatnonzero(at[j] == at - (1 << e))
+            found.append(np.column_stack([k, j[k]]))
+    pairs = np.concatenate(found)
+    return iter(map(tuple, pairs[np.argsort(pairs[:, 0], kind="stable")].tolist()))
+
+
 def window_cuts(ends: list[int], penalties: list[float], limit: int) -> list[int]:
     """Indices into ``ends`` at which windows end, the last one included, of
     least total cost. ``ends`` are increasing token positions at which a cut
     is allowed, no two neighbours further apart than ``limit`` (the first from
     0), ``penalties`` what a cut there costs."""
     # best[k]: least cost of cutting the stream at ends[k - 1]; best[0]: its start
-    best, came = [0.0], [0]
     at = [0, *ends]
-    where = {0: 0}
-    powers = [1 << e for e in range(limit.bit_length()) if 1 << e < limit]
+    exact = _exact_windows(np.array(at, np.int64), limit)
+    best, came = [0.0] * len(at), [0] * len(at)
     queue: deque[int] = deque([0])  # cuts in reach, best[k] + at[k] increasing
+    value = [0.0] * len(at)
+    nxt, then = next(exact, (0, 0))
     for k in range(1, len(at)):
         here = at[k]
         while at[queue[0]] < here - limit:
             queue.popleft()
         i = queue[0]
-        cost = best[i] + limit - (here - at[i])
-        for p in powers:
-            j = where.get(here - p)
-            if j is not None and best[j] < cost:
-                cost, i = best[j], j
+        cost = value[i] + limit - here
+        while nxt == k:
+            if best[then] < cost:
+                cost, i = best[then], then
+            nxt, then = next(exact, (0, 0))
         cost += penalties[k - 1] + WINDOW_PENALTY
-        best.append(cost)
-        came.append(i)
-        where[here] = k
-        value = cost + here
-        while queue and best[queue[-1]] + at[queue[-1]] >= value:
+        best[k], came[k] = cost, i
+        value[k] = cost = cost + here
+        while queue and value[queue[-1]] >= cost:
             queue.pop()
         queue.append(k)
     out, k = [], len(at) - 1
@@ -224,7 +314,7 @@ def pack_documents(
 
         task = TaskContext.get()
         packer = Packer(limit, (task.partitionId() if task else 0) << 40)
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         names = [c.split()[0] for c in PIECES.split(", ")]
 
         def frame(pieces: list[tuple]) -> pd.DataFrame:
