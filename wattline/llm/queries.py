@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, packing, quality, quality_rules, simhash, token_counts
+from . import bpe, chat, exact_dedup, hpylm, langid, packing, quality, quality_rules, simhash, token_counts
 from .common import fold, table
 
 
@@ -20,6 +20,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(table(spark, sf_dir, "documents"), train=fold("doc_id", 7) != 2)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), width=4, distance=4)
 
@@ -72,6 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_score": op3_lm_score,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_chat_format": op6_chat_format,
