@@ -31,7 +31,7 @@ def test_scada_view_one_unit_day(spark, tmpdir_path):
     assert all(" " in r["measurement_datetime"] for r in recs)
     assert any(r["measured_mw"] is None for r in recs)  # NaN → null
     w = v["warnings"].collect()[0]
-    assert w["source_type"] == "archive" and w["warnings"].startswith("Only 12 hours")  # partial-publication era
+    assert w["source_type"] == "archive" and w["warnings"].startswith("Half a market day")  # partial-publication era
     with pytest.raises(LookupError):
         api.scada_view(lines, "NOPE", dt.date(2025, 6, 1), strict=True)
 
@@ -65,3 +65,12 @@ def test_day_requests_as_table(spark, tmpdir_path):
     req = spark.createDataFrame([("UNIT_A", dt.date(2025, 6, 1))], "duid string, market_day date")
     s = scada_series(lines, days=req)
     assert {(r["duid"], r["market_day"]) for r in s.collect()} == {("UNIT_A", dt.date(2025, 6, 1))}
+
+
+def test_request_date_within_the_published_range():
+    as_of = dt.date(2026, 1, 1)
+    assert api.check_request_date(dt.date(2025, 2, 28), True, as_of) == dt.date(2025, 2, 28)
+    assert api.check_request_date(dt.date(2025, 2, 11), False, as_of)
+    for day, scada in ((dt.date(2025, 2, 27), True), (dt.date(2025, 2, 10), False), (as_of, True)):
+        with pytest.raises(ValueError):
+            api.check_request_date(day, scada, as_of)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattline.operators.catalog_ops import match_daily
 from wattline.plans.archive_plans import (
-    choose,
+    choose_and_read,
     dispatch_candidates,
     dispatch_from_archives,
     scada_candidates,
@@ -102,7 +102,7 @@ def test_scada_from_archives(spark, tmpdir_path):
     assert ("UNIT_A", t(2025, 10, 2, 4, 0)) not in got  # next market day
     assert got[("UNIT_B", t(2025, 9, 28, 10, 0, 4))] == 6.0  # from the bundle
     assert ("UNIT_A", t(2025, 9, 29, 10, 0)) not in got  # other inner archive not read
-    chosen, rejects = choose(scada_candidates(targets, cat), ["target_date", "format"])
+    chosen, _, rejects = choose_and_read(scada_candidates(targets, cat), ["target_date", "format"])
     assert {r["source"] for r in chosen.where(F.col("target_date") == dt.date(2025, 10, 1)).collect()} == {"current"}
     assert "bad zip" in {r["reason"] for r in rejects.collect()}
 
@@ -114,7 +114,7 @@ def test_dispatch_from_archives(spark, tmpdir_path):
     s = dispatch_from_archives(targets, cat)
     got = sorted((r["market_day"], r["initialmw"]) for r in s.collect())
     assert got == [(dt.date(2026, 3, 5), 3.0), (dt.date(2026, 3, 11), 10.0)]
-    chosen, _ = choose(dispatch_candidates(targets, cat), ["target_date"])
+    chosen, _, _ = choose_and_read(dispatch_candidates(targets, cat), ["target_date"])
     src = {r["target_date"]: (r["source"], r["cls"]) for r in chosen.collect()}
     assert src[dt.date(2026, 3, 11)] == ("current", 1)
     assert src[dt.date(2026, 3, 5)] == ("archive", 2)
@@ -158,3 +158,33 @@ def test_latest_bundle_first_among_bundles(spark, tmpdir_path):
     s = scada_from_archives(_targets(spark, dt.date(2025, 9, 28)), cat)
     got = {(r["duid"], r["measurement_datetime"]): r["measured_mw"] for r in s.collect()}
     assert got[("UNIT_A", dt.datetime(2025, 9, 28, 10, 0))] == 5.0
+
+
+def test_unreadable_inner_archive_rejects_and_falls_through(spark, tmpdir_path):
+    """A corrupt inner ZIP in ``current``, and one without a CSV, give reject
+    rows, and the day is served from the archive folder."""
+    good = scada_csv([("2025/10/01 05:00:00", "UNIT_A", 8.0, 0)])
+    name = "PUBLIC_NEXT_DAY_FPPMW_20251002_000000000000000{}.zip"
+    land(tmpdir_path, "current", name.format(1), zip_bytes({"PUBLIC_NEXT_DAY_FPPMW_20251002_1.ZIP": b"no zip at all"}))
+    land(tmpdir_path, "current", name.format(2), zip_bytes({"PUBLIC_NEXT_DAY_FPPMW_20251002_2.ZIP": zip_bytes({"readme.txt": "-"})}))
+    land(tmpdir_path, "archive", name.format(3), zip_bytes({"PUBLIC_NEXT_DAY_FPPMW_20251002_3.ZIP": zip_bytes({"A.CSV": good})}))
+    cat = parse_catalog(list_files(spark, tmpdir_path, "*.zip"))
+    targets = _targets(spark, dt.date(2025, 10, 1))
+    assert [r["measured_mw"] for r in scada_from_archives(targets, cat).collect()] == [8.0]
+    chosen, _, rejects = choose_and_read(scada_candidates(targets, cat), ["target_date", "format"])
+    assert {r["source"] for r in chosen.collect()} == {"archive"}
+    reasons = sorted(r["reason"].split(":")[0] for r in rejects.collect())
+    assert reasons == ["bad zip", "inner archive holds no CSV"]
+
+
+def test_entry_dates_are_extracted_not_searched(spark, tmpdir_path):
+    hdr = "I,DISPATCH,UNIT_SOLUTION,4,SETTLEMENTDATE,RUNNO,DUID,INITIALMW,INITIAL_ENERGY_STORAGE,ENERGY_STORAGE\n"
+    row = "D,DISPATCH,UNIT_SOLUTION,4,2026/03/{:02d} 12:00:00,1,UNIT_A,{},40,39\n"
+    land(tmpdir_path, "archive", "PUBLIC_NEXT_DAY_DISPATCH_20260301.zip", zip_bytes({
+        # the sequence number of the 5th happens to hold the digits of the 6th
+        "PUBLIC_NEXT_DAY_DISPATCH_20260305_0000000020260306.CSV": hdr + row.format(6, 1),
+        "PUBLIC_NEXT_DAY_DISPATCH_20260306_0000000000000001.CSV": hdr + row.format(6, 2),
+    }))
+    cat = parse_catalog(list_files(spark, tmpdir_path, "*.zip"))
+    out = dispatch_from_archives(_targets(spark, dt.date(2026, 3, 6)), cat).collect()
+    assert [r["initialmw"] for r in out] == [2.0]

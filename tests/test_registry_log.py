@@ -16,10 +16,13 @@ from wattline.sources.registry import (
     read_registry_json,
     registry_from_lines,
     registry_from_sheet,
-    resolve_header,
+    header_ranks,
     units_by_state,
     units_from_registry,
+    in_state_order,
+    read_registry_rows,
     units_nested,
+    write_registry_json,
 )
 from wattline.sources.requestlog import append_log, read_log
 
@@ -38,10 +41,10 @@ BAT4,Battery Four,Battery Storage,In Service,WA1,30,60
 
 def test_header_rule():
     h = ["DUID", "Unit Name", "duid extra", "Region Name", "Region"]
-    assert resolve_header(h, "DUID") == 0
-    assert resolve_header(h, "Region") == 4  # exact beats prefix
-    assert resolve_header(["region code"], "Region") == 0
-    assert resolve_header(["x"], "Region") is None
+    assert min(header_ranks(h, "DUID"))[1] == 0
+    assert min(header_ranks(h, "Region"))[1] == 4  # exact beats prefix
+    assert header_ranks(["region code"], "Region") == [(True, 0)]
+    assert header_ranks(["x"], "Region") == []
 
 
 def test_registry_from_lines(spark, tmpdir_path):
@@ -56,8 +59,20 @@ def test_registry_from_lines(spark, tmpdir_path):
     bs = {r["state"]: r for r in units_by_state(units).collect()}
     assert set(bs) == {"QLD", "NSW", "VIC", "SA", "TAS"} and bs["TAS"]["n_units"] == 0
     assert bs["NSW"]["total_units"] == 2 and bs["NSW"]["nonempty_states"] == 2
-    nested = units_nested(units).collect()[0]["units_by_state"]
-    assert nested["TAS"] == [] and nested["NSW"][0]["duid"] == "BAT1"
+    nested = {(r["state"], r["unit_no"]): r["unit"] for r in units_nested(units).collect()}
+    assert nested["TAS", 0] is None and nested["NSW", 1]["duid"] == "BAT1" and ("NSW", 0) not in nested
+    shown = [r["state"] for r in in_state_order(units_nested(units)).collect()]
+    assert shown == sorted(shown, key=["QLD", "NSW", "VIC", "SA", "TAS"].index)
+    write_registry_json(units, f"{tmpdir_path}/nested")
+    assert sorted(map(str, read_registry_rows(spark, f"{tmpdir_path}/nested").collect())) == sorted(
+        map(str, units.select("state", "duid", "name", "capacity_mw", "capacity_mwh", "region").collect())
+    )
+
+
+def test_registry_text_without_required_columns(spark, tmpdir_path):
+    write_text(tmpdir_path, "reg/sheet.csv", "title\nDUID,Unit Name,Technology Type,Commitment Status\nA,a,b,c\n")
+    with pytest.raises(ValueError):
+        registry_from_lines(read_lines(spark, f"{tmpdir_path}/reg"))
 
 
 def test_registry_sheet_missing_column(spark):

@@ -94,3 +94,42 @@ def test_streaming_dispatch_landing(spark, tmpdir_path):
     start_dispatch_landing(spark, land, out, checkpoint=ck, trigger_once=True).awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.count() == 6 and got.select("duid", "settlementdate").distinct().count() == 6
+
+
+def _many(spark):
+    """One unit-day of 3,000 readings and a second day, in no order."""
+    from pyspark.sql import functions as F
+
+    t = F.timestamp_seconds(F.lit(1748750400) + F.pmod(F.col("id") * 7919, F.lit(3000)) * 4).cast("timestamp_ntz")
+    return spark.range(3000).repartition(7).select(
+        F.lit("U1").alias("duid"), F.when(F.col("id") % 2 == 0, F.lit("2025-06-01")).otherwise(F.lit("2025-06-02")).cast("date").alias("market_day"),
+        t.alias("interval_datetime"), t.alias("measurement_datetime"), F.col("id").cast("double").alias("measured_mw"), F.lit(0).alias("mw_quality_flag"),
+    )
+
+
+def test_csv_lines_are_in_time_order_and_days_stay(spark, tmpdir_path):
+    import glob
+
+    from wattline.sinks.writers import write_csv, write_parquet
+
+    s = _many(spark)
+    write_csv(s, f"{tmpdir_path}/csv")
+    for f in glob.glob(f"{tmpdir_path}/csv/market_day=*/duid=U1/*.csv"):
+        times = [line.split(",")[1] for line in open(f).read().splitlines()[1:]]
+        assert len(times) > 500 and times == sorted(times)
+    for write, folder in ((write_csv, "csv2"), (write_parquet, "pq2")):
+        for day in ("2025-06-01", "2025-06-02"):
+            write(s.where(f"market_day = '{day}'"), f"{tmpdir_path}/{folder}")
+        assert len(glob.glob(f"{tmpdir_path}/{folder}/market_day=*")) == 2
+
+
+def test_extreme_readings_leave_other_groups_alone(spark):
+    from wattline.operators.summary import dispatch_summary, scada_summary
+
+    rows = [("A", 1.0), ("A", 2.0), ("B", 1e29), ("B", 3.0), ("C", float("inf")), ("D", 1e300), ("E", float("nan")), ("E", 4.0)]
+    df = spark.createDataFrame([(u, "2025-06-01", v, 0, v, v, v) for u, v in rows],
+                               "duid string, market_day string, measured_mw double, mw_quality_flag int, initialmw double, initial_energy_storage double, energy_storage double")
+    for out, mean in ((scada_summary(df), "mean_mw"), (dispatch_summary(df), "mean_mw")):
+        got = {r["duid"]: r[mean] for r in out.collect()}
+        assert got["A"] == 1.5 and got["E"] == 4.0 and got["C"] == float("inf")
+        assert abs(got["B"] / 5e28 - 1) < 1e-9 and got["D"] == 1e300

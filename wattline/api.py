@@ -20,6 +20,7 @@ from .operators.series import head_per_group, json_records
 from .operators.summary import dispatch_summary, flag_breakdown, scada_summary
 from .plans.dispatch import dispatch_series
 from .plans.scada import scada_series
+from .session import land
 
 _DATE_PARAM = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 
@@ -27,11 +28,11 @@ _DATE_PARAM = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 def parse_request_date(text: str) -> date:
     """Strict ``YYYY-MM-DD`` request parameter (driver-side argument check)."""
     if not isinstance(text, str) or not _DATE_PARAM.match(text):
-        raise ValueError("Invalid date format. Use YYYY-MM-DD.")
+        raise ValueError(f"not a calendar date in the form 2025-06-30: {text!r}")
     try:
         return datetime.strptime(text, "%Y-%m-%d").date()
     except ValueError as exc:
-        raise ValueError("Invalid date format. Use YYYY-MM-DD.") from exc
+        raise ValueError(f"not a calendar date in the form 2025-06-30: {text!r}") from exc
 
 
 def default_request_date(as_of: date) -> date:
@@ -46,6 +47,15 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
+def check_request_date(day: date, scada: bool, as_of: date) -> date:
+    """A requested day must not lie before the first day that the chosen data
+    sets have, nor be ``as_of`` or later."""
+    first = K.SCADA_START_DATE if scada else K.DISPATCH_START_DATE
+    if not first <= day < as_of:
+        raise ValueError(f"{day} is outside {first} to {as_of - timedelta(days=1)}")
+    return day
+
+
 def units_of_state(units: DataFrame, state: str) -> DataFrame:
     return units.where(F.col("state") == state).orderBy("duid")
 
@@ -59,14 +69,16 @@ def _one(series: DataFrame, duid: str | None, day: date | None) -> DataFrame:
 
 
 def scada_view(lines: DataFrame, duid: str | None = None, day: date | None = None,
-               cap: int = K.JSON_ROW_CAP, strict: bool = False) -> dict[str, DataFrame]:
+               cap: int | None = None, strict: bool = False) -> dict[str, DataFrame]:
     """SCADA data view: series, summary, row counts before/after the display
-    cap, flag breakdown, display records (first ``cap`` per unit-day) and
-    per-day warnings."""
-    series = _one(scada_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day)
+    cap, flag breakdown, display records (the first ``cap`` per unit-day; all
+    if None) and per-day warnings. The feed is parsed once: the series is
+    written and every output reads it back."""
+    series = land(_one(scada_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day), "view")
     if strict:
-        require_rows(series, f"No data found for DUID '{duid}' within the market day {day}.")
-    head = head_per_group(series, n=cap)
+        require_rows(series, f"unit {duid}: no readings on market day {day}")
+    head = series if cap is None else head_per_group(series, n=cap)
+    shown = F.col("total_rows") if cap is None else F.least(F.col("total_rows"), F.lit(cap))
     days = series.select("market_day").distinct()
     summary = scada_summary(series)
     return {
@@ -74,7 +86,7 @@ def scada_view(lines: DataFrame, duid: str | None = None, day: date | None = Non
         "summary": summary,
         # rows before and after the display cap, per unit-day
         "counts": summary.select("duid", "market_day", "total_rows",
-                                 F.least(F.col("total_rows"), F.lit(cap)).alias("displayed_rows")),
+                                 shown.alias("displayed_rows")),
         "flag_breakdown": flag_breakdown(series),
         "records": json_records(head, ["interval_datetime", "measurement_datetime"],
                                 keep=["interval_datetime", "measurement_datetime", "measured_mw", "mw_quality_flag"]),
@@ -85,10 +97,11 @@ def scada_view(lines: DataFrame, duid: str | None = None, day: date | None = Non
 
 def energy_view(lines: DataFrame, duid: str | None = None, day: date | None = None,
                 strict: bool = False) -> dict[str, DataFrame]:
-    """Dispatch energy view: series, summary and records (no cap)."""
-    series = _one(dispatch_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day)
+    """Dispatch energy view: series, summary and records (no cap); the feed is
+    parsed once."""
+    series = land(_one(dispatch_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day), "view")
     if strict:
-        require_rows(series, f"No dispatch data found for DUID '{duid}' within the market day {day}.")
+        require_rows(series, f"unit {duid}: no dispatch intervals on market day {day}")
     return {
         "series": series,
         "summary": dispatch_summary(series),

@@ -1,15 +1,13 @@
 """Request-log statistics and rank-based wait estimates.
 
 Top-N lists are global ``ORDER BY … LIMIT`` (Spark's distributed top-k:
-each task keeps N rows, one task merges them). The "last 100 views" of a
-source type is one such top-k per source type of the fixed list, so no
-source type's rows are ever gathered in one task.
+each task keeps N rows, one task merges them). The "last 100 views" of every
+source type are one ranked pass; a group limit below the shuffle lets each
+task send 100 rows of a source type at most. Seconds round half to even.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +50,10 @@ def timing_estimates(log: DataFrame, spark: SparkSession | None = None) -> DataF
     """
     spark = spark or log.sparkSession
     views = log.where(F.col("duration_ms").isNotNull() & (F.col("action") == "view"))
-    latest = reduce(
-        DataFrame.unionByName,
-        [
-            views.where(F.col("source_type") == s).orderBy(F.desc("id")).limit(K.TIMING_WINDOW)
-            .select("source_type", "duration_ms")
-            for s in K.SOURCE_TYPES
-        ],
+    # one scan: a task passes on its last TIMING_WINDOW rows of a source at most
+    newest = F.row_number().over(Window.partitionBy("source_type").orderBy(F.desc("id")))
+    latest = views.where(F.col("source_type").isin(K.SOURCE_TYPES)).withColumn("_rn", newest).where(
+        F.col("_rn") <= K.TIMING_WINDOW
     )
     # each group holds at most TIMING_WINDOW values
     stats = latest.groupBy("source_type").agg(
@@ -72,7 +67,7 @@ def timing_estimates(log: DataFrame, spark: SparkSession | None = None) -> DataF
     return out.select(
         "source_type",
         F.when(is_default, F.col("default_sec").cast("bigint"))
-        .otherwise(F.round(p / 1000.0).cast("bigint")).alias("seconds"),
+        .otherwise(F.bround(p / 1000.0).cast("bigint")).alias("seconds"),
         n.cast("bigint").alias("sample_count"),
         is_default.alias("is_default"),
     )

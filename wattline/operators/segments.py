@@ -90,24 +90,20 @@ def parse_segments(
     h = lines.where((tag == "I") & more_than_3 & table_ok()).select(
         "file",
         F.col("line_key").alias("segment_key"),
-        F.transform(F.slice(split_fields(v), 4, 1 << 20), lambda x: F.trim(unquote(x))).alias("header"),
+        F.transform(F.slice(split_fields(v), F.lit(4), F.greatest(F.size(split_fields(v)) - 3, F.lit(0))), lambda x: F.trim(unquote(x))).alias("header"),
     )
     w_file = Window.partitionBy("file").orderBy("segment_key")
     h = h.withColumn("next_key", F.lead("segment_key").over(w_file))
-    # per-file union of header columns for the required-column check
-    all_cols = F.array_distinct(F.flatten(F.collect_list("header").over(Window.partitionBy("file"))))
-    h = h.withColumn("_all_cols", all_cols)
+    # required columns: does any header of the file name them (one boolean each)
+    def in_file(names: list[str]):
+        return F.max(F.greatest(F.lit(False), F.lit(False), *[F.array_contains("header", c) for c in names])).over(
+            Window.partitionBy("file")
+        )
+
     ok = F.lit(True)
-    for c in require or []:
-        ok = ok & F.array_contains("_all_cols", c)
-    if require_any:
-        anyc = F.lit(False)
-        for c in require_any:
-            anyc = anyc | F.array_contains("_all_cols", c)
-        ok = ok & anyc
-    h = h.withColumn("accepted", ok).withColumn(
-        "reason", F.when(~ok, F.lit("missing required columns"))
-    ).drop("_all_cols")
+    for names in [*[[c] for c in require or []], *([require_any] if require_any else [])]:
+        ok = ok & in_file(names)
+    h = h.withColumn("accepted", ok).withColumn("reason", F.when(~F.col("accepted"), F.lit("missing required columns")))
     for c in columns:
         h = h.withColumn(_pos_col(c), F.array_position("header", c).cast("int"))
 

@@ -7,6 +7,8 @@ whose size is bounded by the day's time grid after de-duplication.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .. import constants as K
 from ..functions.casts import format_time
 from ..functions.text import display_count, display_fixed
 from ..session import broadcast_if_small
+from .summary import any_present
 
 DEFAULT_BY = ("duid", "market_day")
 
@@ -49,48 +52,28 @@ def quality_strip(breakdown: DataFrame, flags: DataFrame, flag: str = "mw_qualit
     return breakdown.join(dim, flag, "inner").select(*by, flag, "label", "color", "ord", "count", "pct")
 
 
-ENERGY_SERIES = [
-    ("initial_energy_storage", "Initial Energy (MWh)"),
-    ("energy_storage", "End Energy (MWh)"),
-    ("initialmw", "Dispatch MW"),
-]
-
-
 def energy_series(dispatch: DataFrame, time_col: str = "settlementdate", by=DEFAULT_BY) -> DataFrame:
     """Three named series over one time axis; a series with no value in a
-    unit-day is dropped. ``series_present`` is a window over the unit-day's
-    points of one series (≤ 288 after de-duplication on the 5-minute grid)."""
-    long = dispatch.unpivot(
-        [*by, time_col], [c for c, _ in ENERGY_SERIES], "measure", "value"
-    )
-    names = F.create_map(*[x for c, n in ENERGY_SERIES for x in (F.lit(c), F.lit(n))])
-    present = F.bool_or(F.col("value").isNotNull()).over(Window.partitionBy(*by, "measure"))
-    return (
-        long.withColumn("series_present", present)
-        .where("series_present")
-        .select(*by, "measure", names[F.col("measure")].alias("series"), time_col, "value")
-    )
+    unit-day is dropped. Presence is one aggregate per unit-day, combined in
+    the tasks and joined back before the points are unpivoted."""
+    has = any_present(dispatch, by, [c for c, _ in K.ENERGY_SERIES])
+    keys = {b: f"_by_{b}" for b in by}
+    has = has.withColumnsRenamed(keys)
+    same = reduce(lambda a, b: a & b, [dispatch[b].eqNullSafe(has[k]) for b, k in keys.items()])
+    points = F.array(*[
+        F.when(F.col(f"has_{c}"), F.struct(F.lit(c).alias("measure"), F.lit(n).alias("series"), F.col(c).cast("double").alias("value")))
+        for c, n in K.ENERGY_SERIES
+    ])
+    rows = dispatch.join(has, same).select(*[dispatch[b] for b in by], time_col, F.explode(F.array_compact(points)).alias("p"))
+    return rows.select(*by, "p.measure", "p.series", time_col, "p.value")
 
 
 def stat_cards(summary: DataFrame, kind: str = "scada", by=DEFAULT_BY) -> DataFrame:
     """Label/value display pairs of a summary (one row per card)."""
-    if kind == "scada":
-        cards = [
-            ("Total Readings", display_count("total_rows")),
-            ("Min MW", display_fixed("min_mw", 2)),
-            ("Max MW", display_fixed("max_mw", 2)),
-            ("Mean MW", display_fixed("mean_mw", 2)),
-            ("Std Dev", display_fixed("std_mw", 2)),
-        ]
-    else:
-        cards = [
-            ("Total Intervals", display_count("total_rows")),
-            ("Min Dispatch MW", display_fixed("min_mw", 1)),
-            ("Max Dispatch MW", display_fixed("max_mw", 1)),
-            ("Min Energy (MWh)", display_fixed("min_init_mwh", 1)),
-            ("Max Energy (MWh)", display_fixed("max_init_mwh", 1)),
-            ("Mean Energy (MWh)", display_fixed("mean_init_mwh", 1)),
-        ]
+    cards = [
+        (label, display_count(col) if digits is None else display_fixed(col, digits))
+        for label, col, digits in (K.SCADA_CARDS if kind == "scada" else K.DISPATCH_CARDS)
+    ]
     arr = F.array(*[
         F.struct(F.lit(i).alias("card_no"), F.lit(lbl).alias("label"), val.alias("value"))
         for i, (lbl, val) in enumerate(cards)
@@ -98,7 +81,7 @@ def stat_cards(summary: DataFrame, kind: str = "scada", by=DEFAULT_BY) -> DataFr
     return summary.select(*by, F.inline(arr))
 
 
-def head_per_group(series: DataFrame, n: int = K.JSON_ROW_CAP, order: str = "measurement_datetime",
+def head_per_group(series: DataFrame, n: int, order: str = "measurement_datetime",
                    by=DEFAULT_BY) -> DataFrame:
     """First ``n`` points of each group in time order (display cap).
 

@@ -17,8 +17,12 @@ MEAN_SCALE = 10
 
 def exact_mean(col, decimals: int):
     """Mean over DECIMAL: exact, so independent of partitioning and summing
-    order (a DOUBLE sum can land either side of a rounding tie)."""
-    return F.round(F.avg(col.cast(f"decimal(38,{MEAN_SCALE})")), decimals).cast("double")
+    order (a DOUBLE sum can land either side of a rounding tie). A group that
+    holds a value beyond ±1e17 (or an infinity) has the mean of its doubles
+    instead; it stops neither the job nor another group's exact mean."""
+    fits = F.abs(col) < 1e17
+    exact = F.round(F.avg(F.when(fits, col).try_cast(f"decimal(38,{MEAN_SCALE})")), decimals).cast("double")
+    return F.when(F.bool_and(fits), exact).otherwise(F.round(F.avg(col), decimals))
 
 
 def scada_summary(series: DataFrame, by=DEFAULT_BY, mw: str = "measured_mw") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators.catalog_ops import bundle_candidates, match_daily
 from ..sources.archives import archive_entries, entry_id, read_entries, select_entries
-from ..session import DEFAULT_BROADCAST_ROWS, persist_counted
+from ..session import broadcast_if_small, land, persist_counted
 from ..sources.catalog import source_rank
 from .dispatch import dispatch_series
 from .scada import scada_series
@@ -59,35 +59,62 @@ def dispatch_candidates(targets: DataFrame, catalog: DataFrame) -> DataFrame:
     return daily.unionByName(bundles)
 
 
-def choose(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Entries of the first (source, class) per ``by`` that yields any entry.
+RANK_COLS = ["src_rank", "cls"]
 
-    Returns ``(chosen entries with an order key, rejects)``. A source whose
-    archives fail or hold nothing for the day falls through to the next.
-    """
+
+def _candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     cand, n_cand = persist_counted(candidates.withColumn("src_rank", source_rank("source")))
     # archive listings are read once and reused by every branch below
     entries, _ = persist_counted(archive_entries(cand.select("path"), n_paths=n_cand))
-    selected, rejects = select_entries(entries, cand.select(*REQUEST_COLS, "src_rank"))
-    best = selected.groupBy(*by).agg(F.min(F.struct("src_rank", "cls")).alias("_best"))
-    chosen = selected.join(best, by).where(F.struct("src_rank", "cls") == F.col("_best")).drop("_best")
-    chosen = chosen.withColumn("entry", entry_id(F.col("path"), F.col("outer")))
-    chosen = chosen.withColumn("entry_order", F.struct("src_rank", "cls", "format", "cand_rank", "entry"))
-    chosen, _ = persist_counted(chosen)
-    return chosen, rejects
+    return select_entries(entries, cand.select(*REQUEST_COLS, "src_rank"))
 
 
-def _lines_with_order(chosen: DataFrame) -> DataFrame:
+def _first_choice(selected: DataFrame, by: list[str]) -> DataFrame:
+    """Entries of the first (source, class) per ``by`` that has any."""
+    best = selected.groupBy(*by).agg(F.min(F.struct(*RANK_COLS)).alias("_best"))
+    chosen = selected.join(best, by).where(F.struct(*RANK_COLS) == F.col("_best")).drop("_best")
+    chosen = chosen.withColumn("entry", entry_id(F.col("path"), F.col("outer")))
+    return chosen.withColumn("entry_order", F.struct("src_rank", "cls", "format", "cand_rank", "entry"))
+
+
+def choose_and_read(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(chosen entries with an order key, their lines, rejects)``.
+
+    The first (source, class) per ``by`` that yields any entry is read, and
+    its text landed once. If something in it cannot be read, the archive is
+    rejected for the days it was chosen for, and those days fall through to
+    their next archive, class or source, which is read in turn. A day is
+    served by archives that were read in full, or it has a reject row for each
+    archive tried. The rounds are at most the ranks of a candidate."""
+    selected, rejects = _candidates(candidates)
+    landed, read = None, None
+    while True:
+        chosen, _ = persist_counted(_first_choice(selected, by))
+        fresh = chosen.select("path", "outer", "inner", "entry").distinct()
+        if read is not None:
+            fresh = fresh.join(read, "entry", "left_anti")
+        fresh, n_fresh = persist_counted(fresh)
+        if landed is not None and not n_fresh:
+            break
+        lines = land(read_entries(fresh, n_entries=n_fresh), "archive-lines")
+        landed = lines if landed is None else landed.unionByName(lines)
+        read = fresh.select("entry") if read is None else read.union(fresh.select("entry"))
+        failed = lines.where(F.col("error").isNotNull()).groupBy("entry").agg(F.min("error").alias("reason"))
+        bad = land(chosen.join(failed, "entry").select("path", "target_date", "reason").distinct(), "archive-rejects")
+        if bad.isEmpty():
+            break
+        rejects = rejects.unionByName(bad.select("path", "target_date", "reason"))
+        selected = selected.join(bad.select("path", "target_date"), ["path", "target_date"], "left_anti")
+    return chosen, landed.where(F.col("error").isNull()).drop("error"), rejects
+
+
+def _lines_with_order(chosen: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of the chosen entries with their order key and the day each
     entry was chosen for (an entry serving two days yields its lines twice,
     each copy restricted to its day later)."""
-    order, n_rows = persist_counted(
-        chosen.groupBy("entry", "target_date").agg(F.min("entry_order").alias("entry_order"))
-    )
-    lines = read_entries(chosen, n_entries=n_rows)
+    order = chosen.groupBy("entry", "target_date").agg(F.min("entry_order").alias("entry_order"))
     # one row per (entry, day): broadcast while that table is small
-    if n_rows <= DEFAULT_BROADCAST_ROWS:
-        order = F.broadcast(order)
+    order, _ = broadcast_if_small(order)
     # "first" = candidate order, then the CSV within an inner archive, then the line
     out = lines.join(order, "entry", "inner")
     return out.withColumn("file_order", F.struct("entry_order", "file")).drop("entry", "entry_order")
@@ -96,16 +123,14 @@ def _lines_with_order(chosen: DataFrame) -> DataFrame:
 def scada_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:
     """SCADA series of every requested (day) from landed archives; the
     market-day window keeps only the requested days."""
-    chosen, _ = choose(scada_candidates(targets, catalog), ["target_date", "format"])
-    lines = _lines_with_order(chosen)
-    return scada_series(lines, units=units, file_order="file_order", target_col="target_date")
+    chosen, lines, _ = choose_and_read(scada_candidates(targets, catalog), ["target_date", "format"])
+    return scada_series(_lines_with_order(chosen, lines), units=units, file_order="file_order", target_col="target_date")
 
 
 def dispatch_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:
     """Dispatch series of every requested day from landed archives."""
-    chosen, _ = choose(dispatch_candidates(targets, catalog), ["target_date"])
-    lines = _lines_with_order(chosen)
-    return dispatch_series(lines, units=units, file_order="file_order", target_col="target_date")
+    chosen, lines, _ = choose_and_read(dispatch_candidates(targets, catalog), ["target_date"])
+    return dispatch_series(_lines_with_order(chosen, lines), units=units, file_order="file_order", target_col="target_date")
 
 
 def days_served(chosen: DataFrame) -> DataFrame:

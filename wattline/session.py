@@ -11,10 +11,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may hold to be broadcast. The side is counted first, so the
-# bound is checked, never assumed. Header / catalog rows are ~200 bytes, so
-# the bound keeps a broadcast near 50 MB.
-DEFAULT_BROADCAST_ROWS = 250_000
+# Rows and bytes a side may hold to be broadcast. The side is materialised
+# first, so both bounds are checked, never assumed.
+DEFAULT_BROADCAST_ROWS = 4_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
 def get_spark(
@@ -134,13 +134,20 @@ def persist_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Persist ``df``, count it, and hint a broadcast only when it is small.
+    """Persist ``df``, measure it, and hint a broadcast only when it is small
+    in rows and in bytes (the size that the materialised cache reports).
 
     Returns the (persisted) frame and whether the broadcast hint was applied.
-    Above the bound the frame is returned unhinted so the planner uses a
+    Above the bounds the frame is returned unhinted so the planner uses a
     shuffle join (with adaptive skew splitting).
     """
     df, n = persist_counted(df)
-    if n <= max_rows:
+    if n <= max_rows and _bytes_of(df) <= DEFAULT_BROADCAST_BYTES:
         return F.broadcast(df), True
     return df, False
+
+
+def _bytes_of(df: DataFrame) -> int:
+    """Size of a materialised frame, by the optimizer's statistics (exact for
+    a filled cache)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -8,9 +8,10 @@ times as ``YYYY-MM-DD HH:MM:SS``; Parquet keeps typed times.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.casts import format_time
 from ..operators.series import json_records
 
@@ -22,9 +23,18 @@ def _time_cols(df: DataFrame) -> list[str]:
     return [c for c in SCADA_TIME_COLS + DISPATCH_TIME_COLS if c in df.columns]
 
 
-def _sorted(df: DataFrame) -> DataFrame:
-    t = _time_cols(df)
-    return df.sortWithinPartitions(*[c for c in ("duid", *t[-1:]) if c in df.columns])
+def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each unit-day in one task, rows by (day, unit, time): the order that the
+    partitioned writer keeps, so it sorts nothing anew."""
+    named = {c.lower(): c for c in df.columns}
+    time = [named[c] for c in SCADA_TIME_COLS + DISPATCH_TIME_COLS if c in named][-1:]
+    units = [c for c in ("duid",) if c in df.columns and c not in keys]
+    return df.repartition(*keys, *units).sortWithinPartitions(*keys, *units, *time)
+
+
+def _writer(df: DataFrame, mode: str):
+    """Overwriting replaces the partitions that ``df`` holds, no others."""
+    return df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
 
 
 def csv_frame(series: DataFrame) -> DataFrame:
@@ -42,23 +52,29 @@ def csv_frame(series: DataFrame) -> DataFrame:
 
 
 def write_csv(series: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One folder per unit-day, lines in time order."""
     (
-        _sorted(csv_frame(series)).repartition("market_day", "duid")
-        .write.mode(mode).partitionBy("market_day", "duid")
+        _writer(_in_order(csv_frame(series), ["market_day", "duid"]), mode)
+        .partitionBy("market_day", "duid")
         .option("header", True).option("nullValue", "").option("emptyValue", "")
         .csv(path)
     )
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`write_csv` wrote; ``schema`` in DDL form names the columns
+    of a line (upper case) and ``duid string, market_day date``."""
+    return spark.read.schema(schema).option("header", True).option("timestampNTZFormat", K.OUTPUT_TIME_FORMAT).csv(path)
+
+
 MAX_ROWS_PER_FILE = 5_000_000
 
 
 def write_parquet(series: DataFrame, path: str, mode: str = "overwrite", partition_by=("market_day",)) -> None:
     """Day folders; rows clustered by (day, unit) so each unit-day lands in
     one task and one file, and no single day is written by a single task."""
-    cluster = [*partition_by, *[c for c in ("duid",) if c in series.columns and c not in partition_by]]
     (
-        _sorted(series.repartition(*cluster)).write.mode(mode)
+        _writer(_in_order(series, list(partition_by)), mode)
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy(*partition_by).parquet(path)
     )
@@ -66,8 +82,8 @@ def write_parquet(series: DataFrame, path: str, mode: str = "overwrite", partiti
 
 def write_json(series: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per line (NaN → null, NULL kept as null)."""
-    recs = json_records(series, _time_cols(series))
-    recs.select("market_day", "record").write.mode(mode).partitionBy("market_day").text(path)
+    recs = json_records(_in_order(series, ["market_day"]), _time_cols(series))
+    _writer(recs.select("market_day", "record"), mode).partitionBy("market_day").text(path)
 
 
 def write_series(series: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

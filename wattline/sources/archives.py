@@ -16,17 +16,24 @@ Three steps, each a Spark job over tables:
 from __future__ import annotations
 
 import io
+import shutil
+import tempfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.dates import dispatch_search_keys, scada_search_keys
+from ..session import ship_package
 from .lines import line_key
 
+# a date in an entry's name: eight digits by themselves or before six of a time
+ENTRY_DATE_PATTERN = r"(?<!\d)(\d{8})(?:\d{6})?(?!\d)"
+
 ENTRY_SCHEMA = "path string, outer string, inner string, size long, error string"
 
 
@@ -89,13 +96,14 @@ def _tasks(spark, n_items: int | None) -> int:
     cluster's parallelism. An explicit count keeps adaptive execution from
     folding a small-row (but heavy) table into one task."""
     par = spark.sparkContext.defaultParallelism
-    return max(par, min(n_items, 100_000)) if n_items else par * 2
+    return max(par, n_items) if n_items else par * 2
 
 
 def archive_entries(paths: DataFrame, path_col: str = "path", n_paths: int | None = None) -> DataFrame:
     """``path`` table → one row per reachable CSV (``outer``, ``inner``) or a
     reject row (``error`` set). Archives are spread over tasks by path."""
     p = paths.select(F.col(path_col).alias("path")).distinct()
+    ship_package(paths.sparkSession)
     p = p.repartition(_tasks(paths.sparkSession, n_paths), F.col("path"))
     return p.mapInPandas(_list_batches, ENTRY_SCHEMA)
 
@@ -115,6 +123,10 @@ def select_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     * Dispatch bundle: dated CSVs, else dated inner archives' CSVs, else the
       only CSV, else an error listing up to ten dates found.
 
+    An entry is dated by the dates extracted from its name (eight digits
+    between non-digits, or the head of a 14-digit time), never by digits that
+    happen to occur in a sequence number.
+
     Returns ``(selected, rejects)``; rejects carry ``path, target_date, reason``.
     """
     req = requests.withColumn(
@@ -125,13 +137,13 @@ def select_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     ok = entries.where(F.col("error").isNull())
     e = ok.join(req, "path", "inner")
     direct = F.col("inner").isNull()
-    outer_dated = F.exists("search_keys", lambda k: F.col("outer").contains(k))
-    e = e.withColumn("_direct", direct).withColumn("_dated", outer_dated)
+    dates = F.regexp_extract_all("outer", F.lit(ENTRY_DATE_PATTERN), 1)
+    e = e.withColumn("_direct", direct).withColumn("_dated", F.arrays_overlap("search_keys", dates))
+    e = e.withColumn("_first_date", F.get(dates, F.lit(0)))
     counts = e.groupBy("path", "target_date").agg(
         F.sum(F.col("_direct").cast("int")).alias("n_direct"),
         F.sum((F.col("_direct") & F.col("_dated")).cast("int")).alias("n_direct_dated"),
         F.sum((~F.col("_direct") & F.col("_dated")).cast("int")).alias("n_inner_dated"),
-        F.slice(F.array_sort(F.collect_set(F.regexp_extract("outer", r"(\d{8})", 1))), 1, 10).alias("dates_seen"),
     )
     e = e.join(counts, ["path", "target_date"])
     scada = F.col("product") == K.SCADA_PRODUCT
@@ -147,15 +159,25 @@ def select_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame,
         .otherwise(
               F.when(ndd > 0, d & dt).when(nid > 0, ~d & dt).when(nd == 1, d).otherwise(F.lit(False)))
     )
-    selected = e.where(keep).drop("_direct", "_dated", "n_direct", "n_direct_dated", "n_inner_dated", "dates_seen")
+    selected = e.where(keep).drop("_direct", "_dated", "_first_date", "n_direct", "n_direct_dated", "n_inner_dated")
     fails = (
         (scada & ~bundle & (ndd == 0) & (nd > 1))
         | (~scada & bundle & (ndd == 0) & (nid == 0) & (nd != 1))
     )
-    rej_rules = e.where(fails).select(
-        "path", "target_date",
-        F.concat(F.lit("no entry for the date; dates seen: "), F.array_join("dates_seen", ", ")).alias("reason"),
-    ).distinct()
+    # what the archive has instead: for SCADA its five newest dates, for dispatch its ten oldest
+    seen = e.where(fails).select("path", "target_date", "product", "_first_date").distinct()
+    per = Window.partitionBy("path", "target_date")
+    newest = F.row_number().over(per.orderBy(F.desc_nulls_last("_first_date")))
+    oldest = F.row_number().over(per.orderBy(F.asc_nulls_last("_first_date")))
+    seen = seen.withColumn("_new", newest).withColumn("_old", oldest).where(
+        F.when(scada, F.col("_new") <= K.NEWEST_DATES_SHOWN).otherwise(F.col("_old") <= K.OLDEST_DATES_SHOWN)
+    )
+    rej_rules = seen.groupBy("path", "target_date").agg(
+        F.concat(
+            F.lit("no entry for the date; dates seen: "),
+            F.array_join(F.array_sort(F.array_compact(F.collect_list("_first_date"))), ", "),
+        ).alias("reason")
+    )
     rej_bad = entries.where(F.col("error").isNotNull()).join(req.select("path", "target_date"), "path").select(
         "path", "target_date", F.col("error").alias("reason")
     )
@@ -171,7 +193,9 @@ def _line_schema():
     if _LINE_SCHEMA is None:
         import pyarrow as pa
 
-        _LINE_SCHEMA = pa.schema([("file", pa.string()), ("entry", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
+        _LINE_SCHEMA = pa.schema([
+            ("file", pa.string()), ("entry", pa.string()), ("pos", pa.int64()), ("value", pa.string()), ("error", pa.string()),
+        ])
     return _LINE_SCHEMA
 
 
@@ -181,11 +205,18 @@ def _line_batch(file_id: str, entry_id: str, start: int, lines: list[str]):
     n = len(lines)
     return pa.RecordBatch.from_arrays(
         [pa.array([file_id] * n, pa.string()), pa.array([entry_id] * n, pa.string()),
-         pa.array(range(start, start + n), pa.int64()), pa.array(lines, pa.string())],
+         pa.array(range(start, start + n), pa.int64()), pa.array(lines, pa.string()), pa.nulls(n, pa.string())],
         schema=_line_schema(),
     )
 
 
+def _error_batch(entry_id: str, error: str):
+    import pyarrow as pa
+
+    row = {"file": [entry_id], "entry": [entry_id], "pos": [None], "value": [None], "error": [error]}
+    return pa.RecordBatch.from_pydict(row, schema=_line_schema())
+
+
 def _stream_text(raw, file_id: str, entry_id: str):
     """Decode in blocks (universal newlines, invalid UTF-8 replaced) and split
     on line ends; a partial last line is carried to the next block, so
@@ -209,27 +240,38 @@ def _stream_text(raw, file_id: str, entry_id: str):
 def _read_batches(batches):
     """Task side: stream each chosen entry as Arrow batches of lines. An
     inner archive is opened here and each of its CSVs (in name order) is a
-    file of its own."""
+    file of its own. What cannot be read, and an inner archive without a CSV,
+    gives one row with ``error``."""
     for rb in batches:
         d = rb.to_pydict()
         for path, outer_name, inner_name in zip(d["path"], d["outer"], d["inner"]):
-            entry_id = f"{path}!/{outer_name}"
-            with _open(path) as fh, zipfile.ZipFile(fh) as outer:
-                if inner_name is None:
-                    with outer.open(outer_name) as raw:
-                        yield from _stream_text(raw, entry_id, entry_id)
-                    continue
-                try:
-                    inner = zipfile.ZipFile(io.BytesIO(outer.read(outer_name)))
-                except zipfile.BadZipFile:
-                    continue  # an unreadable inner archive contributes nothing
-                with inner:
-                    names = sorted(n for n in inner.namelist() if n.lower().endswith(".csv"))
-                    if inner_name != ALL_CSVS:
-                        names = [n for n in names if n == inner_name]
-                    for csv_name in names:
-                        with inner.open(csv_name) as raw:
-                            yield from _stream_text(raw, f"{entry_id}!/{csv_name}", entry_id)
+            name = f"{path}!/{outer_name}"
+            try:
+                yield from _entry_lines(path, outer_name, inner_name, name)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError) as exc:
+                yield _error_batch(name, f"bad zip: {exc}")
+            except OSError as exc:
+                yield _error_batch(name, f"unreadable: {exc}")
+
+
+def _entry_lines(path: str, outer_name: str, inner_name: str | None, name: str):
+    with _open(path) as fh, zipfile.ZipFile(fh) as outer:
+        if inner_name is None:
+            with outer.open(outer_name) as raw:
+                yield from _stream_text(raw, name, name)
+            return
+        with outer.open(outer_name) as packed, tempfile.TemporaryFile() as copy:
+            shutil.copyfileobj(packed, copy)  # the inner archive needs a seekable file, not memory
+            with zipfile.ZipFile(copy) as inner:
+                members = {
+                    info.filename for info in inner.infolist()
+                    if info.filename.lower().endswith(".csv") and inner_name in (ALL_CSVS, info.filename)
+                }
+                if not members:
+                    yield _error_batch(name, "inner archive holds no CSV")
+                for member in sorted(members):
+                    with inner.open(member) as raw:
+                        yield from _stream_text(raw, f"{name}!/{member}", name)
 
 
 def entry_id(path, outer):
@@ -238,11 +280,13 @@ def entry_id(path, outer):
 
 
 def read_entries(selected: DataFrame, n_entries: int | None = None) -> DataFrame:
-    """Chosen entries → ``(file, line_key, value, entry)``; entries are spread over
-    tasks by identity (one slot per entry when the count is known), text is
-    streamed as Arrow batches of one decoded block each (never a whole file
-    in memory)."""
+    """Chosen entries → ``(file, line_key, value, entry, error)``; entries are
+    spread over tasks by identity (one slot per entry when the count is known),
+    text is streamed as Arrow batches of one decoded block each (never a whole
+    file in memory). ``error`` is NULL but for one row of each entry that could
+    not be read to its end."""
+    ship_package(selected.sparkSession)
     ent = selected.select("path", "outer", "inner").distinct()
     ent = ent.repartition(_tasks(selected.sparkSession, n_entries), F.col("path"), F.col("outer"), F.col("inner"))
-    raw = ent.mapInArrow(_read_batches, "file string, entry string, pos long, value string")
-    return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value", "entry")
+    raw = ent.mapInArrow(_read_batches, "file string, entry string, pos long, value string, error string")
+    return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value", "entry", "error")

@@ -25,33 +25,28 @@ REGISTRY_JSON_SCHEMA = (
 FLAGS_JSON_SCHEMA = "map<string, struct<label:string, description:string, color:string>>"
 
 
-def resolve_header(headers: list[str], target: str) -> int | None:
-    """Index of ``target``: exact match first, then case-insensitive prefix,
-    first in position order. Works on column metadata only."""
-    for i, h in enumerate(headers):
-        if h == target:
-            return i
-    t = target.lower()
-    for i, h in enumerate(headers):
-        if h.lower().startswith(t):
-            return i
-    return None
+REQUIRED_REGISTRY = ("duid", "tech", "status", "region")
+
+
+def header_ranks(headers: list[str], target: str) -> list[tuple[bool, int]]:
+    """Columns that can stand for ``target``, as (not exact, position): names
+    that begin with it in any case, the exact name ranking before the rest."""
+    wanted = target.casefold()
+    return [(name != target, at) for at, name in enumerate(headers) if name.casefold().startswith(wanted)]
 
 
 def registry_from_sheet(df: DataFrame) -> DataFrame:
     """Sheet-shaped table (columns named by the header row) → canonical
     STRING columns. Missing optional columns come out as ''."""
     headers = [c.strip() for c in df.columns]
-    cols = []
-    for key, target in K.REGISTRY_COLUMNS.items():
-        idx = resolve_header(headers, target)
-        if idx is None:
-            if key in ("duid", "tech", "status", "region"):
-                raise ValueError(f"required registry column not found: {target!r}; headers: {headers[:20]}")
-            cols.append(F.lit("").alias(key))
-        else:
-            cols.append(clean_cell(F.col(f"`{df.columns[idx]}`")).alias(key))
-    return df.select(*cols)
+    ranks = {key: header_ranks(headers, target) for key, target in K.REGISTRY_COLUMNS.items()}
+    absent = [K.REGISTRY_COLUMNS[key] for key in REQUIRED_REGISTRY if not ranks[key]]
+    if absent:
+        raise ValueError(f"unit registry lacks {absent}; its columns are {headers}")
+    return df.select(*[
+        (clean_cell(F.col(f"`{df.columns[min(found)[1]]}`")) if found else F.lit("")).alias(key)
+        for key, found in ranks.items()
+    ])
 
 
 def _position_expr(hdr: Column, target: str) -> Column:
@@ -64,7 +59,9 @@ def _position_expr(hdr: Column, target: str) -> Column:
 def registry_from_lines(lines: DataFrame) -> DataFrame:
     """CSV text of the sheet with title rows: the header is the first row of
     each file that names the unit-id and technology columns; rows after it
-    are data. Fields are looked up by header position (expressions only)."""
+    are data. Fields are looked up by header position (expressions only). A
+    file without such a row, or whose header lacks a required column, is an
+    error: nothing is dropped unseen."""
     cells = lines.select(
         "file", "line_key",
         F.transform(split_fields("value"), lambda x: F.trim(unquote(x))).alias("cells"),
@@ -80,6 +77,11 @@ def registry_from_lines(lines: DataFrame) -> DataFrame:
         _position_expr(F.col("_hdr"), target).alias(f"_p_{key}") for key, target in K.REGISTRY_COLUMNS.items()
     ])
     hdr, _ = broadcast_if_small(hdr)
+    files = cells.select(F.col("file").alias("_hfile")).distinct().join(hdr, "_hfile", "left")
+    lacks = F.greatest(*[F.coalesce(F.col(f"_p_{key}"), F.lit(0)) == 0 for key in REQUIRED_REGISTRY])
+    faulty = files.where(lacks).select("_hfile").orderBy("_hfile").take(5)
+    if faulty:
+        raise ValueError(f"unit registry text without its required columns, for one: {[r[0] for r in faulty]}")
     data = cells.join(hdr, (F.col("file") == F.col("_hfile")) & (F.col("line_key") > F.col("_hkey")))
     return data.select(*[
         clean_cell(F.when(F.col(f"_p_{key}") > 0, F.get(F.col("cells"), F.col(f"_p_{key}") - 1))).alias(key)
@@ -138,21 +140,43 @@ def units_by_state(units: DataFrame, spark: SparkSession | None = None) -> DataF
     )
 
 
-def units_nested(units: DataFrame, max_units: int = 100_000) -> DataFrame:
-    """``MAP<state, ARRAY<STRUCT<duid, name, capacity_mw, capacity_mwh, region>>>``
-    (the registry's JSON form). The registry is counted first; a registry
-    above ``max_units`` is refused rather than gathered into one row."""
-    n = units.count()
-    if n > max_units:
-        raise ValueError(f"registry holds {n} units; nested form is limited to {max_units}")
-    spark = units.sparkSession
-    per_state = units.groupBy("state").agg(
-        F.array_sort(F.collect_list(F.struct("duid", "name", "capacity_mw", "capacity_mwh", "region"))).alias("units")
-    )
-    full = states(spark).select("state").join(per_state, "state", "left").select(
-        "state", F.coalesce("units", F.array().cast(per_state.schema["units"].dataType)).alias("units")
-    )
-    return full.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "units")))).alias("units_by_state"))
+def units_nested(units: DataFrame) -> DataFrame:
+    """The registry's nested form as rows, one per unit and one for each state
+    without units: ``state, unit_no`` (1.. by unit id within its state, 0 if
+    none) and ``unit`` (struct or NULL). Rows, not one map: no state's units
+    are gathered, however many there are. The five states come in their fixed
+    order with :func:`in_state_order`."""
+    unit = F.struct("duid", "name", "capacity_mw", "capacity_mwh", "region").alias("unit")
+    number = F.row_number().over(Window.partitionBy("state").orderBy("duid", "name"))
+    rows = units.select("state", number.alias("unit_no"), unit)
+    empty = states(units.sparkSession).select("state").distinct().join(units.select("state"), "state", "left_anti")
+    none = F.lit(None).cast(rows.schema["unit"].dataType)
+    return rows.unionByName(empty.select("state", F.lit(0).alias("unit_no"), none.alias("unit")))
+
+
+def in_state_order(df: DataFrame) -> DataFrame:
+    """Rows by the fixed order of states, as the unit list shows them; adds
+    ``state_no`` (1..)."""
+    order = list(dict.fromkeys(state for _, state in K.REGION_TO_STATE))
+    number = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("state")).cast("int")
+    rest = [c for c in ("unit_no", "duid") if c in df.columns]
+    return df.withColumn("state_no", number).orderBy("state_no", *rest)
+
+
+def write_registry_json(units: DataFrame, path: str) -> None:
+    """The nested form as JSON text, one line a unit or empty state
+    (``{"state": ..., "unit": {...}}``), spread over as many files as the
+    units need."""
+    units_nested(units).select(
+        F.to_json(F.struct("state", "unit"), {"ignoreNullFields": "false"}).alias("value")
+    ).write.text(path)
+
+
+def read_registry_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_registry_json` wrote, as flat canonical units."""
+    unit = "struct<duid:string, name:string, capacity_mw:double, capacity_mwh:double, region:string>"
+    parsed = spark.read.text(path).select(F.from_json("value", f"state string, unit {unit}").alias("x"))
+    return parsed.select("x.state", "x.unit.*").where(F.col("duid").isNotNull())
 
 
 def read_registry_json(spark: SparkSession, path: str) -> DataFrame:

@@ -34,8 +34,6 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append a batch of log rows (a failed append never stops the caller)."""
-    try:
-        conform_log(rows).write.mode("append").parquet(path)
-    except Exception:  # noqa: BLE001 - logging must not break the main flow
-        pass
+    """Append a batch of log rows. A failure is the caller's to see: a batch
+    that vanishes would make every later statistic wrong."""
+    conform_log(rows).write.mode("append").parquet(path)
