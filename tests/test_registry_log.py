@@ -62,7 +62,7 @@ def test_registry_from_lines(spark, tmpdir_path):
     nested = {(r["state"], r["unit_no"]): r["unit"] for r in units_nested(units).collect()}
     assert nested["TAS", 0] is None and nested["NSW", 1]["duid"] == "BAT1" and ("NSW", 0) not in nested
     shown = [r["state"] for r in in_state_order(units_nested(units)).collect()]
-    assert shown == sorted(shown, key=["QLD", "NSW", "VIC", "SA", "TAS"].index)
+    assert shown == sorted(shown) and set(shown) == {"NSW", "QLD", "SA", "TAS", "VIC"}
     write_registry_json(units, f"{tmpdir_path}/nested")
     assert sorted(map(str, read_registry_rows(spark, f"{tmpdir_path}/nested").collect())) == sorted(
         map(str, units.select("state", "duid", "name", "capacity_mw", "capacity_mwh", "region").collect())
@@ -71,6 +71,8 @@ def test_registry_from_lines(spark, tmpdir_path):
 
 def test_registry_text_without_required_columns(spark, tmpdir_path):
     write_text(tmpdir_path, "reg/sheet.csv", "title\nDUID,Unit Name,Technology Type,Commitment Status\nA,a,b,c\n")
+    from wattline.sources.lines import read_lines
+
     with pytest.raises(ValueError):
         registry_from_lines(read_lines(spark, f"{tmpdir_path}/reg"))
 

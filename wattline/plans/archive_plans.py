@@ -9,7 +9,7 @@ de-duplication is the candidate order, then the entry name, then the line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -83,31 +83,45 @@ def choose_and_read(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, Da
     The first (source, class) per ``by`` that yields any entry is read, and
     its text landed once. If something in it cannot be read, the archive is
     rejected for the days it was chosen for, and those days fall through to
-    their next archive, class or source, which is read in turn. A day is
-    served by archives that were read in full, or it has a reject row for each
-    archive tried. The rounds are at most the ranks of a candidate."""
+    their next class or source (or, if there is none, to the other archives of
+    the same), which is read in turn. Every archive that failed has a reject
+    row for each of its days. The rounds are at most the ranks of a candidate."""
     selected, rejects = _candidates(candidates)
     landed, read = None, None
     while True:
         chosen, _ = persist_counted(_first_choice(selected, by))
-        fresh = chosen.select("path", "outer", "inner", "entry").distinct()
+        fresh = chosen.select("path", "outer", "inner", "entry", "size").distinct()
         if read is not None:
             fresh = fresh.join(read, "entry", "left_anti")
         fresh, n_fresh = persist_counted(fresh)
         if landed is not None and not n_fresh:
             break
-        lines = land(read_entries(fresh, n_entries=n_fresh), "archive-lines")
+        size = fresh.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+        lines = land(read_entries(fresh, size), "archive-lines")
         landed = lines if landed is None else landed.unionByName(lines)
         read = fresh.select("entry") if read is None else read.union(fresh.select("entry"))
         failed = lines.where(F.col("error").isNotNull()).groupBy("entry").agg(F.min("error").alias("reason"))
-        bad = land(chosen.join(failed, "entry").select("path", "target_date", "reason").distinct(), "archive-rejects")
+        bad = land(chosen.join(failed, "entry").select(*dict.fromkeys([*by, *RANK_COLS, "path", "target_date", "reason"])).distinct(), "archive-rejects")
         if bad.isEmpty():
             break
         rejects = rejects.unionByName(bad.select("path", "target_date", "reason"))
-        selected = selected.join(bad.select("path", "target_date"), ["path", "target_date"], "left_anti")
+        selected = _without_failed(selected, bad, by)
     return chosen, landed.where(F.col("error").isNull()).drop("error"), rejects
 
 
+def _without_failed(selected: DataFrame, bad: DataFrame, by: list[str]) -> DataFrame:
+    """``selected`` without the archives that failed. Where a later (source,
+    class) has entries for the same request, all of the failed rank goes, so
+    that the request is served whole from the later one."""
+    rank = F.struct(*RANK_COLS)
+    failed = bad.groupBy(*by).agg(F.max(rank).alias("_failed"))
+    last = F.max(rank).over(Window.partitionBy(*by))
+    left = selected.withColumn("_last", last).join(failed, by, "left")
+    whole = F.coalesce((F.col("_last") > F.col("_failed")) & (rank == F.col("_failed")), F.lit(False))
+    left = left.where(~whole).drop("_last", "_failed")
+    return left.join(bad.select(*by, "path").distinct(), [*by, "path"], "left_anti")
+
+
 def _lines_with_order(chosen: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of the chosen entries with their order key and the day each
     entry was chosen for (an entry serving two days yields its lines twice,

@@ -391,82 +391,173 @@ def events_as_log(events: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# The SCADA feed of events written as daily ZIP archives
+# Feeds written as ZIP archives
 # ---------------------------------------------------------------------------
 
 HEADER_OF_LAYOUT = {"1": HEADER_A, "2": HEADER_B}
 ROWS_PER_ARCHIVE = 100_000
+ARCHIVE_COLUMNS = ["archive", "inner", "entry", "header", "corrupt", "value"]
+
+
+class _ZipSink:
+    """One archive being written: entries directly in it, or in inner ZIPs. It
+    is written under a name of this attempt's own and renamed when complete."""
+
+    def __init__(self, filesystem, final: str, attempt: int):
+        import zipfile
+
+        self.filesystem, self.final, self.tmp = filesystem, final, f"{final}.{attempt}.tmp"
+        self.stream = filesystem.open_output_stream(self.tmp)
+        self.outer = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED)
+        self.inner_name, self.entry_name, self.inner, self.entry = None, None, None, None
+
+    def line(self, inner: str | None, entry: str, header: str, corrupt: bool, value: str) -> None:
+        if (inner, entry) != (self.inner_name, self.entry_name):
+            self._open(inner, entry, corrupt)
+        if corrupt:
+            return
+        if header != self.header:
+            self.entry.write(f"{header}\n".encode())
+            self.header = header
+        self.entry.write(f"{value}\n".encode())
+
+    def _open(self, inner: str | None, entry: str, corrupt: bool) -> None:
+        import tempfile
+        import zipfile
+
+        if self.entry is not None:
+            self.entry.close()
+            self.entry = None
+        if inner != self.inner_name:
+            self._close_inner()
+            if corrupt:
+                self.outer.writestr(inner, b"not a zip archive")
+            elif inner is not None:
+                self.buffer = tempfile.TemporaryFile()
+                self.inner = zipfile.ZipFile(self.buffer, "w", zipfile.ZIP_DEFLATED)
+        self.inner_name, self.entry_name, self.header = inner, entry, None
+        if not corrupt:
+            self.entry = (self.inner or self.outer).open(entry, "w", force_zip64=True)
+
+    def _close_inner(self) -> None:
+        import shutil
+
+        if self.inner is not None:
+            self.inner.close()
+            self.buffer.seek(0)
+            with self.outer.open(self.inner_name, "w", force_zip64=True) as packed:
+                shutil.copyfileobj(self.buffer, packed)
+            self.buffer.close()
+            self.inner = None
+
+    def close(self) -> None:
+        if self.entry is not None:
+            self.entry.close()
+        self._close_inner()
+        self.outer.close()
+        self.stream.close()
+        self.filesystem.move(self.tmp, self.final)
 
 
 def _archive_writer(root: str):
-    """Task-side writer: the task's lines (sorted by file and line) go to one
-    ZIP per (day, task), a dated CSV entry inside; a layout's header line is
-    written whenever the layout changes, so every part parses on its own.
-    Written under a temporary name and renamed, so a retried task replaces
-    its own output."""
+    """Task-side writer of rows (archive, inner, entry, header, corrupt,
+    value), sorted by archive, inner and entry. ``{part}`` in an archive's name
+    is the task's number, so a retried task replaces its own output."""
     import pandas as pd
 
     def write(batches):
         from pyspark import TaskContext
-        import zipfile
 
         from ..sources.archives import filesystem_of
 
         filesystem, base = filesystem_of(root)
-        filesystem.create_dir(f"{base.rstrip('/')}/current", recursive=True)
-        part = TaskContext.get().partitionId()
-        written = []
-        state = {"day": None}
-
-        def close():
-            if state["day"] is not None:
-                state["entry"].close()
-                state["zip"].close()
-                state["stream"].close()
-                filesystem.move(state["tmp"], state["final"])
-                written.append(root.rstrip("/") + state["final"][len(base.rstrip("/")):])
-                state["day"] = None
-
+        task, written, sink, current = TaskContext.get(), [], None, None
         for pdf in batches:
-            for day, value in zip(pdf["day"], pdf["value"]):
-                if day != state["day"]:
-                    close()
-                    final = f"{base.rstrip('/')}/current/PUBLIC_NEXT_DAY_FPPMW_{day}_{part:016d}.zip"
-                    tmp = final + ".tmp"
-                    stream = filesystem.open_output_stream(tmp)
-                    zf = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
-                    entry = zf.open(f"PUBLIC_NEXT_DAY_FPPMW_{day}.CSV", "w", force_zip64=True)
-                    state.update(day=day, final=final, tmp=tmp, stream=stream, zip=zf, entry=entry, layout=None)
-                layout = value.split(",", 4)[3]
-                if layout != state["layout"]:
-                    state["entry"].write((HEADER_OF_LAYOUT[layout] + "\n").encode())
-                    state["layout"] = layout
-                state["entry"].write((value + "\n").encode())
-        close()
+            for archive, inner, entry, header, corrupt, value in pdf[ARCHIVE_COLUMNS].itertuples(index=False, name=None):
+                if archive != current:
+                    if sink is not None:
+                        sink.close()
+                    name = archive.replace("{part}", f"{task.partitionId():016d}")
+                    final = f"{base.rstrip('/')}/{name}"
+                    filesystem.create_dir(final.rsplit("/", 1)[0], recursive=True)
+                    sink, current = _ZipSink(filesystem, final, task.taskAttemptId()), archive
+                    written.append(f"{root.rstrip('/')}/{name}")
+                sink.line(inner if isinstance(inner, str) else None, entry, header, bool(corrupt), value)
+        if sink is not None:
+            sink.close()
         yield pd.DataFrame({"path": written})
 
     return write
 
 
-def scada_feed_archives(events: DataFrame) -> str:
+def _write_archives(rows: DataFrame) -> str:
+    """Write the sorted rows' archives in a new folder and return it."""
+    import uuid
+
+    from ..session import scratch_path, ship_package
+
+    spark = rows.sparkSession
+    ship_package(spark)
+    root = scratch_path(spark, f"archives/{uuid.uuid4().hex}")
+    landed(rows.select(*ARCHIVE_COLUMNS).mapInPandas(_archive_writer(root), "path string"))  # runs the write once
+    return root
+
+
+def scada_feed_archives(events: DataFrame, nested: bool = False) -> str:
     """Write the events' SCADA feed as daily archives; returns the folder.
 
     Lines are range-partitioned on (day, line), so a day with many lines is
     split over several tasks and archives (each ≤ about ROWS_PER_ARCHIVE
     lines) instead of one writer per day.
-    """
-    import uuid
-
-    from ..session import scratch_path
 
+    Plain: dated CSV entries in archives of the current folder. ``nested``:
+    the CSVs are in inner ZIPs, in both folders; in the current folder the
+    inner ZIPs of days divisible by three are corrupt.
+    """
     spark = events.sparkSession
-    root = scratch_path(spark, f"archives/{uuid.uuid4().hex}")
     n_rows = events.count()  # parquet row count from metadata
     parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_ARCHIVE))
     data = scada_feed_lines(events, data_only=True).withColumn(
         "day", F.regexp_extract("file", r"(\d{8})", 1)
     )
-    ranged = data.repartitionByRange(parts, "day", "line_key").sortWithinPartitions("day", "line_key")
-    written = ranged.select("day", "value").mapInPandas(_archive_writer(root), "path string")
-    landed(written)  # runs the write once, reliably
-    return root
+    layout = F.get(F.split("value", ",", 5), F.lit(3))
+    header = F.coalesce(*[F.when(layout == k, F.lit(h)) for k, h in HEADER_OF_LAYOUT.items()])
+    data = data.withColumn("header", header)
+    name = F.concat(F.lit("PUBLIC_NEXT_DAY_FPPMW_"), F.col("day"))
+    folders = ["current", "archive"] if nested else ["current"]
+    rows = data.select("day", "line_key", "header", "value", F.explode(F.array(*[F.lit(f) for f in folders])).alias("folder"))
+    rows = rows.withColumn("archive", F.concat("folder", F.lit("/"), name, F.lit("_{part}.zip")))
+    rows = rows.withColumn("inner", F.concat(name, F.lit(".zip")) if nested else F.lit(None).cast("string"))
+    rows = rows.withColumn("entry", F.concat(name, F.lit(".CSV")))
+    corrupt = (F.col("day").cast("int") % 3 == 0) & (F.col("folder") == "current")
+    rows = rows.withColumn("corrupt", corrupt if nested else F.lit(False))
+    ranged = rows.repartitionByRange(parts * len(folders), "folder", "day", "line_key")
+    return _write_archives(ranged.sortWithinPartitions("folder", "day", "line_key"))
+
+
+def dispatch_feed_archives(lineitem: DataFrame) -> str:
+    """Write lineitem's dispatch feed as archives by market day: days with an
+    even day of the month as daily archives of the current folder, the others
+    as dated CSVs of a monthly bundle in the archive folder."""
+    from ..functions.dates import market_day_interval_end
+
+    settle = lineitem_settlement()
+    rows = spread(lineitem).select(
+        F.date_format(market_day_interval_end(settle), "yyyyMMdd").alias("day"),
+        F.date_format(F.to_date("l_shipdate"), "yyyyMM").alias("month"), lineitem_key().alias("k"),
+        F.concat_ws(
+            ",", F.lit("D,DISPATCH,UNIT_SOLUTION,4"), render_feed_time(settle), F.lit("1"),
+            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("string"),
+            F.col("l_extendedprice").cast("string"), F.col("l_tax").cast("string"),
+        ).alias("value"),
+    )
+    prefix = "PUBLIC_NEXT_DAY_DISPATCH_"
+    daily = F.concat(F.lit(f"current/{prefix}"), F.col("day"), F.lit("_0000000000000001.zip"))
+    bundle = F.concat(F.lit(f"archive/{prefix}"), F.substring("day", 1, 6), F.lit("01.zip"))
+    rows = rows.select(
+        F.when(F.substring("day", 7, 2).cast("int") % 2 == 0, daily).otherwise(bundle).alias("archive"),
+        F.lit(None).cast("string").alias("inner"), F.concat(F.lit(prefix), F.col("day"), F.lit(".CSV")).alias("entry"),
+        F.lit(DISPATCH_HEADER).alias("header"), F.lit(False).alias("corrupt"), "value", "month", "k",
+    )
+    # an archive is written by one task, as a published one is
+    return _write_archives(rows.repartition("archive").sortWithinPartitions("archive", "entry", "month", "k"))

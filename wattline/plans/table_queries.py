@@ -7,6 +7,7 @@ same tables; column names are aliased identically on both sides.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..functions.casts import feed_timestamp, format_time, nan_to_null
 from ..functions.dates import (
     available,
     day_warnings,
+    earliest_allowed,
     era,
     join_warnings,
     market_day_instant,
@@ -40,15 +42,26 @@ from ..operators.series import (
     stat_cards,
 )
 from ..operators.summary import dispatch_summary, flag_breakdown, flag_breakdown_map, scada_summary
-from ..plans.archive_plans import scada_from_archives
+from ..plans.archive_plans import choose_and_read, dispatch_from_archives, scada_candidates, scada_from_archives
 from ..plans.dispatch import cast_dispatch, dispatch_series, parse_dispatch
 from ..plans.scada import cast_scada, parse_scada, scada_series
-from ..session import persist_counted
+from ..session import persist_counted, scratch_path
+from ..sinks.writers import read_csv, write_csv, write_parquet
 from ..sources.catalog import list_files, parse_catalog
-from ..sources.registry import registry_from_lines, registry_from_sheet, units_by_state, units_from_registry
+from ..sources.registry import (
+    in_state_order,
+    read_registry_rows,
+    registry_from_lines,
+    registry_from_sheet,
+    units_by_state,
+    units_from_registry,
+    write_registry_json,
+)
+from ..sources.requestlog import append_log, read_log
 from .feeds_from_tables import (
     customer_registry_lines,
     customer_registry_sheet,
+    dispatch_feed_archives,
     dispatch_feed_lines,
     events_as_log,
     events_as_scada,
@@ -726,7 +739,7 @@ WITH v AS (SELECT source_type, duration_ms,
      s AS (SELECT source_type, list_sort(list(duration_ms)) AS d, count(*) AS n FROM v WHERE rn <= 100 GROUP BY source_type)
 SELECT t.source_type,
        CASE WHEN coalesce(s.n, 0) < 5 THEN CAST(t.dflt AS BIGINT)
-            ELSE CAST(round(s.d[CAST(floor(0.75 * (s.n - 1)) AS INTEGER) + 1] / 1000.0) AS BIGINT) END AS seconds,
+            ELSE CAST(round_even(s.d[CAST(floor(0.75 * (s.n - 1)) AS INTEGER) + 1] / 1000.0, 0) AS BIGINT) END AS seconds,
        CAST(coalesce(s.n, 0) AS BIGINT) AS sample_count,
        coalesce(s.n, 0) < 5 AS is_default
 FROM (VALUES ('current', 120), ('archive', 480), ('dispatch_current', 60), ('dispatch_archive', 300)) t(source_type, dflt)
@@ -801,6 +814,106 @@ def q_scada_from_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scada_from_archives(targets, catalog)
 
 
+# ---------------------------------------------------------------------------
+# S6, S7, F19, U5 — inner archives, some of them corrupt in the first source
+# ---------------------------------------------------------------------------
+@register(
+    "nested_archive_series",
+    f"""SELECT duid, market_day, interval_datetime, measurement_datetime, measured_mw, mw_quality_flag
+FROM ({_SQL_SCADA_SERIES}) s
+WHERE market_day IN (SELECT DISTINCT CAST(ts AS DATE) FROM events)""",
+)
+def q_nested_archive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    catalog = parse_catalog(list_files(spark, scada_feed_archives(ev, nested=True), "*.zip"))
+    return scada_from_archives(ev.select(F.to_date("ts").alias("target_date")).distinct(), catalog)
+
+
+@register(
+    "archive_rejects",
+    """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events),
+     bad AS (SELECT d FROM days WHERE CAST(strftime(d, '%Y%m%d') AS INTEGER) % 3 = 0)
+SELECT DISTINCT t.d AS target_date, 'bad zip' AS reason, strftime(b.d, '%Y%m%d') AS archive_day
+FROM days t JOIN bad b ON b.d = t.d OR b.d = t.d + 1""",
+)
+def q_archive_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    catalog = parse_catalog(list_files(spark, scada_feed_archives(ev, nested=True), "*.zip"))
+    targets = ev.select(F.to_date("ts").alias("target_date")).distinct()
+    _, _, rejected = choose_and_read(scada_candidates(targets, catalog), ["target_date", "format"])
+    return rejected.select(
+        "target_date", F.substring_index("reason", ":", 1).alias("reason"),
+        F.regexp_extract("path", r"FPPMW_(\d{8})", 1).alias("archive_day"),
+    ).distinct()
+
+
+# S8, U5, D8 for dispatch: daily archives, else the month's bundle
+@register("dispatch_from_archives", _SQL_DISPATCH_SERIES)
+def q_dispatch_from_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    catalog = parse_catalog(list_files(spark, dispatch_feed_archives(li), "*.zip"))
+    targets = lineitem_as_dispatch(li).select(F.col("market_day").alias("target_date")).distinct()
+    return dispatch_from_archives(targets, catalog)
+
+
+# ---------------------------------------------------------------------------
+# K1, K3, K5, K8 — series written and read back; K6, K7, S14 — request log
+# ---------------------------------------------------------------------------
+@register("scada_csv_written", f"SELECT * FROM ({_SQL_SCADA_SERIES}) s")
+def q_scada_csv_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    write_csv(scada_series(scada_feed_lines(table(spark, sf_dir, "events"))), path, partition_by=("market_day",))
+    read = read_csv(spark, path, (
+        "duid string, INTERVAL_DATETIME timestamp_ntz, MEASUREMENT_DATETIME timestamp_ntz, MEASURED_MW double,"
+        " MW_QUALITY_FLAG int, market_day date"
+    ))
+    return read.select(*[F.col(c).alias(c.lower()) for c in read.columns])
+
+
+@register("dispatch_parquet_written", _SQL_DISPATCH_SERIES)
+def q_dispatch_parquet_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"parquet-{uuid.uuid4().hex}")
+    lines = dispatch_feed_lines(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    series = dispatch_series(lines)
+    write_parquet(series, path)
+    return spark.read.schema(series.schema).parquet(path).select(*series.columns)
+
+
+@register("log_written", f"""SELECT id, "timestamp", ip, duid, "date", action,
+       CASE WHEN id % 2 = 0 THEN duration_ms END AS duration_ms, CASE WHEN id % 2 = 0 THEN source_type END AS source_type
+FROM ({_SQL_LOG}) l""")
+def q_log_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends, one of them in the older form without the last columns."""
+    path = scratch_path(spark, f"log-{uuid.uuid4().hex}")
+    log = _log(spark, sf_dir)
+    log.where("id % 2 = 1").drop("duration_ms", "source_type").write.parquet(path)
+    append_log(log.where("id % 2 = 0"), path)
+    return read_log(spark, path)
+
+
+# A9, S12, D9 — nested registry written as JSON, read back, states in order
+@register(
+    "registry_json_written",
+    f"""SELECT CAST(list_position(['NSW', 'QLD', 'SA', 'TAS', 'VIC'], state) AS INTEGER) AS state_no,
+       state, duid, name, capacity_mw, capacity_mwh, region FROM ({_SQL_UNITS}) u""",
+)
+def q_registry_json_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"registry-{uuid.uuid4().hex}")
+    write_registry_json(_units(spark, sf_dir), path)
+    return in_state_order(read_registry_rows(spark, path)).select("state_no", "state", "duid", "name", "capacity_mw", "capacity_mwh", "region")
+
+
+# F18 — earliest day that a request may ask for
+@register(
+    "earliest_allowed",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN DATE '2025-02-28' ELSE DATE '2025-02-11' END AS earliest FROM orders""",
+)
+def q_earliest_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), earliest_allowed(F.col("o_orderkey") % 2 == 0).alias("earliest")
+    )
+
+
 # ---------------------------------------------------------------------------
 # F15, L2 — rejected data lines; C4 dispatch cards; K4 — display records
 # ---------------------------------------------------------------------------

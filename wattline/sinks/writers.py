@@ -51,11 +51,11 @@ def csv_frame(series: DataFrame) -> DataFrame:
     return series.select(*cols)
 
 
-def write_csv(series: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per unit-day, lines in time order."""
+def write_csv(series: DataFrame, path: str, mode: str = "overwrite", partition_by=("market_day", "duid")) -> None:
+    """One folder per unit-day (or per day, if so asked), lines in time order."""
     (
-        _writer(_in_order(csv_frame(series), ["market_day", "duid"]), mode)
-        .partitionBy("market_day", "duid")
+        _writer(_in_order(csv_frame(series), list(partition_by)), mode)
+        .partitionBy(*partition_by)
         .option("header", True).option("nullValue", "").option("emptyValue", "")
         .csv(path)
     )
@@ -71,10 +71,12 @@ MAX_ROWS_PER_FILE = 5_000_000
 
 
 def write_parquet(series: DataFrame, path: str, mode: str = "overwrite", partition_by=("market_day",)) -> None:
-    """Day folders; rows clustered by (day, unit) so each unit-day lands in
-    one task and one file, and no single day is written by a single task."""
+    """Day folders, rows by unit and time in each file. Days are dealt to tasks
+    by a rebalance: small days share a task, a large day is split over several,
+    and no task opens a file for every day."""
+    order = [c for c in (*partition_by, "duid", *_time_cols(series)[-1:]) if c in series.columns]
     (
-        _writer(_in_order(series, list(partition_by)), mode)
+        _writer(series.hint("rebalance", *partition_by).sortWithinPartitions(*order), mode)
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy(*partition_by).parquet(path)
     )

@@ -91,12 +91,15 @@ def _list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "outer", "inner", "size", "error"])
 
 
-def _tasks(spark, n_items: int | None) -> int:
-    """Task count for per-file Python work: one slot per item, at least the
+LISTED_PER_TASK = 64
+BYTES_PER_TASK = 128 << 20
+
+
+def _tasks(spark, needed: int) -> int:
+    """Task count for per-file Python work: what the work needs, at least the
     cluster's parallelism. An explicit count keeps adaptive execution from
     folding a small-row (but heavy) table into one task."""
-    par = spark.sparkContext.defaultParallelism
-    return max(par, n_items) if n_items else par * 2
+    return max(spark.sparkContext.defaultParallelism, needed)
 
 
 def archive_entries(paths: DataFrame, path_col: str = "path", n_paths: int | None = None) -> DataFrame:
@@ -104,7 +107,7 @@ def archive_entries(paths: DataFrame, path_col: str = "path", n_paths: int | Non
     reject row (``error`` set). Archives are spread over tasks by path."""
     p = paths.select(F.col(path_col).alias("path")).distinct()
     ship_package(paths.sparkSession)
-    p = p.repartition(_tasks(paths.sparkSession, n_paths), F.col("path"))
+    p = p.repartition(_tasks(paths.sparkSession, -(-(n_paths or 0) // LISTED_PER_TASK)), F.col("path"))
     return p.mapInPandas(_list_batches, ENTRY_SCHEMA)
 
 
@@ -279,14 +282,14 @@ def entry_id(path, outer):
     return F.concat(path, F.lit("!/"), outer)
 
 
-def read_entries(selected: DataFrame, n_entries: int | None = None) -> DataFrame:
+def read_entries(selected: DataFrame, size: int | None = None) -> DataFrame:
     """Chosen entries → ``(file, line_key, value, entry, error)``; entries are
-    spread over tasks by identity (one slot per entry when the count is known),
-    text is streamed as Arrow batches of one decoded block each (never a whole
+    spread over tasks by identity (about BYTES_PER_TASK each when their total
+    ``size`` is known), text is streamed as Arrow batches of one decoded block each (never a whole
     file in memory). ``error`` is NULL but for one row of each entry that could
     not be read to its end."""
     ship_package(selected.sparkSession)
     ent = selected.select("path", "outer", "inner").distinct()
-    ent = ent.repartition(_tasks(selected.sparkSession, n_entries), F.col("path"), F.col("outer"), F.col("inner"))
+    ent = ent.repartition(_tasks(selected.sparkSession, -(-(size or 0) // BYTES_PER_TASK)), F.col("path"), F.col("outer"), F.col("inner"))
     raw = ent.mapInArrow(_read_batches, "file string, entry string, pos long, value string, error string")
     return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value", "entry", "error")

@@ -144,7 +144,7 @@ def units_nested(units: DataFrame) -> DataFrame:
     """The registry's nested form as rows, one per unit and one for each state
     without units: ``state, unit_no`` (1.. by unit id within its state, 0 if
     none) and ``unit`` (struct or NULL). Rows, not one map: no state's units
-    are gathered, however many there are. The five states come in their fixed
+    are gathered, however many there are. The states come in alphabetical
     order with :func:`in_state_order`."""
     unit = F.struct("duid", "name", "capacity_mw", "capacity_mwh", "region").alias("unit")
     number = F.row_number().over(Window.partitionBy("state").orderBy("duid", "name"))
@@ -155,9 +155,9 @@ def units_nested(units: DataFrame) -> DataFrame:
 
 
 def in_state_order(df: DataFrame) -> DataFrame:
-    """Rows by the fixed order of states, as the unit list shows them; adds
+    """Rows by state, alphabetically, as the unit list shows them; adds
     ``state_no`` (1..)."""
-    order = list(dict.fromkeys(state for _, state in K.REGION_TO_STATE))
+    order = sorted({state for _, state in K.REGION_TO_STATE})
     number = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("state")).cast("int")
     rest = [c for c in ("unit_no", "duid") if c in df.columns]
     return df.withColumn("state_no", number).orderBy("state_no", *rest)
