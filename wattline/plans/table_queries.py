@@ -875,7 +875,8 @@ def q_dispatch_parquet_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"parquet-{uuid.uuid4().hex}")
     lines = dispatch_feed_lines(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
     series = dispatch_series(lines)
-    write_parquet(series, path)
+    # folders by month: a folder for each of seven years' days is mostly file handling
+    write_parquet(series.withColumn("market_month", F.date_format("market_day", "yyyy-MM")), path, partition_by=("market_month",))
     return spark.read.schema(series.schema).parquet(path).select(*series.columns)
 
 

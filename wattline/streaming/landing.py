@@ -11,7 +11,9 @@ arrival wins.
 
 from __future__ import annotations
 
+import hashlib
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,23 @@ from ..sources.lines import line_key
 def _existing(spark: SparkSession, out_path: str, days: DataFrame, time_col: str) -> DataFrame | None:
     try:
         old = spark.read.parquet(out_path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise  # only a table that is not there yet counts as empty
         return None
     # partition pruning: only the market days present in this batch are read
     days, _ = broadcast_if_small(days)
     return old.join(days, "market_day", "left_semi").select("duid", time_col)
 
 
+def _new_keys(series: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is not in ``old``; NULL keys equal each other, so a
+    replay does not repeat readings without a unit id."""
+    old = old.select(*[F.col(k).alias(f"_old_{k}") for k in keys])
+    same = [series[k].eqNullSafe(old[f"_old_{k}"]) for k in keys]
+    return series.join(old, reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def land_batch(batch: DataFrame, out_path: str, kind: str = "scada") -> None:
     """Parse one micro-batch of ``(file, block, value)`` rows and append the
     readings whose key is new. Line keys are assigned here: the micro-batch
@@ -57,7 +69,7 @@ def land_batch(batch: DataFrame, out_path: str, kind: str = "scada") -> None:
     try:
         days = series.select("market_day").distinct()
         old = _existing(spark, out_path, days, time_col)
-        new = series if old is None else series.join(old, ["duid", time_col], "left_anti")
+        new = series if old is None else _new_keys(series, old, ["duid", time_col])
         new.write.mode("append").partitionBy("market_day").parquet(out_path)
     finally:
         series.unpersist()
@@ -80,7 +92,8 @@ def start_landing(
     if checkpoint is None:
         from ..session import checkpoint_dir
 
-        checkpoint = os.path.join(checkpoint_dir(spark), "landing", os.path.basename(out_path.rstrip("/")))
+        # named by the whole path: tables of one name in two folders are two streams
+        checkpoint = os.path.join(checkpoint_dir(spark), "landing", hashlib.sha256(out_path.rstrip("/").encode()).hexdigest())
     raw = spark.readStream.format("text").load(landing_dir)
     lines = raw.select(
         F.col("_metadata.file_path").alias("file"),
