@@ -13,7 +13,7 @@ def _plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: _plan(fn(spark, SF)) for name, fn in E.queries().items()}
+    return {name: _plan(fn(spark, SF)) for name, fn in E.QUERIES.items()}
 
 
 def test_no_cartesian_or_nested_loop(plans):
