@@ -80,6 +80,17 @@ def test_counts_against_the_library(sentence_model):
         assert counter.count(part) == [len(x) for x in sentence_model.encode(part, num_threads=1)]
 
 
+def test_compatible_pairs_by_edges_and_by_encoding():
+    counter = token_counts.PrefixCounter(PIECES)
+    rng = random.Random(9)
+    vocabulary = sorted(counter.score)
+    starts = [p for p in vocabulary if p.isascii() and len(p) <= 6]
+    for _ in range(20000):
+        s, t = rng.choice(vocabulary if rng.random() < 0.5 else starts), rng.choice(starts)
+        if counter.merged(s) == [s] and counter.merged(t) == [t]:
+            assert counter._fits(s, t) == (counter.merged(s + t) == [s, t]), (s, t)
+
+
 def test_every_prefix_of_a_unit(sentence_model):
     counter = token_counts.PrefixCounter(PIECES)
     for word in ("internationalisation", "aaaaaaa", "日x本é", "thththth"):

@@ -44,8 +44,13 @@ class PrefixCounter:
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece of this model spans words; texts cannot be cut at spaces")
         self.longest = max(map(len, self.score))
+        # the longest token that ends with two given characters
+        self.reach: dict[str, int] = {}
+        for p in self.score:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
         # compatible[s, t]: do the tokens s, t encode to themselves side by side
         self.compatible: dict[tuple[str, str], bool] = {}
+        self.edges: dict[str, tuple | None] = {}
         # state of the unit counted last: of each prefix, its last token ("" at
         # the start and after an unknown character) and its number of tokens
         self.unit, self.last, self.count_of_last = "", [""], [0]
@@ -55,13 +60,15 @@ class PrefixCounter:
 
     def _empty(self) -> None:
         self.numbers.clear()
-        self.counts: list[np.ndarray | None] = []
+        self.counts: list[bytes | np.ndarray] = []  # bytes where no count passes 255
         self.totals = np.zeros(0, np.int64)
-        self.compatible.clear()
+        if len(self.compatible) > 2 * self.most:  # pairs of tokens recur far more than units
+            self.compatible.clear()
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, log: list | None = None) -> list[str]:
         """Plain encoding of a short string: the best-scored adjacent pair
-        first, the leftmost of equals."""
+        first, the leftmost of equals. ``log`` gets each merge as (position of
+        the left part, left, right, score)."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         score = self.score
@@ -72,6 +79,8 @@ class PrefixCounter:
             j = after[i] if parts[i] == a else len(parts)
             if j >= len(parts) or parts[j] != b:
                 continue
+            if log is not None:
+                log.append((i, a, b, score[a + b]))
             parts[i], parts[j] = a + b, None
             after[i] = k = after[j]
             if k < len(parts):
@@ -83,13 +92,44 @@ class PrefixCounter:
                 heappush(queue, (-score[parts[h] + a + b], h, parts[h], a + b))
         return [p for p in parts if p is not None]
 
+    def _edges(self, token: str) -> tuple | None:
+        """What stands at the right and at the left edge of ``token`` while it
+        is merged, each part with the score of the merge that ends it (None
+        for the token itself). None if its merges do not come in order of
+        falling scores; such tokens are compared by encoding."""
+        log: list = []
+        if self.merged(token, log) != [token] or any(x[3] <= y[3] for x, y in zip(log, log[1:])):
+            return None
+        right = [(b, s) for i, a, b, s in log if i + len(a) + len(b) == len(token)]
+        left = [(a, s) for i, a, b, s in log if i == 0]
+        return [*right, (token, None)], [*left, (token, None)]
+
+    def _fits(self, s: str, t: str) -> bool:
+        """Do ``s`` and ``t`` encode to themselves side by side? They do unless
+        a part at the right edge of ``s`` and one at the left edge of ``t``
+        merge before either is merged within its own token (of equal scores,
+        the leftmost first)."""
+        edges = self.edges
+        for x in (s, t):
+            if x not in edges:
+                edges[x] = self._edges(x)
+        if edges[s] is None or edges[t] is None:
+            return self.merged(s + t) == [s, t]
+        score = self.score
+        for a, ends in edges[s][0]:
+            for b, stops in edges[t][1]:
+                across = score.get(a + b)
+                if across is not None and (ends is None or across > ends) and (stops is None or across >= stops):
+                    return False
+        return True
+
     def prefix_counts(self, unit: str) -> list[int]:
         """Number of tokens of each prefix of ``unit`` (without further
         spaces inside), the empty one first.
 
         The states of the unit asked for last are kept; what the two units
         have in common is not computed again."""
-        score, longest, compatible = self.score, self.longest, self.compatible
+        score, longest, compatible, length = self.score, self.longest, self.compatible, self.reach
         last, count = self.last, self.count_of_last
         shared = len(commonprefix((unit, self.unit)))
         del last[shared + 1 :], count[shared + 1 :]
@@ -101,13 +141,16 @@ class PrefixCounter:
                 count.append(count[-1] + len(c.encode("utf-8", "surrogatepass")))
                 continue
             begin = end - longest if end > longest else 0
+            reach = length.get(unit[end - 2 : end], 1) if end > 1 else 1  # of tokens with this ending
+            if end - begin > reach:
+                begin = end - reach
             while True:
                 t = unit[begin:end]
                 if t in score:
                     s = last[begin]
                     fits = compatible.get((s, t))
                     if fits is None:
-                        fits = compatible[s, t] = self.merged(s + t) == ([s, t] if s else [t])
+                        fits = compatible[s, t] = self._fits(s, t) if s else self.merged(t) == [t]
                     if fits:
                         break
                 begin += 1  # a single character always fits in the end
@@ -129,8 +172,8 @@ class PrefixCounter:
 
     def _number(self, unit: str) -> int:
         self.numbers[unit] = number = len(self.counts)
-        counts = np.array(self.prefix_counts(unit))
-        self.counts.append(counts.astype(np.uint8 if counts[-1] < 256 else np.int64))
+        counts = self.prefix_counts(unit)
+        self.counts.append(bytes(counts) if len(counts) <= 64 else np.array(counts))
         return number
 
     def units_of(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -143,7 +186,8 @@ class PrefixCounter:
         for unit in sorted(new):
             self._number(unit)
         if new:
-            self.totals = np.concatenate([self.totals, np.array([int(c[-1]) for c in self.counts[len(self.totals) :]], np.int64)])
+            fresh = self.counts[len(self.totals) :]
+            self.totals = np.concatenate([self.totals, np.fromiter((c[-1] for c in fresh), np.int64, len(fresh))])
         ends = np.cumsum([0, *map(len, split)])
         flat = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(ends[-1]))
         return [flat[a:z] for a, z in zip(ends.tolist(), ends[1:].tolist())], self.totals
@@ -166,7 +210,7 @@ class PrefixCounter:
         for n in numbers[:i]:
             begin += len(self.counts[n]) - 1
         left = budget - (int(upto[i - 1]) if i else 0)
-        best = int(np.flatnonzero(self.counts[numbers[i]] <= left).max())
+        best = max(k for k, n in enumerate(self.counts[numbers[i]]) if n <= left)
         return max(0, begin + best - 1)
 
 
