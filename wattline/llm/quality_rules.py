@@ -122,7 +122,8 @@ def quality_rules(
     empty result; columns beyond those named are not read."""
     ids = trusted.select(F.col(id_col).alias("_trusted")).filter("_trusted is not null").distinct()
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    target = marked.join(ids, F.col("id") == F.col("_trusted"), "left_semi")
+    # one plan at every size: the trusted ids grow with the corpus and are never broadcast
+    target = marked.filter("text is not null").join(ids.hint("merge"), F.col("id") == F.col("_trusted"), "left_semi")
     both = bucket_counts(marked, "text", F.lit(0), buckets).select("bucket", "raw", F.lit(0).cast("long").alias("target"))
     own = bucket_counts(target, "text", F.lit(1), buckets).select("bucket", F.lit(0).cast("long").alias("raw"), "target")
     counts = both.union(own).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
