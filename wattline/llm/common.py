@@ -47,7 +47,8 @@ def attach_groups(
     light = light.select(F.col(key).alias("_lk"), *[F.col(v).alias(f"_l_{v}") for v in values])
     hot = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
     hot = hot.withColumn("_rk", F.when(F.col("_hot"), spread).otherwise(F.col(key)))
-    out = hot.join(light, F.col("_rk") == F.col("_lk"), "left")
+    # one plan at every size, so that what is shuffled grows with the input
+    out = hot.join(light.hint("merge"), F.col("_rk") == F.col("_lk"), "left")
     return out.select(
         *rows.columns,
         *[F.when(F.col("_hot"), F.col(f"_h_{v}")).otherwise(F.col(f"_l_{v}")).alias(v) for v in values],
