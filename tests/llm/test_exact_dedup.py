@@ -62,3 +62,14 @@ def test_keep_returns_all_columns_and_one_row_each(odd):
     ids = [r["doc_id"] for r in kept.collect()]
     # copies of 1; 4, 5 and the row without id are as long as each other, 6 is longer
     assert sorted(ids, key=lambda x: (x is None, x)) == [2, 6, 7, 8, 9, 10, None]
+
+
+def test_texts_that_only_share_an_id_stay(spark):
+    rows = [
+        (None, "first text", "b"), (None, "second text", "a"), (None, "second  text", "a"), (None, "second text", "b"),
+        (5, "third text", "a"), (5, "fourth text", "a"), (5, "fourth text", "b"), (5, "fourth text", "a"), (6, "fourth text", "0"),
+    ]
+    want = [(None, "first text", "b"), (None, "second  text", "a"), (5, "fourth text", "a"), (5, "third text", "a")]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if n == 5 else rows, "doc_id long, text string, source string").repartition(n)
+        assert sorted(map(tuple, keep_exact(docs).collect()), key=str) == sorted(want, key=str)

@@ -117,3 +117,21 @@ def test_keep_leaves_one_of_each_group(odd):
     ids = [r["doc_id"] for r in simhash.keep_simhash(odd).select("doc_id").collect()]
     # 1, 2, 3 have equal words; 4, 5, 6 and one row without id have none
     assert sorted(i for i in ids if i is not None) == [1, 4, 7, 8, 9, 10]
+
+
+def test_texts_that_only_share_an_id_stay(spark):
+    rows = [
+        (None, "alpha beta gamma delta", "b"), (None, "one two three four", "a"), (None, "One two three four", "a"),
+        (None, "red green blue white", "a"), (4, "red green blue white", "a"),
+        (5, "north south east west", "a"), (5, "spring summer autumn winter", "b"), (5, "spring summer autumn winter", "a"),
+        (6, "spring summer autumn winter", "0"),
+    ]
+    kept = []
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if n == 5 else rows, "doc_id long, text string, source string").repartition(n)
+        kept.append(sorted(map(tuple, simhash.keep_simhash(docs).collect()), key=str))
+    assert kept[0] == kept[1]
+    assert sorted(((i, t.lower(), s) for i, t, s in kept[0]), key=str) == sorted([
+        (None, "alpha beta gamma delta", "b"), (None, "one two three four", "a"), (4, "red green blue white", "a"),
+        (5, "north south east west", "a"), (5, "spring summer autumn winter", "a"),
+    ], key=str)

@@ -55,13 +55,15 @@ def attach_groups(
     )
 
 
-def one_row_per_id(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``df`` with one row for each id. Ids are counted first (ids alone are
-    shuffled); only if some repeat are their rows brought together."""
-    repeated = df.groupBy(id_col).count().filter("count > 1").select(id_col)
-    if repeated.isEmpty():
-        return df
-    return df.dropDuplicates([id_col])
+def one_row_per_key(rows: DataFrame, keys: list[str], row: str, *order: Column) -> DataFrame:
+    """The struct ``row`` of ``rows``, once for each value of ``keys`` (null
+    is a value of its own): the least by ``order``, then by its JSON. Hashes of
+    keys are counted first (they alone are shuffled); only if some repeat are
+    rows brought together."""
+    if rows.groupBy(F.xxhash64(*keys).alias("h")).count().filter("count > 1").isEmpty():
+        return rows.select(f"{row}.*")
+    first = F.min_by(F.col(row), F.struct(*order, F.to_json(row)))
+    return rows.groupBy(*keys).agg(first.alias(row)).select(f"{row}.*")
 
 
 def chunks(texts: list, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import land
-from .common import attach_groups, one_row_per_id, without_spaces
+from .common import attach_groups, one_row_per_key, without_spaces
 
 SALTS = 16
 
@@ -114,6 +114,10 @@ def exact_dedup(
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each group of equal
-    texts stays (of rows that repeat an id, one)."""
+    texts stays. Of a group's rows that repeat the id that stays (or have none,
+    where none has one), the longest text stays, then the least by all columns;
+    rows that share an id alone are not copies."""
     found = exact_dedup(docs, id_col, text_col, carry=tuple(docs.columns)).filter("kept")
-    return one_row_per_id(found.select("row.*"), id_col)
+    found = found.select(F.col(id_col).alias("id"), "text_sha256", "row")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    return one_row_per_key(found, ["id", "text_sha256"], "row", -F.length(text), text)

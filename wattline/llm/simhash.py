@@ -19,11 +19,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import land, ship_package
-from .common import attach_groups, one_row_per_id
+from .common import attach_groups, one_row_per_key
 from .components import components
 
 BITS = 64
@@ -52,15 +52,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp) of every row of ``docs``."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, *more: Column) -> DataFrame:
+    """(id, fp) and ``more`` of every row of ``docs``."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), prints(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), prints(F.col(text_col)).alias("fp"), *more)
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -197,6 +197,14 @@ def _long(x: int) -> str:
     return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
 
 
+def _rooted(prints: DataFrame, distance: int, *values: Column) -> DataFrame:
+    """One row per fingerprint: fp, the aggregates ``values`` of its rows, and
+    the ``root`` of its component."""
+    nodes = land(prints.groupBy("fp").agg(*values), "simhash-nodes")
+    rooted = components(links(nodes.select("fp"), distance))
+    return nodes.join(rooted, nodes["fp"] == rooted["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4
 ) -> DataFrame:
@@ -210,9 +218,7 @@ def simhash_groups(
     all its ids are null. Repeated rows each come out; an empty table gives
     an empty result; other columns are not read."""
     prints = land(with_fingerprints(docs, id_col, text_col, width), "simhash-prints")
-    nodes = land(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    rooted = components(links(nodes.select("fp"), distance))
-    joined = nodes.join(rooted, nodes["fp"] == rooted["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = _rooted(prints, distance, F.min("id").alias("least"), F.count("*").alias("n"))
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = land(joined.join(names, "root").select("fp", "n", "component_id"), "simhash-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
@@ -230,9 +236,14 @@ def keep_simhash(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4
 ) -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each group of near
-    duplicates stays: the one with the smallest id (of rows that repeat an id,
-    one)."""
-    found = simhash_groups(docs, id_col, text_col, width, distance)
-    stay = found.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_stay")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
-    return one_row_per_id(kept, id_col)
+    duplicates stays: the one with the smallest id, a row without id only where
+    none has one. Of a group's rows that repeat that id, the least by the digest
+    of id and text stays, then by all columns; rows that share an id alone are
+    not copies."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text).cast("binary"), 256))
+    prints = land(with_fingerprints(docs, id_col, text_col, width, key.alias("key")), "simhash-prints")
+    joined = _rooted(prints, distance, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    stay = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("stay"))
+    rows = docs.select(key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return one_row_per_key(rows.join(stay, rows["key"] == stay["stay"], "left_semi"), ["key"], "row")
