@@ -21,9 +21,10 @@ def tmpdir_path():
     return tempfile.mkdtemp(prefix="wattline-test-")
 
 
-def write_text(folder: str, name: str, text: str, newline: str = "\n") -> str:
-    path = os.path.join(folder, name)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as fh:
-        fh.write(text.replace("\n", newline))
-    return path
+@pytest.fixture(autouse=True)
+def _free_helper_tables():
+    """Helper tables that a test's queries cached are freed after it."""
+    yield
+    from wattline.session import release_cached
+
+    release_cached()

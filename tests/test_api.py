@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from conftest import write_text
+from feed_files import write_text
 from wattline import api
 from wattline.sources.lines import read_lines
 from test_scada_parse import _feed

@@ -1,6 +1,11 @@
 """Driver contract: entry() runs; every query has a stable schema."""
 
+import os
+import subprocess
+import sys
+
 import __spark_entry__ as E
+from wattline.session import release_cached
 
 
 def test_entry_runs(spark):
@@ -19,3 +24,16 @@ def test_queries_build_on_smallest_tables(spark):
     for name, fn in E.QUERIES.items():  # those of tests/llm have tests of their own
         df = fn(spark, "/root/testdata/sf0.001")
         assert df.columns, name
+        release_cached()
+
+
+def test_entry_survives_without_optional_parts():
+    """The core queries remain when a library that only the training-data
+    operators need is missing, and when those operators are deleted."""
+    for missing in ("xxhash", "public_tokenizers", "wattline.llm", "corpus_pipeline"):
+        code = (
+            "import sys, warnings; warnings.simplefilter('ignore');"
+            f"sys.modules[{missing!r}] = None; import __spark_entry__ as E;"
+            "assert set(E.queries()) == set(E.QUERIES) and E.QUERIES, sorted(E.queries())"
+        )
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(E.__file__))

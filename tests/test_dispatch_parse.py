@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import write_text
+from feed_files import write_text
 from wattline.operators.summary import dispatch_summary
 from wattline.operators.series import energy_series
 from wattline.plans.dispatch import dispatch_series

@@ -58,7 +58,7 @@ def test_checkpoint_dir_from_session(spark):
 def test_release_cached_frees_helpers(spark):
     from wattline import session
 
-    df, n = session.persist_counted(spark.range(5))
+    df, n, size = session.persist_counted(spark.range(5))
     assert n == 5 and session._CACHED
     session.release_cached()
     assert not session._CACHED

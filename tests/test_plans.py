@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from wattline.session import release_cached
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,11 @@ def _plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: _plan(fn(spark, SF)) for name, fn in E.QUERIES.items()}
+    found = {}
+    for name, fn in E.QUERIES.items():
+        found[name] = _plan(fn(spark, SF))
+        release_cached()
+    return found
 
 
 def test_no_cartesian_or_nested_loop(plans):

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import write_text
+from feed_files import write_text
 from wattline.operators.asof import asof_topk
 from wattline.operators.dedup import keep_first
 from wattline.plans.scada import scada_series

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_text
+from feed_files import write_text
 from wattline.operators.logstats import combined_estimate, log_counts, recent, timing_estimates, top_counts
 from wattline.operators.series import quality_flags
 from wattline.sources.registry import (

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import write_text
+from feed_files import write_text
 from wattline.operators.segments import ingest_report, rejects
 from wattline.plans.scada import cast_scada, parse_scada, scada_series
 from wattline.sources.lines import read_lines

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import write_text
+from feed_files import write_text
 from wattline.operators.dedup import keep_first
 from wattline.operators.series import head_per_group
 from wattline.plans.feeds_from_tables import scada_feed_lines, table

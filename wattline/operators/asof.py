@@ -54,7 +54,7 @@ def asof_topk(
     w = Window.partitionBy(*by).orderBy(F.col(right_on), *[F.col(t) for t in tiebreak])
     # the right side is counted once; intervals and candidates derive from it
     # and are never larger, so one check bounds both broadcasts
-    ranked, n_right = persist_counted(right.withColumn("_rn", F.row_number().over(w)))
+    ranked, n_right, _ = persist_counted(right.withColumn("_rn", F.row_number().over(w)))
     small = n_right <= broadcast_rows
     iv = _intervals(ranked, by, right_on, "_rn")
     hit = _attach(left, iv, by, left_on, right_on, small)

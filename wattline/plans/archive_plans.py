@@ -63,9 +63,9 @@ RANK_COLS = ["src_rank", "cls"]
 
 
 def _candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cand, n_cand = persist_counted(candidates.withColumn("src_rank", source_rank("source")))
+    cand, n_cand, _ = persist_counted(candidates.withColumn("src_rank", source_rank("source")))
     # archive listings are read once and reused by every branch below
-    entries, _ = persist_counted(archive_entries(cand.select("path"), n_paths=n_cand))
+    entries, *_ = persist_counted(archive_entries(cand.select("path"), n_paths=n_cand))
     return select_entries(entries, cand.select(*REQUEST_COLS, "src_rank"))
 
 
@@ -89,11 +89,11 @@ def choose_and_read(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, Da
     selected, rejects = _candidates(candidates)
     landed, read = None, None
     while True:
-        chosen, _ = persist_counted(_first_choice(selected, by))
+        chosen, *_ = persist_counted(_first_choice(selected, by))
         fresh = chosen.select("path", "outer", "inner", "entry", "size").distinct()
         if read is not None:
             fresh = fresh.join(read, "entry", "left_anti")
-        fresh, n_fresh = persist_counted(fresh)
+        fresh, n_fresh, _ = persist_counted(fresh)
         if landed is not None and not n_fresh:
             break
         size = fresh.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]

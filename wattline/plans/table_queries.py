@@ -775,7 +775,7 @@ SELECT scada_source, seconds, is_default, sample_count,
 FROM c""",
 )
 def q_combined_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, _ = persist_counted(timing_estimates(_log(spark, sf_dir)))  # four rows, read twice
+    est, *_ = persist_counted(timing_estimates(_log(spark, sf_dir)))  # four rows, read twice
     return combined_estimate(est, "current").unionByName(combined_estimate(est, "archive"))
 
 

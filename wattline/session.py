@@ -6,15 +6,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows and bytes a side may hold to be broadcast. The side is materialised
-# first, so both bounds are checked, never assumed.
-DEFAULT_BROADCAST_ROWS = 4_000_000
-DEFAULT_BROADCAST_BYTES = 256 << 20
+# Rows and unpacked bytes a side may hold to be broadcast. The side is
+# materialised first, so both bounds are checked, never assumed.
+DEFAULT_BROADCAST_ROWS = 500_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def get_spark(
@@ -120,8 +121,23 @@ def release_cached() -> None:
         _CACHED.pop().unpersist(blocking=False)
 
 
-def persist_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist ``df`` and count it once.
+def row_bytes(df: DataFrame) -> Column:
+    """Unpacked size of a row: the bytes of its texts, 16 for any other field."""
+    parts = []
+    for f in df.schema.fields:
+        name = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(name), F.lit(0)) + 16)
+        elif f.dataType.simpleString() == "array<string>":
+            texts = F.octet_length(F.array_join(name, ""))
+            parts.append(F.coalesce(texts + 16 * F.size(name), F.lit(0)) + 16)
+        else:
+            parts.append(F.lit(16))
+    return reduce(lambda a, b: a + b, parts, F.lit(0)).cast("long")
+
+
+def persist_counted(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Persist ``df`` and take its number of rows and unpacked bytes once.
 
     A per-call token keeps the cache entry private: the cache matches by
     plan, and keys derived from input splits (line keys) must never be
@@ -129,25 +145,19 @@ def persist_counted(df: DataFrame) -> tuple[DataFrame, int]:
     token = uuid.uuid4().hex
     df = df.withColumn("_cache_token", F.lit(token)).persist(StorageLevel.MEMORY_AND_DISK)
     _CACHED.append(df)
-    n = df.count()
-    return df.drop("_cache_token"), n
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).head()
+    return df.drop("_cache_token"), n, size
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Persist ``df``, measure it, and hint a broadcast only when it is small
-    in rows and in bytes (the size that the materialised cache reports).
+    in rows and in unpacked bytes.
 
     Returns the (persisted) frame and whether the broadcast hint was applied.
     Above the bounds the frame is returned unhinted so the planner uses a
     shuffle join (with adaptive skew splitting).
     """
-    df, n = persist_counted(df)
-    if n <= max_rows and _bytes_of(df) <= DEFAULT_BROADCAST_BYTES:
+    df, n, size = persist_counted(df)
+    if n <= max_rows and size <= DEFAULT_BROADCAST_BYTES:
         return F.broadcast(df), True
     return df, False
-
-
-def _bytes_of(df: DataFrame) -> int:
-    """Size of a materialised frame, by the optimizer's statistics (exact for
-    a filled cache)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
