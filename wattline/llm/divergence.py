@@ -25,7 +25,7 @@ from .common import chunks
 
 SCALE = 10**9
 #: Terms times sources of a block of the vocabulary.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 250_000
 #: Different terms of different sources that a task counts before it passes them on.
 MOST_HELD = 500_000
 
