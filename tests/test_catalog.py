@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wattline.functions.dates import day_warnings, era, join_warnings, scada_search_keys, scada_source_class
@@ -42,13 +43,16 @@ def test_eras_keys_warnings(spark):
     assert r[days[3]]["src"] == "archive" and r[days[4]]["src"] == "current"
 
 
-def test_asof_topk_matches_brute_force(spark):
+@pytest.mark.parametrize("width", [1, 7, 100])
+def test_asof_topk_matches_brute_force(spark, width):
+    """Buckets of one key, of some, and of all; keys below 0, gaps, ties."""
     rnd = random.Random(7)
     right = [(g, rnd.randint(0, 60), f"n{rnd.randint(0, 9)}{i}") for i in range(80) for g in (rnd.choice("ab"),)]
     left = [(i, g, rnd.randint(-5, 70)) for i in range(200) for g in (rnd.choice("abc"),)]
     rdf = spark.createDataFrame(right, "g string, k int, name string")
     ldf = spark.createDataFrame(left, "id int, g string, t int")
-    out = asof_topk(ldf, rdf, by=["g"], left_on="t", right_on="k", tiebreak=["name"], k=3, broadcast_rows=10)
+    out = asof_topk(ldf, rdf, by=["g"], left_on="t", right_on="k", tiebreak=["name"], k=3,
+                    bucket=lambda c: F.floor((c + 10) / width))
     got = sorted((r["id"], r["asof_rank"], r["right_name"]) for r in out.collect())
     expect = []
     for i, g, t in left:
@@ -57,6 +61,24 @@ def test_asof_topk_matches_brute_force(spark):
     assert got == sorted(expect)
 
 
+def test_asof_over_months_and_years_without_bundles(spark):
+    days = [dt.date(2024, 1, 31), dt.date(2024, 1, 31), dt.date(2024, 3, 1), dt.date(2025, 12, 31), None]
+    right = spark.createDataFrame([(1, d, f"b{i}") for i, d in enumerate(days)], "format int, file_date date, name string")
+    asks = [dt.date(2024, 1, 30), dt.date(2024, 1, 31), dt.date(2024, 2, 29), dt.date(2024, 3, 1), dt.date(2025, 11, 5), dt.date(2027, 1, 1), None]
+    left = spark.createDataFrame([(f, d) for f in (1, 2) for d in asks], "format int, t date")
+    out = asof_topk(left, right, by=["format"], left_on="t", right_on="file_date", tiebreak=["name"], k=3)
+    assert out.columns == ["format", "t", "asof_rank", "right_file_date", "right_name"]
+    got = sorted((r["t"], r["asof_rank"], r["right_name"]) for r in out.collect())
+    want = []
+    for t in asks[:-1]:
+        c = sorted(((d, f"b{i}") for i, d in enumerate(days) if d and d <= t), reverse=True)[:3]
+        want += [(t, j + 1, n) for j, (_, n) in enumerate(c)]
+    assert got == sorted(want)
+    # nothing is windowed over a whole format but k rows a month
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_fallthrough_first_source_wins(spark):
     rows = [(1, 1, "archive", "x"), (1, 1, "current", "y"), (1, 2, "archive", "z"), (2, 1, "archive", "w")]
     df = spark.createDataFrame(rows, "t int, format int, source string, name string")

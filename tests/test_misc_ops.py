@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wattline import api
 from wattline.operators.series import stat_cards
-from wattline.operators.summary import any_present, flag_breakdown, flag_breakdown_map
+from wattline.operators.summary import flag_breakdown, flag_breakdown_map
 from wattline.session import checkpoint_dir, cut_lineage
 
 
@@ -22,11 +22,6 @@ def test_flag_breakdown_nested(spark):
     assert m["None"]["count"] == 1 and m["2"]["pct"] == 25.0
 
 
-def test_any_present(spark):
-    r = any_present(_series(spark), ["duid"], ["measured_mw", "mw_quality_flag"]).collect()[0]
-    assert r["has_measured_mw"] and r["has_mw_quality_flag"]
-
-
 def test_dispatch_cards(spark):
     summ = spark.createDataFrame(
         [("U1", dt.date(2026, 3, 11), 1234, 10.04, 12.96, 50.25, 99.5, None)],

@@ -27,10 +27,20 @@ def test_no_cartesian_or_nested_loop(plans):
         assert "BroadcastNestedLoopJoin" not in p, name
 
 
-def test_header_attachment_broadcasts_small_side(plans):
-    for name in ("segment_parse", "table_scoped_parse", "scada_series", "dispatch_series"):
-        assert "BroadcastHashJoin" in plans[name], name
-        assert "SortMergeJoin" not in plans[name], name
+def test_feed_text_is_scanned_once(plans):
+    for name in ("segment_parse", "table_scoped_parse", "scada_series", "dispatch_series", "unit_prefilter"):
+        scans = [p.split("ReadSchema:")[1].splitlines()[0] for p in plans[name].split("FileScan")[1:]]
+        assert sum("value:string" in p for p in scans) == 1, name
+        assert "InMemoryTableScan" not in plans[name], name
+
+
+def test_energy_series_is_one_pass(plans):
+    assert plans["energy_series"].count("FileScan") == 1
+    assert plans["energy_series"].count("Exchange hash") == 1
+
+
+def test_landed_by_unit_day_needs_no_exchange(plans):
+    assert "Exchange" not in plans["clustered_day_report"]
 
 
 def test_keep_first_combines_before_shuffle(spark):

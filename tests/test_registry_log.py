@@ -14,6 +14,7 @@ from wattline.sources.registry import (
     first_readable,
     read_quality_flags,
     read_registry_json,
+    registry_json_rejects,
     registry_from_lines,
     registry_from_sheet,
     header_ranks,
@@ -92,6 +93,15 @@ def test_json_fallbacks(spark, tmpdir_path):
     fp = write_text(tmpdir_path, "flags.json", json.dumps(flags))
     assert sorted((r["flag"], r["label"]) for r in read_quality_flags(spark, fp).collect()) == [(-1, "N/A"), (0, "Good")]
     assert quality_flags(spark).count() == 5
+    # one bad state, and one bad unit, leave the others
+    mixed = {"NSW": [{"duid": "U1"}, 7, {"name": "no id"}], "QLD": "soon", "SA": {"duid": "U2"}, "VIC": [{"duid": "U3", "capacity_mw": "x"}]}
+    mp = write_text(tmpdir_path, "mixed/units.json", json.dumps(mixed, indent=2))
+    write_text(tmpdir_path, "mixed/other.json", "no json")
+    got = sorted((u["state"], u["duid"], u["name"], u["capacity_mw"]) for u in read_registry_json(spark, f"{tmpdir_path}/mixed").collect())
+    assert got == [("NSW", "U1", "U1", None), ("VIC", "U3", "U3", None)]
+    bad = {(r["file"].rsplit("/", 1)[1], r["state"], r["reason"]) for r in registry_json_rejects(spark, f"{tmpdir_path}/mixed").collect()}
+    assert bad == {("other.json", None, "not a JSON object"), ("units.json", "QLD", "not a list of units"), ("units.json", "SA", "not a list of units")}
+    assert mp.endswith("units.json")
     broken = lambda: spark.read.parquet(os.path.join(tmpdir_path, "missing"))
     assert first_readable([broken, lambda: read_registry_json(spark, p)]).count() == 1
 

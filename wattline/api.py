@@ -20,7 +20,7 @@ from .operators.series import head_per_group, json_records
 from .operators.summary import dispatch_summary, flag_breakdown, scada_summary
 from .plans.dispatch import dispatch_series
 from .plans.scada import scada_series
-from .session import land
+from .session import land_clustered
 
 _DATE_PARAM = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 
@@ -73,8 +73,9 @@ def scada_view(lines: DataFrame, duid: str | None = None, day: date | None = Non
     """SCADA data view: series, summary, row counts before/after the display
     cap, flag breakdown, display records (the first ``cap`` per unit-day; all
     if None) and per-day warnings. The feed is parsed once: the series is
-    written and every output reads it back."""
-    series = land(_one(scada_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day), "view")
+    written by unit-day and every output reads it back without a shuffle."""
+    series = _one(scada_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day)
+    series = land_clustered(series, "scada_view", ("duid", "market_day"), ("measurement_datetime",))
     if strict:
         require_rows(series, f"unit {duid}: no readings on market day {day}")
     head = series if cap is None else head_per_group(series, n=cap)
@@ -99,7 +100,8 @@ def energy_view(lines: DataFrame, duid: str | None = None, day: date | None = No
                 strict: bool = False) -> dict[str, DataFrame]:
     """Dispatch energy view: series, summary and records (no cap); the feed is
     parsed once."""
-    series = land(_one(dispatch_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day), "view")
+    series = _one(dispatch_series(lines, units=[duid] if duid else None, days=[day] if day else None), duid, day)
+    series = land_clustered(series, "energy_view", ("duid", "market_day"), ("settlementdate",))
     if strict:
         require_rows(series, f"unit {duid}: no dispatch intervals on market day {day}")
     return {

@@ -29,21 +29,11 @@ def split_fields(line: Column | str) -> Column:
     )
 
 
-def line_tag(line: Column | str) -> Column:
-    """Record tag of a feed line (``C``/``I``/``D``), upper-cased."""
-    return F.upper(F.substring_index(_c(line), ",", 1))
-
-
 def clean_cell(col: Column | str) -> Column:
     """Trimmed text cell; NULL → ''."""
     return F.coalesce(F.trim(_c(col).cast("string")), F.lit(""))
 
 
-def name_or_id(name: Column | str, duid: Column | str) -> Column:
-    """Unit name, defaulting to the unit id when empty."""
-    return F.coalesce(F.nullif(_c(name), F.lit("")), _c(duid))
-
-
 def js_number(x: Column | str) -> Column:
     """Number as a browser prints it: no trailing ``.0`` on whole values."""
     return F.regexp_replace(_c(x).cast("string"), r"\.0$", "")

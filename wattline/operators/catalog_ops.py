@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.dates import dispatch_search_keys, scada_search_keys, yyyymmdd
-from ..session import DEFAULT_BROADCAST_ROWS
 from ..sources.catalog import source_rank
 from .asof import asof_topk
 
@@ -57,7 +56,6 @@ def bundle_candidates(
     date_col: str = "target_date",
     product: str = K.SCADA_PRODUCT,
     k: int = K.BUNDLE_CANDIDATES,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
     """Best ``k`` bundles per (target, format): largest (date, name) with
     date ≤ the latest search date. SCADA searches up to D+1, dispatch up to D."""
@@ -69,9 +67,9 @@ def bundle_candidates(
         limit = F.col(date_col)
     # targets × formats: the format domain is the fixed pair (1, 2), so each
     # target is expanded by an explode of the known list, not by a join
-    left =targets.withColumn("_search_until", limit).withColumn("format", F.explode(F.array(F.lit(1), F.lit(2))))
+    left = targets.withColumn("_search_until", limit).withColumn("format", F.explode(F.array(F.lit(1), F.lit(2))))
     out = asof_topk(
         left, bundles, by=["format"], left_on="_search_until", right_on="file_date",
-        tiebreak=["name"], k=k, broadcast_rows=broadcast_rows,
+        tiebreak=["name"], k=k,
     )
     return out.drop("_search_until")

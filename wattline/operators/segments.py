@@ -1,53 +1,177 @@
-"""Header attachment for line-tagged multi-segment feeds.
+"""Header attachment for line-tagged multi-segment feeds, by carry-forward.
 
 A feed file holds comment lines (``C,``), header lines (``I,``) that open a
 segment, and data lines (``D,``) belonging to the most recent header of the
 same file (optionally of one named table). Every file may hold several
 segments with different columns.
 
-Spark form: the header lines of all files form a small table ``H`` with the
-key range ``[k0, k1)`` of each segment (``k1`` = the next header's key, by a
-window over ``H`` only). Data lines are attached by an equi join on ``file``
-plus a range condition on the key. ``H`` is counted and broadcast when it is
-small, so the data side is never shuffled; above the bound the join shuffles
-on ``file`` and adaptive execution splits a file that holds many rows.
+The lines are taken in pieces, each a stretch of one file in line order: the
+splits of a text scan as they come, or, for lines without such an order, the
+parts of a range partitioning by file and line. One pass over a piece carries
+the last header forward to the lines after it, and the piece returns the header
+that is open at its end. A prefix scan over these few rows (one a piece) gives
+every piece the header it starts with, which its lines before their first own
+header take by an equi join on the piece. The text is read once and landed once
+with its header positions; no range join is made and no header is broadcast by
+hand, whatever the number of headers, files or lines.
 
-Fields are looked up by header name (``get(parts, position)``), so segments
-with different column orders or extra columns line up without a union, and
-absent columns come out NULL. Extra cells are ignored, short rows give NULL.
+Every line gets a verdict (see :data:`VERDICTS`). Fields are looked up by header
+name (``get(parts, position)``), so segments with different column orders or
+extra columns line up without a union, and absent columns come out NULL. Extra
+cells are ignored, short rows give NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from ..functions.casts import unquote
+from ..functions.casts import feed_timestamp, unquote
 from ..functions.text import split_fields
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from ..session import land, ship_package
+
+HEADER, DATA, SHORT, UNKNOWN, OPEN_AT_END = range(5)
+
+#: What becomes of a line; ``used`` and ``bad time`` lines are rows of the parse.
+USED, HEADLESS, REJECTED_FILE = "used", "data line before any header", "missing required columns"
+SHORT_LINE, UNKNOWN_TAG, BAD_TIME = "short line", "unknown tag", "unparsed time"
+VERDICTS = [USED, HEADLESS, REJECTED_FILE, SHORT_LINE, UNKNOWN_TAG, BAD_TIME]
 
 
 @dataclass
 class ParsedFeed:
     """Result of :func:`parse_segments`.
 
+    ``lines``: every data, short and unknown line with its ``verdict`` (file,
+    line_key, verdict, and the fields of ``rows``).
     ``rows``: one row per attached data line, a STRING column per wanted
     name plus ``file``, ``line_key``, ``segment_key``.
-    ``headers``: the header table (file, segment_key, next_key, header,
-    accepted, reason).
+    ``headers``: the header table (file, segment_key, header, accepted, reason).
     """
 
+    lines: DataFrame
     rows: DataFrame
     headers: DataFrame
-    data_lines: DataFrame
+
+    def observed(self, name: str = "verdicts") -> tuple[DataFrame, Observation]:
+        """``rows``, and the totals of all verdicts, which the first action on
+        ``rows`` (a write, a count) fills in passing: no pass of their own."""
+        totals = Observation(name)
+        counts = [F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in VERDICTS]
+        seen = self.lines.observe(totals, F.count(F.lit(1)).alias("lines"), *counts)
+        return _rows(seen, self.rows.columns), totals
+
+
+def _rows(lines: DataFrame, columns: list[str]) -> DataFrame:
+    return lines.where(F.col("verdict").isin(USED, BAD_TIME)).select(*columns)
 
 
 def _pos_col(name: str) -> str:
     return f"_pos_{name}"
 
 
+def in_pieces(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``piece``: text that ascends along a file, equal on a
+    stretch of lines that one task reads in line order. Scans bring it along;
+    other lines are range-partitioned by file and line and sorted."""
+    if "piece" in lines.columns:
+        return lines
+    ranged = lines.repartitionByRange("file", "line_key").sortWithinPartitions("file", "line_key")
+    return ranged.withColumn("piece", F.lpad(F.spark_partition_id().cast("string"), 10, "0"))
+
+
+def _carrier(columns: list[str], checks: list[list[str]]):
+    """The pass over the lines of a task, a batch at a time: each line gets the
+    key and the column positions of the last header before it in its piece
+    (none: NULL). At the end of a piece comes one row of kind OPEN_AT_END with
+    the last header and which ``checks`` any of its headers meets."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    key_type = pa.struct([("part", pa.int64()), ("pos", pa.int64())])
+
+    def carry(batches: Iterator) -> Iterator:
+        open_piece = None  # (file, piece)
+        # the last header of the open piece: (part, pos, positions); what its headers meet; its last line
+        last, meets, before = None, None, None
+
+        def close(schema):
+            row = {n: None for n in schema.names}
+            row.update(file=open_piece[0], piece=open_piece[1], kind=OPEN_AT_END, meets=meets)
+            if last is not None:
+                row["segment_key"] = {"part": last[0], "pos": last[1]}
+                row.update({_pos_col(c): p for c, p in zip(columns, last[2])})
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        schema = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            file, piece = batch.column("file"), batch.column("piece")
+            part, pos = (np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in batch.column("line_key").flatten())
+            kind = batch.column("kind").to_numpy(zero_copy_only=False)
+            change = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(piece[1:], piece[:-1]))
+            starts = np.flatnonzero(np.concatenate(([True], change.to_numpy(zero_copy_only=False))))
+            ends = np.append(starts[1:], n)
+            is_header = kind == HEADER
+            heads = np.flatnonzero(is_header)
+            names = batch.column("header")
+            found = [names[int(i)].as_py() or [] for i in heads]
+            positions = [[h.index(c) + 1 if c in h else 0 for c in columns] for h in found]
+            met = [[any(c in h for c in check) for check in checks] for h in found]
+            # rows of the table of headers: 0 none, 1 the one carried in, then this batch's
+            which = np.zeros(n, np.int64)
+            fields = pa.schema([*batch.schema, ("segment_key", key_type), ("meets", pa.list_(pa.bool_())),
+                                *[(_pos_col(c), pa.int32()) for c in columns]])
+            schema = schema or fields
+            carried = last
+            done = []
+            for a, z in zip(starts.tolist(), ends.tolist()):
+                here = (file[a].as_py(), piece[a].as_py())
+                if here != open_piece:
+                    if open_piece is not None:
+                        done.append(close(schema))
+                    open_piece, last, meets, before = here, None, [False] * len(checks), None
+                keys = part[a:z], pos[a:z]
+                back = (np.diff(keys[0]) < 0) | ((np.diff(keys[0]) == 0) & (np.diff(keys[1]) < 0))
+                if back.any() or (before is not None and (keys[0][0], keys[1][0]) < before):
+                    raise ValueError(f"lines of {here[0]} are not in order within a piece")
+                before = (keys[0][-1], keys[1][-1])
+                low, high = np.searchsorted(heads, [a, z])
+                at = np.full(z - a, 1 if last is not None else 0)
+                own = heads[low:high]
+                at[own - a] = np.arange(low, high) + 2
+                which[a:z] = np.maximum.accumulate(at)
+                for k in range(low, high):
+                    meets = [x or y for x, y in zip(meets, met[k])]
+                if high > low:
+                    i = int(heads[high - 1])
+                    last = (int(part[i]), int(pos[i]), positions[high - 1])
+            first = carried or (0, 0, [0] * len(columns))
+            table = np.array([[0] * len(columns), first[2], *positions], np.int32).reshape(-1, len(columns))
+            table_part = np.concatenate(([0, first[0]], part[heads]))
+            table_pos = np.concatenate(([0, first[1]], pos[heads]))
+            none = which == 0
+            key = pa.StructArray.from_arrays(
+                [pa.array(table_part[which]), pa.array(table_pos[which])], fields=list(key_type), mask=pa.array(none)
+            )
+            out = [*batch.columns, key, pa.nulls(n, pa.list_(pa.bool_()))]
+            out += [pa.array(table[which, c], mask=none) for c in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
+            yield from done
+        if open_piece is not None:
+            yield close(schema)
+
+    return carry
+
+
 def parse_segments(
     lines: DataFrame,
     columns: list[str],
@@ -56,7 +180,7 @@ def parse_segments(
     contains: str | list[str] | None = None,
     require: list[str] | None = None,
     require_any: list[str] | None = None,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    time_column: str | None = None,
 ) -> ParsedFeed:
     """Attach data lines to their segment header and look fields up by name.
 
@@ -66,94 +190,104 @@ def parse_segments(
     several); an optimisation only, exact filtering happens after parsing.
     ``require``/``require_any``: per-file column check over the union of the
     file's headers; files failing it are rejected as a whole.
+    ``time_column``: one of ``columns``; a row without a valid time there has the
+    verdict ``unparsed time`` (and stays a row).
+
+    Blank and comment lines are ignored. The lines that matter are landed with
+    their header positions when this is called.
     """
+    spark = lines.sparkSession
+    ship_package(spark)
     v = F.col("value")
-    # a stored tag (landed lines) is tested as a column, so the filter reaches
-    # the Parquet scan; otherwise the tag is read off the raw text
-    stored_tag = "tag" in lines.columns
     # columns riding along with each line (e.g. an explicit file order)
-    extra = [c for c in lines.columns if c not in ("file", "line_key", "value", "tag")]
+    extra = [c for c in lines.columns if c not in ("file", "line_key", "value", "tag", "piece")]
 
     # Filters test the raw text with cheap string functions; the (quote-aware)
     # split runs once, in the projection after them. Filtering on the split
     # array would make the optimizer repeat the split inside every filter.
     head3 = F.substring_index(v, ",", 3)             # tag, group, table
-    tag = F.col("tag") if stored_tag else F.upper(F.trim(F.substring_index(v, ",", 1)))
+    tag = F.col("tag") if "tag" in lines.columns else F.upper(F.trim(F.substring_index(v, ",", 1)))
     more_than_3 = F.length(head3) < F.length(v)     # ≥ 3 commas → > 3 fields
+    in_table = F.lit(True) if table is None else F.upper(F.trim(F.substring_index(head3, ",", -1))) == table.upper()
+    wanted = in_table
+    if contains:
+        subs = [contains] if isinstance(contains, str) else list(contains)
+        wanted = reduce(lambda a, b: a | b, [v.contains(s) for s in subs]) & in_table
+    kind = (
+        F.when(tag.isin("I", "D") & ~more_than_3, SHORT)
+        .when((tag == "I") & in_table, HEADER)
+        .when((tag == "D") & wanted, DATA)
+        .when(~tag.isin("C", "I", "D", ""), UNKNOWN)
+    )
+    parts = split_fields(v)
+    header = F.transform(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), lambda x: F.trim(unquote(x)))
+    kept = in_pieces(lines.withColumn("kind", kind).where(F.col("kind").isNotNull()))
+    kept = kept.select("file", "piece", "line_key", "kind", "value", F.when(F.col("kind") == HEADER, header).alias("header"), *extra)
 
-    def table_ok():
-        if table is None:
-            return F.lit(True)
-        return F.upper(F.trim(F.substring_index(head3, ",", -1))) == table.upper()
+    checks = [*[[c] for c in require or []], *([require_any] if require_any else [])]
+    schema = StructType([StructField(f.name, f.dataType, True) for f in kept.schema.fields])
+    schema = schema.add("segment_key", StructType().add("part", LongType()).add("pos", LongType()))
+    schema = schema.add("meets", ArrayType(BooleanType()))
+    for c in columns:
+        schema = schema.add(_pos_col(c), IntegerType())
+    carried = kept.mapInArrow(_carrier(columns, checks), schema)
+    # stored by kind, so the few rows of headers and pieces are read without the text
+    landed = land(carried, "feed-lines", partition_by=["kind"])
 
-    # ---- header side (small) -------------------------------------------
-    h = lines.where((tag == "I") & more_than_3 & table_ok()).select(
-        "file",
-        F.col("line_key").alias("segment_key"),
-        F.transform(F.slice(split_fields(v), F.lit(4), F.greatest(F.size(split_fields(v)) - 3, F.lit(0))), lambda x: F.trim(unquote(x))).alias("header"),
+    positions = [_pos_col(c) for c in columns]
+    ends = landed.where(F.col("kind") == OPEN_AT_END)
+    opened = F.when(F.col("segment_key").isNotNull(), F.struct("segment_key", *positions))
+    along = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("file", "piece", F.last(opened, ignorenulls=True).over(along).alias("_start")).where(F.col("_start").isNotNull())
+    accepted = [F.bool_or(F.get("meets", F.lit(i))) for i in range(len(checks))]
+    files = ends.groupBy("file").agg(
+        F.bool_or(F.col("segment_key").isNotNull()).alias("_any"),
+        reduce(lambda a, b: a & b, accepted, F.lit(True)).alias("accepted"),
     )
-    w_file = Window.partitionBy("file").orderBy("segment_key")
-    h = h.withColumn("next_key", F.lead("segment_key").over(w_file))
-    # required columns: does any header of the file name them (one boolean each)
-    def in_file(names: list[str]):
-        return F.max(F.greatest(F.lit(False), F.lit(False), *[F.array_contains("header", c) for c in names])).over(
-            Window.partitionBy("file")
-        )
+    failing = files.where(F.col("_any") & ~F.col("accepted")).select("file", F.lit(True).alias("_rejected"))
 
-    ok = F.lit(True)
-    for names in [*[[c] for c in require or []], *([require_any] if require_any else [])]:
-        ok = ok & in_file(names)
-    h = h.withColumn("accepted", ok).withColumn("reason", F.when(~F.col("accepted"), F.lit("missing required columns")))
-    for c in columns:
-        h = h.withColumn(_pos_col(c), F.array_position("header", c).cast("int"))
+    text = landed.where(F.col("kind").isin(DATA, SHORT, UNKNOWN)).join(starts, ["file", "piece"], "left")
+    if checks:
+        text = text.join(failing, "file", "left")
+    else:
+        text = text.withColumn("_rejected", F.lit(None).cast("boolean"))
 
-    # ---- data side (large): raw-text filters, then one split -------------
-    cond = (tag == "D") & more_than_3 & table_ok()
-    if contains:
-        subs = [contains] if isinstance(contains, str) else list(contains)
-        any_sub = F.lit(False)
-        for s_ in subs:
-            any_sub = any_sub | v.contains(s_)
-        cond = any_sub & cond
-    d = lines.where(cond).select("file", "line_key", split_fields(v).alias("_parts"), *extra)
-
-    hk = h.where("accepted").select("file", "segment_key", "next_key", *[_pos_col(c) for c in columns])
-    hk, _ = broadcast_if_small(hk, broadcast_rows)
-    hk = hk.withColumnRenamed("file", "_hfile")
-    joined = d.join(
-        hk,
-        (d["file"] == hk["_hfile"])
-        & (d["line_key"] > hk["segment_key"])
-        & (hk["next_key"].isNull() | (d["line_key"] < hk["next_key"])),
-        "inner",
+    def own(name: str) -> Column:
+        return F.coalesce(F.col(name), F.col(f"_start.{name}")).alias(name)
+
+    text = text.select(
+        "file", "line_key", "kind", own("segment_key"), *[own(p) for p in positions], "_rejected",
+        split_fields(v).alias("_parts"), *extra,
     )
     fields = []
     for c in columns:
         p = F.col(_pos_col(c))
-        raw = F.when(p > 0, F.get(F.col("_parts"), p + 2))
+        raw = F.when((F.col("kind") == DATA) & (p > 0), F.get(F.col("_parts"), p + 2))
         fields.append(F.nullif(unquote(raw), F.lit("")).alias(c))
-    rows = joined.select("file", "line_key", "segment_key", *extra, *fields)
-    return ParsedFeed(rows=rows, headers=h.drop(*[_pos_col(c) for c in columns]), data_lines=d)
+    text = text.select("file", "line_key", "segment_key", "kind", "_rejected", *extra, *fields)
+    verdict = (
+        F.when(F.col("kind") == UNKNOWN, UNKNOWN_TAG)
+        .when(F.col("kind") == SHORT, SHORT_LINE)
+        .when(F.col("segment_key").isNull(), HEADLESS)
+        .when(F.col("_rejected"), REJECTED_FILE)
+    )
+    if time_column:
+        verdict = verdict.when(feed_timestamp(time_column).isNull(), BAD_TIME)
+    judged = text.withColumn("verdict", verdict.otherwise(USED))
+    rows = ["file", "line_key", "segment_key", *extra, *columns]
+    # rows need no verdict on their time, so they do not wait for it
+    used = text.where((F.col("kind") == DATA) & F.col("segment_key").isNotNull() & F.col("_rejected").isNull()).select(*rows)
+    heads = landed.where(F.col("kind") == HEADER).select("file", "segment_key", "header").join(
+        files.select("file", "accepted"), "file", "left"
+    )
+    heads = heads.withColumn("reason", F.when(~F.col("accepted"), F.lit(REJECTED_FILE)))
+    return ParsedFeed(lines=judged.select("verdict", *rows), rows=used, headers=heads)
 
 
 def rejects(parsed: ParsedFeed) -> DataFrame:
-    """Data lines that were not used: no header before them, or file rejected.
-
-    Returns ``(file, line_key, reason)``. Both per-file tables (rejected
-    files, first header key) are counted and broadcast, so the data lines
-    are never shuffled by file.
-    """
-    h = parsed.headers
-    d = parsed.data_lines.select("file", "line_key")
-    bad_files, _ = broadcast_if_small(h.where(~F.col("accepted")).select("file").distinct())
-    rejected = d.join(bad_files, "file", "left_semi").withColumn("reason", F.lit("missing required columns"))
-    first, _ = broadcast_if_small(h.groupBy("file").agg(F.min("segment_key").alias("_first")))
-    headless = (
-        d.join(first, "file", "left")
-        .where(F.col("_first").isNull() | (F.col("line_key") < F.col("_first")))
-        .select("file", "line_key", F.lit("data line before any header").alias("reason"))
-    )
-    return rejected.select("file", "line_key", "reason").unionByName(headless)
+    """Lines that did not become a reading: ``(file, line_key, reason)``, the
+    reason being any of :data:`VERDICTS` but ``used``."""
+    return parsed.lines.where(F.col("verdict") != USED).select("file", "line_key", F.col("verdict").alias("reason"))
 
 
 def ingest_report(parsed: ParsedFeed, time_parsed: str | None = None) -> DataFrame:

@@ -7,8 +7,6 @@ whose size is bounded by the day's time grid after de-duplication.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +14,6 @@ from .. import constants as K
 from ..functions.casts import format_time
 from ..functions.text import display_count, display_fixed
 from ..session import broadcast_if_small
-from .summary import any_present
 
 DEFAULT_BY = ("duid", "market_day")
 
@@ -54,17 +51,17 @@ def quality_strip(breakdown: DataFrame, flags: DataFrame, flag: str = "mw_qualit
 
 def energy_series(dispatch: DataFrame, time_col: str = "settlementdate", by=DEFAULT_BY) -> DataFrame:
     """Three named series over one time axis; a series with no value in a
-    unit-day is dropped. Presence is one aggregate per unit-day, combined in
-    the tasks and joined back before the points are unpivoted."""
-    has = any_present(dispatch, by, [c for c, _ in K.ENERGY_SERIES])
-    keys = {b: f"_by_{b}" for b in by}
-    has = has.withColumnsRenamed(keys)
-    same = reduce(lambda a, b: a & b, [dispatch[b].eqNullSafe(has[k]) for b, k in keys.items()])
+    unit-day is dropped. One pass: presence is told over the unit-day (bounded
+    by the day's intervals after keep-first) before the points are unpivoted;
+    over a series landed by unit-day nothing is shuffled."""
+    day = Window.partitionBy(*by)
+    present = {c: F.bool_or(F.col(c).isNotNull()).over(day) for c, _ in K.ENERGY_SERIES}
+    rows = dispatch.select(*by, time_col, *[c for c, _ in K.ENERGY_SERIES], *[p.alias(f"has_{c}") for c, p in present.items()])
     points = F.array(*[
         F.when(F.col(f"has_{c}"), F.struct(F.lit(c).alias("measure"), F.lit(n).alias("series"), F.col(c).cast("double").alias("value")))
         for c, n in K.ENERGY_SERIES
     ])
-    rows = dispatch.join(has, same).select(*[dispatch[b] for b in by], time_col, F.explode(F.array_compact(points)).alias("p"))
+    rows = rows.select(*by, time_col, F.explode(F.array_compact(points)).alias("p"))
     return rows.select(*by, "p.measure", "p.series", time_col, "p.value")
 
 

@@ -83,8 +83,3 @@ def dispatch_summary(series: DataFrame, by=DEFAULT_BY) -> DataFrame:
             exact_mean(m, 2).alias(f"mean_{suffix}"),
         ]
     return series.groupBy(*by).agg(*aggs)
-
-
-def any_present(df: DataFrame, by, cols: list[str]) -> DataFrame:
-    """Per group, whether each column has any non-NULL value."""
-    return df.groupBy(*by).agg(*[F.bool_or(F.col(c).isNotNull()).alias(f"has_{c}") for c in cols])

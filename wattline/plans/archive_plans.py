@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.catalog_ops import bundle_candidates, match_daily
-from ..sources.archives import archive_entries, entry_id, read_entries, select_entries
-from ..session import broadcast_if_small, land, persist_counted
+from ..sources.archives import LandedArchives, ZipArchives, entry_id, select_entries
+from ..session import broadcast_if_small, land
 from ..sources.catalog import source_rank
 from .dispatch import dispatch_series
 from .scada import scada_series
@@ -60,13 +60,15 @@ def dispatch_candidates(targets: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 RANK_COLS = ["src_rank", "cls"]
+Archives = ZipArchives | LandedArchives
 
 
-def _candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cand, n_cand, _ = persist_counted(candidates.withColumn("src_rank", source_rank("source")))
-    # archive listings are read once and reused by every branch below
-    entries, *_ = persist_counted(archive_entries(cand.select("path"), n_paths=n_cand))
-    return select_entries(entries, cand.select(*REQUEST_COLS, "src_rank"))
+def _candidates(candidates: DataFrame, archives: Archives) -> tuple[DataFrame, DataFrame]:
+    # each table is used several times below: landed, so that plans stay short
+    cand = land(candidates.withColumn("src_rank", source_rank("source")), "archive-candidates")
+    entries = land(archives.entries(cand.select("path"), cand.count()), "archive-entries")
+    selected, rejects = select_entries(entries, cand.select(*REQUEST_COLS, "src_rank"))
+    return land(selected, "archive-selected"), rejects
 
 
 def _first_choice(selected: DataFrame, by: list[str]) -> DataFrame:
@@ -77,7 +79,9 @@ def _first_choice(selected: DataFrame, by: list[str]) -> DataFrame:
     return chosen.withColumn("entry_order", F.struct("src_rank", "cls", "format", "cand_rank", "entry"))
 
 
-def choose_and_read(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def choose_and_read(
+    candidates: DataFrame, by: list[str], archives: Archives | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(chosen entries with an order key, their lines, rejects)``.
 
     The first (source, class) per ``by`` that yields any entry is read, and
@@ -86,18 +90,18 @@ def choose_and_read(candidates: DataFrame, by: list[str]) -> tuple[DataFrame, Da
     their next class or source (or, if there is none, to the other archives of
     the same), which is read in turn. Every archive that failed has a reject
     row for each of its days. The rounds are at most the ranks of a candidate."""
-    selected, rejects = _candidates(candidates)
+    archives = archives or ZipArchives()
+    selected, rejects = _candidates(candidates, archives)
     landed, read = None, None
     while True:
-        chosen, *_ = persist_counted(_first_choice(selected, by))
+        chosen = land(_first_choice(selected, by), "archive-choice")
         fresh = chosen.select("path", "outer", "inner", "entry", "size").distinct()
         if read is not None:
             fresh = fresh.join(read, "entry", "left_anti")
-        fresh, n_fresh, _ = persist_counted(fresh)
+        n_fresh, size = fresh.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
         if landed is not None and not n_fresh:
             break
-        size = fresh.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
-        lines = land(read_entries(fresh, size), "archive-lines")
+        lines = land(archives.lines(fresh, size), "archive-lines")
         landed = lines if landed is None else landed.unionByName(lines)
         read = fresh.select("entry") if read is None else read.union(fresh.select("entry"))
         failed = lines.where(F.col("error").isNotNull()).groupBy("entry").agg(F.min("error").alias("reason"))
@@ -134,22 +138,18 @@ def _lines_with_order(chosen: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumn("file_order", F.struct("entry_order", "file")).drop("entry", "entry_order")
 
 
-def scada_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:
+def scada_from_archives(
+    targets: DataFrame, catalog: DataFrame, units: list[str] | None = None, archives: Archives | None = None
+) -> DataFrame:
     """SCADA series of every requested (day) from landed archives; the
     market-day window keeps only the requested days."""
-    chosen, lines, _ = choose_and_read(scada_candidates(targets, catalog), ["target_date", "format"])
+    chosen, lines, _ = choose_and_read(scada_candidates(targets, catalog), ["target_date", "format"], archives)
     return scada_series(_lines_with_order(chosen, lines), units=units, file_order="file_order", target_col="target_date")
 
 
-def dispatch_from_archives(targets: DataFrame, catalog: DataFrame, units: list[str] | None = None) -> DataFrame:
+def dispatch_from_archives(
+    targets: DataFrame, catalog: DataFrame, units: list[str] | None = None, archives: Archives | None = None
+) -> DataFrame:
     """Dispatch series of every requested day from landed archives."""
-    chosen, lines, _ = choose_and_read(dispatch_candidates(targets, catalog), ["target_date"])
+    chosen, lines, _ = choose_and_read(dispatch_candidates(targets, catalog), ["target_date"], archives)
     return dispatch_series(_lines_with_order(chosen, lines), units=units, file_order="file_order", target_col="target_date")
-
-
-def days_served(chosen: DataFrame) -> DataFrame:
-    """Where each requested day was found: source, kind (1 daily, 2 bundle)
-    and the archives used — recorded from the actual choice, per day."""
-    return chosen.groupBy("target_date", "source", "cls").agg(
-        F.array_sort(F.collect_set("path")).alias("archives")
-    )

@@ -29,6 +29,7 @@ def parse_dispatch(lines: DataFrame, units: list[str] | None = None, table: str
         table=table,
         contains=units,
         require=[K.DISPATCH_UNIT_COLUMN, "SETTLEMENTDATE"],
+        time_column="SETTLEMENTDATE",
         **kw,
     )
 

@@ -16,16 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import render_feed_time
-from ..functions.dates import market_day_instant, ntz_micros, trunc_ntz
-from ..session import cut_lineage
-from ..sources.lines import line_key, lines_from_frame
+from ..functions.dates import market_day_instant, market_day_interval_end, ntz_micros, trunc_ntz
+from ..session import land
+from ..sources.archives import ALL_CSVS, LandedArchives, entry_id
+from ..sources.lines import LINE_KEY_TYPE, line_key, lines_from_frame
 
 
 def landed(df: DataFrame) -> DataFrame:
-    """Write a derived feed to the shared checkpoint folder and read it back,
-    as feed files are landed before they are parsed. Downstream filters then
-    test a stored column instead of re-running the rendering expression."""
-    return cut_lineage(df)
+    """Write derived rows to the shared checkpoint folder and read them back.
+    Downstream filters then test a stored column instead of re-running the
+    rendering expression. (Feed lines are landed by their parse.)"""
+    return land(df, "derived")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -94,18 +95,36 @@ def events_as_scada(events: DataFrame) -> DataFrame:
     )
 
 
+def events_as_dispatch(events: DataFrame) -> DataFrame:
+    """Typed dispatch-shaped series from events: the second as interval end,
+    value, twice and half of it as the measures, some absent."""
+    e, value, settle = F.col("event_id"), F.col("value"), trunc_ntz("ts", "second")
+    return events.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("duid"),
+        market_day_interval_end(settle).alias("market_day"),
+        settle.alias("settlementdate"),
+        value.alias("initialmw"),
+        F.when(e % 3 != 0, value * 2).alias("initial_energy_storage"),
+        F.when(e % 5 != 0, value / 2).alias("energy_storage"),
+    )
+
+
 HEADER_A = "I,FPP,FPPMW,1,INTERVAL_DATETIME,MEASUREMENT_DATETIME,FPP_UNITID,MEASURED_MW,MW_QUALITY_FLAG"
 HEADER_B = "I,FPP,FPPMW,2,INTERVAL_DATETIME,MEASUREMENT_DATETIME,DUID,EXTRA,MEASURED_MW,MW_QUALITY_FLAG"
 
 
-def scada_feed_lines(events: DataFrame, data_only: bool = False) -> DataFrame:
-    """Events rendered as SCADA feed text: one file per calendar day, a
-    first-half segment (layout A, unit column FPP_UNITID) and a second-half
-    segment (layout B, unit column DUID and an extra column)."""
+def scada_feed_lines(events: DataFrame, offset: int = 0, faults: bool = False) -> DataFrame:
+    """Events rendered as SCADA feed text: one file per day (which begins
+    ``offset`` hours after midnight), a first-half segment (layout A, unit column
+    FPP_UNITID) and a second-half segment (layout B, unit column DUID and an
+    extra column). ``faults`` adds short lines, lines of an unknown tag, more
+    lines before the header, and files (days divisible by five) that lack a
+    required column."""
     events = spread(events)
     e = F.col("event_id")
     ts = F.col("ts")
-    day = F.to_date(ts)
+    begun = ts - F.make_dt_interval(hours=F.lit(offset))
+    day = F.to_date(begun)
     file = F.concat(F.lit("scada/FEED_"), F.date_format(day, "yyyyMMdd"), F.lit(".CSV"))
     meas_txt = F.when(e % 13 == 0, F.lit("not-a-time")).otherwise(render_feed_time(ts))
     ivl_txt = render_feed_time(trunc_ntz(ts, "minute"))
@@ -120,7 +139,7 @@ def scada_feed_lines(events: DataFrame, data_only: bool = False) -> DataFrame:
     extra = F.when(e % 37 == 0, F.lit('"x,y"')).otherwise(F.concat(F.lit("x"), e.cast("string")))
     tail = F.when(e % 29 == 0, F.lit("")).otherwise(F.concat(F.lit(","), flag_txt))
     tail = F.concat(tail, F.when(e % 31 == 0, F.lit(",junk")).otherwise(F.lit("")))
-    first_half = F.hour(ts) < 12
+    first_half = F.hour(begun) < 12
     value = F.when(
         first_half,
         F.concat_ws(",", F.lit("D,FPP,FPPMW,1"), _q(ivl_txt), _q(meas_txt), duid, mw_txt),
@@ -133,11 +152,14 @@ def scada_feed_lines(events: DataFrame, data_only: bool = False) -> DataFrame:
         line_key(0, _micros(ts) * 2 + 1),
         F.concat(value, tail),
     )
-    if data_only:
-        return data
     days = events.select(day.alias("day"), file.alias("file")).distinct()
-    d0 = _micros(F.col("day").cast("timestamp_ntz"))
-    d12 = _micros((F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")))
+    d0 = _micros(F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(offset)))
+    d12 = _micros(F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(offset + 12)))
+
+    def header(text: str) -> Column:
+        if not faults:
+            return F.lit(text)
+        return F.when(F.dayofmonth("day") % 5 == 0, F.lit(text.replace("MEASURED_MW", "OTHER_MW"))).otherwise(F.lit(text))
     extra_lines = days.select(
         "file",
         F.explode(
@@ -145,12 +167,22 @@ def scada_feed_lines(events: DataFrame, data_only: bool = False) -> DataFrame:
                 F.struct(line_key(0, d0 * 2 - 6).alias("k"), F.lit("C,synthetic feed,wattline").alias("v")),
                 F.struct(line_key(0, d0 * 2 - 4).alias("k"), F.lit("D,FPP,FPPMW,1,orphan,row").alias("v")),
                 F.struct(line_key(0, d0 * 2 - 2).alias("k"), F.lit("").alias("v")),
-                F.struct(line_key(0, d0 * 2).alias("k"), F.lit(HEADER_A).alias("v")),
-                F.struct(line_key(0, d12 * 2).alias("k"), F.lit(HEADER_B).alias("v")),
+                F.struct(line_key(0, d0 * 2).alias("k"), header(HEADER_A).alias("v")),
+                F.struct(line_key(0, d12 * 2).alias("k"), header(HEADER_B).alias("v")),
             )
         ).alias("x"),
     ).select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value"))
-    return landed(data.unionByName(extra_lines))
+    lines = data.unionByName(extra_lines)
+    if faults:
+        after, ahead = line_key(0, _micros(ts) * 2 + 2), line_key(0, _micros(day.cast("timestamp_ntz")) * 2 - 10 - e)
+        wrong = F.array_compact(F.array(
+            F.when(e % 41 == 0, F.struct(after.alias("k"), F.lit("D,FPP").alias("v"))),
+            F.when(e % 43 == 0, F.struct(after.alias("k"), F.lit("X,FPP,FPPMW,1,odd").alias("v"))),
+            F.when(e % 47 == 0, F.struct(ahead.alias("k"), value.alias("v"))),
+        ))
+        wrong = events.select(file.alias("file"), F.explode(wrong).alias("x"))
+        lines = lines.unionByName(wrong.select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value")))
+    return lines
 
 
 # ---------------------------------------------------------------------------
@@ -171,9 +203,10 @@ def lineitem_key() -> Column:
     return F.col("l_orderkey") * 8 + F.col("l_linenumber")
 
 
-def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame, layouts: bool = False) -> DataFrame:
     """lineitem rendered as UNIT_SOLUTION rows (one file per ship month),
-    orders rendered as PRICE rows interleaved in the same files."""
+    orders rendered as PRICE rows interleaved in the same files. ``layouts``: of
+    four months' files, one lacks the unit column and one the storage columns."""
     lineitem, orders = spread(lineitem), spread(orders)
     settle = lineitem_settlement()
     file = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("l_shipdate"), "yyyyMM"), F.lit(".CSV"))
@@ -207,16 +240,22 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         ).alias("value"),
     )
     files = us.select("file").unionByName(price.select("file")).distinct()
+    header = F.lit(DISPATCH_HEADER)
+    if layouts:
+        month = F.regexp_extract("file", r"\d{4}(\d\d)", 1).cast("int") % 4
+        header = F.when(month == 0, F.lit(DISPATCH_HEADER.replace("DUID", "UNIT"))).when(
+            month == 1, F.lit(DISPATCH_HEADER.replace("INITIAL_ENERGY_STORAGE", "X").replace("ENERGY_STORAGE", "Y"))
+        ).otherwise(header)
     heads = files.select(
         "file",
         F.explode(
             F.array(
                 F.struct(line_key(0, 0).alias("k"), F.lit(PRICE_HEADER).alias("v")),
-                F.struct(line_key(0, 1).alias("k"), F.lit(DISPATCH_HEADER).alias("v")),
+                F.struct(line_key(0, 1).alias("k"), header.alias("v")),
             )
         ).alias("x"),
     ).select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value"))
-    return landed(us.unionByName(price).unionByName(heads))
+    return us.unionByName(price).unionByName(heads)
 
 
 def lineitem_as_dispatch(lineitem: DataFrame) -> DataFrame:
@@ -224,8 +263,6 @@ def lineitem_as_dispatch(lineitem: DataFrame) -> DataFrame:
     ship time + line number hours as interval end (hits 04:00 exactly),
     quantity / price / tax as the three measures. Suppliers whose key ends
     in 0 report no initial storage; line 7 reports no end storage."""
-    from ..functions.dates import market_day_interval_end
-
     settle = lineitem_settlement()
     return lineitem.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("duid"),
@@ -391,173 +428,117 @@ def events_as_log(events: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Feeds written as ZIP archives
+# Archives as landed tables: listing and text
 # ---------------------------------------------------------------------------
 
-HEADER_OF_LAYOUT = {"1": HEADER_A, "2": HEADER_B}
-ROWS_PER_ARCHIVE = 100_000
-ARCHIVE_COLUMNS = ["archive", "inner", "entry", "header", "corrupt", "value"]
-
-
-class _ZipSink:
-    """One archive being written: entries directly in it, or in inner ZIPs. It
-    is written under a name of this attempt's own and renamed when complete."""
-
-    def __init__(self, filesystem, final: str, attempt: int):
-        import zipfile
-
-        self.filesystem, self.final, self.tmp = filesystem, final, f"{final}.{attempt}.tmp"
-        self.stream = filesystem.open_output_stream(self.tmp)
-        self.outer = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED)
-        self.inner_name, self.entry_name, self.inner, self.entry = None, None, None, None
-
-    def line(self, inner: str | None, entry: str, header: str, corrupt: bool, value: str) -> None:
-        if (inner, entry) != (self.inner_name, self.entry_name):
-            self._open(inner, entry, corrupt)
-        if corrupt:
-            return
-        if header != self.header:
-            self.entry.write(f"{header}\n".encode())
-            self.header = header
-        self.entry.write(f"{value}\n".encode())
-
-    def _open(self, inner: str | None, entry: str, corrupt: bool) -> None:
-        import tempfile
-        import zipfile
-
-        if self.entry is not None:
-            self.entry.close()
-            self.entry = None
-        if inner != self.inner_name:
-            self._close_inner()
-            if corrupt:
-                self.outer.writestr(inner, b"not a zip archive")
-            elif inner is not None:
-                self.buffer = tempfile.TemporaryFile()
-                self.inner = zipfile.ZipFile(self.buffer, "w", zipfile.ZIP_DEFLATED)
-        self.inner_name, self.entry_name, self.header = inner, entry, None
-        if not corrupt:
-            self.entry = (self.inner or self.outer).open(entry, "w", force_zip64=True)
-
-    def _close_inner(self) -> None:
-        import shutil
-
-        if self.inner is not None:
-            self.inner.close()
-            self.buffer.seek(0)
-            with self.outer.open(self.inner_name, "w", force_zip64=True) as packed:
-                shutil.copyfileobj(self.buffer, packed)
-            self.buffer.close()
-            self.inner = None
-
-    def close(self) -> None:
-        if self.entry is not None:
-            self.entry.close()
-        self._close_inner()
-        self.outer.close()
-        self.stream.close()
-        self.filesystem.move(self.tmp, self.final)
-
-
-def _archive_writer(root: str):
-    """Task-side writer of rows (archive, inner, entry, header, corrupt,
-    value), sorted by archive, inner and entry. ``{part}`` in an archive's name
-    is the task's number, so a retried task replaces its own output."""
-    import pandas as pd
-
-    def write(batches):
-        from pyspark import TaskContext
-
-        from ..sources.archives import filesystem_of
-
-        filesystem, base = filesystem_of(root)
-        task, written, sink, current = TaskContext.get(), [], None, None
-        for pdf in batches:
-            for archive, inner, entry, header, corrupt, value in pdf[ARCHIVE_COLUMNS].itertuples(index=False, name=None):
-                if archive != current:
-                    if sink is not None:
-                        sink.close()
-                    name = archive.replace("{part}", f"{task.partitionId():016d}")
-                    final = f"{base.rstrip('/')}/{name}"
-                    filesystem.create_dir(final.rsplit("/", 1)[0], recursive=True)
-                    sink, current = _ZipSink(filesystem, final, task.taskAttemptId()), archive
-                    written.append(f"{root.rstrip('/')}/{name}")
-                sink.line(inner if isinstance(inner, str) else None, entry, header, bool(corrupt), value)
-        if sink is not None:
-            sink.close()
-        yield pd.DataFrame({"path": written})
-
-    return write
-
-
-def _write_archives(rows: DataFrame) -> str:
-    """Write the sorted rows' archives in a new folder and return it."""
-    import uuid
-
-    from ..session import scratch_path, ship_package
-
-    spark = rows.sparkSession
-    ship_package(spark)
-    root = scratch_path(spark, f"archives/{uuid.uuid4().hex}")
-    landed(rows.select(*ARCHIVE_COLUMNS).mapInPandas(_archive_writer(root), "path string"))  # runs the write once
-    return root
-
-
-def scada_feed_archives(events: DataFrame, nested: bool = False) -> str:
-    """Write the events' SCADA feed as daily archives; returns the folder.
-
-    Lines are range-partitioned on (day, line), so a day with many lines is
-    split over several tasks and archives (each ≤ about ROWS_PER_ARCHIVE
-    lines) instead of one writer per day.
+SCADA_NAME, DISPATCH_NAME = "PUBLIC_NEXT_DAY_FPPMW_", "PUBLIC_NEXT_DAY_DISPATCH_"
+LISTING = ["path", "outer", "inner", "size", "error"]
+
+
+def _text(lines: DataFrame, listing: DataFrame) -> DataFrame:
+    """``lines`` (day, line_key, value) as the text of the entries that hold their
+    day (``listing`` with day and ``broken``); a broken entry has an error row."""
+    entry = entry_id(F.col("path"), F.col("outer"))
+    held = listing.where(F.col("error").isNull()).select(
+        "day", "broken", entry.alias("entry"),
+        F.when(F.col("inner").isNull(), entry).otherwise(F.concat(entry, F.lit("!/DATA.CSV"))).alias("file"),
+    )
+    none = F.lit(None).cast("string")
+    good = lines.join(held.where(~F.col("broken")), "day").select("entry", "file", "line_key", "value", none.alias("error"))
+    bad = held.where("broken").select(
+        "entry", F.col("entry").alias("file"), F.lit(None).cast(LINE_KEY_TYPE).alias("line_key"), none.alias("value"),
+        F.lit("bad zip: not readable").alias("error"),
+    )
+    return good.unionByName(bad)
+
+
+def _listing(days: DataFrame, *kinds: tuple) -> DataFrame:
+    """Entries of all ``days``, for each kind (condition, path, outer, in an inner
+    archive, broken, error): those days that meet the condition have it."""
+    nothing = F.lit(None).cast("string")
+    entries = [
+        F.when(cond, F.struct(
+            path.alias("path"), outer.alias("outer"), (F.lit(ALL_CSVS) if packed else nothing).alias("inner"),
+            F.lit(0).cast("long").alias("size"), error.alias("error"), broken.alias("broken"),
+        ))
+        for cond, path, outer, packed, broken, error in kinds
+    ]
+    return days.select("day", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("day", "e.*")
+
+
+def scada_archives(events: DataFrame, nested: bool = False) -> tuple[DataFrame, LandedArchives]:
+    """The events' SCADA feed as daily archives: their paths, and the archives.
 
     Plain: dated CSV entries in archives of the current folder. ``nested``:
     the CSVs are in inner ZIPs, in both folders; in the current folder the
-    inner ZIPs of days divisible by three are corrupt.
-    """
-    spark = events.sparkSession
-    n_rows = events.count()  # parquet row count from metadata
-    parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_ARCHIVE))
-    data = scada_feed_lines(events, data_only=True).withColumn(
-        "day", F.regexp_extract("file", r"(\d{8})", 1)
+    inner ZIPs of days divisible by three are corrupt."""
+    lines = scada_feed_lines(events).withColumn("day", F.regexp_extract("file", r"(\d{8})", 1)).drop("file")
+    days = events.select(F.date_format("ts", "yyyyMMdd").alias("day")).distinct()
+    name = F.concat(F.lit(SCADA_NAME), F.col("day"))
+    never, nothing = F.lit(False), F.lit(None).cast("string")
+    outer = F.concat(name, F.lit(".zip" if nested else ".CSV"))
+    corrupt = F.col("day").cast("int") % 3 == 0
+
+    def kind(folder: str, broken: Column) -> tuple:
+        return F.lit(True), F.concat(F.lit(f"/landing/{folder}/"), name, F.lit("_0000000000000001.zip")), outer, nested, broken, nothing
+
+    kinds = [kind("current", corrupt), kind("archive", never)] if nested else [kind("current", never)]
+    listing = _listing(days, *kinds)
+    return listing.select("path").distinct(), LandedArchives(listing.select(*LISTING), _text(lines, listing))
+
+
+def scada_bundles(events: DataFrame) -> tuple[DataFrame, LandedArchives]:
+    """The feed by market day, in archives named by the next day: days that
+    are even have a daily archive (the sevenths with one undated CSV), and
+    all others an inner archive, told by its name, in the bundle of a month."""
+    lines = scada_feed_lines(events, offset=4).withColumn("day", F.regexp_extract("file", r"(\d{8})", 1)).drop("file")
+    days = events.select(F.date_format(market_day_instant("ts"), "yyyyMMdd").alias("day")).distinct()
+    day = F.to_date("day", "yyyyMMdd")
+    published = F.date_format(F.date_add(day, 1), "yyyyMMdd")
+    daily = F.concat(F.lit("/landing/current/" + SCADA_NAME), published, F.lit("_0000000000000001.zip"))
+    bundle = F.concat(F.lit("/landing/archive/" + SCADA_NAME), F.substring(published, 1, 6), F.lit("01.zip"))
+    dated = F.concat(F.lit(SCADA_NAME), published)
+    even, never, nothing = F.dayofmonth(day) % 2 == 0, F.lit(False), F.lit(None).cast("string")
+    outer = F.when(F.dayofmonth(day) % 7 == 0, F.lit("DATA.CSV")).otherwise(F.concat(dated, F.lit(".CSV")))
+    listing = _listing(
+        days,
+        (even, daily, outer, False, never, nothing),
+        (~even, bundle, F.concat(dated, F.lit("_0000000000000002.zip")), True, never, nothing),
     )
-    layout = F.get(F.split("value", ",", 5), F.lit(3))
-    header = F.coalesce(*[F.when(layout == k, F.lit(h)) for k, h in HEADER_OF_LAYOUT.items()])
-    data = data.withColumn("header", header)
-    name = F.concat(F.lit("PUBLIC_NEXT_DAY_FPPMW_"), F.col("day"))
-    folders = ["current", "archive"] if nested else ["current"]
-    rows = data.select("day", "line_key", "header", "value", F.explode(F.array(*[F.lit(f) for f in folders])).alias("folder"))
-    rows = rows.withColumn("archive", F.concat("folder", F.lit("/"), name, F.lit("_{part}.zip")))
-    rows = rows.withColumn("inner", F.concat(name, F.lit(".zip")) if nested else F.lit(None).cast("string"))
-    rows = rows.withColumn("entry", F.concat(name, F.lit(".CSV")))
-    corrupt = (F.col("day").cast("int") % 3 == 0) & (F.col("folder") == "current")
-    rows = rows.withColumn("corrupt", corrupt if nested else F.lit(False))
-    ranged = rows.repartitionByRange(parts * len(folders), "folder", "day", "line_key")
-    return _write_archives(ranged.sortWithinPartitions("folder", "day", "line_key"))
-
-
-def dispatch_feed_archives(lineitem: DataFrame) -> str:
-    """Write lineitem's dispatch feed as archives by market day: days with an
-    even day of the month as daily archives of the current folder, the others
-    as dated CSVs of a monthly bundle in the archive folder."""
-    from ..functions.dates import market_day_interval_end
+    return listing.select("path").distinct(), LandedArchives(listing.select(*LISTING), _text(lines, listing))
+
+
+def dispatch_archives(lineitem: DataFrame) -> tuple[DataFrame, LandedArchives]:
+    """lineitem's dispatch feed as archives by market day.
 
+    Even days have a daily archive in the current folder: every fourth is no
+    ZIP at all (multiples of eight) or holds a corrupt inner one, the sixes have
+    an undated CSV, the others a dated one. The bundle of a month in the
+    archive folder has the dated CSVs of all days but the multiples of five."""
     settle = lineitem_settlement()
-    rows = spread(lineitem).select(
-        F.date_format(market_day_interval_end(settle), "yyyyMMdd").alias("day"),
-        F.date_format(F.to_date("l_shipdate"), "yyyyMM").alias("month"), lineitem_key().alias("k"),
+    market_day = market_day_interval_end(settle)
+    lines = spread(lineitem).select(
+        F.date_format(market_day, "yyyyMMdd").alias("day"),
+        line_key(F.date_format(F.to_date("l_shipdate"), "yyyyMM").cast("int"), lineitem_key()).alias("line_key"),
         F.concat_ws(
             ",", F.lit("D,DISPATCH,UNIT_SOLUTION,4"), render_feed_time(settle), F.lit("1"),
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("string"),
             F.col("l_extendedprice").cast("string"), F.col("l_tax").cast("string"),
         ).alias("value"),
     )
-    prefix = "PUBLIC_NEXT_DAY_DISPATCH_"
-    daily = F.concat(F.lit(f"current/{prefix}"), F.col("day"), F.lit("_0000000000000001.zip"))
-    bundle = F.concat(F.lit(f"archive/{prefix}"), F.substring("day", 1, 6), F.lit("01.zip"))
-    rows = rows.select(
-        F.when(F.substring("day", 7, 2).cast("int") % 2 == 0, daily).otherwise(bundle).alias("archive"),
-        F.lit(None).cast("string").alias("inner"), F.concat(F.lit(prefix), F.col("day"), F.lit(".CSV")).alias("entry"),
-        F.lit(DISPATCH_HEADER).alias("header"), F.lit(False).alias("corrupt"), "value", "month", "k",
+    days = lineitem.select(F.date_format(market_day, "yyyyMMdd").alias("day")).distinct()
+    heads = days.select("day", line_key(0, 0).alias("line_key"), F.lit(DISPATCH_HEADER).alias("value"))
+    no = F.substring("day", 7, 2).cast("int")
+    daily = F.concat(F.lit("/landing/current/" + DISPATCH_NAME), F.col("day"), F.lit("_0000000000000001.zip"))
+    bundle = F.concat(F.lit("/landing/archive/" + DISPATCH_NAME), F.substring("day", 1, 6), F.lit("01.zip"))
+    dated = F.concat(F.lit(DISPATCH_NAME), F.col("day"), F.lit(".CSV"))
+    outer = F.when(no % 10 == 6, F.lit("DATA.CSV")).otherwise(dated)
+    never, nothing = F.lit(False), F.lit(None).cast("string")
+    listing = _listing(
+        days,
+        ((no % 2 == 0) & (no % 4 != 0), daily, outer, False, never, nothing),
+        (no % 8 == 4, daily, F.concat(F.lit(DISPATCH_NAME), F.col("day"), F.lit(".zip")), True, F.lit(True), nothing),
+        (no % 8 == 0, daily, nothing, False, never, F.lit("bad zip")),
+        (no % 5 != 0, bundle, dated, False, never, nothing),
     )
-    # an archive is written by one task, as a published one is
-    return _write_archives(rows.repartition("archive").sortWithinPartitions("archive", "entry", "month", "k"))
+    return listing.select("path").distinct(), LandedArchives(listing.select(*LISTING), _text(lines.unionByName(heads), listing))

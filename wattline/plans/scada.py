@@ -36,6 +36,7 @@ def parse_scada(lines: DataFrame, units: list[str] | None = None, **kw) -> Parse
         contains=units,
         require=K.SCADA_COLUMNS,
         require_any=K.SCADA_UNIT_COLUMNS,
+        time_column="MEASUREMENT_DATETIME",
         **kw,
     )
 
@@ -105,8 +106,3 @@ def scada_series(
         "market_day", market_day_instant("measurement_datetime")
     )
     return out.select(*SERIES_COLUMNS)
-
-
-def sort_series(series: DataFrame, time_col: str = "measurement_datetime") -> DataFrame:
-    """Chronological order per unit (global sort, for presentation)."""
-    return series.orderBy("duid", time_col)

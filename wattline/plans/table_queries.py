@@ -31,7 +31,7 @@ from ..functions.text import client_address, unit_label
 from ..operators.catalog_ops import bundle_candidates, fallthrough, latest_daily, match_daily
 from ..operators.dedup import keep_first
 from ..operators.logstats import combined_estimate, log_counts, recent, timing_estimates, top_counts
-from ..operators.segments import ingest_report, rejects
+from ..operators.segments import ingest_report
 from ..operators.series import (
     energy_series,
     flag_series,
@@ -42,12 +42,11 @@ from ..operators.series import (
     stat_cards,
 )
 from ..operators.summary import dispatch_summary, flag_breakdown, flag_breakdown_map, scada_summary
-from ..plans.archive_plans import choose_and_read, dispatch_from_archives, scada_candidates, scada_from_archives
 from ..plans.dispatch import cast_dispatch, dispatch_series, parse_dispatch
 from ..plans.scada import cast_scada, parse_scada, scada_series
 from ..session import persist_counted, scratch_path
 from ..sinks.writers import read_csv, write_csv, write_parquet
-from ..sources.catalog import list_files, parse_catalog
+from ..sources.catalog import parse_catalog
 from ..sources.registry import (
     in_state_order,
     read_registry_rows,
@@ -61,7 +60,6 @@ from ..sources.requestlog import append_log, read_log
 from .feeds_from_tables import (
     customer_registry_lines,
     customer_registry_sheet,
-    dispatch_feed_archives,
     dispatch_feed_lines,
     events_as_log,
     events_as_scada,
@@ -70,7 +68,6 @@ from .feeds_from_tables import (
     lineitem_settlement,
     order_targets,
     orders_catalog_paths,
-    scada_feed_archives,
     scada_feed_lines,
     table,
 )
@@ -517,7 +514,7 @@ _SQL_TARGETS = f"SELECT DISTINCT {_SQL_SDATE} AS target_date FROM orders"
                      THEN [strftime(target_date, '%Y%m%d'), strftime(target_date + INTERVAL 1 DAY, '%Y%m%d')]
                      ELSE [strftime(target_date + INTERVAL 1 DAY, '%Y%m%d')] END) AS search_key,
          CASE WHEN target_date BETWEEN DATE '2025-04-29' AND DATE '2025-09-10'
-              THEN '{K.PARTIAL_DAY_WARNING}' ELSE '' END AS warning,
+              THEN 'Half a market day: from 16:00 on nothing was published (29 Apr 2025 to 10 Sep 2025).' ELSE '' END AS warning,
          CASE WHEN target_date >= DATE '2026-01-11' THEN 'current' ELSE 'archive' END AS source_class
   FROM ({_SQL_TARGETS}) t) x""",
 )
@@ -797,65 +794,6 @@ def q_client_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("id"), client_address(fwd, peer).alias("ip"))
 
 
-# ---------------------------------------------------------------------------
-# S5-S9, S10, U3, D8 — the whole archive chain over archives Spark wrote
-# ---------------------------------------------------------------------------
-@register(
-    "scada_from_archives",
-    f"""SELECT duid, market_day, interval_datetime, measurement_datetime, measured_mw, mw_quality_flag
-FROM ({_SQL_SCADA_SERIES}) s
-WHERE market_day IN (SELECT DISTINCT CAST(ts AS DATE) FROM events)""",
-)
-def q_scada_from_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    root = scada_feed_archives(ev)
-    catalog = parse_catalog(list_files(spark, root, "*.zip"))
-    targets = ev.select(F.to_date("ts").alias("target_date")).distinct()
-    return scada_from_archives(targets, catalog)
-
-
-# ---------------------------------------------------------------------------
-# S6, S7, F19, U5 — inner archives, some of them corrupt in the first source
-# ---------------------------------------------------------------------------
-@register(
-    "nested_archive_series",
-    f"""SELECT duid, market_day, interval_datetime, measurement_datetime, measured_mw, mw_quality_flag
-FROM ({_SQL_SCADA_SERIES}) s
-WHERE market_day IN (SELECT DISTINCT CAST(ts AS DATE) FROM events)""",
-)
-def q_nested_archive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    catalog = parse_catalog(list_files(spark, scada_feed_archives(ev, nested=True), "*.zip"))
-    return scada_from_archives(ev.select(F.to_date("ts").alias("target_date")).distinct(), catalog)
-
-
-@register(
-    "archive_rejects",
-    """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events),
-     bad AS (SELECT d FROM days WHERE CAST(strftime(d, '%Y%m%d') AS INTEGER) % 3 = 0)
-SELECT DISTINCT t.d AS target_date, 'bad zip' AS reason, strftime(b.d, '%Y%m%d') AS archive_day
-FROM days t JOIN bad b ON b.d = t.d OR b.d = t.d + 1""",
-)
-def q_archive_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    catalog = parse_catalog(list_files(spark, scada_feed_archives(ev, nested=True), "*.zip"))
-    targets = ev.select(F.to_date("ts").alias("target_date")).distinct()
-    _, _, rejected = choose_and_read(scada_candidates(targets, catalog), ["target_date", "format"])
-    return rejected.select(
-        "target_date", F.substring_index("reason", ":", 1).alias("reason"),
-        F.regexp_extract("path", r"FPPMW_(\d{8})", 1).alias("archive_day"),
-    ).distinct()
-
-
-# S8, U5, D8 for dispatch: daily archives, else the month's bundle
-@register("dispatch_from_archives", _SQL_DISPATCH_SERIES)
-def q_dispatch_from_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    catalog = parse_catalog(list_files(spark, dispatch_feed_archives(li), "*.zip"))
-    targets = lineitem_as_dispatch(li).select(F.col("market_day").alias("target_date")).distinct()
-    return dispatch_from_archives(targets, catalog)
-
-
 # ---------------------------------------------------------------------------
 # K1, K3, K5, K8 — series written and read back; K6, K7, S14 — request log
 # ---------------------------------------------------------------------------
@@ -916,19 +854,8 @@ def q_earliest_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# F15, L2 — rejected data lines; C4 dispatch cards; K4 — display records
+# C4 dispatch cards; K4 — display records
 # ---------------------------------------------------------------------------
-@register(
-    "feed_rejects",
-    """SELECT DISTINCT 'scada/FEED_' || strftime(ts, '%Y%m%d') || '.CSV' AS file,
-       'data line before any header' AS reason, CAST(1 AS BIGINT) AS n_lines
-FROM events""",
-)
-def q_feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_scada(scada_feed_lines(table(spark, sf_dir, "events")))
-    return rejects(parsed).groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
-
-
 def _sql_fixed1(x: str) -> str:
     return f"coalesce(format('{{:,.1f}}', {x}), '—')"
 

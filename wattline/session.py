@@ -101,15 +101,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
+def land(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it
     back: lineage is cut, a lost executor costs no recomputation of what is
-    written, and later readers prune columns."""
+    written, and later readers prune columns (and folders of ``partition_by``)."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def land_clustered(df: DataFrame, name: str, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Land ``df`` as :func:`land` does, bucketed by ``by`` and sorted: what
+    groups or windows by ``by`` (summaries, breakdowns, heads, charts) needs no
+    exchange any more, however often the table is used."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.repartition(buckets, *by).write.option("path", scratch_path(spark, table))
+        .bucketBy(buckets, *by).sortBy(*by, *order).saveAsTable(table, format="parquet")
+    )
+    return spark.table(table)
+
+
 _CACHED: list[DataFrame] = []
 
 

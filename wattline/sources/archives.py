@@ -21,9 +21,10 @@ import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -50,8 +51,8 @@ def filesystem_of(uri: str):
 
 def _open(path: str):
     """Seekable binary handle for a local or remote path (remote via pyarrow)."""
-    if path.startswith("file:"):
-        local = path[5:]
+    if path.startswith(("file:", "/")):
+        local = path.removeprefix("file:")
         while local.startswith("//"):
             local = local[1:]
         return open(local, "rb")
@@ -132,56 +133,52 @@ def select_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame,
 
     Returns ``(selected, rejects)``; rejects carry ``path, target_date, reason``.
     """
-    req = requests.withColumn(
-        "search_keys",
-        F.when(F.col("product") == K.SCADA_PRODUCT, scada_search_keys("target_date"))
-        .otherwise(dispatch_search_keys("target_date")),
+    scada, bundle = F.col("product") == K.SCADA_PRODUCT, F.col("is_bundle")
+    keys = F.when(scada, scada_search_keys("target_date")).otherwise(dispatch_search_keys("target_date"))
+    ok = entries.where(F.col("error").isNull()).select("path", "outer", "inner", "size")
+    ok = ok.withColumn("_direct", F.col("inner").isNull())
+    ok = ok.withColumn("_dates", F.regexp_extract_all("outer", F.lit(ENTRY_DATE_PATTERN), 1))
+
+    # entries that bear a date asked for, by an equi join on that date
+    asked = requests.select("path", "target_date", F.explode(keys).alias("_date"))
+    dated = ok.withColumn("_date", F.explode(F.array_distinct("_dates"))).join(asked, ["path", "_date"])
+    dated = dated.select("path", "target_date", "outer", "inner", "size", "_direct").distinct()
+    found = dated.groupBy("path", "target_date").agg(
+        F.count_if("_direct").alias("_ndd"), F.count_if(~F.col("_direct")).alias("_nid")
     )
-    ok = entries.where(F.col("error").isNull())
-    e = ok.join(req, "path", "inner")
-    direct = F.col("inner").isNull()
-    dates = F.regexp_extract_all("outer", F.lit(ENTRY_DATE_PATTERN), 1)
-    e = e.withColumn("_direct", direct).withColumn("_dated", F.arrays_overlap("search_keys", dates))
-    e = e.withColumn("_first_date", F.get(dates, F.lit(0)))
-    counts = e.groupBy("path", "target_date").agg(
-        F.sum(F.col("_direct").cast("int")).alias("n_direct"),
-        F.sum((F.col("_direct") & F.col("_dated")).cast("int")).alias("n_direct_dated"),
-        F.sum((~F.col("_direct") & F.col("_dated")).cast("int")).alias("n_inner_dated"),
-    )
-    e = e.join(counts, ["path", "target_date"])
-    scada = F.col("product") == K.SCADA_PRODUCT
-    bundle = F.col("is_bundle")
-    nd, ndd, nid = F.col("n_direct"), F.col("n_direct_dated"), F.col("n_inner_dated")
-    d, dt = F.col("_direct"), F.col("_dated")
-    keep = (
-        F.when(scada & ~bundle,
-               F.when(ndd > 0, d & dt).when(nd == 1, d).when(nd > 1, F.lit(False)).otherwise(~d))
-        .when(scada & bundle, ~d & dt)
-        .when(~scada & ~bundle,
-              F.when(ndd > 0, d & dt).when(nd > 0, d).otherwise(~d))
-        .otherwise(
-              F.when(ndd > 0, d & dt).when(nid > 0, ~d & dt).when(nd == 1, d).otherwise(F.lit(False)))
-    )
-    selected = e.where(keep).drop("_direct", "_dated", "_first_date", "n_direct", "n_direct_dated", "n_inner_dated")
-    fails = (
-        (scada & ~bundle & (ndd == 0) & (nd > 1))
-        | (~scada & bundle & (ndd == 0) & (nid == 0) & (nd != 1))
+    held = ok.groupBy("path").agg(F.count_if("_direct").alias("_nd"))
+    judged = requests.join(held, "path").join(found, ["path", "target_date"], "left").na.fill(0, ["_ndd", "_nid"])
+    nd, ndd, nid = F.col("_nd"), F.col("_ndd"), F.col("_nid")
+    takes = (
+        F.when(scada & ~bundle, F.when(ndd > 0, "dated direct").when(nd == 1, "direct").when(nd > 1, "none").otherwise("inner"))
+        .when(scada, F.lit("dated inner"))
+        .when(~bundle, F.when(ndd > 0, "dated direct").when(nd > 0, "direct").otherwise("inner"))
+        .otherwise(F.when(ndd > 0, "dated direct").when(nid > 0, "dated inner").when(nd == 1, "direct").otherwise("none"))
     )
+    judged = judged.withColumn("_takes", takes).drop("_nd", "_ndd", "_nid")
+    kind = F.when(F.col("_direct"), "direct").otherwise("inner")
+    by_date = judged.join(dated, ["path", "target_date"]).where(F.col("_takes") == F.concat(F.lit("dated "), kind))
+    # without dates: a daily archive's entries (asked for by two days at most), or a bundle's only one
+    undated = judged.where(F.col("_takes").isin("direct", "inner")).join(ok.drop("_dates"), "path").where(F.col("_takes") == kind)
+    selected = by_date.unionByName(undated).drop("_direct", "_takes")
+
     # what the archive has instead: for SCADA its five newest dates, for dispatch its ten oldest
-    seen = e.where(fails).select("path", "target_date", "product", "_first_date").distinct()
-    per = Window.partitionBy("path", "target_date")
-    newest = F.row_number().over(per.orderBy(F.desc_nulls_last("_first_date")))
-    oldest = F.row_number().over(per.orderBy(F.asc_nulls_last("_first_date")))
-    seen = seen.withColumn("_new", newest).withColumn("_old", oldest).where(
-        F.when(scada, F.col("_new") <= K.NEWEST_DATES_SHOWN).otherwise(F.col("_old") <= K.OLDEST_DATES_SHOWN)
+    per = Window.partitionBy("path")
+    seen = ok.select("path", F.get("_dates", F.lit(0)).alias("_date")).distinct()
+    seen = seen.withColumn("_new", F.row_number().over(per.orderBy(F.desc_nulls_last("_date"))))
+    seen = seen.withColumn("_old", F.row_number().over(per.orderBy(F.asc_nulls_last("_date"))))
+
+    def listed(kept: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_compact(F.collect_list(F.when(kept, F.col("_date"))))), ", ")
+
+    shown = seen.where((F.col("_new") <= K.NEWEST_DATES_SHOWN) | (F.col("_old") <= K.OLDEST_DATES_SHOWN)).groupBy("path").agg(
+        listed(F.col("_new") <= K.NEWEST_DATES_SHOWN).alias("_newest"), listed(F.col("_old") <= K.OLDEST_DATES_SHOWN).alias("_oldest")
     )
-    rej_rules = seen.groupBy("path", "target_date").agg(
-        F.concat(
-            F.lit("no entry for the date; dates seen: "),
-            F.array_join(F.array_sort(F.array_compact(F.collect_list("_first_date"))), ", "),
-        ).alias("reason")
+    rej_rules = judged.where(F.col("_takes") == "none").join(shown, "path").select(
+        "path", "target_date",
+        F.concat(F.lit("no entry for the date; dates seen: "), F.when(scada, F.col("_newest")).otherwise(F.col("_oldest"))).alias("reason"),
     )
-    rej_bad = entries.where(F.col("error").isNotNull()).join(req.select("path", "target_date"), "path").select(
+    rej_bad = entries.where(F.col("error").isNotNull()).join(requests.select("path", "target_date"), "path").select(
         "path", "target_date", F.col("error").alias("reason")
     )
     return selected, rej_rules.unionByName(rej_bad)
@@ -248,13 +245,17 @@ def _read_batches(batches):
     for rb in batches:
         d = rb.to_pydict()
         for path, outer_name, inner_name in zip(d["path"], d["outer"], d["inner"]):
-            name = f"{path}!/{outer_name}"
-            try:
-                yield from _entry_lines(path, outer_name, inner_name, name)
-            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError) as exc:
-                yield _error_batch(name, f"bad zip: {exc}")
-            except OSError as exc:
-                yield _error_batch(name, f"unreadable: {exc}")
+            yield from _read_entry(path, outer_name, inner_name)
+
+
+def _read_entry(path: str, outer_name: str, inner_name: str | None):
+    name = f"{path}!/{outer_name}"
+    try:
+        yield from _entry_lines(path, outer_name, inner_name, name)
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError) as exc:
+        yield _error_batch(name, f"bad zip: {exc}")
+    except OSError as exc:
+        yield _error_batch(name, f"unreadable: {exc}")
 
 
 def _entry_lines(path: str, outer_name: str, inner_name: str | None, name: str):
@@ -293,3 +294,31 @@ def read_entries(selected: DataFrame, size: int | None = None) -> DataFrame:
     ent = ent.repartition(_tasks(selected.sparkSession, -(-(size or 0) // BYTES_PER_TASK)), F.col("path"), F.col("outer"), F.col("inner"))
     raw = ent.mapInArrow(_read_batches, "file string, entry string, pos long, value string, error string")
     return raw.select("file", line_key(0, F.col("pos")).alias("line_key"), "value", "entry", "error")
+
+
+class ZipArchives:
+    """Archives as they were published: ZIP files, opened by the tasks."""
+
+    def entries(self, paths: DataFrame, n_paths: int) -> DataFrame:
+        return archive_entries(paths, n_paths=n_paths)
+
+    def lines(self, chosen: DataFrame, size: int) -> DataFrame:
+        return read_entries(chosen, size)
+
+
+@dataclass
+class LandedArchives:
+    """Archives whose listing and text were landed as tables before.
+
+    ``listing``: the rows of :func:`archive_entries`; ``text``: those of
+    :func:`read_entries`, a row with ``error`` for what could not be read."""
+
+    listing: DataFrame
+    text: DataFrame
+
+    def entries(self, paths: DataFrame, n_paths: int) -> DataFrame:
+        return self.listing.join(paths.distinct(), "path", "left_semi")
+
+    def lines(self, chosen: DataFrame, size: int) -> DataFrame:
+        text = self.text.join(chosen.select("entry").distinct(), "entry", "left_semi")
+        return text.select("file", "line_key", "value", "entry", "error")

@@ -30,6 +30,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         line_key(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_key"),
         F.col("value"),
+        # a split of a file is read by one task in line order
+        F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0").alias("piece"),
     )
 
 
@@ -45,10 +47,9 @@ def land_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None
 
     Rows are range-partitioned on (file, line) — a large file is split over
     several tasks, never gathered in one — and sorted by line, so a file's
-    lines stay in order and header lines (``tag = 'I'``) are rare within row
-    groups: the
-    header pass of a later parse reads only row groups whose dictionary or
-    statistics contain ``I`` (filter pushdown) instead of all the text.
+    lines stay in order and a later parse needs no sorting of its own: each
+    split of the written table is a piece of the carry-forward. Comment lines
+    are told by the stored tag, a filter that reaches the scan.
     The written table is also a lineage cut for the parse that follows.
     """
     tagged = lines.select(
@@ -63,5 +64,7 @@ def land_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def read_landed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Landed lines (see :func:`land_lines`), with the stored ``tag`` column."""
-    return spark.read.parquet(path)
+    """Landed lines (see :func:`land_lines`), with the stored ``tag`` column and
+    ``piece``: the written files ascend along a feed file, and so do their splits."""
+    block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
+    return spark.read.parquet(path).select("*", F.concat(F.col("_metadata.file_name"), F.lit("#"), block).alias("piece"))

@@ -18,13 +18,6 @@ from ..functions.casts import unquote
 from ..functions.text import clean_cell, split_fields
 from ..session import broadcast_if_small
 
-REGISTRY_JSON_SCHEMA = (
-    "map<string, array<struct<duid:string, name:string, capacity_mw:double,"
-    " capacity_mwh:double, region:string>>>"
-)
-FLAGS_JSON_SCHEMA = "map<string, struct<label:string, description:string, color:string>>"
-
-
 REQUIRED_REGISTRY = ("duid", "tech", "status", "region")
 
 
@@ -179,24 +172,71 @@ def read_registry_rows(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("x.state", "x.unit.*").where(F.col("duid").isNotNull())
 
 
-def read_registry_json(spark: SparkSession, path: str) -> DataFrame:
-    """Fallback registry file ``{state: [unit, ...]}`` → flat canonical units
-    (an empty state yields no unit row)."""
-    raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.from_json("value", REGISTRY_JSON_SCHEMA).alias("m"))
-    flat = m.select(F.explode("m").alias("state", "units")).select("state", F.inline_outer("units"))
-    return flat.where(F.col("duid").isNotNull()).select(
-        "state", "duid", F.coalesce(F.nullif("name", F.lit("")), F.col("duid")).alias("name"),
-        "capacity_mw", "capacity_mwh", "region",
+#: Units of one state in one object of the map form.
+UNITS_PER_OBJECT = 1000
+
+
+def write_registry_map(units: DataFrame, path: str) -> None:
+    """The map form ``{state: [unit, ...]}`` as JSON, an object a line. A state's
+    units are dealt over as many objects as they need (about UNITS_PER_OBJECT
+    each), so no state is gathered; every state without units has an empty list."""
+    n = units.count()
+    unit = F.struct("duid", "name", "capacity_mw", "capacity_mwh", "region")
+    part = F.pmod(F.xxhash64("duid"), F.lit(max(1, -(-n // UNITS_PER_OBJECT))))
+    lists = units.groupBy("state", part.alias("part")).agg(F.sort_array(F.collect_list(unit)).alias("units")).drop("part")
+    empty = states(units.sparkSession).select("state").distinct().join(units.select("state"), "state", "left_anti")
+    lists = lists.unionByName(empty.select("state", F.array().cast(lists.schema["units"].dataType).alias("units")))
+    lists.select(F.to_json(F.create_map("state", "units"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def _objects(spark: SparkSession, path: str, wholetext: bool) -> DataFrame:
+    """(file, key, value) of the members of all JSON objects under ``path``, the
+    value as VARIANT; a file or line that is no JSON has one row without a key."""
+    raw = spark.read.text(path, wholetext=wholetext).select(
+        F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")
     )
+    members = raw.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer())).select("file", "key", "value")
+    return members
+
+
+def read_registry_json(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
+    """Registry file in the map form ``{state: [unit, ...]}`` → flat canonical
+    units (an empty state yields no unit row). ``wholetext``: one object a file,
+    over any number of lines; else an object a line.
+
+    States are read one by one: a state that is no list, or a member of a list
+    that is no unit with an id, is left out (see :func:`registry_json_rejects`)
+    and the others stay."""
+    members = _objects(spark, path, wholetext)
+    units = members.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("_name"), F.col("value").alias("unit")))
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("unit", f"$.{name}", kind).alias(name)
+
+    flat = units.where(F.col("key").isNotNull() & F.col("_name").isNull()).select(
+        F.col("key").alias("state"), field("duid", "string"), field("name", "string"),
+        field("capacity_mw", "double"), field("capacity_mwh", "double"), field("region", "string"),
+    )
+    return flat.where(F.col("duid").isNotNull()).withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.col("duid")))
+
+
+def registry_json_rejects(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
+    """(file, state, reason) of what :func:`read_registry_json` leaves out."""
+    members = _objects(spark, path, wholetext)
+    shape = F.schema_of_variant("value")
+    return members.select(
+        "file", F.col("key").alias("state"),
+        F.when(F.col("key").isNull(), "not a JSON object").when(~shape.startswith("ARRAY"), "not a list of units").alias("reason"),
+    ).where(F.col("reason").isNotNull())
 
 
 def read_quality_flags(spark: SparkSession, path: str) -> DataFrame:
-    """Flag description file ``{code: {label, description, color}}``."""
-    raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.from_json("value", FLAGS_JSON_SCHEMA).alias("m"))
-    return m.select(F.explode("m").alias("code", "info")).select(
-        F.col("code").try_cast("int").alias("flag"), "info.label", "info.description", "info.color"
+    """Flag description file ``{code: {label, description, color}}``; a code that
+    is no whole number or has no description object is left out."""
+    members = _objects(spark, path, wholetext=True)
+    fields = [F.try_variant_get("value", f"$.{c}", "string").alias(c) for c in ("label", "description", "color")]
+    return members.select(F.col("key").try_cast("int").alias("flag"), *fields).where(
+        F.col("flag").isNotNull() & F.coalesce("label", "description", "color").isNotNull()
     )
 
 

@@ -61,7 +61,8 @@ def land_batch(batch: DataFrame, out_path: str, kind: str = "scada") -> None:
     keys."""
     spark = batch.sparkSession
     lines = batch.select(
-        "file", line_key(F.col("block"), F.monotonically_increasing_id()).alias("line_key"), "value"
+        "file", line_key(F.col("block"), F.monotonically_increasing_id()).alias("line_key"), "value",
+        F.lpad(F.col("block").cast("string"), 20, "0").alias("piece"),
     )
     build, time_col = KINDS[kind]
     # the batch's series is used twice (its days, then the append): keep it
