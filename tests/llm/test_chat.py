@@ -37,7 +37,7 @@ def test_folding_against_a_plain_loop(spark):
 
 def render(spark, turns):
     rows = [(1, i, i, "delta", role, text) for i, (role, text) in enumerate(turns)]
-    out = chat.render(chat.fold_messages(spark.createDataFrame(rows, EVENTS))).orderBy("message").collect()
+    out = chat.render(chat.fold_messages(spark.createDataFrame(rows, EVENTS))).orderBy("place").collect()
     return out
 
 
@@ -83,8 +83,51 @@ def test_nulls_ties_and_repeated_turns(spark):
         [(1, 0, "user", None), (1, 0, "user", None), (1, 0, None, "x"), (1, None, "assistant", "y"), (None, 2, "user", "z"), (1, 1, "assistant", "w" * 200_001)],
         "conv_id long, turn long, role string, text string",
     ).selectExpr("*", "'clash' as message", "'clash' as seq", "'clash' as kind")
-    rows = chat.conversation_digests(chat.render(chat.fold_messages(chat.turns_as_events(turns))), ["message"]).collect()
+    rows = chat.conversation_digests(chat.render(chat.fold_messages(chat.turns_as_events(turns))), ["place"]).collect()
     assert {(r["conv_id"], r["n_turns"]) for r in rows} == {(1, 5), (None, 1)}
     assert next(r for r in rows if r["conv_id"] == 1)["loss_chars"] == 200_002
-    empty = chat.conversation_digests(chat.render(chat.fold_messages(chat.turns_as_events(turns.limit(0)))), ["message"])
+    empty = chat.conversation_digests(chat.render(chat.fold_messages(chat.turns_as_events(turns.limit(0)))), ["place"])
     assert empty.count() == 0
+
+
+def test_order_and_folding_come_from_the_sequence(spark):
+    """Messages of a conversation interleave; their names say nothing of order."""
+    log = [
+        (1, 9, 10, "delta", "user", "Hi"), (1, 4, 20, "delta", "assistant", "Wrong"), (1, 9, 30, "edit", None, "Hello"),
+        (1, 4, 40, "regenerate", None, None), (1, 4, 50, "delta", None, "Good "), (1, 7, 55, "delta", "user", "?"),
+        (1, 4, 60, "delta", None, "day"), (2, 7, 1, "delta", "user", "x"),
+    ]
+    rows = chat.render(chat.fold_messages(spark.createDataFrame(log, EVENTS).repartition(4))).orderBy("conv_id", "place").collect()
+    assert [(r["conv_id"], r["place"], r["role"], r["text"]) for r in rows] == [
+        (1, 10, "user", "Hello"), (1, 20, "assistant", "Good day"), (1, 55, "user", "?"), (2, 1, "user", "x")
+    ]
+
+
+def test_the_registered_log_holds_drafts_and_slips(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "abc")], "conv_id long, turn long, role string, text string")
+    log = chat.turns_as_events(turns)
+    assert {r["kind"] for r in log.collect()} == {"delta", "edit", "regenerate"}
+    assert [r["text"] for r in chat.fold_messages(log).collect()] == ["abc"]
+
+
+def test_one_very_long_turn_is_read_in_little_memory():
+    """50 MB in one turn, plain and full of escapes: less than 300 MB more."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import resource, sys, hashlib
+from wattline.llm import chat
+text = ("plain words \\n" * 8 + "\\\\<\\\\#\\\\\\\\") * 460_000
+formatted = "### user:\\n" + text + "\\n</turn>\\n"
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n, digest = 0, hashlib.sha256()
+for a, b, c, d in chat.turn_spans(formatted):
+    for part in chat.unescaped(formatted, c, d):
+        n += len(part); digest.update(part.encode())
+assert len(formatted) > 50_000_000 and n == 107 * 460_000, (len(formatted), n)
+grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10
+assert grown < 300, grown
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2], timeout=120)

@@ -25,10 +25,32 @@ from .common import chunks
 
 _FAR = np.int64(1) << 62
 SIDE_BY_SIDE = 64  # pieces of at most so many bytes are merged side by side
+LONG_UNIT, LONG_PIECE = 256, 16  # in characters: units and pieces longer than this are cut where no token spans
 # white space as the pattern's own engine has it (fixed values)
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+def _inside(byte: int) -> bool:
+    """Is this a byte within a character, not its first one?"""
+    return byte & 0xC0 == 0x80
+
+
+def _tail(left: bytes) -> bytes:
+    """The end of ``left`` that belongs to its last character."""
+    i = len(left) - 1
+    while i > 0 and _inside(left[i]):
+        i -= 1
+    return left[i:]
+
+
+def _head(right: bytes) -> bytes:
+    """The start of ``right`` that belongs to its first character."""
+    i = 1
+    while i < len(right) and _inside(right[i]):
+        i += 1
+    return right[:i]
+
+
 class Ranks:
     """A vocabulary of byte strings by rank, and the rank of every pair of
     tokens whose concatenation is a token."""
@@ -52,6 +74,14 @@ class Ranks:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(list(self.pair.values()), np.int64)[order]
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        # for each place in a token at which a character begins: what the token
+        # holds of the character before it, and of the one that begins
+        self.joins: set[tuple[bytes, bytes]] = set()
+        for token in self.rank:
+            for i in range(1, len(token)):
+                if not _inside(token[i]):
+                    self.joins.add((_tail(token[:i]), _head(token[i:])))
+        self.joined: dict[tuple[str, str], bool] = {}
         # all tokens' bytes in one array, for decoding
         tokens = [b""] * size
         for token, rank in self.rank.items():
@@ -60,6 +90,25 @@ class Ranks:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def may_join(self, a: str, b: str) -> bool:
+        """Does any token hold the end of character ``a`` and the start of ``b``?"""
+        found = self.joined.get((a, b))
+        if found is None:
+            x, y = a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass")
+            found = any((x[i:], y[:j]) in self.joins for i in range(len(x)) for j in range(1, len(y) + 1))
+            if len(self.joined) > 500_000:
+                self.joined.clear()
+            self.joined[a, b] = found
+        return found
+
+    def parts(self, piece: str) -> list[bytes]:
+        """``piece`` cut at all places that no token spans. A merge across
+        such a place would make a token that spans it, so the parts are encoded
+        as the whole is."""
+        known, ask = self.joined.get, self.may_join
+        cuts = [i for i, ab in enumerate(zip(piece, piece[1:]), 1) if not (ask(*ab) if (j := known(ab)) is None else j)]
+        return [piece[i:j].encode("utf-8", "surrogatepass") for i, j in zip([0, *cuts], [*cuts, len(piece)])]
+
     def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, _FAR where there is none."""
         want = left * self.width + right
@@ -196,33 +245,41 @@ class Ranks:
 class Encoder(dict):
     """Ids of whole texts. The pattern never matches across a space that
     stands before a word and after other text, so texts are cut there into
-    units, which are remembered (at most ``most``, then emptied)."""
+    units, which are remembered: at most ``most`` of them and ``most_bytes`` of
+    their characters, then all are forgotten. What is longer than LONG_UNIT
+    characters, as text without spaces is, is cut further (:meth:`Ranks.parts`);
+    such parts are remembered as bytes, which the pattern cuts no more."""
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 600_000, most_bytes: int = 16 << 20):
         super().__init__()
         import regex
 
         pattern = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"(?!\S)", f"(?![^{_SPACE}])").replace(r"\s", f"[{_SPACE}]")
         self.find = regex.compile(pattern).findall
-        self.ranks, self.most = Ranks(path), most
+        self.between = regex.compile(rf"(?<=[^{_SPACE}])(?= [^{_SPACE}])").split
+        self.ranks, self.most, self.most_bytes = Ranks(path), most, most_bytes
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
-        self.new: list[str] = []
-        self.pieces: dict[str, np.ndarray] = {}
+        self.held = 0
+        self.new: list[str | bytes] = []
+        self.pieces: dict[str | bytes, list[int]] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit: str | bytes) -> int:
         self[unit] = number = len(self)
         self.new.append(unit)
+        self.held += len(unit)
         return number
 
     def _encode_new(self) -> None:
-        cut = [self.find(u) for u in self.new]
+        cut = [[u] if isinstance(u, bytes) else self.find(u) for u in self.new]
         pieces = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.pieces]
-        tokens, counts = self.ranks.encode_pieces([p.encode("utf-8", "surrogatepass") for p in pieces])
+        tokens, counts = self.ranks.encode_pieces(
+            [p if isinstance(p, bytes) else p.encode("utf-8", "surrogatepass") for p in pieces]
+        )
         stops = np.cumsum(counts).tolist()
         tokens = tokens.tolist()
         self.pieces.update((p, tokens[a:z]) for p, a, z in zip(pieces, [0, *stops], stops))
@@ -234,14 +291,23 @@ class Encoder(dict):
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
         self.new = []
 
-    def units(self, text: str) -> list[str]:
-        if "  " in text:
-            return self.find(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + w for w in rest]
+    def units(self, text: str) -> list[str | bytes]:
+        """Cuts at each space that stands between two characters which are no
+        white space; long units are cut on."""
+        words = self.between(text)
+        if max(map(len, words)) <= LONG_UNIT:
+            return words
+        units: list[str | bytes] = []
+        for w in words:
+            if len(w) <= LONG_UNIT:
+                units.append(w)
+                continue
+            for piece in self.find(w):
+                units += self.ranks.parts(piece) if len(piece) > LONG_PIECE else [piece.encode("utf-8", "surrogatepass")]
+        return units
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self) > self.most:
+        if len(self) > self.most or self.held > self.most_bytes:
             self._empty()
         units = [self.units(t) if t else [] for t in texts]
         ends = np.cumsum([0, *map(len, units)])

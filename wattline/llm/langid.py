@@ -118,17 +118,19 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, per_lang: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on about ``per_lang`` rows of each language of ``labelled``, chosen
-    by a hash of the id (the documented bound: the sample never holds more
-    than a small multiple of ``per_lang`` rows a language). Rows without a
-    language or a letter are not used; an empty table gives a model that
-    answers ``und``. Each machine is trained by a task of its own."""
+    by a hash of id and text (the documented bound: the sample never holds more
+    than a small multiple of ``per_lang`` rows a language, but for copies of one
+    row, which are chosen together). Rows without an id are rows like any other;
+    rows without a language or a letter are not used. A language none of whose
+    rows was chosen is never answered; a model without any, as an empty table
+    gives, answers ``und``. Each machine is trained by a task of its own."""
     ship_package(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return LanguageModel()
     share = F.coalesce(*[F.when(F.col(lang_col) == l, F.lit(per_lang / n)) for l, n in sorted(counts.items())])
-    lot = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    lot = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(lot < share).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     langs = sorted(counts)
     families: dict[str, list[str]] = {}
@@ -156,15 +158,24 @@ def fit(labelled: DataFrame, per_lang: int = 500, id_col: str = "doc_id", text_c
                         })
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "y"], kind="stable")
+        group = group.sort_values(["id", "y", "x"], kind="stable")
         x = np.frombuffer(b"".join(group["x"]), np.float32).reshape(len(group), -1)
         w = train_svm(x, group["y"].to_numpy(np.float64))
-        return pd.DataFrame({"machine": [group["machine"].iloc[0]], "w": [w.astype(np.float32).tobytes()]})
+        sides = [int((group["y"] == s).sum()) for s in (1, -1)]
+        return pd.DataFrame({"machine": [group["machine"].iloc[0]], "w": [w.astype(np.float32).tobytes()], "a": sides[:1], "b": sides[1:]})
 
     dealt = sample.mapInPandas(deal, "machine int, id long, y int, x binary")
-    weights = dealt.groupBy("machine").applyInPandas(train, "machine int, w binary").collect()
+    weights = dealt.groupBy("machine").applyInPandas(train, "machine int, w binary, a long, b long").collect()
     found = {machines[r["machine"]][:2]: np.frombuffer(r["w"], np.float32) for r in weights}
-    return LanguageModel(families, found)
+    # what no row was chosen of is not answered
+    seen: dict[str, set[str]] = {"family": set(), "lang": set()}
+    for r in weights:
+        a, b, level = machines[r["machine"]]
+        seen[level] |= {name for name, n in ((a, r["a"]), (b, r["b"])) if n}
+    if len(families) > 1:
+        families = {f: members for f, members in families.items() if f in seen["family"]}
+    families = {f: members if len(members) == 1 else [l for l in members if l in seen["lang"]] for f, members in families.items()}
+    return LanguageModel({f: members for f, members in families.items() if members}, found)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -49,17 +49,17 @@ class WordTokens(dict):
     gives its number; unknown words are numbered on the fly and encoded
     together: plain ones by the pieces that the tokenizer's own pattern cuts,
     each given to its model once; others, and those that may hold a special
-    token, as whole words by the tokenizer. At ``most`` words the memory is
-    emptied."""
+    token, as whole words by the tokenizer. At ``most`` words, or ``most_bytes``
+    of them (text without white space is one word), the memory is emptied."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 16 << 20):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
         with open(path, encoding="utf-8") as fh:
             description = json.load(fh)
         self.find = regex.compile(_split_pattern(description["pre_tokenizer"]) + r"|\n").findall
@@ -74,6 +74,7 @@ class WordTokens(dict):
 
     def _empty(self) -> None:
         self.clear()
+        self.held = 0
         self.new: list[bytes] = []
         self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -83,6 +84,7 @@ class WordTokens(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         self.new.append(word)
+        self.held += len(word)
         return number
 
     def _encode_pieces(self, pieces: list[str]) -> None:
@@ -113,8 +115,8 @@ class WordTokens(dict):
             found[i] = ids
         known = set(plain)
         other = [i for i in range(len(self.new)) if i not in known]
-        for at in range(0, len(other), 1024):
-            part = other[at : at + 1024]
+        for at, z in chunks([self.new[i] for i in other], 1 << 18):
+            part = other[at:z]
             texts = [self.new[i].decode("utf-8", "replace") for i in part]
             for i, e in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
                 found[i] = e.ids
@@ -129,7 +131,7 @@ class WordTokens(dict):
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids with END_ID, and the ends of its sentences
         (positions in the ids, the last being their number)."""
-        if len(self) > self.most:
+        if len(self) > self.most or self.held > self.most_bytes:
             self._empty()
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         total = sum(map(len, split))

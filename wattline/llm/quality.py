@@ -60,6 +60,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def _forward(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``factor`` (lower triangular) solved for ``y`` by forward substitution."""
+    z = np.empty_like(y)
+    for i, row in enumerate(factor):
+        z[i] = (y[i] - row[:i] @ z[:i]) / row[i]
+    return z
+
+
 @dataclass
 class QualityModel:
     """Means, Cholesky factors and log priors of classes 0 and 1 (absent
@@ -77,7 +85,7 @@ class QualityModel:
             return np.full(len(x), 0.5 if self.mean[0] is self.mean[1] else float(self.mean[1] is not None))
         density = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factor[c], (x - self.mean[c]).T)
+            z = _forward(self.factor[c], (x - self.mean[c]).T)
             density.append(self.log_prior[c] - np.log(np.diag(self.factor[c])).sum() - 0.5 * (z**2).sum(axis=0))
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / self.temper, -30, 30)))
 

@@ -46,7 +46,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marked).alias("text"),
     )
     messages = chat.fold_messages(chat.turns_as_events(turns.unionByName(own)))
-    return chat.conversation_digests(chat.render(messages), ["message"])
+    return chat.conversation_digests(chat.render(messages), ["place"])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

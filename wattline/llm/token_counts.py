@@ -8,7 +8,8 @@ tokens of every prefix follow from those of shorter prefixes, in one pass, and
 truncation and budget questions need no further encoding.
 
 Merges never cross into a word from the text before its leading spaces, so
-texts are cut there; the counts of a unit's prefixes are remembered.
+texts are cut there; the counts of a unit's prefixes are remembered, up to a
+number of units and of their characters.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from ..session import ship_package
 from .common import chunks
 
 SPACE = "▁"
+LONG_UNIT = 64  # units of more characters are cut further
 
 
 class PrefixCounter:
     """Token counts of every prefix, for a sentencepiece BPE model with byte
     fallback, identity normalisation and a leading space added."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, most_chars: int = 4 << 20):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,6 +46,8 @@ class PrefixCounter:
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece of this model spans words; texts cannot be cut at spaces")
         self.longest = max(map(len, self.score))
+        # pairs of characters that some piece holds; no merge joins any others
+        self.inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         # the longest token that ends with two given characters
         self.reach: dict[str, int] = {}
         for p in self.score:
@@ -54,12 +58,13 @@ class PrefixCounter:
         # state of the unit counted last: of each prefix, its last token ("" at
         # the start and after an unknown character) and its number of tokens
         self.unit, self.last, self.count_of_last = "", [""], [0]
-        self.most = most
+        self.most, self.most_chars = most, most_chars
         self.numbers: dict[str, int] = {}
         self._empty()
 
     def _empty(self) -> None:
         self.numbers.clear()
+        self.held = 0
         self.counts: list[bytes | np.ndarray] = []  # bytes where no count passes 255
         self.totals = np.zeros(0, np.int64)
         if len(self.compatible) > 2 * self.most:  # pairs of tokens recur far more than units
@@ -158,10 +163,22 @@ class PrefixCounter:
             count.append(count[begin] + 1)
         return count
 
-    @staticmethod
-    def units(text: str) -> list[str]:
+    def units(self, text: str) -> list[str]:
         """Cuts of the text before each run of spaces; the first unit has the
-        leading space that the model adds."""
+        leading space that the model adds. Long units, as text without spaces
+        is, are cut on between characters that no piece holds side by side."""
+        units = self.spaced(text)
+        if max(map(len, units)) <= LONG_UNIT:
+            return units
+        return list(chain.from_iterable([u] if len(u) <= LONG_UNIT else self.parts(u) for u in units))
+
+    def parts(self, unit: str) -> list[str]:
+        inner = self.inner
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in inner]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)])]
+
+    @staticmethod
+    def spaced(text: str) -> list[str]:
         out, spaces = [], ""
         for word in text.replace(SPACE, " ").split(" "):
             spaces += SPACE
@@ -173,13 +190,14 @@ class PrefixCounter:
     def _number(self, unit: str) -> int:
         self.numbers[unit] = number = len(self.counts)
         counts = self.prefix_counts(unit)
-        self.counts.append(bytes(counts) if len(counts) <= 64 else np.array(counts))
+        self.counts.append(bytes(counts) if len(counts) <= 64 else np.array(counts, np.int32))
+        self.held += len(unit)
         return number
 
     def units_of(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """Numbers of the units of each text, and the token count of each
         number."""
-        if len(self.numbers) > self.most:
+        if len(self.numbers) > self.most or self.held > self.most_chars:
             self._empty()
         split = [self.units(t) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.numbers)
