@@ -41,6 +41,32 @@ _SENTENCE_END = (b".", b"!", b"?", b'."', b'!"', b'?"', b".)", b"!)", b"?)")
 _PLAIN = re.compile(rb"(?:[\x21-\x7e]++|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+\Z").match
 
 
+# All bytes of characters below U+0100: no combining marks, so the lower case of
+# ASCII letters may be taken before NFC.
+_LATIN = bytes(range(0xC4))
+_LETTER, _POINT, _BLANK = (np.isin(np.arange(256), np.frombuffer(s, np.uint8)) for s in (
+    b"abcdefghijklmnopqrstuvwxyz", b",.", b" \t\n\x0b\x0c\r",
+))
+
+
+def folded(text: str) -> bytes:
+    """``text`` with ASCII letters in lower case, where that changes no token."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw if raw.translate(None, _LATIN) or b"<|" in raw else raw.lower()
+
+
+def apart(raws: list[bytes]) -> list[bytes]:
+    """``raws`` with a space between a letter and a comma or point that white
+    space follows. The tokenizer's pattern cuts there anyway; words are the same
+    with and without such a mark, so fewer of them need remembering."""
+    data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+    at = np.flatnonzero(_POINT[data[1:-1]] & _LETTER[data[:-2]] & _BLANK[data[2:]]) + 1
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    ends += np.searchsorted(at, ends)
+    spaced = np.insert(data, at, 32).tobytes()
+    return [spaced[a:z] for a, z in zip([0, *ends.tolist()], ends.tolist())]
+
+
 class WordTokens(dict):
     """Token ids of white-space separated words, remembered by word.
 
@@ -101,7 +127,13 @@ class WordTokens(dict):
 
     def _encode_new(self) -> None:
         found: list[list[int]] = [[]] * len(self.new)
-        plain = [i for i, w in enumerate(self.new) if _PLAIN(w) and b"<|" not in w]
+        simple = [i for i, w in enumerate(self.new) if w.isalpha()]  # ASCII letters: a piece as they stand
+        spelled = [self.new[i].decode().lower() for i in simple]
+        self._encode_pieces([p for p in dict.fromkeys(spelled) if p not in self.pieces])
+        for i, p in zip(simple, spelled):
+            found[i] = self.pieces[p]
+        known = set(simple)
+        plain = [i for i, w in enumerate(self.new) if i not in known and _PLAIN(w) and b"<|" not in w]
         cut = self.find(b"\n".join([self.new[i] for i in plain]).decode().lower())
         self._encode_pieces([p for p in dict.fromkeys(cut) if p != "\n" and p not in self.pieces])
         at, pieces, number = 0, self.pieces, len(cut)
@@ -113,7 +145,7 @@ class WordTokens(dict):
                 at += 1
             at += 1
             found[i] = ids
-        known = set(plain)
+        known.update(plain)
         other = [i for i in range(len(self.new)) if i not in known]
         for at, z in chunks([self.new[i] for i in other], 1 << 18):
             part = other[at:z]
@@ -133,7 +165,7 @@ class WordTokens(dict):
         (positions in the ids, the last being their number)."""
         if len(self) > self.most or self.held > self.most_bytes:
             self._empty()
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        split = [raw.split() for raw in apart([folded(t) if t else b"" for t in texts])] if texts else []
         total = sum(map(len, split))
         numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, total)
         if self.new:
