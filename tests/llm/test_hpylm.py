@@ -197,5 +197,78 @@ def test_tables_grow_with_a_million_customers():
 def test_words_of_more_than_32_bits_of_occurrences(spark):
     key, count = np.array([12345], "<u8").tobytes(), np.array([2**32 - 1], "<u4").tobytes()
     requests = spark.createDataFrame([(hpylm._WORDS, 3, b, key, count) for b in range(3)], hpylm._PARTS)
-    for r in hpylm._answers(requests, [], [0.5] * hpylm.ORDER).collect():
+    combined = hpylm._combined(requests, 2)
+    for r in hpylm._answers(requests, hpylm._predicted(combined, [], [0.5] * hpylm.ORDER)).collect():
         assert np.frombuffer(r["values"], "<u8").tolist() == [3 * (2**32 - 1)]
+
+
+def test_ngrams_of_more_than_32_bits_of_occurrences(spark):
+    """Counts stay whole when blocks are combined and when customers are seated."""
+    key, count = np.array([0x0A0A0A0A0A61], "<u8").tobytes(), np.array([2**31], "<u4").tobytes()
+    requests = spark.createDataFrame([(hpylm._NGRAMS, 3, b, key, count) for b in range(6)], hpylm._PARTS)
+    combined = hpylm._combined(requests, 1)
+    blob = hpylm._first_seats(combined, [0.5] * hpylm.ORDER).filter("level = -1").head()["state"]
+    tree = hpylm.Subtree.unpacked(blob, [0.5] * hpylm.ORDER)
+    assert tree.levels[0].seats.customers().tolist() == [6 * 2**31]
+
+
+def test_copies_of_one_row_are_spread_over_blocks(spark):
+    """Rows without id and text, and copies of one row, from all partitions."""
+    rows = [(None, None)] * 2000 + [(7, "the same words again")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    got = score(df, F.lit(True), block_bytes=1 << 12)
+    assert len(got) == 4000 and len({(r["doc_id"], r["score"]) for r in got}) == 2
+    assert {r["train_tokens"] for r in got} == {2000 * 1 + 2000 * 5}
+
+
+def brute_probability(corpus, discounts, strength):
+    """Predictive probability by a plain recursion over one-table seatings:
+    the start of the sampler, before any sweep."""
+    seats = {}
+    for text in corpus:
+        raw = bytes([10]) * (hpylm.ORDER - 1) + text
+        for i in range(hpylm.ORDER - 1, len(raw)):
+            context = raw[i - hpylm.ORDER + 1 : i]
+            dishes = seats.setdefault(context, Counter())
+            dishes[raw[i]] += 1
+    for size in range(hpylm.ORDER - 2, -1, -1):  # each dish's one table is a customer of the parent
+        for context in [c for c in seats if len(c) == size + 1]:
+            for dish in seats[context]:
+                seats.setdefault(context[1:], Counter())[dish] += 1
+
+    def p(context, dish):
+        below = hpylm.BASE if not context else p(context[1:], dish)
+        dishes = seats.get(context)
+        if not dishes:
+            return below
+        d, n, t = discounts[len(context)], sum(dishes.values()), len(dishes)
+        own = max(0.0, dishes[dish] - d) if dishes[dish] else 0.0
+        return (own + (strength + d * t) * below) / (strength + n)
+
+    return p
+
+
+def test_score_against_a_plain_recursion():
+    """Before any sweep every dish has one table: the predictive probabilities of
+    a tiny corpus, by look-ups and by recursion over plain counters."""
+    texts = ["abra cadabra", "a cab", "", "bra bra abra"]
+    split = [hpylm.words_of(t) for t in texts]
+    keys, _ = hpylm.ngrams(split)
+    distinct, counts = np.unique(keys, return_counts=True)
+    discounts = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+    tree = hpylm.Subtree.first(distinct, counts, discounts)
+    house = np.zeros(1 << 16, np.int64)
+    at, n = tree.to_shared()
+    house[at] = n
+    one = hpylm.Level(1, np.arange(1 << 16, dtype=np.uint64), hpylm.Seats.one_table_each(house), discounts[1])
+    up = np.bincount(np.arange(1 << 16) & 255, weights=np.minimum(house, 1), minlength=256)
+    none = hpylm.Level(0, np.arange(256, dtype=np.uint64), hpylm.Seats.one_table_each(up), discounts[0])
+    shared = one.predictive(none.predictive(np.full(256, hpylm.BASE))[np.arange(1 << 16) & 255])
+    p = brute_probability([b" ".join(w) + (b" \n" if w else b"\n") for w in split], discounts, hpylm.STRENGTH)
+    for key, got in zip(distinct.tolist(), tree.predict(distinct, shared).tolist()):
+        raw = key.to_bytes(8, "big")[8 - hpylm.ORDER :]
+        assert got == pytest.approx(p(raw[:-1], raw[-1]), rel=1e-9)
+    unseen, _ = hpylm.ngrams([[b"zebra"], [b"cadab"]])
+    for key, got in zip(unseen.tolist(), tree.predict(unseen, shared).tolist()):
+        raw = key.to_bytes(8, "big")[8 - hpylm.ORDER :]
+        assert got == pytest.approx(p(raw[:-1], raw[-1]), rel=1e-9)

@@ -40,6 +40,32 @@ def test_language_without_or_with_one_label(odd, none):
     assert only.predict(["some text", None])[0] == ["en", "und"]
 
 
+def test_rows_without_ids_are_learnt_from(docs):
+    """All ids null: the sample is drawn by text, and languages are told apart."""
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    model = langid.fit(nameless, per_lang=100)
+    assert model.families == {"germanic": ["de", "en"], "romance": ["es", "fr"]} and len(model.weights) == 3
+    found = langid.with_language(nameless, model).select("row.lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found)
+
+
+def test_a_language_without_a_sample_is_not_answered(spark):
+    """Copies of one text are chosen together: if that one is not chosen, its
+    language is unknown, and without any sample the answer is und."""
+    copies = [(None, f"copy of a text number {k}", lang) for k, lang in enumerate(["aa", "bb", "cc", "dd"]) for _ in range(400)]
+    rows = spark.createDataFrame(copies, "doc_id long, text string, lang string")
+    seen = set()
+    for per_lang in (1, 100, 200, 300):
+        model = langid.fit(rows, per_lang=per_lang)
+        answered = {l for members in model.families.values() for l in members}
+        trained = {x for pair in model.weights for x in pair}
+        assert {langid.family(l) for l in answered} <= trained or not answered
+        names, _ = model.predict(["copy of a text"])
+        assert names[0] in (answered or {"und"})
+        seen.add(len(answered))
+    assert len(seen) > 1
+
+
 def test_svm_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 3)).astype(np.float32)
@@ -68,6 +94,22 @@ def test_quality_of_odd_rows(spark, docs, odd, none):
     assert one.scores(np.zeros((1, 12))).tolist() == [1.0]
 
 
+def test_fitted_means_and_covariances(spark, docs):
+    """The fit by partial sums against plain numpy over the labelled texts."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels, shrink=0.1)
+    rows = docs.join(labels, "doc_id").select("text", "quality").collect()
+    x = np.array([quality.statistics(r["text"]) for r in rows])
+    y = np.array([r["quality"] for r in rows])
+    cov = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).sum() * np.diag(cov[c]) for c in (0, 1)) / len(y)
+    for c in (0, 1):
+        assert model.mean[c] == pytest.approx(x[y == c].mean(axis=0), rel=1e-9, abs=1e-9)
+        want = 0.9 * cov[c] + 0.1 * np.diag(pooled) + 1e-3 * np.eye(x.shape[1])
+        assert model.factor[c] @ model.factor[c].T == pytest.approx(want, rel=1e-6, abs=1e-7)
+        assert model.log_prior[c] == pytest.approx(np.log((y == c).mean()))
+
+
 def test_density_difference_against_a_direct_formula(spark, docs):
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     x = np.array([quality.statistics(r["text"]) for r in docs.limit(5).collect()])

@@ -14,10 +14,14 @@ Every text has a probability, whatever its words.
 Layout. Contexts are dealt to buckets by their last two bytes, so a context
 and its ancestors of two bytes or more are in one bucket; only contexts of one
 byte or none (at most 257 restaurants of at most 256 dishes) are shared, and
-sampled by the driver between sweeps. Documents are dealt to blocks by their
-id. A block asks each bucket for the probabilities of its distinct n-grams,
-and the owners of words for their counts; the answers meet the block's texts
-once more. Nothing that grows with the corpus is broadcast or collected.
+sampled by the driver between sweeps. Documents are dealt to blocks by a hash
+and the partition that holds them, so copies of one row are spread. A block asks
+for the probabilities of its distinct n-grams and the counts of its words. Its
+requests go to cells, which split a bucket further by the older bytes of the
+context; a cell combines the requests of all blocks, the buckets seat and answer
+the distinct n-grams alone, and the cells give each block its answers, which
+meet the block's texts once more. Nothing that grows with the corpus is
+broadcast or collected.
 """
 
 from __future__ import annotations
@@ -50,7 +54,10 @@ BASE = 1.0 / 257
 
 _NGRAMS, _WORDS = 0, 1
 _END = ord("\n")
-_PARTS = "kind int, bucket int, block int, keys binary, counts binary"
+_PARTS = "kind int, cell int, block int, keys binary, counts binary"
+_COMBINED = "kind int, bucket int, cell int, keys binary, counts binary"
+MOST_BUCKETS = 512  # of restaurants; their size levels off as the n-grams of five bytes are seen
+OLDER = 16  # parts of a two-byte context, by the bytes before it
 
 
 @contextmanager
@@ -127,13 +134,22 @@ def bucket_of_ngrams(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((two * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def bucket_of_words(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def cell_of_ngrams(keys: np.ndarray, cells: int) -> np.ndarray:
+    """By the last two bytes of context, and a hash of the two before them."""
+    two = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    older = ((keys >> np.uint64(24)) & np.uint64(0xFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+    part = (older >> np.uint64(37)) % np.uint64(OLDER)
+    mixed = (two * np.uint64(OLDER) + part) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(40)) % np.uint64(cells)).astype(np.int64)
+
+
+def cell_of_words(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
-def block_requests(texts: list[str | None], train: np.ndarray, buckets: int) -> list[tuple]:
-    """(kind, bucket, keys, counts) of the distinct n-grams and tokens of a
-    block of texts, ascending by key within a bucket; counts are those in
+def block_requests(texts: list[str | None], train: np.ndarray, cells: int) -> list[tuple]:
+    """(kind, cell, keys, counts) of the distinct n-grams and tokens of a
+    block of texts, ascending by key within a cell; counts are those in
     texts marked ``train``."""
     found: dict[int, list[tuple]] = {_NGRAMS: [], _WORDS: []}
     for a, z in chunks(texts, CHUNK_CHARS):  # helper arrays of a chunk, not of a block
@@ -147,10 +163,10 @@ def block_requests(texts: list[str | None], train: np.ndarray, buckets: int) ->
         hashes, flat, lengths = tokens(split)
         found[_WORDS].append((hashes, np.bincount(flat[np.repeat(train[a:z], lengths)], minlength=len(hashes))))
     out = []
-    for kind, bucket_of in ((_NGRAMS, bucket_of_ngrams), (_WORDS, bucket_of_words)):
+    for kind, cell_of in ((_NGRAMS, cell_of_ngrams), (_WORDS, cell_of_words)):
         if found[kind]:
             keys, counts = _summed(*map(np.concatenate, zip(*found[kind])))
-            out += [(kind, *r) for r in _dealt(keys, counts, bucket_of(keys, buckets))]
+            out += [(kind, *r) for r in _dealt(keys, counts, cell_of(keys, cells))]
     return out
 
 
@@ -168,7 +184,13 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for k, c, b in zip(np.split(keys, cuts), np.split(counts, cuts), np.split(bucket, cuts)):
         if len(k):
-            yield int(b[0]), k.astype("<u8").tobytes(), np.minimum(c, 2**32 - 1).astype("<u4").tobytes()
+            # 64 bits where a count needs them
+            form = "<u4" if int(c.max()) < 1 << 32 else "<u8"
+            yield int(b[0]), k.astype("<u8").tobytes(), c.astype(form).tobytes()
+
+
+def _counts(keys: bytes, counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, "<u4" if len(counts) < len(keys) else "<u8").astype(np.int64)
 
 
 # ---------------------------------------------------------------- seating
@@ -372,27 +394,39 @@ class SharedRestaurants:
 
 
 def _merged(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all requests of a bucket, and their training counts."""
+    """Distinct keys of all rows of ``group``, and their training counts."""
     keys = np.frombuffer(b"".join(group["keys"]), "<u8").astype(np.uint64)
-    counts = np.frombuffer(b"".join(group["counts"]), "<u4")
-    return _summed(keys, counts)
+    return _summed(keys, np.concatenate([_counts(k, c) for k, c in zip(group["keys"], group["counts"])]))
 
 
-def _requests(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
+def _requests(docs: DataFrame, cells: int) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row", kind="stable")
-        made = block_requests(list(group["text"]), group["train"].to_numpy(bool), buckets)
-        out = pd.DataFrame(made, columns=["kind", "bucket", "keys", "counts"])
+        made = block_requests(list(group["text"]), group["train"].to_numpy(bool), cells)
+        out = pd.DataFrame(made, columns=["kind", "cell", "keys", "counts"])
         out.insert(2, "block", int(group["block"].iloc[0]))
         return out
 
     return docs.groupBy("block").applyInPandas(run, _PARTS)
 
 
+def _combined(requests: DataFrame, buckets: int) -> DataFrame:
+    """The requests of all blocks of a cell as one, by bucket."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        kind, cell = int(group["kind"].iloc[0]), int(group["cell"].iloc[0])
+        keys, counts = _merged(group)
+        bucket = np.full(len(keys), cell % buckets) if kind == _WORDS else bucket_of_ngrams(keys, buckets)
+        rows = [(kind, b, cell, k, c) for b, k, c in _dealt(keys, counts, bucket)]
+        return pd.DataFrame(rows, columns=["kind", "bucket", "cell", "keys", "counts"])
+
+    return requests.groupBy("kind", "cell").applyInPandas(run, _COMBINED)
+
+
 _STATE = "bucket int, level int, at int, n long, state binary"
 
 
-def _first_counts(requests: DataFrame) -> DataFrame:
+def _first_counts(combined: DataFrame) -> DataFrame:
     """For each bucket: how many dishes of each level have one and two
     customers in the first seating; and numbers of training tokens and words."""
 
@@ -408,7 +442,7 @@ def _first_counts(requests: DataFrame) -> DataFrame:
                 keys, counts = np.unique(keys & _mask(level - 1), return_counts=True)
         return pd.DataFrame(rows, columns=["level", "at", "n"])
 
-    return requests.groupBy("kind", "bucket").applyInPandas(run, "level int, at int, n long")
+    return combined.groupBy("kind", "bucket").applyInPandas(run, "level int, at int, n long")
 
 
 def _rows_of(bucket: int, tree: Subtree) -> pd.DataFrame:
@@ -418,13 +452,13 @@ def _rows_of(bucket: int, tree: Subtree) -> pd.DataFrame:
     return pd.concat([out, own], ignore_index=True)
 
 
-def _first_seats(requests: DataFrame, discounts: list[float]) -> DataFrame:
+def _first_seats(combined: DataFrame, discounts: list[float]) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(group)
         tree = Subtree.first(keys[counts > 0], counts[counts > 0], discounts)
         return _rows_of(int(group["bucket"].iloc[0]), tree)
 
-    return requests.filter(F.col("kind") == _NGRAMS).groupBy("bucket").applyInPandas(run, _STATE)
+    return combined.filter(F.col("kind") == _NGRAMS).groupBy("bucket").applyInPandas(run, _STATE)
 
 
 def _swept(states: DataFrame, discounts: list[float], shared: np.ndarray, sweep: int) -> DataFrame:
@@ -449,49 +483,67 @@ def _customers(states: DataFrame) -> np.ndarray:
     return out
 
 
-def _answers(requests: DataFrame, samples: list[tuple[DataFrame, np.ndarray]], discounts: list[float]) -> DataFrame:
-    """(kind, bucket, block, values): for each request, in the order of its
-    keys, the averaged log10 probabilities of n-grams (float32) or the training
-    counts of words (unsigned 64-bit)."""
-    asked = requests.select("kind", "bucket", "block", "keys", "counts", F.lit(-1).alias("sample"))
+def _predicted(combined: DataFrame, samples: list[tuple[DataFrame, np.ndarray]], discounts: list[float]) -> DataFrame:
+    """(kind, cell, keys, values) of all distinct n-grams and words: averaged
+    log10 probabilities (float32), or training counts (unsigned 64-bit)."""
+    ngrams = combined.filter(F.col("kind") == _NGRAMS)
+    asked = ngrams.select("bucket", "cell", "keys", F.lit(-1).alias("sample"))
     tables = [shared.astype("<f8").tobytes() for _, shared in samples]
     for i, (states, _) in enumerate(samples):
         asked = asked.unionByName(states.filter("level = -1").select(
-            F.lit(_NGRAMS).alias("kind"), "bucket", F.lit(-1).alias("block"), F.col("state").alias("keys"),
-            F.lit(None).cast("binary").alias("counts"), F.lit(i).alias("sample"),
+            "bucket", F.lit(-1).alias("cell"), F.col("state").alias("keys"), F.lit(i).alias("sample")
         ))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = group[group["sample"] < 0]
+        parts, kept = group[group["sample"] < 0], group[group["sample"] >= 0]
+        keys = np.frombuffer(b"".join(parts["keys"]), "<u8").astype(np.uint64)
+        total = np.zeros(len(keys))
+        for blob, i in zip(kept["keys"], kept["sample"]):
+            total += Subtree.unpacked(blob, discounts).predict(keys, np.frombuffer(tables[i], "<f8"))
+        if len(kept):
+            values = np.log10(total / len(kept)).astype("<f4")
+        else:  # no training text at all: the base
+            values = np.full(len(keys), math.log10(BASE), "<f4")
+        ends = np.cumsum([len(k) // 8 for k in parts["keys"]]).tolist()
+        rows = [(_NGRAMS, int(c), k, values[a:z].tobytes()) for c, k, a, z in zip(parts["cell"], parts["keys"], [0, *ends], ends)]
+        return pd.DataFrame(rows, columns=["kind", "cell", "keys", "values"])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["values"] = [_counts(k, c).astype("<u8").tobytes() for k, c in zip(b["keys"], b["counts"])]
+            yield b[["kind", "cell", "keys", "values"]]
+
+    out = "kind int, cell int, keys binary, values binary"
+    words = combined.filter(F.col("kind") == _WORDS).select("kind", "cell", "keys", "counts").mapInPandas(counted, out)
+    return asked.groupBy("bucket").applyInPandas(run, out).unionByName(words)
+
+
+def _answers(requests: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(kind, cell, block, values): for each request the values of its keys, in
+    their order."""
+
+    def run(group: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if not len(parts):
-            return pd.DataFrame(rows, columns=["kind", "bucket", "block", "values"])
-        kind, bucket = int(parts["kind"].iloc[0]), int(parts["bucket"].iloc[0])
-        keys, counts = _merged(parts)
-        if kind == _WORDS:
-            values = counts.astype("<u8")
-        else:
-            kept = group[group["sample"] >= 0]
-            total = np.zeros(len(keys))
-            for blob, i in zip(kept["keys"], kept["sample"]):
-                total += Subtree.unpacked(blob, discounts).predict(keys, np.frombuffer(tables[i], "<f8"))
-            if len(kept):
-                values = np.log10(total / len(kept)).astype("<f4")
-            else:  # no training text at all: the base
-                values = np.full(len(keys), math.log10(BASE), "<f4")
-        for block, own in zip(parts["block"], parts["keys"]):
-            at = np.searchsorted(keys, np.frombuffer(own, "<u8").astype(np.uint64))
-            rows.append((kind, bucket, int(block), values[at].tobytes()))
-        return pd.DataFrame(rows, columns=["kind", "bucket", "block", "values"])
-
-    return asked.groupBy("kind", "bucket").applyInPandas(run, "kind int, bucket int, block int, values binary")
-
-
-def _scored(docs: DataFrame, answers: DataFrame, buckets: int, n_train: int, n_words: int) -> DataFrame:
+        if len(group):
+            kind, cell = int(group["kind"].iloc[0]), int(group["cell"].iloc[0])
+            keys = np.frombuffer(b"".join(got["keys"]), "<u8").astype(np.uint64)
+            values = np.frombuffer(b"".join(got["values"]), "<u8" if kind == _WORDS else "<f4")
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], values[order]
+            for block, own in zip(group["block"], group["keys"]):
+                at = np.searchsorted(keys, np.frombuffer(own, "<u8").astype(np.uint64))
+                rows.append((kind, cell, int(block), values[at].tobytes()))
+        return pd.DataFrame(rows, columns=["kind", "cell", "block", "values"])
+
+    asked = requests.select("kind", "cell", "block", "keys").groupBy("kind", "cell")
+    return asked.cogroup(predicted.groupBy("kind", "cell")).applyInPandas(run, "kind int, cell int, block int, values binary")
+
+
+def _scored(docs: DataFrame, answers: DataFrame, cells: int, n_train: int, n_words: int) -> DataFrame:
     def run(group: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row", kind="stable")
         texts = list(group["text"])
-        values = {k: {int(b): v for b, v in zip(x["bucket"], x["values"])} for k, x in got.groupby("kind")}
+        values = {k: {int(b): v for b, v in zip(x["cell"], x["values"])} for k, x in got.groupby("kind")}
         parts = []
         for a, z in chunks(texts, CHUNK_CHARS):
             split = [words_of(t) for t in texts[a:z]]
@@ -500,18 +552,18 @@ def _scored(docs: DataFrame, answers: DataFrame, buckets: int, n_train: int, n_w
             hashes, flat, words = tokens(split)
             parts.append((keys, at.astype(np.int32), np.cumsum(lengths) - lengths, hashes, flat.astype(np.int32), words))
 
-        def answered(kind: int, keys: list[np.ndarray], bucket_of, form: str) -> tuple[np.ndarray, np.ndarray]:
+        def answered(kind: int, keys: list[np.ndarray], cell_of, form: str) -> tuple[np.ndarray, np.ndarray]:
             """The block's distinct keys, ascending, and the answers to them,
-            which come bucket by bucket."""
+            which come cell by cell."""
             keys = np.unique(np.concatenate(keys))
-            bucket = bucket_of(keys, buckets)
-            order = np.argsort(bucket, kind="stable")
+            cell = cell_of(keys, cells)
+            order = np.argsort(cell, kind="stable")
             out = np.empty(len(keys))
-            out[order] = np.concatenate([np.frombuffer(values[kind][b], form) for b in np.unique(bucket).tolist()])
+            out[order] = np.concatenate([np.frombuffer(values[kind][b], form) for b in np.unique(cell).tolist()])
             return keys, out
 
-        grams, logs = answered(_NGRAMS, [p[0] for p in parts], bucket_of_ngrams, "<f4")
-        words, counts = answered(_WORDS, [p[3] for p in parts], bucket_of_words, "<u8")
+        grams, logs = answered(_NGRAMS, [p[0] for p in parts], cell_of_ngrams, "<f4")
+        words, counts = answered(_WORDS, [p[3] for p in parts], cell_of_words, "<u8")
         score, base, known, n_tokens = [], [], [], []
         for keys, at, starts, hashes, flat, lengths in parts:
             score.append(np.add.reduceat(logs[np.searchsorted(grams, keys)][at], starts))
@@ -540,28 +592,33 @@ def score_documents(
 
     Learns from the rows for which ``train`` holds (null: not). Null counts as
     empty, a text of the end alone. A text of any length is scored whole.
-    Repeated rows each come out with equal scores; without training text the
-    model is its uniform base; an empty table gives an empty result; other
-    columns are not read."""
+    Repeated rows, with or without an id, each come out with equal scores; without
+    training text the model is its uniform base; an empty table gives an empty
+    result; other columns are not read. ``docs`` is read twice and has to come in
+    the same partitions both times, as a scan does."""
     spark = docs.sparkSession
     ship_package(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).head()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    buckets = max(4, blocks)
+    cells = max(4, blocks)
+    buckets = min(cells, MOST_BUCKETS)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     ).withColumn("row", F.xxhash64("doc_id", "train", "text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), F.lit(blocks)).cast("int"))
-    requests = _land(_requests(rows, blocks, buckets), "lm-requests")
-    first = {(r["level"], r["at"]): r["n"] for r in _first_counts(requests).groupBy("level", "at").agg(F.sum("n").alias("n")).collect()}
+    # with the partition, so that copies of one row do not meet in one block
+    block = F.pmod(F.xxhash64(F.lit("block"), "row", F.spark_partition_id()), F.lit(blocks))
+    rows = rows.withColumn("block", block.cast("int"))
+    requests = _land(_requests(rows, cells), "lm-requests")
+    combined = _land(_combined(requests, buckets), "lm-combined")
+    first = {(r["level"], r["at"]): r["n"] for r in _first_counts(combined).groupBy("level", "at").agg(F.sum("n").alias("n")).collect()}
     n_train, n_words = first.get((-1, 0), 0), first.get((-1, 1), 0)
     # Ney's estimate from the dishes with one and two customers
     discounts = [0.5] * ORDER
     for level in range(SHARED + 1, ORDER):
         one, two = first.get((level, 1), 0), first.get((level, 2), 0)
         discounts[level] = min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
-    states = _land(_first_seats(requests, discounts), "lm-states")
+    states = _land(_first_seats(combined, discounts), "lm-states")
     house, rng, samples = SharedRestaurants(), np.random.default_rng(11), []
     shared = house.sample(_customers(states), discounts, rng)
     for sweep in range(sweeps):
@@ -569,5 +626,5 @@ def score_documents(
         shared = house.sample(_customers(states), discounts, rng)
         if sweep >= sweeps - kept:
             samples.append((states, shared))
-    answers = _land(_answers(requests, samples, discounts), "lm-answers")
-    return _scored(rows, answers, buckets, n_train, n_words)
+    answers = _land(_answers(requests, _predicted(combined, samples, discounts)), "lm-answers")
+    return _scored(rows, answers, cells, n_train, n_words)
