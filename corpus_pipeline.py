@@ -41,18 +41,25 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one document of each group of texts that are equal but for white
+    space: the one of most code points, then the smallest id. Null counts as
+    empty. Rows that repeat id and text are one document; rows that share an id
+    alone, or have none, are not. An empty table stays empty."""
     return keep_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each SimHash group
-    (4-word shingles, at most 4 differing bits)."""
+    (4-word shingles, at most 4 differing bits; a row without id only where none
+    has one). Null and empty texts are one group; of rows that repeat the id that
+    stays, the least by text digest. An empty table stays empty."""
     return keep_simhash(docs, width=4, distance=4)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens. Null and
+    empty texts are the end token alone, repeated rows are packed as often, a
+    null id stays null, and an empty table gives no piece."""
     return pack_documents(docs, PACKING_TOKENIZER)
 
 
