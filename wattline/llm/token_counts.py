@@ -28,14 +28,16 @@ from ..session import ship_package
 from .common import chunks
 
 SPACE = "▁"
+ENDING = 4  # characters by which the tokens that may end a prefix are looked up
 LONG_UNIT = 64  # units of more characters are cut further
+_MARKS = frozenset(",.")
 
 
 class PrefixCounter:
     """Token counts of every prefix, for a sentencepiece BPE model with byte
     fallback, identity normalisation and a leading space added."""
 
-    def __init__(self, path: str, most: int = 600_000, most_chars: int = 4 << 20):
+    def __init__(self, path: str, most: int = 600_000, most_chars: int = 16 << 20):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,15 +47,19 @@ class PrefixCounter:
                 self.score[model.id_to_piece(i)] = model.get_score(i)
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece of this model spans words; texts cannot be cut at spaces")
-        self.longest = max(map(len, self.score))
         # pairs of characters that some piece holds; no merge joins any others
         self.inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        # the longest token that ends with two given characters
+        self.lines_apart = not any("\n" in p for p in self.score if len(p) > 1)
+        # the longest token that ends with ENDING given characters, if longer than those
         self.reach: dict[str, int] = {}
         for p in self.score:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
-        # compatible[s, t]: do the tokens s, t encode to themselves side by side
-        self.compatible: dict[tuple[str, str], bool] = {}
+            if len(p) > ENDING:
+                self.reach[p[-ENDING:]] = max(len(p), self.reach.get(p[-ENDING:], 0))
+        # by the last ENDING characters: that length, and the tokens within them
+        self.endings: dict[str, tuple[int, tuple]] = {}
+        # after[t][s]: do the tokens s, t encode to themselves side by side
+        self.after: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.edges: dict[str, tuple | None] = {}
         # state of the unit counted last: of each prefix, its last token ("" at
         # the start and after an unknown character) and its number of tokens
@@ -67,8 +73,10 @@ class PrefixCounter:
         self.held = 0
         self.counts: list[bytes | np.ndarray] = []  # bytes where no count passes 255
         self.totals = np.zeros(0, np.int64)
-        if len(self.compatible) > 2 * self.most:  # pairs of tokens recur far more than units
-            self.compatible.clear()
+        if self.pairs > 2 * self.most or len(self.endings) > self.most:  # these recur far more than units
+            self.endings.clear()
+            self.after.clear()
+            self.pairs = 0
 
     def merged(self, text: str, log: list | None = None) -> list[str]:
         """Plain encoding of a short string: the best-scored adjacent pair
@@ -128,39 +136,56 @@ class PrefixCounter:
                     return False
         return True
 
+    def _compatible(self, s: str, t: str) -> bool:
+        known = self.after.setdefault(t, {})
+        fits = known.get(s)
+        if fits is None:
+            fits = known[s] = self._fits(s, t) if s else self.merged(t) == [t]
+            self.pairs += 1
+        return fits
+
+    def _ending(self, key: str) -> tuple[int, tuple]:
+        """For a prefix that ends with ``key``: how long its last token may be, if
+        longer than ``key``, and (length, token, what fits before it) of the
+        tokens that ``key`` ends with, the longest first."""
+        ends = [key[-n:] for n in range(len(key), 0, -1)]
+        tokens = tuple((len(t), t, self.after.setdefault(t, {})) for t in ends if t in self.score)
+        self.endings[key] = found = (self.reach.get(key, 0), tokens)
+        return found
+
     def prefix_counts(self, unit: str) -> list[int]:
         """Number of tokens of each prefix of ``unit`` (without further
         spaces inside), the empty one first.
 
         The states of the unit asked for last are kept; what the two units
         have in common is not computed again."""
-        score, longest, compatible, length = self.score, self.longest, self.compatible, self.reach
+        score, endings = self.score, self.endings
         last, count = self.last, self.count_of_last
         shared = len(commonprefix((unit, self.unit)))
         del last[shared + 1 :], count[shared + 1 :]
         self.unit = unit
         for end in range(shared + 1, len(unit) + 1):
-            c = unit[end - 1]
-            if c not in score:  # unknown: one token for each of its bytes, merged with nothing
+            key = unit[end - ENDING : end] if end > ENDING else unit[:end]
+            reach, tokens = endings.get(key) or self._ending(key)
+            if not tokens:  # unknown: one token for each of its bytes, merged with nothing
                 last.append("")
-                count.append(count[-1] + len(c.encode("utf-8", "surrogatepass")))
+                count.append(count[-1] + len(key[-1].encode("utf-8", "surrogatepass")))
                 continue
-            begin = end - longest if end > longest else 0
-            reach = length.get(unit[end - 2 : end], 1) if end > 1 else 1  # of tokens with this ending
-            if end - begin > reach:
-                begin = end - reach
-            while True:
-                t = unit[begin:end]
-                if t in score:
-                    s = last[begin]
-                    fits = compatible.get((s, t))
+            t = ""
+            for n in range(min(reach, end), ENDING, -1):
+                longer = unit[end - n : end]
+                if longer in score and self._compatible(last[end - n], longer):
+                    t = longer
+                    break
+            else:
+                for n, t, known in tokens:  # the longest first; a single character always fits
+                    fits = known.get(last[end - n])
                     if fits is None:
-                        fits = compatible[s, t] = self._fits(s, t) if s else self.merged(t) == [t]
+                        fits = self._compatible(last[end - n], t)
                     if fits:
                         break
-                begin += 1  # a single character always fits in the end
             last.append(t)
-            count.append(count[begin] + 1)
+            count.append(count[end - n] + 1)
         return count
 
     def units(self, text: str) -> list[str]:
@@ -177,15 +202,34 @@ class PrefixCounter:
         cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in inner]
         return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)])]
 
-    @staticmethod
-    def spaced(text: str) -> list[str]:
-        out, spaces = [], ""
+    def spaced(self, text: str) -> list[str]:
+        """Cuts before spaces, around line feeds, and before a last comma or point;
+        the last two only where no piece spans them. A word is the same with
+        and without such a mark, so fewer units need counting."""
+        out: list[str] = []
+        add, inner, lines, spaces = out.append, self.inner, self.lines_apart, ""
         for word in text.replace(SPACE, " ").split(" "):
             spaces += SPACE
-            if word:
-                out.append(spaces + word)
-                spaces = ""
-        return [*out, spaces] if spaces else out
+            if not word:
+                continue
+            unit, spaces = spaces + word, ""
+            if lines and "\n" in word:
+                for i, part in enumerate(unit.split("\n")):
+                    if i:
+                        add("\n")
+                    if part[-1:] in _MARKS and part[-2:] not in inner and len(part) > 1:
+                        add(part[:-1])
+                        add(part[-1])
+                    elif part:
+                        add(part)
+            elif unit[-1] in _MARKS and unit[-2:] not in inner:
+                add(unit[:-1])
+                add(unit[-1])
+            else:
+                add(unit)
+        if spaces:
+            add(spaces)
+        return out
 
     def _number(self, unit: str) -> int:
         self.numbers[unit] = number = len(self.counts)
