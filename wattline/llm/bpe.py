@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -256,6 +257,7 @@ class Encoder(dict):
 
         pattern = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"(?!\S)", f"(?![^{_SPACE}])").replace(r"\s", f"[{_SPACE}]")
         self.find = regex.compile(pattern).findall
+        self.touching = re.compile(f" [{_SPACE}]|[{_SPACE}] | $").search  # a space at the end, or beside white space
         self.between = regex.compile(rf"(?<=[^{_SPACE}])(?= [^{_SPACE}])").split
         self.ranks, self.most, self.most_bytes = Ranks(path), most, most_bytes
         self._empty()
@@ -294,8 +296,13 @@ class Encoder(dict):
     def units(self, text: str) -> list[str | bytes]:
         """Cuts at each space that stands between two characters which are no
         white space; long units are cut on."""
-        words = self.between(text)
-        if max(map(len, words)) <= LONG_UNIT:
+        if self.touching(text):
+            words = self.between(text)
+        else:  # each space is such a space
+            first, *rest = text.split(" ")
+            words = [first] if first else []
+            words += [" " + w for w in rest]
+        if max(map(len, words), default=0) <= LONG_UNIT:
             return words
         units: list[str | bytes] = []
         for w in words:
