@@ -113,51 +113,58 @@ class WordTokens(dict):
         self.held += len(word)
         return number
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``words``, each one piece in the byte-level alphabet, by the
+        model alone, and how many each has: its last token alone ends a word."""
+        ids = [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), 1 << 16):
+            lines = [" ".join(words[i : i + 256]) for i in range(at, min(at + (1 << 16), len(words)), 256)]
+            batch = self.plain.encode_batch_fast(lines, add_special_tokens=False)
+            ids.append(np.fromiter(chain.from_iterable(e.ids for e in batch), np.uint32))
+        ids = np.concatenate(ids)
+        return ids, np.diff(np.flatnonzero(self.word_end[ids]) + 1, prepend=0)
+
     def _encode_pieces(self, pieces: list[str]) -> None:
-        """Each piece's ids, by the model alone. A piece is spelled in the
-        byte-level alphabet, and its last token alone ends a word."""
-        for at in range(0, len(pieces), 1 << 16):
-            part = pieces[at : at + (1 << 16)]
-            spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in part]
-            lines = [" ".join(spelled[i : i + 256]) for i in range(0, len(spelled), 256)]
-            got = [i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
-            stops = (np.flatnonzero(self.word_end[got]) + 1).tolist()
-            for p, i, j in zip(part, [0, *stops], stops):
-                self.pieces[p] = got[i:j]
+        spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        ids, lengths = self._encode_words(spelled)
+        ids, stops = ids.tolist(), np.cumsum(lengths).tolist()
+        self.pieces.update((p, ids[i:j]) for p, i, j in zip(pieces, [0, *stops], stops))
 
     def _encode_new(self) -> None:
-        found: list[list[int]] = [[]] * len(self.new)
-        simple = [i for i, w in enumerate(self.new) if w.isalpha()]  # ASCII letters: a piece as they stand
-        spelled = [self.new[i].decode().lower() for i in simple]
-        self._encode_pieces([p for p in dict.fromkeys(spelled) if p not in self.pieces])
-        for i, p in zip(simple, spelled):
-            found[i] = self.pieces[p]
+        new = self.new
+        simple = [i for i, w in enumerate(new) if w.isalpha()]  # ASCII letters: a piece as they stand
+        ids, lengths = self._encode_words([new[i].decode().lower() for i in simple])
         known = set(simple)
-        plain = [i for i, w in enumerate(self.new) if i not in known and _PLAIN(w) and b"<|" not in w]
-        cut = self.find(b"\n".join([self.new[i] for i in plain]).decode().lower())
+        plain = [i for i, w in enumerate(new) if i not in known and _PLAIN(w) and b"<|" not in w]
+        cut = self.find(b"\n".join([new[i] for i in plain]).decode().lower())
         self._encode_pieces([p for p in dict.fromkeys(cut) if p != "\n" and p not in self.pieces])
+        found: dict[int, list[int]] = {}
         at, pieces, number = 0, self.pieces, len(cut)
         for i in plain:
-            ids = pieces[cut[at]]
+            word = pieces[cut[at]]
             at += 1
             while at < number and cut[at] != "\n":
-                ids = ids + pieces[cut[at]]
+                word = word + pieces[cut[at]]
                 at += 1
             at += 1
-            found[i] = ids
+            found[i] = word
         known.update(plain)
-        other = [i for i in range(len(self.new)) if i not in known]
-        for at, z in chunks([self.new[i] for i in other], 1 << 18):
+        other = [i for i in range(len(new)) if i not in known]
+        for at, z in chunks([new[i] for i in other], 1 << 18):
             part = other[at:z]
-            texts = [self.new[i].decode("utf-8", "replace") for i in part]
+            texts = [new[i].decode("utf-8", "replace") for i in part]
             for i, e in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
                 found[i] = e.ids
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        rest = np.fromiter(map(len, found.values()), np.int64, len(found))
+        order = np.fromiter(chain(simple, found), np.int64, len(new))
+        in_order = np.concatenate([lengths, rest])
+        lengths, starts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        lengths[order], starts[order] = in_order, len(self.ids) + np.cumsum(in_order) - in_order
+        more = np.fromiter(chain.from_iterable(found.values()), np.uint32, int(rest.sum()))
+        self.starts = np.concatenate([self.starts, starts])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, ids])
-        self.ends = np.concatenate([self.ends, np.array([w.endswith(_SENTENCE_END) for w in self.new], bool)])
+        self.ids = np.concatenate([self.ids, ids, more])
+        self.ends = np.concatenate([self.ends, np.array([w.endswith(_SENTENCE_END) for w in new], bool)])
         self.new = []
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
