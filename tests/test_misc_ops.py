@@ -50,6 +50,17 @@ def test_checkpoint_dir_from_session(spark):
     assert any(os.scandir(local))  # the lineage cut wrote into that folder
 
 
+def test_landed_tables_can_be_removed(spark):
+    import os
+
+    from wattline.session import land, remove_landed
+
+    df = land(spark.range(5), "probe", partition_by=None)
+    assert df.count() == 5 and os.path.isdir(df._landed_at)
+    remove_landed(df)
+    assert not os.path.exists(df._landed_at)
+
+
 def test_release_cached_frees_helpers(spark):
     from wattline import session
 

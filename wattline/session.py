@@ -107,7 +107,17 @@ def land(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     written, and later readers prune columns (and folders of ``partition_by``)."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    landed = df.sparkSession.read.schema(df.schema).parquet(path)
+    landed._landed_at = path
+    return landed
+
+
+def remove_landed(*tables: DataFrame) -> None:
+    """Delete tables that :func:`land` wrote, once what was made of them is
+    written too: nothing may need them any more, not even after a loss."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._landed_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def land_clustered(df: DataFrame, name: str, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
