@@ -72,6 +72,20 @@ def test_ngrams():
     assert [(int(k) >> 8) & 255 for k in keys] == [10, *b"ab ", 10]
 
 
+def test_keys_counted_and_looked_up():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 48, 150_000, dtype=np.uint64)
+    keys[rng.integers(0, len(keys), 90_000)] = keys[:90_000]
+    train = rng.random(len(keys)) < 0.4
+    distinct, counts = hpylm.distinct_counts(keys, train)
+    assert (distinct == np.unique(keys)).all() and counts.sum() == train.sum()
+    seen, n = np.unique(keys[train], return_counts=True)
+    assert (counts[np.searchsorted(distinct, seen)] == n).all()
+    values = rng.random(len(distinct))
+    assert (hpylm.looked_up(keys, distinct, values) == values[np.searchsorted(distinct, keys)]).all()
+    assert len(hpylm.looked_up(keys[:0], distinct, values)) == 0
+
+
 def tree(seed=1, n=4000):
     rng = np.random.default_rng(seed)
     text = bytes(rng.choice(list(b"abc \n"), n, p=[0.5, 0.2, 0.1, 0.15, 0.05]).tolist())

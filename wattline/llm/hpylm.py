@@ -38,11 +38,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import land, ship_package
+from ..session import land, remove_landed, ship_package
 from .common import chunks
 from .stirling import stirling
 
-ORDER = 6  # bytes of an n-gram: five of context and the one predicted
+ORDER = 6  # bytes of an n-gram: five of context and the one predicted (more do not fit looked_up)
 SHARED = 1  # contexts of so many bytes or fewer are sampled by the driver
 STRENGTH = 1.0
 SWEEPS, KEPT = 4, 2  # Gibbs sweeps, and how many of the last ones are averaged
@@ -97,14 +97,14 @@ def ngrams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     n-grams of the texts (as words) in turn, and the number of each text."""
     pad = bytes([_END]) * (ORDER - 1)
     parts = [pad + b" ".join(w) + (b" \n" if w else b"\n") for w in texts]
-    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) - (ORDER - 1)
-    key = np.zeros(max(0, len(raw) - ORDER + 1), np.uint64)
-    for i in range(ORDER):
-        key = (key << np.uint64(8)) | raw[i : len(raw) - ORDER + 1 + i]
-    starts = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
-    within = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return key[within], lengths
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    raw = b"".join(parts) + bytes(8)
+    # eight bytes from every place on, the oldest highest, of which ORDER count
+    every = np.ndarray((len(raw) - 8,), ">u8", raw, 0, (1,)).astype(np.uint64)
+    every >>= np.uint64(64 - 8 * ORDER)
+    ends = np.cumsum(size)
+    beyond = (ends[:, None] - np.arange(ORDER - 1, 0, -1)).ravel()  # would reach into the next text
+    return np.delete(every, beyond), size - (ORDER - 1)
 
 
 class _Codes(dict):
@@ -147,6 +147,36 @@ def cell_of_words(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ascending)), bool), ascending[1:] != ascending[:-1])))
+
+
+def distinct_counts(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram keys, ascending, and how many of each are marked: one sort
+    of keys with the mark as their last bit."""
+    marked = (keys << np.uint64(1)) | train.astype(np.uint64)
+    marked.sort()
+    keys = marked >> np.uint64(1)
+    first = _starts(keys)
+    return keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
+
+
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each of ``keys``, all of which are in ``known`` (ascending): some
+    thousand keys at a time, sorted together with their places."""
+    out = np.empty(len(keys), values.dtype)
+    places = np.arange(1 << 16, dtype=np.uint64)
+    for a in range(0, len(keys), 1 << 16):
+        part = (keys[a : a + (1 << 16)] << np.uint64(16)) | places[: len(keys) - a]
+        part.sort()
+        own = part >> np.uint64(16)
+        first = _starts(own)
+        found = values[np.searchsorted(known, own[first])]
+        out[a + (part & np.uint64(0xFFFF)).astype(np.int64)] = np.repeat(found, np.diff(first, append=len(own)))
+    return out
+
+
 def block_requests(texts: list[str | None], train: np.ndarray, cells: int) -> list[tuple]:
     """(kind, cell, keys, counts) of the distinct n-grams and tokens of a
     block of texts, ascending by key within a cell; counts are those in
@@ -155,11 +185,7 @@ def block_requests(texts: list[str | None], train: np.ndarray, cells: int) -> li
     for a, z in chunks(texts, CHUNK_CHARS):  # helper arrays of a chunk, not of a block
         split = [words_of(t) for t in texts[a:z]]
         keys, lengths = ngrams(split)
-        distinct = np.unique(keys)
-        seen, count = np.unique(keys[np.repeat(train[a:z], lengths)], return_counts=True)
-        counts = np.zeros(len(distinct), np.int64)
-        counts[np.searchsorted(distinct, seen)] = count
-        found[_NGRAMS].append((distinct, counts))
+        found[_NGRAMS].append(distinct_counts(keys, np.repeat(train[a:z], lengths)))
         hashes, flat, lengths = tokens(split)
         found[_WORDS].append((hashes, np.bincount(flat[np.repeat(train[a:z], lengths)], minlength=len(hashes))))
     out = []
@@ -548,9 +574,10 @@ def _scored(docs: DataFrame, answers: DataFrame, cells: int, n_train: int, n_wor
         for a, z in chunks(texts, CHUNK_CHARS):
             split = [words_of(t) for t in texts[a:z]]
             keys, lengths = ngrams(split)
-            keys, at = np.unique(keys, return_inverse=True)
+            ascending = np.sort(keys)
             hashes, flat, words = tokens(split)
-            parts.append((keys, at.astype(np.int32), np.cumsum(lengths) - lengths, hashes, flat.astype(np.int32), words))
+            distinct = ascending[_starts(ascending)]
+            parts.append((distinct, keys, np.cumsum(lengths) - lengths, hashes, flat.astype(np.int32), words))
 
         def answered(kind: int, keys: list[np.ndarray], cell_of, form: str) -> tuple[np.ndarray, np.ndarray]:
             """The block's distinct keys, ascending, and the answers to them,
@@ -565,8 +592,8 @@ def _scored(docs: DataFrame, answers: DataFrame, cells: int, n_train: int, n_wor
         grams, logs = answered(_NGRAMS, [p[0] for p in parts], cell_of_ngrams, "<f4")
         words, counts = answered(_WORDS, [p[3] for p in parts], cell_of_words, "<u8")
         score, base, known, n_tokens = [], [], [], []
-        for keys, at, starts, hashes, flat, lengths in parts:
-            score.append(np.add.reduceat(logs[np.searchsorted(grams, keys)][at], starts))
+        for _, keys, starts, hashes, flat, lengths in parts:
+            score.append(np.add.reduceat(looked_up(keys, grams, logs), starts))
             seen = counts[np.searchsorted(words, hashes)]
             starts = np.cumsum(lengths) - lengths
             base.append(np.add.reduceat(np.log10((seen + 1) / (n_train + n_words + 1))[flat], starts))
@@ -622,9 +649,12 @@ def score_documents(
     house, rng, samples = SharedRestaurants(), np.random.default_rng(11), []
     shared = house.sample(_customers(states), discounts, rng)
     for sweep in range(sweeps):
-        states = _land(_swept(states, discounts, shared, sweep), "lm-states")
+        before, states = states, _land(_swept(states, discounts, shared, sweep), "lm-states")
+        if sweep <= sweeps - kept:  # not one of the samples
+            remove_landed(before)
         shared = house.sample(_customers(states), discounts, rng)
         if sweep >= sweeps - kept:
             samples.append((states, shared))
     answers = _land(_answers(requests, _predicted(combined, samples, discounts)), "lm-answers")
+    remove_landed(requests, combined, *[s for s, _ in samples])
     return _scored(rows, answers, cells, n_train, n_words)
