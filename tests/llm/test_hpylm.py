@@ -211,8 +211,8 @@ def test_tables_grow_with_a_million_customers():
 def test_words_of_more_than_32_bits_of_occurrences(spark):
     key, count = np.array([12345], "<u8").tobytes(), np.array([2**32 - 1], "<u4").tobytes()
     requests = spark.createDataFrame([(hpylm._WORDS, 3, b, key, count) for b in range(3)], hpylm._PARTS)
-    combined = hpylm._combined(requests, 2)
-    for r in hpylm._answers(requests, hpylm._predicted(combined, [], [0.5] * hpylm.ORDER)).collect():
+    combined = hpylm._combined(requests, 4, 2)
+    for r in hpylm._answers(requests, hpylm._predicted(combined, [], [0.5] * hpylm.ORDER), 4).collect():
         assert np.frombuffer(r["values"], "<u8").tolist() == [3 * (2**32 - 1)]
 
 
@@ -220,7 +220,7 @@ def test_ngrams_of_more_than_32_bits_of_occurrences(spark):
     """Counts stay whole when blocks are combined and when customers are seated."""
     key, count = np.array([0x0A0A0A0A0A61], "<u8").tobytes(), np.array([2**31], "<u4").tobytes()
     requests = spark.createDataFrame([(hpylm._NGRAMS, 3, b, key, count) for b in range(6)], hpylm._PARTS)
-    combined = hpylm._combined(requests, 1)
+    combined = hpylm._combined(requests, 4, 1)
     blob = hpylm._first_seats(combined, [0.5] * hpylm.ORDER).filter("level = -1").head()["state"]
     tree = hpylm.Subtree.unpacked(blob, [0.5] * hpylm.ORDER)
     assert tree.levels[0].seats.customers().tolist() == [6 * 2**31]

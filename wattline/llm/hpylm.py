@@ -57,6 +57,7 @@ _END = ord("\n")
 _PARTS = "kind int, cell int, block int, keys binary, counts binary"
 _COMBINED = "kind int, bucket int, cell int, keys binary, counts binary"
 MOST_BUCKETS = 512  # of restaurants; their size levels off as the n-grams of five bytes are seen
+MOST_TASKS = 20_000  # of a stage
 OLDER = 16  # parts of a two-byte context, by the bytes before it
 
 
@@ -425,7 +426,13 @@ def _merged(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _summed(keys, np.concatenate([_counts(k, c) for k, c in zip(group["keys"], group["counts"])]))
 
 
-def _requests(docs: DataFrame, cells: int) -> DataFrame:
+def _dealt_by(df: DataFrame, tasks: int, *keys: str):
+    """``df`` grouped by ``keys`` over as many tasks as there are groups to deal, so
+    that a task's share does not grow with the input."""
+    return df.repartition(min(tasks, MOST_TASKS), *keys).groupBy(*keys)
+
+
+def _requests(docs: DataFrame, blocks: int, cells: int) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row", kind="stable")
         made = block_requests(list(group["text"]), group["train"].to_numpy(bool), cells)
@@ -433,10 +440,10 @@ def _requests(docs: DataFrame, cells: int) -> DataFrame:
         out.insert(2, "block", int(group["block"].iloc[0]))
         return out
 
-    return docs.groupBy("block").applyInPandas(run, _PARTS)
+    return _dealt_by(docs, blocks, "block").applyInPandas(run, _PARTS)
 
 
-def _combined(requests: DataFrame, buckets: int) -> DataFrame:
+def _combined(requests: DataFrame, cells: int, buckets: int) -> DataFrame:
     """The requests of all blocks of a cell as one, by bucket."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -446,7 +453,7 @@ def _combined(requests: DataFrame, buckets: int) -> DataFrame:
         rows = [(kind, b, cell, k, c) for b, k, c in _dealt(keys, counts, bucket)]
         return pd.DataFrame(rows, columns=["kind", "bucket", "cell", "keys", "counts"])
 
-    return requests.groupBy("kind", "cell").applyInPandas(run, _COMBINED)
+    return _dealt_by(requests, cells, "kind", "cell").applyInPandas(run, _COMBINED)
 
 
 _STATE = "bucket int, level int, at int, n long, state binary"
@@ -544,56 +551,47 @@ def _predicted(combined: DataFrame, samples: list[tuple[DataFrame, np.ndarray]],
     return asked.groupBy("bucket").applyInPandas(run, out).unionByName(words)
 
 
-def _answers(requests: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(kind, cell, block, values): for each request the values of its keys, in
-    their order."""
+def _answers(requests: DataFrame, predicted: DataFrame, cells: int) -> DataFrame:
+    """(kind, block, keys, values): the keys of each request and their values."""
 
     def run(group: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(group):
-            kind, cell = int(group["kind"].iloc[0]), int(group["cell"].iloc[0])
+            kind = int(group["kind"].iloc[0])
             keys = np.frombuffer(b"".join(got["keys"]), "<u8").astype(np.uint64)
             values = np.frombuffer(b"".join(got["values"]), "<u8" if kind == _WORDS else "<f4")
             order = np.argsort(keys, kind="stable")
             keys, values = keys[order], values[order]
             for block, own in zip(group["block"], group["keys"]):
                 at = np.searchsorted(keys, np.frombuffer(own, "<u8").astype(np.uint64))
-                rows.append((kind, cell, int(block), values[at].tobytes()))
-        return pd.DataFrame(rows, columns=["kind", "cell", "block", "values"])
+                rows.append((kind, int(block), own, values[at].tobytes()))
+        return pd.DataFrame(rows, columns=["kind", "block", "keys", "values"])
 
-    asked = requests.select("kind", "cell", "block", "keys").groupBy("kind", "cell")
-    return asked.cogroup(predicted.groupBy("kind", "cell")).applyInPandas(run, "kind int, cell int, block int, values binary")
+    asked = _dealt_by(requests.select("kind", "cell", "block", "keys"), cells, "kind", "cell")
+    known = _dealt_by(predicted, cells, "kind", "cell")
+    return asked.cogroup(known).applyInPandas(run, "kind int, block int, keys binary, values binary")
 
 
-def _scored(docs: DataFrame, answers: DataFrame, cells: int, n_train: int, n_words: int) -> DataFrame:
+def _scored(docs: DataFrame, answers: DataFrame, blocks: int, n_train: int, n_words: int) -> DataFrame:
     def run(group: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row", kind="stable")
         texts = list(group["text"])
-        values = {k: {int(b): v for b, v in zip(x["cell"], x["values"])} for k, x in got.groupby("kind")}
-        parts = []
+
+        def answered(kind: int, form: str) -> tuple[np.ndarray, np.ndarray]:
+            """The block's distinct keys, ascending, and the answers to them."""
+            own = got[got["kind"] == kind]
+            keys = np.frombuffer(b"".join(own["keys"]), "<u8").astype(np.uint64)
+            order = np.argsort(keys)
+            return keys[order], np.frombuffer(b"".join(own["values"]), form)[order].astype(np.float64)
+
+        grams, logs = answered(_NGRAMS, "<f4")
+        words, counts = answered(_WORDS, "<u8")
+        score, base, known, n_tokens = [], [], [], []
         for a, z in chunks(texts, CHUNK_CHARS):
             split = [words_of(t) for t in texts[a:z]]
             keys, lengths = ngrams(split)
-            ascending = np.sort(keys)
-            hashes, flat, words = tokens(split)
-            distinct = ascending[_starts(ascending)]
-            parts.append((distinct, keys, np.cumsum(lengths) - lengths, hashes, flat.astype(np.int32), words))
-
-        def answered(kind: int, keys: list[np.ndarray], cell_of, form: str) -> tuple[np.ndarray, np.ndarray]:
-            """The block's distinct keys, ascending, and the answers to them,
-            which come cell by cell."""
-            keys = np.unique(np.concatenate(keys))
-            cell = cell_of(keys, cells)
-            order = np.argsort(cell, kind="stable")
-            out = np.empty(len(keys))
-            out[order] = np.concatenate([np.frombuffer(values[kind][b], form) for b in np.unique(cell).tolist()])
-            return keys, out
-
-        grams, logs = answered(_NGRAMS, [p[0] for p in parts], cell_of_ngrams, "<f4")
-        words, counts = answered(_WORDS, [p[3] for p in parts], cell_of_words, "<u8")
-        score, base, known, n_tokens = [], [], [], []
-        for _, keys, starts, hashes, flat, lengths in parts:
-            score.append(np.add.reduceat(looked_up(keys, grams, logs), starts))
+            score.append(np.add.reduceat(looked_up(keys, grams, logs), np.cumsum(lengths) - lengths))
+            hashes, flat, lengths = tokens(split)
             seen = counts[np.searchsorted(words, hashes)]
             starts = np.cumsum(lengths) - lengths
             base.append(np.add.reduceat(np.log10((seen + 1) / (n_train + n_words + 1))[flat], starts))
@@ -606,7 +604,7 @@ def _scored(docs: DataFrame, answers: DataFrame, cells: int, n_train: int, n_wor
         })
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, out)
+    return _dealt_by(docs, blocks, "block").cogroup(_dealt_by(answers, blocks, "block")).applyInPandas(run, out)
 
 
 def score_documents(
@@ -636,8 +634,8 @@ def score_documents(
     # with the partition, so that copies of one row do not meet in one block
     block = F.pmod(F.xxhash64(F.lit("block"), "row", F.spark_partition_id()), F.lit(blocks))
     rows = rows.withColumn("block", block.cast("int"))
-    requests = _land(_requests(rows, cells), "lm-requests")
-    combined = _land(_combined(requests, buckets), "lm-combined")
+    requests = _land(_requests(rows, blocks, cells), "lm-requests")
+    combined = _land(_combined(requests, cells, buckets), "lm-combined")
     first = {(r["level"], r["at"]): r["n"] for r in _first_counts(combined).groupBy("level", "at").agg(F.sum("n").alias("n")).collect()}
     n_train, n_words = first.get((-1, 0), 0), first.get((-1, 1), 0)
     # Ney's estimate from the dishes with one and two customers
@@ -655,6 +653,6 @@ def score_documents(
         shared = house.sample(_customers(states), discounts, rng)
         if sweep >= sweeps - kept:
             samples.append((states, shared))
-    answers = _land(_answers(requests, _predicted(combined, samples, discounts)), "lm-answers")
+    answers = _land(_answers(requests, _predicted(combined, samples, discounts), cells), "lm-answers")
     remove_landed(requests, combined, *[s for s, _ in samples])
-    return _scored(rows, answers, cells, n_train, n_words)
+    return _scored(rows, answers, blocks, n_train, n_words)
