@@ -33,15 +33,19 @@ def asof_topk(
     right_on: str,
     tiebreak: list[str],
     k: int = 1,
-    bucket: Callable[[Column], Column] = month_of,
+    bucket: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Left rows × their ``k`` best right rows with ``right_on <= left_on``,
     best = largest ``(right_on, *tiebreak)``; adds ``asof_rank`` (1 = best).
 
     Left rows with no candidate are dropped (inner semantics), as are rows
     without a key. ``bucket`` maps an order key to a bucket number and must not
-    descend as the key ascends.
+    descend as the key ascends: the month for dates and times, else, where none is
+    given, the whole part of the key.
     """
+    if bucket is None:
+        dated = right.schema[right_on].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+        bucket = month_of if dated else F.floor
     group = [F.col(b).alias(f"_r_{b}") for b in by]
     keys = [f"_r_{b}" for b in by]
     ranked = right.where(F.col(right_on).isNotNull()).select(
