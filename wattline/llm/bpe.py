@@ -97,7 +97,7 @@ class Ranks:
         if found is None:
             x, y = a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass")
             found = any((x[i:], y[:j]) in self.joins for i in range(len(x)) for j in range(1, len(y) + 1))
-            if len(self.joined) > 500_000:
+            if len(self.joined) > 200_000:
                 self.joined.clear()
             self.joined[a, b] = found
         return found
