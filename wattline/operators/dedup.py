@@ -25,16 +25,20 @@ def keep_first(
 ) -> DataFrame:
     """One row per ``keys``: the row that is smallest by ``order`` (NULLs first)."""
     payload = [c for c in df.columns if c not in keys]
+    order_names = {o for o in order if isinstance(o, str)}
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if strategy == "window":
         w = Window.partitionBy(*keys).orderBy(*[o.asc_nulls_first() for o in order_cols])
         return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # columns of the order are not carried twice
+    at = {c: f"_first.p.{c}" for c in payload} | {o: f"_first.o._o{i}" for i, o in enumerate(order) if isinstance(o, str)}
+    rest = [c for c in payload if c not in order_names]
     packed = F.struct(
         F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order_cols)]).alias("o"),
-        F.struct(*payload).alias("p"),
+        *([F.struct(*rest).alias("p")] if rest else []),
     )
     return (
         df.groupBy(*keys)
         .agg(F.min(packed).alias("_first"))
-        .select(*keys, *[F.col(f"_first.p.{c}").alias(c) for c in payload])
+        .select(*keys, *[F.col(at[c]).alias(c) for c in payload])
     )

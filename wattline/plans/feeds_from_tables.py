@@ -25,16 +25,10 @@ from ..sources.lines import LINE_KEY_TYPE, line_key, lines_from_frame
 def landed(df: DataFrame) -> DataFrame:
     """Write derived rows to the shared checkpoint folder and read them back.
     Downstream filters then test a stored column instead of re-running the
-    rendering expression. (Feed lines are landed by their parse.)"""
+    rendering expression, which the optimizer repeats for every use of a text."""
     return land(df, "derived")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread source rows over the cluster before rendering them as text
-    (a small parquet file arrives in few splits)."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -120,7 +114,6 @@ def scada_feed_lines(events: DataFrame, offset: int = 0, faults: bool = False) -
     extra column). ``faults`` adds short lines, lines of an unknown tag, more
     lines before the header, and files (days divisible by five) that lack a
     required column."""
-    events = spread(events)
     e = F.col("event_id")
     ts = F.col("ts")
     begun = ts - F.make_dt_interval(hours=F.lit(offset))
@@ -182,7 +175,7 @@ def scada_feed_lines(events: DataFrame, offset: int = 0, faults: bool = False) -
         ))
         wrong = events.select(file.alias("file"), F.explode(wrong).alias("x"))
         lines = lines.unionByName(wrong.select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value")))
-    return lines
+    return landed(lines)
 
 
 # ---------------------------------------------------------------------------
@@ -207,7 +200,6 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame, layouts: bool =
     """lineitem rendered as UNIT_SOLUTION rows (one file per ship month),
     orders rendered as PRICE rows interleaved in the same files. ``layouts``: of
     four months' files, one lacks the unit column and one the storage columns."""
-    lineitem, orders = spread(lineitem), spread(orders)
     settle = lineitem_settlement()
     file = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("l_shipdate"), "yyyyMM"), F.lit(".CSV"))
     tag = F.when(F.col("l_linenumber") == 3, F.lit("d")).otherwise(F.lit("D"))
@@ -255,7 +247,7 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame, layouts: bool =
             )
         ).alias("x"),
     ).select("file", F.col("x.k").alias("line_key"), F.col("x.v").alias("value"))
-    return us.unionByName(price).unionByName(heads)
+    return landed(us.unionByName(price).unionByName(heads))
 
 
 def lineitem_as_dispatch(lineitem: DataFrame) -> DataFrame:
@@ -463,7 +455,8 @@ def _listing(days: DataFrame, *kinds: tuple) -> DataFrame:
         ))
         for cond, path, outer, packed, broken, error in kinds
     ]
-    return days.select("day", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("day", "e.*")
+    listed = days.select("day", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("day", "e.*")
+    return landed(listed)  # used for the entries and for every reading of text: the days are looked up once
 
 
 def scada_archives(events: DataFrame, nested: bool = False) -> tuple[DataFrame, LandedArchives]:
@@ -517,7 +510,7 @@ def dispatch_archives(lineitem: DataFrame) -> tuple[DataFrame, LandedArchives]:
     archive folder has the dated CSVs of all days but the multiples of five."""
     settle = lineitem_settlement()
     market_day = market_day_interval_end(settle)
-    lines = spread(lineitem).select(
+    data = lineitem.select(
         F.date_format(market_day, "yyyyMMdd").alias("day"),
         line_key(F.date_format(F.to_date("l_shipdate"), "yyyyMM").cast("int"), lineitem_key()).alias("line_key"),
         F.concat_ws(
@@ -528,6 +521,7 @@ def dispatch_archives(lineitem: DataFrame) -> tuple[DataFrame, LandedArchives]:
     )
     days = lineitem.select(F.date_format(market_day, "yyyyMMdd").alias("day")).distinct()
     heads = days.select("day", line_key(0, 0).alias("line_key"), F.lit(DISPATCH_HEADER).alias("value"))
+    lines = landed(data.unionByName(heads))
     no = F.substring("day", 7, 2).cast("int")
     daily = F.concat(F.lit("/landing/current/" + DISPATCH_NAME), F.col("day"), F.lit("_0000000000000001.zip"))
     bundle = F.concat(F.lit("/landing/archive/" + DISPATCH_NAME), F.substring("day", 1, 6), F.lit("01.zip"))
@@ -541,4 +535,4 @@ def dispatch_archives(lineitem: DataFrame) -> tuple[DataFrame, LandedArchives]:
         (no % 8 == 0, daily, nothing, False, never, F.lit("bad zip")),
         (no % 5 != 0, bundle, dated, False, never, nothing),
     )
-    return listing.select("path").distinct(), LandedArchives(listing.select(*LISTING), _text(lines.unionByName(heads), listing))
+    return listing.select("path").distinct(), LandedArchives(listing.select(*LISTING), _text(lines, listing))
