@@ -83,3 +83,20 @@ def test_keep_first_carries_the_order_once(spark):
     assert got.columns == ["k", "o", "v", "w"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("k", 1, "b", None), ("m", None, "z", 3.0), (None, 1, "a", 0.0)], key=str)
     assert "p, struct(w, " in _plan(got)
+
+
+def test_entry_serving_two_days_is_parsed_once(spark, monkeypatch):
+    seen = []
+    parse = scada.parse_scada
+    monkeypatch.setattr(scada, "parse_scada", lambda lines, **kw: seen.append(lines.count()) or parse(lines, **kw))
+    values = [
+        "I,FPP,FPPMW,1,INTERVAL_DATETIME,MEASUREMENT_DATETIME,DUID,MEASURED_MW,MW_QUALITY_FLAG",
+        *[f"D,FPP,FPPMW,1,2025/10/0{d} 10:00:00,2025/10/0{d} 10:00:00,U1,{d},0" for d in (1, 2, 3)],
+    ]
+    served = spark.createDataFrame(
+        [("e", dt.date(2025, 10, 1), (1, "e")), ("e", dt.date(2025, 10, 2), (2, "e"))],
+        "entry string, target_date date, entry_order struct<a:int,b:string>",
+    )
+    got = scada_series(_text_lines(spark, values, entry="e"), served=served).collect()
+    assert sorted(r["market_day"].day for r in got) == [1, 2]  # the third day was not asked for
+    assert seen == [4]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators.catalog_ops import bundle_candidates, match_daily
 from ..sources.archives import LandedArchives, ZipArchives, entry_id, select_entries
-from ..session import broadcast_if_small, land
+from ..session import land
 from ..sources.catalog import source_rank
 from .dispatch import dispatch_series
 from .scada import scada_series
@@ -126,16 +126,11 @@ def _without_failed(selected: DataFrame, bad: DataFrame, by: list[str]) -> DataF
     return left.join(bad.select(*by, "path").distinct(), [*by, "path"], "left_anti")
 
 
-def _lines_with_order(chosen: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines of the chosen entries with their order key and the day each
-    entry was chosen for (an entry serving two days yields its lines twice,
-    each copy restricted to its day later)."""
-    order = chosen.groupBy("entry", "target_date").agg(F.min("entry_order").alias("entry_order"))
-    # one row per (entry, day): broadcast while that table is small
-    order, _ = broadcast_if_small(order)
-    # "first" = candidate order, then the CSV within an inner archive, then the line
-    out = lines.join(order, "entry", "inner")
-    return out.withColumn("file_order", F.struct("entry_order", "file")).drop("entry", "entry_order")
+def _order_of_days(chosen: DataFrame) -> DataFrame:
+    """The days each chosen entry serves, with the entry's order key for them. Its
+    lines are parsed once, and meet these rows after that (an entry serving two
+    days yields its readings twice, each copy restricted to its day)."""
+    return chosen.groupBy("entry", "target_date").agg(F.min("entry_order").alias("entry_order"))
 
 
 def scada_from_archives(
@@ -144,7 +139,7 @@ def scada_from_archives(
     """SCADA series of every requested (day) from landed archives; the
     market-day window keeps only the requested days."""
     chosen, lines, _ = choose_and_read(scada_candidates(targets, catalog), ["target_date", "format"], archives)
-    return scada_series(_lines_with_order(chosen, lines), units=units, file_order="file_order", target_col="target_date")
+    return scada_series(lines, units=units, served=_order_of_days(chosen))
 
 
 def dispatch_from_archives(
@@ -152,4 +147,4 @@ def dispatch_from_archives(
 ) -> DataFrame:
     """Dispatch series of every requested day from landed archives."""
     chosen, lines, _ = choose_and_read(dispatch_candidates(targets, catalog), ["target_date"], archives)
-    return dispatch_series(_lines_with_order(chosen, lines), units=units, file_order="file_order", target_col="target_date")
+    return dispatch_series(lines, units=units, served=_order_of_days(chosen))

@@ -10,7 +10,7 @@ from ..functions.casts import feed_timestamp, to_double
 from ..functions.dates import market_day_interval_end
 from ..operators.dedup import keep_first
 from ..operators.segments import ParsedFeed, parse_segments
-from .scada import _day_filter
+from .scada import _day_filter, per_day_served
 
 SERIES_COLUMNS = [
     "duid",
@@ -56,6 +56,7 @@ def dispatch_series(
     days=None,
     file_order: Column | str | None = None,
     target_col: str | None = None,
+    served: DataFrame | None = None,
     table: str = K.DISPATCH_TABLE,
     **kw,
 ) -> DataFrame:
@@ -67,6 +68,8 @@ def dispatch_series(
     if days is not None:
         typed = _day_filter(typed.withColumn("market_day", market_day_interval_end("settlementdate")), days)
         typed = typed.drop("market_day")
+    if served is not None:
+        typed, file_order, target_col = per_day_served(typed, served), "file_order", "target_date"
     if target_col is not None:
         # lines carry the day their file was chosen for: a file serves only
         # that day, so its rows of other market days are not used

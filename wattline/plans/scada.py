@@ -67,6 +67,16 @@ def _day_filter(df: DataFrame, days) -> DataFrame:
     return df.where(F.col("market_day").isin([d.isoformat() if isinstance(d, date) else d for d in days]))
 
 
+def per_day_served(typed: DataFrame, served: DataFrame) -> DataFrame:
+    """``typed`` (with ``entry``) once per day that its entry serves (``served``:
+    entry, target_date, entry_order), with ``target_date`` and ``file_order``."""
+    # one row per (entry, day): broadcast while that table is small
+    served, _ = broadcast_if_small(served)
+    # "first" = candidate order, then the CSV within an inner archive, then the line
+    out = typed.join(served, "entry", "inner")
+    return out.withColumn("file_order", F.struct("entry_order", "file")).drop("entry", "entry_order")
+
+
 def scada_series(
     lines: DataFrame,
     *,
@@ -74,12 +84,15 @@ def scada_series(
     days=None,
     file_order: Column | str | None = None,
     target_col: str | None = None,
+    served: DataFrame | None = None,
     **kw,
 ) -> DataFrame:
     """Typed 4-second series keyed by ``(duid, measurement_datetime)``.
 
     Rows outside every market day (NULL measurement time) vanish, copies of
     a reading in overlapping files keep the first by (file order, line).
+    ``served``: the days for which each line's ``entry`` was chosen, with their
+    order, instead of the two columns (see :func:`per_day_served`).
     """
     parsed = parse_scada(lines, units=units, **kw)
     typed = cast_scada(parsed.rows)
@@ -89,6 +102,8 @@ def scada_series(
         # a day request prunes before the shuffle
         typed = _day_filter(typed.withColumn("market_day", market_day_instant("measurement_datetime")), days)
         typed = typed.drop("market_day")
+    if served is not None:
+        typed, file_order, target_col = per_day_served(typed, served), "file_order", "target_date"
     if target_col is not None:
         # lines carry the day their file was chosen for: a file serves only
         # that day, so its rows of other market days are not used
