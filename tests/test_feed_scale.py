@@ -38,6 +38,13 @@ def _text_lines(spark, values, **extra):
     return rows.select(F.lit("a.csv").alias("file"), line_key(0, F.col("pos")).alias("line_key"), "value", *cols)
 
 
+def test_dispatch_from_archives_serves_every_day(spark, tmpdir_path):
+    path = f"{tmpdir_path}/{uuid.uuid4().hex}"
+    _lineitem(spark).write.parquet(f"{path}/lineitem.parquet")
+    got = E.queries()["dispatch_from_archives"](spark, path).collect()
+    assert sorted(r["market_day"].day for r in got) == list(range(1, 29))
+
+
 def test_archive_listing_and_text_are_derived_once(spark):
     _, archives = dispatch_archives(_lineitem(spark))
     for df in (archives.listing, archives.text):

@@ -101,17 +101,16 @@ def q_scada_bundle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # S8, U5, D8 for dispatch — daily archives, some corrupt, else the month's bundle
-_SQL_NOWHERE = "day(market_day) IN (5, 15, 20, 25)"  # not in the bundle, and no daily archive that can be read
 
 
 def _market_days(lineitem: DataFrame) -> DataFrame:
     return lineitem_as_dispatch(lineitem).select(F.col("market_day").alias("target_date")).distinct()
 
 
-@register("dispatch_from_archives", f"SELECT * FROM ({_SQL_DISPATCH_SERIES}) s WHERE NOT {_SQL_NOWHERE}")
+@register("dispatch_from_archives", _SQL_DISPATCH_SERIES)
 def q_dispatch_from_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
-    paths, archives = dispatch_archives(lineitem)
+    paths, archives = dispatch_archives(lineitem, whole=True)
     return dispatch_from_archives(_market_days(lineitem), parse_catalog(paths), archives=archives)
 
 

@@ -501,13 +501,14 @@ def scada_bundles(events: DataFrame) -> tuple[DataFrame, LandedArchives]:
     return listing.select("path").distinct(), LandedArchives(listing.select(*LISTING), _text(lines, listing))
 
 
-def dispatch_archives(lineitem: DataFrame) -> tuple[DataFrame, LandedArchives]:
+def dispatch_archives(lineitem: DataFrame, whole: bool = False) -> tuple[DataFrame, LandedArchives]:
     """lineitem's dispatch feed as archives by market day.
 
     Even days have a daily archive in the current folder: every fourth is no
     ZIP at all (multiples of eight) or holds a corrupt inner one, the sixes have
     an undated CSV, the others a dated one. The bundle of a month in the
-    archive folder has the dated CSVs of all days but the multiples of five."""
+    archive folder has the dated CSVs of all days but the multiples of five, or,
+    if ``whole``, of every day."""
     settle = lineitem_settlement()
     market_day = market_day_interval_end(settle)
     data = lineitem.select(
@@ -533,6 +534,6 @@ def dispatch_archives(lineitem: DataFrame) -> tuple[DataFrame, LandedArchives]:
         ((no % 2 == 0) & (no % 4 != 0), daily, outer, False, never, nothing),
         (no % 8 == 4, daily, F.concat(F.lit(DISPATCH_NAME), F.col("day"), F.lit(".zip")), True, F.lit(True), nothing),
         (no % 8 == 0, daily, nothing, False, never, F.lit("bad zip")),
-        (no % 5 != 0, bundle, dated, False, never, nothing),
+        (F.lit(True) if whole else no % 5 != 0, bundle, dated, False, never, nothing),
     )
     return listing.select("path").distinct(), LandedArchives(listing.select(*LISTING), _text(lines, listing))
