@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from ..functions.casts import feed_timestamp, unquote
 from ..functions.text import split_fields
-from ..session import broadcast_if_small, land, ship_package
+from ..session import land, land_small, ship_package
 
 HEADER, DATA, SHORT, UNKNOWN, OPEN_AT_END = range(5)
 
@@ -248,10 +248,11 @@ def parse_segments(
     # the fields are landed, not the text: filters on a field, which the optimizer
     # moves down to the scan, then look up a stored array and repeat no split
     cells = F.when(F.col("kind") == DATA, split_fields(v)).alias("cells")
-    carried = carried.select(*[c for c in carried.columns if c != "value"], cells, v.contains('"').alias("_quoted"))
-    carried = carried.withColumn("header", F.from_json("header", "array<string>"))
-    plain = F.when(F.col("_quoted"), F.transform("cells", unquote)).otherwise(F.col("cells"))
-    carried = carried.withColumn("cells", plain).drop("_quoted")
+    quoted = v.contains('"').alias("_quoted")
+    rest = [c for c in carried.columns if c not in ("file", "piece", "value", "header")]
+    carried = carried.select("file", "piece", cells, quoted, F.from_json("header", "array<string>").alias("header"), *rest)
+    clean = F.when(F.col("_quoted"), F.transform("cells", unquote)).otherwise(F.col("cells"))
+    carried = carried.withColumn("cells", F.arrays_zip(clean.alias("value"))).drop("_quoted")
     # stored by kind, so the few rows of headers and pieces are read without the text
     landed = land(carried, "feed-lines", partition_by=["kind"])
 
@@ -269,10 +270,10 @@ def parse_segments(
 
     # a row a piece, a row a file: broadcast if counted small, so that the lines are
     # not shuffled by the few pieces and files they have
-    starts, _ = broadcast_if_small(starts)
+    starts = land_small(starts, "feed-starts")
     text = landed.where(F.col("kind").isin(DATA, SHORT, UNKNOWN)).join(starts, ["file", "piece"], "left")
     if checks:
-        failing, _ = broadcast_if_small(failing)
+        failing = land_small(failing, "feed-rejected")
         text = text.join(failing, "file", "left")
     else:
         text = text.withColumn("_rejected", F.lit(None).cast("boolean"))
@@ -286,7 +287,7 @@ def parse_segments(
     fields = []
     for c in columns:
         p = F.col(_pos_col(c))
-        cell = F.get("cells", p + 2)
+        cell = F.get("cells", p + 2)["value"]
         fields.append(F.when((F.col("kind") == DATA) & (p > 0) & (cell != ""), cell).alias(c))
     text = text.select("file", "line_key", "segment_key", "kind", "_rejected", *extra, *fields)
     verdict = (

@@ -173,6 +173,14 @@ def persist_counted(df: DataFrame) -> tuple[DataFrame, int, int]:
     return df.drop("_cache_token"), n, size
 
 
+def land_small(df: DataFrame, name: str) -> DataFrame:
+    """Land ``df`` and hint a broadcast when it is counted small, within the
+    bounds of :func:`broadcast_if_small`; nothing stays cached."""
+    df = land(df, name)
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).head()
+    return F.broadcast(df) if n <= DEFAULT_BROADCAST_ROWS and size <= DEFAULT_BROADCAST_BYTES else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Persist ``df``, measure it, and hint a broadcast only when it is small
     in rows and in unpacked bytes.
