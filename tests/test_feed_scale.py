@@ -107,3 +107,51 @@ def test_entry_serving_two_days_is_parsed_once(spark, monkeypatch):
     got = scada_series(_text_lines(spark, values, entry="e"), served=served).collect()
     assert sorted(r["market_day"].day for r in got) == [1, 2]  # the third day was not asked for
     assert seen == [4]
+
+
+def _pos_rows(parsed):
+    return sorted(((r["file"], tuple(r["line_key"]), r["verdict"], r["segment_key"], r["A"], r["B"]) for r in parsed.lines.collect()), key=str)
+
+
+def _many_files(spark):
+    """Files of two layouts, one rejected, one without a name; keys repeat or are NULL."""
+    rows = [
+        ("f", 1, "D,G,T,1,early,x"), ("f", 2, "I,G,T,1,A,B"), ("f", 3, "D,G,T,1,a3,b3"), ("f", 3, 'D,G,T,1,"a,3",""'),
+        ("f", 5, "I,G,T,2,B,X,A"), ("f", 6, "D,G,T,2,b6,x,a6"), ("f", 7, "D,G,T,2,b7"), ("f", 8, "D,G"), ("f", 9, "Q,G,T,1,z"),
+        ("f", 10, "C,end"), ("f", 11, ""), ("f", 12, None), ("f", 13, " d ,G,T,2,b,x,a"),
+        ("g", 1, "I,G,T,1,B"), ("g", 2, "D,G,T,1,b2"), ("h", 4, "D,G,T,1,none"),
+        (None, None, "D,G,T,1,early"), (None, 1, "I,G,T,1,A"), (None, 2, "D,G,T,1,a2"),
+    ]
+    df = spark.createDataFrame(rows, "file string, pos long, value string")
+    return df.select("file", line_key(0, F.col("pos")).alias("line_key"), "value")
+
+
+def test_few_headers_are_looked_up_and_no_line_is_shuffled(spark, monkeypatch):
+    def never(*args):
+        raise AssertionError("lines were sorted by file")
+
+    monkeypatch.setattr(segments, "in_pieces", never)
+    out = segments.parse_segments(_many_files(spark), ["A", "B"], require=["A"])
+    got = {(r["file"], r["line_key"]["pos"], r["A"], r["B"]): r["verdict"] for r in out.lines.collect()}
+    used, headless = segments.USED, segments.HEADLESS
+    assert got == {
+        ("f", 1, None, None): headless, ("f", 3, "a3", "b3"): used, ("f", 3, "a,3", None): used, ("f", 6, "a6", "b6"): used,
+        ("f", 7, None, "b7"): used, ("f", 8, None, None): segments.SHORT_LINE, ("f", 9, None, None): segments.UNKNOWN_TAG,
+        ("f", 13, "a", "b"): used, ("g", 2, None, "b2"): segments.REJECTED_FILE, ("h", 4, None, None): headless,
+        (None, None, None, None): headless, (None, 2, "a2", None): used,
+    }
+    heads = {(r["file"], r["segment_key"]["pos"]): (r["header"], r["accepted"], r["reason"]) for r in out.headers.collect()}
+    assert heads[("f", 5)] == (["2", "B", "X", "A"], True, None)
+    assert heads[("g", 1)] == (["1", "B"], False, segments.REJECTED_FILE)
+    assert "Exchange hashpartitioning" not in _plan(out.rows) and out.rows.count() == 6
+
+
+def test_look_up_and_carry_forward_agree(spark, monkeypatch):
+    lines = _many_files(spark).where("file IS NOT NULL")
+    looked_up = _pos_rows(segments.parse_segments(lines, ["A", "B"], require=["A"]))
+    monkeypatch.setattr(segments, "HEADERS_PER_FILE", 1)  # file f has two
+    called = []
+    carry = segments._carry_forward
+    monkeypatch.setattr(segments, "_carry_forward", lambda *a: called.append(1) or carry(*a))
+    assert _pos_rows(segments.parse_segments(lines, ["A", "B"], require=["A"])) == looked_up
+    assert called == [1]

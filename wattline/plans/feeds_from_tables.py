@@ -145,7 +145,9 @@ def scada_feed_lines(events: DataFrame, offset: int = 0, faults: bool = False) -
         line_key(0, _micros(ts) * 2 + 1),
         F.concat(value, tail),
     )
-    days = events.select(day.alias("day"), file.alias("file")).distinct()
+    # days are told apart before their file is named: text costs more to group by
+    days = events.select(day.alias("day")).distinct()
+    days = days.select("day", F.concat(F.lit("scada/FEED_"), F.date_format("day", "yyyyMMdd"), F.lit(".CSV")).alias("file"))
     d0 = _micros(F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(offset)))
     d12 = _micros(F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(offset + 12)))
 
@@ -201,10 +203,13 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame, layouts: bool =
     orders rendered as PRICE rows interleaved in the same files. ``layouts``: of
     four months' files, one lacks the unit column and one the storage columns."""
     settle = lineitem_settlement()
-    file = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("l_shipdate"), "yyyyMM"), F.lit(".CSV"))
+    def file_of(day: Column) -> Column:
+        return F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(day, "yyyyMM"), F.lit(".CSV"))
+
+    shipped, ordered = F.to_date("l_shipdate"), F.to_date("o_orderdate")
     tag = F.when(F.col("l_linenumber") == 3, F.lit("d")).otherwise(F.lit("D"))
     us = lineitem.select(
-        file.alias("file"),
+        file_of(shipped).alias("file"),
         line_key(1, lineitem_key()).alias("line_key"),
         F.concat_ws(
             ",",
@@ -218,9 +223,8 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame, layouts: bool =
             F.col("l_tax").cast("string"),
         ).alias("value"),
     )
-    ofile = F.concat(F.lit("dispatch/DISPATCH_"), F.date_format(F.to_date("o_orderdate"), "yyyyMM"), F.lit(".CSV"))
     price = orders.select(
-        ofile.alias("file"),
+        file_of(ordered).alias("file"),
         line_key(1, F.col("o_orderkey") * 8 + 5).alias("line_key"),
         F.concat_ws(
             ",",
@@ -231,7 +235,9 @@ def dispatch_feed_lines(lineitem: DataFrame, orders: DataFrame, layouts: bool =
             F.col("o_totalprice").cast("string"),
         ).alias("value"),
     )
-    files = us.select("file").unionByName(price.select("file")).distinct()
+    # days are told apart before their file is named: text costs more to group by
+    days = lineitem.select(shipped.alias("day")).distinct().union(orders.select(ordered.alias("day")).distinct())
+    files = days.select(file_of(F.col("day")).alias("file")).distinct()
     header = F.lit(DISPATCH_HEADER)
     if layouts:
         month = F.regexp_extract("file", r"\d{4}(\d\d)", 1).cast("int") % 4
@@ -520,7 +526,7 @@ def dispatch_archives(lineitem: DataFrame, whole: bool = False) -> tuple[DataFra
             F.col("l_extendedprice").cast("string"), F.col("l_tax").cast("string"),
         ).alias("value"),
     )
-    days = lineitem.select(F.date_format(market_day, "yyyyMMdd").alias("day")).distinct()
+    days = lineitem.select(market_day.alias("day")).distinct().select(F.date_format("day", "yyyyMMdd").alias("day"))
     heads = days.select("day", line_key(0, 0).alias("line_key"), F.lit(DISPATCH_HEADER).alias("value"))
     lines = landed(data.unionByName(heads))
     no = F.substring("day", 7, 2).cast("int")

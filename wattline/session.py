@@ -101,12 +101,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+# Row groups of a landed table: a file that one task wrote is read by several.
+LANDED_GROUP_BYTES = 16 << 20
+
+
 def land(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it
     back: lineage is cut, a lost executor costs no recomputation of what is
     written, and later readers prune columns (and folders of ``partition_by``)."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    df.write.option("parquet.block.size", LANDED_GROUP_BYTES).partitionBy(*(partition_by or [])).parquet(path)
     landed = df.sparkSession.read.schema(df.schema).parquet(path)
     landed._landed_at = path
     return landed
