@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from wattline.operators import segments
 from wattline.operators.dedup import keep_first
-from wattline.plans import scada
+from wattline.plans import archive_queries, scada
 from wattline.plans.dispatch import dispatch_series
 from wattline.plans.feeds_from_tables import dispatch_archives, dispatch_feed_lines, scada_feed_lines
 from wattline.plans.scada import scada_series
@@ -155,3 +155,9 @@ def test_look_up_and_carry_forward_agree(spark, monkeypatch):
     monkeypatch.setattr(segments, "_carry_forward", lambda *a: called.append(1) or carry(*a))
     assert _pos_rows(segments.parse_segments(lines, ["A", "B"], require=["A"])) == looked_up
     assert called == [1]
+
+
+def test_market_days_are_derived_once(spark):
+    days = archive_queries._market_days(_lineitem(spark))
+    assert "Aggregate" not in _plan(days)  # not anew for every use of the targets
+    assert sorted(r["target_date"].day for r in days.collect()) == list(range(1, 29))

@@ -23,7 +23,7 @@ def unquote(col: Column | str) -> Column:
 def feed_timestamp(col: Column | str) -> Column:
     """``YYYY/MM/DD HH:MM:SS`` text → TIMESTAMP_NTZ; any other text → NULL."""
     c = _c(col)
-    ts = F.translate(c, "/", "-").try_cast("timestamp_ntz")
+    ts = F.replace(c, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
     return F.when(c.rlike(_FEED_TS_SHAPE), ts)
 
 
@@ -54,4 +54,4 @@ def format_time(col: Column | str) -> Column:
 
 def render_feed_time(col: Column | str) -> Column:
     """Timestamp → feed text ``YYYY/MM/DD HH:MM:SS`` (zone-free, as above)."""
-    return F.translate(format_time(col), "-", "/")
+    return F.replace(format_time(col), F.lit("-"), F.lit("/"))

@@ -19,7 +19,7 @@ from .archive_plans import (
     scada_candidates,
     scada_from_archives,
 )
-from .feeds_from_tables import dispatch_archives, lineitem_as_dispatch, scada_archives, scada_bundles, table
+from .feeds_from_tables import dispatch_archives, landed, lineitem_as_dispatch, scada_archives, scada_bundles, table
 from .table_queries import _SQL_DISPATCH, _SQL_DISPATCH_SERIES, _SQL_SCADA_SERIES, register
 
 _SQL_SCADA_OF_DAYS = f"""SELECT duid, market_day, interval_datetime, measurement_datetime, measured_mw, mw_quality_flag
@@ -104,7 +104,8 @@ def q_scada_bundle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _market_days(lineitem: DataFrame) -> DataFrame:
-    return lineitem_as_dispatch(lineitem).select(F.col("market_day").alias("target_date")).distinct()
+    # landed: the candidates use the days several times, and each would read all rows
+    return landed(lineitem_as_dispatch(lineitem).select(F.col("market_day").alias("target_date")).distinct())
 
 
 @register("dispatch_from_archives", _SQL_DISPATCH_SERIES)
