@@ -305,9 +305,11 @@ def _look_up(
     ahead = ["file", "line_key", "segment_key", "kind", "_rejected", *extra]
     text = text.select(*ahead, cells, *[_pos_col(c) for c in columns])
     text = text.select(*ahead, *[unquote(F.get("_cells", F.col(_pos_col(c)) + 2)).alias(c) for c in columns])
-    # the fields are landed, not the text: what filters or casts them splits nothing anew
-    text = text.select(*ahead, *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in columns])
-    return land(text, "feed-lines"), heads.select("file", "segment_key", "header", "accepted")
+    # the fields are landed, not the text: what filters or casts them splits nothing
+    # anew. A field is stored as its ``value``, as the cells of a carry-forward are
+    text = text.select(*[F.struct(F.when(F.col(c) != "", F.col(c)).alias("value")).alias(c) for c in columns], *ahead)
+    text = land(text, "feed-lines").select(*ahead, *[F.col(c)["value"].alias(c) for c in columns])
+    return text, heads.select("file", "segment_key", "header", "accepted")
 
 
 def _carry_forward(
