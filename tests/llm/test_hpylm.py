@@ -86,6 +86,40 @@ def test_keys_counted_and_looked_up():
     assert len(hpylm.looked_up(keys[:0], distinct, values)) == 0
 
 
+def test_keys_summed_by_text():
+    rng = np.random.default_rng(3)
+    lengths = np.concatenate((rng.integers(1, 40, 300), np.ones(1 << 16, np.int64), [70_000]))
+    keys = rng.integers(0, 1 << 48, 5000, dtype=np.uint64)[rng.integers(0, 5000, lengths.sum())]
+    distinct = np.unique(keys)
+    values = -rng.random(len(distinct))
+    want = np.add.reduceat(values[np.searchsorted(distinct, keys)], np.cumsum(lengths) - lengths)
+    assert np.allclose(hpylm.summed_by_text(keys, lengths, distinct, values), want)
+    assert len(hpylm.summed_by_text(keys[:0], lengths[:0], distinct, values)) == 0
+
+
+def test_tokens_are_told_apart():
+    """Words of up to 600 bytes, zeros and prefixes of each other among them, and the ends."""
+    long = bytes(range(33, 120)) * 7
+    words = [long[:n] for n in range(1, 600)] + [b"a" * n for n in range(1, 300)] + [b"a" + bytes(n) for n in range(1, 20)]
+    words += [b"x" * n + b"y" + b"x" * (300 - n) for n in range(0, 300, 7)]
+    hashes, lengths = hpylm.tokens([words, [], words[::-1], [b"x"]])
+    assert lengths.tolist() == [len(words) + 1, 1, len(words) + 1, 2]
+    ends = np.cumsum(lengths) - 1
+    assert len(set(hashes[ends].tolist())) == 1 and len(set(hashes.tolist())) == len(set(words)) + 2
+    assert hashes[: len(words)].tolist() == hashes[ends[2] - len(words) : ends[2]][::-1].tolist()
+    assert [len(x) for x in hpylm.tokens([])] == [0, 0]
+
+
+def test_a_draw_weighs_no_dish_whose_end_is_found(monkeypatch):
+    """One dish of many customers does not make the others take as many steps."""
+    weighed, arccos = [], np.arccos
+    monkeypatch.setattr(np, "arccos", lambda x: weighed.append(np.size(x)) or arccos(x))
+    n = 5000
+    customers = np.append(np.full(n, 70), 10**7)
+    hpylm.stirling(0.5).draw(customers, np.full(n + 1, -1.0), np.random.default_rng(0))
+    assert sum(weighed) < 60 * n
+
+
 def tree(seed=1, n=4000):
     rng = np.random.default_rng(seed)
     text = bytes(rng.choice(list(b"abc \n"), n, p=[0.5, 0.2, 0.1, 0.15, 0.05]).tolist())

@@ -30,7 +30,6 @@ import math
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,7 +41,7 @@ from ..session import land, remove_landed, ship_package
 from .common import chunks
 from .stirling import stirling
 
-ORDER = 6  # bytes of an n-gram: five of context and the one predicted (more do not fit looked_up)
+ORDER = 6  # bytes of an n-gram: five of context and the one predicted (more do not fit summed_by_text)
 SHARED = 1  # contexts of so many bytes or fewer are sampled by the driver
 STRENGTH = 1.0
 SWEEPS, KEPT = 4, 2  # Gibbs sweeps, and how many of the last ones are averaged
@@ -108,25 +107,34 @@ def ngrams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.delete(every, beyond), size - (ORDER - 1)
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+_TEXT_END = b"\n"  # the end token; no word has white space
+_SHORT = 256  # bytes of a word that is hashed in arrays
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
 
 
-_TEXT_END = b" \n"  # the end token; no word has white space
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def tokens(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens, the number of each token of all texts in
-    turn (each text's last is its end), and the number of tokens of each."""
-    codes = _Codes()
-    flat = np.fromiter(
-        map(codes.__getitem__, chain.from_iterable(chain(w, (_TEXT_END,)) for w in texts)),
-        np.int64, sum(map(len, texts)) + len(texts),
-    )
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, codes), np.uint64, len(codes))
-    return hashes, flat, np.fromiter((len(w) + 1 for w in texts), np.int64, len(texts))
+def tokens(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each token of all texts in turn (each text's last is its
+    end), and the number of tokens of each: eight bytes at a time, all tokens side
+    by side; long words by XXH3."""
+    raw = b"".join(b" ".join([*w, _TEXT_END, b""]) for w in texts)
+    after = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1  # a token ends in a space, and has no other
+    start = np.concatenate((np.zeros(min(1, len(after)), np.int64), after[:-1]))
+    window = np.ndarray((len(raw),), "<u8", raw + bytes(8), 0, (1,))  # eight bytes from every place on
+    hashes, left, at, size = np.zeros(len(start), np.uint64), np.arange(len(start)), start, after - start
+    for _ in range(0, _SHORT, 8):
+        hashes[left] = _mixed(hashes[left] ^ (window[at] & _FIRST[np.minimum(size, 8)]))
+        more = size > 8
+        left, at, size = left[more], at[more] + 8, size[more] - 8
+    for i in left.tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[start[i] : after[i]])
+    return hashes, np.fromiter((len(w) + 1 for w in texts), np.int64, len(texts))
 
 
 def bucket_of_ngrams(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -163,18 +171,25 @@ def distinct_counts(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
 
-def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each of ``keys``, all of which are in ``known`` (ascending): some
-    thousand keys at a time, sorted together with their places."""
-    out = np.empty(len(keys), values.dtype)
-    places = np.arange(1 << 16, dtype=np.uint64)
-    for a in range(0, len(keys), 1 << 16):
-        part = (keys[a : a + (1 << 16)] << np.uint64(16)) | places[: len(keys) - a]
+def looked_up(keys: np.ndarray, known: np.ndarray | pd.Index, values: np.ndarray) -> np.ndarray:
+    """The value of each of ``keys``, all of which are in ``known`` (distinct)."""
+    known = known if isinstance(known, pd.Index) else pd.Index(known)
+    return values[known.get_indexer(keys)]
+
+
+def summed_by_text(keys: np.ndarray, lengths: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each text the sum of the values of its keys (below 2^48, all of which are in
+    ``known``, ascending): keys are sorted together with the numbers of their texts."""
+    out, ends = np.zeros(len(lengths)), np.cumsum(lengths)
+    for a in range(0, len(lengths), 1 << 16):
+        own = lengths[a : a + (1 << 16)]
+        part = keys[ends[a] - own[0] : ends[a + len(own) - 1]] << np.uint64(16)
+        part |= np.repeat(np.arange(len(own), dtype=np.uint64), own)
         part.sort()
-        own = part >> np.uint64(16)
-        first = _starts(own)
-        found = values[np.searchsorted(known, own[first])]
-        out[a + (part & np.uint64(0xFFFF)).astype(np.int64)] = np.repeat(found, np.diff(first, append=len(own)))
+        sorted_keys = part >> np.uint64(16)
+        first = _starts(sorted_keys)
+        found = np.repeat(values[np.searchsorted(known, sorted_keys[first])], np.diff(first, append=len(part)))
+        out[a : a + len(own)] = np.bincount((part & np.uint64(0xFFFF)).astype(np.int64), found, len(own))
     return out
 
 
@@ -185,10 +200,13 @@ def block_requests(texts: list[str | None], train: np.ndarray, cells: int) -> li
     found: dict[int, list[tuple]] = {_NGRAMS: [], _WORDS: []}
     for a, z in chunks(texts, CHUNK_CHARS):  # helper arrays of a chunk, not of a block
         split = [words_of(t) for t in texts[a:z]]
+        hashes, lengths = tokens(split)
+        marked = np.repeat(train[a:z], lengths)
+        found[_WORDS].append(np.unique(hashes[marked], return_counts=True))
+        held = np.unique(hashes[~marked])
+        found[_WORDS].append((held, np.zeros(len(held), np.int64)))
         keys, lengths = ngrams(split)
         found[_NGRAMS].append(distinct_counts(keys, np.repeat(train[a:z], lengths)))
-        hashes, flat, lengths = tokens(split)
-        found[_WORDS].append((hashes, np.bincount(flat[np.repeat(train[a:z], lengths)], minlength=len(hashes))))
     out = []
     for kind, cell_of in ((_NGRAMS, cell_of_ngrams), (_WORDS, cell_of_words)):
         if found[kind]:
@@ -206,7 +224,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple]:
-    order = np.argsort(bucket, kind="stable")
+    # numbers of 16 bits are sorted by radix
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     keys, counts, bucket = keys[order], counts[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for k, c, b in zip(np.split(keys, cuts), np.split(counts, cuts), np.split(bucket, cuts)):
@@ -586,16 +605,18 @@ def _scored(docs: DataFrame, answers: DataFrame, blocks: int, n_train: int, n_wo
 
         grams, logs = answered(_NGRAMS, "<f4")
         words, counts = answered(_WORDS, "<u8")
+        of_word = np.log10((counts + 1) / (n_train + n_words + 1))
+        words, places = pd.Index(words), np.arange(len(words))
         score, base, known, n_tokens = [], [], [], []
         for a, z in chunks(texts, CHUNK_CHARS):
             split = [words_of(t) for t in texts[a:z]]
             keys, lengths = ngrams(split)
-            score.append(np.add.reduceat(looked_up(keys, grams, logs), np.cumsum(lengths) - lengths))
-            hashes, flat, lengths = tokens(split)
-            seen = counts[np.searchsorted(words, hashes)]
+            score.append(summed_by_text(keys, lengths, grams, logs))
+            hashes, lengths = tokens(split)
+            at = looked_up(hashes, words, places)
             starts = np.cumsum(lengths) - lengths
-            base.append(np.add.reduceat(np.log10((seen + 1) / (n_train + n_words + 1))[flat], starts))
-            known.append(np.add.reduceat((seen > 0).astype(np.int64)[flat], starts))
+            base.append(np.add.reduceat(of_word[at], starts))
+            known.append(np.add.reduceat((counts > 0).astype(np.int64)[at], starts))
             n_tokens.append(lengths)
         return pd.DataFrame({
             "doc_id": group["doc_id"].astype("Int64"), "held_out": ~group["train"].to_numpy(bool), "n_tokens": np.concatenate(n_tokens),

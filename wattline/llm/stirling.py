@@ -23,6 +23,8 @@ DROP = 18.0  # of log weight below the mode, beyond which tables are not likely
 _NODES = 96  # of log t / log c
 _PER_OCTAVE = 4  # rows of c
 _STEPS = 64  # of a contour
+_BATCH = 8192  # dishes that are drawn at a time
+_TABLED = 1 << 16  # whole numbers whose log Gamma is looked up
 
 
 def _log_sums(x: np.ndarray) -> np.ndarray:
@@ -82,6 +84,17 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _log_gammas() -> np.ndarray:
+    return np.concatenate(([np.inf], _log_gamma(np.arange(1, _TABLED))))
+
+
+def _log_factorial(t: np.ndarray) -> np.ndarray:
+    """log Gamma(t + 1) for whole t."""
+    n = t.astype(np.int64) + 1
+    return _log_gammas()[n] if n.max(initial=0) < _TABLED else _log_gamma(t + 1)
+
+
 class Stirling:
     """log S(c, t), less a constant of c, for one discount."""
 
@@ -120,20 +133,29 @@ class Stirling:
         return out
 
     def _far(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        log_c, nodes = self._rows(c)
+        return self._between(log_c, nodes, np.arange(len(c)), t)
+
+    def _rows(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log c, and what the grid holds for c at each node, linear between its rows."""
         self._reach(float(c.max()))
-        log_c, log_t = np.log(c), np.log(t)
+        log_c = np.log(c)
         row = (log_c / np.log(2) - np.log2(EXACT)) * _PER_OCTAVE
         k = np.clip(row.astype(np.int64), 0, len(self.grid) - 2)
-        b = row - k
-        at = np.arccos(np.clip(1 - 2 * log_t / log_c, -1, 1)) / np.pi * (_NODES - 1)
-        j = np.clip(at.astype(np.int64), 1, _NODES - 3)
+        b = (row - k)[:, None]
+        return log_c, (1 - b) * self.grid[k] + b * self.grid[k + 1]
+
+    def _between(self, log_c: np.ndarray, nodes: np.ndarray, of: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Cubic through four nodes; ``of``: the row of each t in the other two."""
+        log_t = np.log(t)
+        at = np.arccos(np.maximum(np.minimum(1 - 2 * log_t / log_c[of], 1), -1)) / np.pi * (_NODES - 1)
+        j = np.minimum(np.maximum(at.astype(np.int64), 1), _NODES - 3)
         u = at - j
-        # cubic through four nodes, linear between rows
         weights = (-u * (u - 1) * (u - 2) / 6, (u + 1) * (u - 1) * (u - 2) / 2, -(u + 1) * u * (u - 2) / 2, (u + 1) * u * (u - 1) / 6)
-        value = 0.0
+        value, flat, first = 0.0, nodes.ravel(), of * _NODES + (j - 1)
         for i, w in enumerate(weights):
-            value = value + w * ((1 - b) * self.grid[k, j - 1 + i] + b * self.grid[k + 1, j - 1 + i])
-        return value + log_t - _log_gamma(t + 1) - t * np.log(self.discount)
+            value = value + w * flat[first + i]
+        return value + log_t - _log_factorial(t) - t * np.log(self.discount)
 
     def draw(self, c: np.ndarray, log_x: np.ndarray, rng: np.random.Generator, others: np.ndarray | None = None) -> np.ndarray:
         """Numbers of tables of dishes with ``c`` customers each, drawn in
@@ -154,37 +176,49 @@ class Stirling:
                     w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
                     out[mine] = 1 + (w < (rng.random(len(mine)) * w[:, -1])[:, None]).sum(axis=1)
             rest = order[np.searchsorted(sizes, 9) :]
-            for i in range(0, len(rest), 50_000):
-                mine = rest[i : i + 50_000]
-                out[mine] = self._drawn(c[mine], log_x[mine], rng, None if others is None else others[mine])
+            far = np.searchsorted(c[rest], EXACT, side="right")
+            for part in (rest[:far], rest[far:]):
+                for i in range(0, len(part), _BATCH):
+                    mine = part[i : i + _BATCH]
+                    out[mine] = self._drawn(c[mine], log_x[mine], rng, None if others is None else others[mine])
         return out
 
     def _drawn(self, c, log_x, rng, others) -> np.ndarray:
-        def weight(t):
-            wide = (slice(None), None) if t.ndim == 2 else slice(None)
-            w = self.log_weight(c[wide], t) + t * log_x[wide]
-            return w if others is None else w + _log_gamma(others[wide] + t)
+        """As :meth:`draw`, for dishes of up to EXACT customers each, or of more."""
+        c = c.astype(np.int64)
+        rows = np.arange(len(c))
+        if c.max() > EXACT:
+            log_c, nodes = self._rows(c.astype(float))
+
+        def weight(t, of=rows):
+            w = self.table[c[of], t] if c[0] <= EXACT else self._between(log_c, nodes, of, t.astype(float))
+            w = w + t * log_x[of]
+            return w if others is None else w + _log_gamma(others[of] + t)
 
         # the weights rise to one mode and fall; a bisection of 1..c for it, then for either end of what is likely
         def bisect(lo, hi, above):
-            for _ in range(int(np.ceil(np.log2(max(2, (hi - lo).max() + 1))))):
-                mid = (lo + hi) // 2
-                up = above(mid)
-                lo, hi = np.where(up & (lo < hi), mid + 1, lo), np.where(up, hi, mid)
-            return np.minimum(lo, hi)
+            lo, hi = lo.copy(), hi.copy()
+            left = np.flatnonzero(lo < hi)  # dishes whose end is not found
+            while len(left):
+                a, z = lo[left], hi[left]
+                mid = (a + z) // 2
+                up = above(mid, left)
+                lo[left], hi[left] = np.where(up, mid + 1, a), np.where(up, z, mid)
+                left = left[lo[left] < hi[left]]
+            return lo
 
-        c = c.astype(np.int64)
         one = np.ones_like(c)
-        mode = bisect(one, c, lambda t: weight(np.minimum(t + 1, c)) > weight(t))
+        mode = bisect(one, c, lambda t, of: weight(np.minimum(t + 1, c[of]), of) > weight(t, of))
         least = weight(mode) - DROP
-        first = bisect(one, mode, lambda t: weight(t) < least)
-        last = bisect(mode, c, lambda t: weight(t) > least)
+        first = bisect(one, mode, lambda t, of: weight(t, of) < least[of])
+        last = bisect(mode, c, lambda t, of: weight(t, of) > least[of])
         # at points of that range; each stands for the numbers up to half-way to its neighbours
         span = (last - first).astype(float)
         steps = np.arange(POINTS) / (POINTS - 1)
         t = np.rint(first[:, None] + span[:, None] * steps).astype(np.int64)
         new = np.concatenate((np.ones((len(c), 1), bool), t[:, 1:] > t[:, :-1]), axis=1)
-        w = np.where(new, weight(t), -np.inf)
+        w = np.full(t.shape, -np.inf)
+        w[new] = weight(t[new], np.nonzero(new)[0])
         w = np.exp(w - w.max(axis=1, keepdims=True))
         # piecewise linear between the points, which is exact where they are neighbours
         dense = span < POINTS
@@ -193,7 +227,6 @@ class Stirling:
         upto = np.cumsum(mass, axis=1)
         u = rng.random(len(c)) * upto[:, -1]
         at = np.minimum((upto <= u[:, None]).sum(axis=1), POINTS - 1)
-        rows = np.arange(len(c))
         out = t[rows, at].astype(float)
         far = ~dense & (at > 0)
         if far.any():
