@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from wattline.llm import exact_dedup as module
 from wattline.llm.exact_dedup import exact_dedup, keep_exact
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,22 @@ def test_one_hot_group_over_many_partitions(spark):
     assert out.filter("group_size = 1334").select("keep_id").distinct().collect()[0][0] == 0
 
 
+def test_only_groups_that_rows_look_up_are_landed_in_few_files(spark, monkeypatch):
+    landed, land = [], module.land
+    monkeypatch.setattr(module, "land", lambda *a: landed.append(land(*a)) or landed[-1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id % 3990, repeat(' and its words', 20)) as text")
+        out = exact_dedup(docs.repartition(8)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert sum(r["kept"] for r in out) == 3990 and sum(r["group_size"] for r in out) == 3980 + 20 * 2
+    assert [(g.count(), len(g.inputFiles())) for g in landed] == [(10, 1)]
+
+
 def test_empty_table(none):
     assert exact_dedup(none).count() == 0
     assert keep_exact(none).columns == none.columns

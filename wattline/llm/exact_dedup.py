@@ -77,8 +77,10 @@ def exact_dedup(
         F.when(rest > 0, (F.lit(_MAX_LONG).cast("decimal(20,0)") - (rest - 1))).cast("long").alias("keep_id"),
         "group_size",
     )
-    merged = land(merged, "exact-groups")
-    total = merged.agg(F.coalesce(F.sum("group_size"), F.lit(0))).head()[0]
+    # a row that finds no group is one by itself; rebalanced, so that small rows are few files
+    merged = merged.filter("group_size > 1 or content is not null or keep_id is null")
+    merged = land(merged.hint("rebalance"), "exact-groups")
+    total = docs.count()
     members = docs.select(
         F.col(id_col).alias("id"),
         content.alias("content"),
@@ -92,7 +94,7 @@ def exact_dedup(
         members = members.join(shared, "digest", "left")
         key = F.when(F.col("shared"), F.concat(F.col("digest"), F.lit("\0").cast("binary"), F.col("content").cast("binary"))).otherwise(F.col("digest"))
     members = members.withColumn("key", key).drop("content", "shared")
-    groups = merged.filter("group_size > 1 or content is not null or keep_id is null").select(
+    groups = merged.select(
         F.when(F.col("content").isNotNull(), F.concat(F.col("digest"), F.lit("\0").cast("binary"), F.col("content").cast("binary")))
         .otherwise(F.col("digest")).alias("key"),
         F.struct("keep_id", "group_size").alias("found"),
